@@ -42,3 +42,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def fold(doc_id, parts: int):
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts))
+
+
+def let(value, use):
+    """``use(value)`` with ``value`` computed once, for expressions that name it often or inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
