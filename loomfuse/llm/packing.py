@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomfuse.llm.common import table, written
 from loomfuse.llm.units import Encoder, frequent_units
 
-MODEL = "byte_bpe_50k.json"
+MODEL, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SIZE = 1024
 OPEN_WINDOWS = 32
 #: A gap of fewer tokens is left as padding rather than filled with a cut.
@@ -106,24 +106,26 @@ def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], COLUMNS)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, open_windows: int = OPEN_WINDOWS, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, size: int = SIZE, open_windows: int = OPEN_WINDOWS, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of sequences of at most ``size`` tokens.
 
     ``ids`` are little-endian unsigned 32-bit token ids. A document is its ids by the
     byte-level BPE at ``tokenizer_path``, then ``end_id``; a null text is empty, so its
-    document is that one id. Each partition packs its own rows; the one window that it
+    document is that one id. ``ranks_path`` may name the same vocabulary in tiktoken's
+    form, which only makes it faster. Each partition packs its own rows; the one window that it
     leaves unfilled joins those of other partitions in a second, small pass. The first
     pass is written to the shared folder, so a lost executor can't change what the
     second one sees. Repeated rows are documents of their own; an empty table gives
     no pieces; columns other than the two named are not read.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_units(docs, text, "byte", tokenizer_path))
+    paths = (tokenizer_path, ranks_path) if ranks_path else (tokenizer_path,)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_units(docs, text, "byte", paths))
     field = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {field}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, leftover boolean"
     end = end_id.to_bytes(4, "little")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder.of("byte", tokenizer_path), Packer(size, open_windows, TaskContext.get().partitionId() << 32)
+        encoder, packer = Encoder.of("byte", *paths), Packer(size, open_windows, TaskContext.get().partitionId() << 32)
         kind = pa.int64()
         for b in batches:
             names, kind = b.column(0).to_pylist(), b.column(0).type
@@ -158,10 +160,14 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, open_windows: i
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, table(spark, sf_dir, "documents"), sf_dir).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of packed sequences, with the ids themselves."""
     import public_tokenizers
 
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(docs, public_tokenizers.path(MODEL), public_tokenizers.path(RANKS))
 
 
 QUERIES = {"op6_packing": op6_packing}
