@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomfuse.llm import decontamination, embeddings, lines, packing, quality, sharding, simhash, token_counts, toxicity
+from loomfuse.llm import decontamination, embeddings, licenses, lines, packing, quality, sharding, simhash, token_counts, toxicity
 
-MODULES = [token_counts, lines, decontamination, embeddings, toxicity, packing, sharding, simhash, quality]
+MODULES = [token_counts, lines, decontamination, embeddings, toxicity, packing, sharding, licenses, simhash, quality]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}

@@ -87,8 +87,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without repeated chunks; ``n_chars`` stays that of the source."""
-    return dedup_lines(docs).select(*docs.columns)
+    """All documents, without repeated chunks; where lines went, ``n_chars`` is counted anew."""
+    shorter = dedup_lines(docs)
+    return shorter.select(*[F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 QUERIES = {"op2_line_dedup": op2_line_dedup}
