@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from loomfuse.plans import fusion_queries, text_queries
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+QUERIES = text_queries.QUERIES | fusion_queries.QUERIES
+SQL = text_queries.SQL | fusion_queries.SQL
+flagship = fusion_queries.flagship
