@@ -172,7 +172,7 @@ def score_fields(pairs: DataFrame, terms: DataFrame, exclusions: list[tuple[str,
         else:
             known = subs.join(scored.select(F.col("src").alias("sub_src"), F.col("tgt").alias("sub_tgt"), "score"), ["sub_src", "sub_tgt"])
             first = lambda role: F.min_by(F.when((F.col("role") == role) & (F.col("score") >= 70), F.col("score")), F.when((F.col("role") == role) & (F.col("score") >= 70), F.col("i")))
-            best = known.groupBy("src", "tgt").agg(first("target atom").alias("by_target_atom"), first("source atom").alias("by_source_atom"), F.max(F.when(F.col("role") == "leaf", F.col("score"))).alias("by_leaf"), F.max(F.when(F.col("role") == "part", F.when(F.col("sub_src") == F.col("sub_tgt"), F.greatest("score", F.lit(98.0))).otherwise(F.col("score")))).alias("by_part"))
+            best = known.groupBy("src", "tgt").agg(first("target atom").alias("by_target_atom"), first("source atom").alias("by_source_atom"), F.max(F.when(F.col("role") == "leaf", F.col("score"))).alias("by_leaf"), F.max(F.when(F.col("role") == "part", F.when(F.col("sub_src") == F.col("sub_tgt"), 98.0).otherwise(F.col("score")))).alias("by_part"))
             full = described.join(best, ["src", "tgt"], "left")
         full = full.withColumn("_k", pair_kernel("src_norm", "tgt_norm")).withColumn("score", _cascade(exclusions, words, exact_first))
         scored = kept(full.select("src", "tgt", _penalised(F.col("score")).alias("score")), "field-scores")
