@@ -66,7 +66,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = hashed.join(repeated, "_hash").groupBy("_id", "_key").agg(F.collect_set(F.struct("_at", "_hash", (~place.eqNullSafe(F.col("_first"))).alias("_later"))).alias("_found"))
     found = written(found, "line-found").select(F.col("_id").alias("_found_id"), F.col("_key").alias("_found_key"), "_found")
     rows = docs.withColumn("_id", F.col(doc_id)).withColumn("_key", F.xxhash64(text))
-    marked = written(rows.join(found, (F.col("_key") == F.col("_found_key")) & F.col("_id").eqNullSafe(F.col("_found_id")), "left").drop("_found_id", "_found_key"), "line-marked")
+    # the same join at every size: found is a fraction of the documents, so it is never broadcast
+    marked = written(rows.join(found.hint("merge"), (F.col("_key") == F.col("_found_key")) & F.col("_id").eqNullSafe(F.col("_found_id")), "left").drop("_found_id", "_found_key"), "line-marked")
     chunked = with_chunks(marked, text)
     texts = chunked.where("_found is not null").select("_chunks", F.explode("_found").alias("_f")).select(F.col("_f._hash").alias("_hash"), F.get("_chunks", F.col("_f._at"))["text"].alias("_text")).distinct()
     clashing = [r[0] for r in texts.groupBy("_hash").count().where("count > 1").collect()]  # none, unless 64-bit hashes collide
