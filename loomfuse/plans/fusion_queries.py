@@ -182,7 +182,7 @@ def rank_fill(spark, d):
 
 def _nation_fill(spark, d, policy):
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"), F.col("n_nationkey").cast("string").alias("key"), "n_name", F.lit(None).cast("string").alias("who"), F.lit(None).cast("string").alias("lost"))
-    a = fill.source_cells(table(spark, d, "customer").where("c_acctbal > 9000"), "customer", 0, "c_nationkey", "c_custkey", ["c_name"])
+    a = fill.source_cells(table(spark, d, "customer"), "customer", 0, "c_nationkey", "c_custkey", ["c_name"])
     b = fill.source_cells(table(spark, d, "supplier"), "supplier", 1, "s_nationkey", "s_suppkey", ["s_name"])
     own = n.select("key").crossJoin(spark.createDataFrame([("customer",), ("supplier",)], "source_id string")).select("source_id", F.col("key").alias("tgt_key"))
     none = own.limit(0).withColumn("src_key", F.lit(None).cast("string"))
@@ -266,11 +266,11 @@ WITH t AS (SELECT o_orderkey, o_custkey, o_orderpriority, row_number() OVER (PAR
 s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type <> 'error' AND value IS NOT NULL)
 SELECT o_orderkey AS tgt_row, o_orderpriority AS old, CAST(s.value AS VARCHAR) AS filled FROM t LEFT JOIN s ON s.user_id = t.o_custkey AND s.k = t.k""",
     "fill_first_source": """
-SELECT CAST(n_nationkey AS BIGINT) AS row, coalesce((SELECT arg_min(c_name, c_custkey) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000), (SELECT arg_min(s_name, s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey)) AS who FROM nation""",
+SELECT CAST(n_nationkey AS BIGINT) AS row, coalesce((SELECT arg_min(c_name, c_custkey) FROM customer WHERE c_nationkey = n_nationkey), (SELECT arg_min(s_name, s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey)) AS who FROM nation""",
     "fill_latest_source": """
-SELECT CAST(n_nationkey AS BIGINT) AS row, coalesce((SELECT arg_min(s_name, s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey), (SELECT arg_min(c_name, c_custkey) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000)) AS who FROM nation""",
+SELECT CAST(n_nationkey AS BIGINT) AS row, coalesce((SELECT arg_min(s_name, s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey), (SELECT arg_min(c_name, c_custkey) FROM customer WHERE c_nationkey = n_nationkey)) AS who FROM nation""",
     "fill_stats": """
-SELECT 'who' AS tgt_field, 'ok' AS status, (SELECT count(*) FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) OR n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)) AS cells, NULL::VARCHAR AS reason
+SELECT 'who' AS tgt_field, 'ok' AS status, (SELECT count(*) FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) OR n_nationkey IN (SELECT c_nationkey FROM customer)) AS cells, NULL::VARCHAR AS reason
 UNION ALL SELECT 'gone', 'skip', 0, 'unknown target field'""",
     "template_expand": "SELECT s_suppkey AS row_idx, s_name AS key, s_acctbal FROM supplier UNION ALL SELECT s_suppkey + (SELECT max(s_suppkey) + 1 FROM supplier) - (SELECT min(s_suppkey) FROM supplier), 'New' || s_name, NULL FROM supplier",
     "flagship": "SELECT field, count(*) AS n_cells, sum(CASE WHEN k = 1 AND c_custkey IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS n_filled FROM (SELECT o.*, c_custkey, unnest(['name', 'balance']) AS field, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders o LEFT JOIN customer c ON o_custkey = c_custkey) GROUP BY field",

@@ -187,9 +187,18 @@ _MERGES = """
 merges AS (
   SELECT CAST(doc_id AS VARCHAR) AS sheet, 1 AS r1, 1 AS r2, 1 AS c1, 2 AS c2 FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, 3, 1, 4 FROM documents
 )"""
-_LCS = """
-SELECT c_custkey, s_suppkey, c_name AS a, s_name AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey
-"""
+_SIMILAR = """
+WITH p AS (
+  SELECT c_custkey, s_suppkey, string_split(c_name, '') AS a, string_split(s_name, '') AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey
+), k AS (
+  SELECT c_custkey, s_suppkey, len(a) + len(b) AS n,
+    list_reduce(a, lambda acc, x: list_reduce(range(1, len(b) + 1), lambda r, j: list_append(r, CASE WHEN x = b[j] THEN coalesce(acc[j - 1], 0) + 1 ELSE greatest(acc[j], coalesce(r[len(r)], 0)) END), []::INTEGER[]), list_transform(b, lambda y: 0)) AS seq,
+    list_reduce(a, lambda acc, x: list_append(list_transform(range(1, len(b) + 1), lambda j: CASE WHEN x = b[j] THEN coalesce(acc[j - 1], 0) + 1 ELSE 0 END),
+      greatest(acc[len(b) + 1], list_max(list_transform(range(1, len(b) + 1), lambda j: CASE WHEN x = b[j] THEN coalesce(acc[j - 1], 0) + 1 ELSE 0 END)))), list_transform(list_append(b, ''), lambda y: 0)) AS run
+  FROM p
+)
+SELECT c_custkey, s_suppkey, round(2.0 * seq[len(seq)] / n, 9) AS ratio, run[len(run)] AS common FROM k"""
+_WORDS = " + ".join(f"10 * max(contains(lower(v), '{w}')::INT)" for w in fixed.HEADER_WORDS)
 
 SQL = {
     "norm_rowkey": rf"SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({half(strip('text'))}, '{PAREN}', '', 'g'), '{fixed.RANGE_TAIL}', '', 'g'), '{fixed.SECTION_TAIL}', '', 'g'), '[\s_\-]', '', 'g')) AS norm FROM documents",
@@ -240,4 +249,13 @@ FROM cell a FULL JOIN covered b ON a.sheet = b.sheet AND a.r = b.r AND a.c = b.c
 WITH {_GRID}, n AS (SELECT sheet, max(c) AS n FROM said GROUP BY sheet), cols AS (SELECT sheet, unnest(range(1, n + 1)) AS c FROM n)
 SELECT cols.sheet, CAST(cols.c AS INTEGER) AS c, concat_ws('>', a.v, CASE WHEN b.v IS NOT NULL AND (a.v IS NULL OR a.v <> b.v) THEN b.v END, coalesce(l.v, 'Col' || cols.c)) AS name
 FROM cols LEFT JOIN said a ON a.sheet = cols.sheet AND a.c = cols.c AND a.r = 1 LEFT JOIN said b ON b.sheet = cols.sheet AND b.c = cols.c AND b.r = 2 LEFT JOIN said l ON l.sheet = cols.sheet AND l.c = cols.c AND l.r = 3""",
+    "similarity_kernel": _SIMILAR,
+    "similarity_native": _SIMILAR,
+    "legacy_header": f"""
+WITH {_GRID}, s AS (
+  SELECT sheet, r, count(*) AS eff, sum(length(v)) / count(*) AS mean, count(*) FILTER (WHERE try_cast(regexp_replace(v, '[, ]', '', 'g') AS DOUBLE) IS NOT NULL) AS numbers, {_WORDS} AS words FROM said WHERE r <= 100 GROUP BY ALL
+), p AS (
+  SELECT sheet, r, eff * 10 + CASE WHEN eff >= 5 THEN 20 WHEN eff >= 3 THEN 10 ELSE 0 END + CASE WHEN mean BETWEEN 2 AND 25 THEN 15 WHEN mean <= 40 THEN 8 ELSE 0 END + words - CASE WHEN numbers = eff THEN 50 ELSE 0 END AS score FROM s
+)
+SELECT sheet, CAST(r AS INTEGER) AS r, CAST(score AS BIGINT) AS score FROM p QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY score DESC, r) = 1""",
 }
