@@ -24,11 +24,12 @@ def norm_names(spark, d):
     return table(spark, d, "documents").select("doc_id", text.norm_name(c).alias("squeezed"), text.norm_name_folded(c).alias("folded"), text.strip_parentheses(c).alias("bare"))
 
 
-FIELD = F.concat_ws("", F.col("p_name"), F.lit(" _ "), F.col("p_brand"), F.lit("（"), F.col("p_size").cast("string"), F.lit("个）"))
+def _field():
+    return F.concat_ws("", F.col("p_name"), F.lit(" _ "), F.col("p_brand"), F.lit("（"), F.col("p_size").cast("string"), F.lit("个）"))
 
 
 def norm_field_units(spark, d):
-    named = table(spark, d, "part").select("p_partkey", FIELD.alias("field"))
+    named = table(spark, d, "part").select("p_partkey", _field().alias("field"))
     return named.select("p_partkey", text.norm_field(F.col("field")).alias("norm"), text.norm_field(F.col("field"), fold=True).alias("folded"), text.unit_of(text.norm_field(F.col("field"))).alias("unit"))
 
 
@@ -46,11 +47,12 @@ def code_tokens(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(text.code_tokens(F.col("url")), " ").alias("codes"), text.longest_digits(F.col("url")).alias("digits"))
 
 
-KEY = F.concat("p_name", F.lit("第"), (F.col("p_size") % 10).cast("string"), F.lit("标段"), F.substring(F.lit("一二三四五六七八九十"), (F.col("p_size") % 10 + 1).cast("int"), F.lit(1)), F.when(F.col("p_size") % 3 == 0, "期工程").when(F.col("p_size") % 3 == 1, "公司").otherwise("合同"))
+def _key():
+    return F.concat("p_name", F.lit("第"), (F.col("p_size") % 10).cast("string"), F.lit("标段"), F.substring(F.lit("一二三四五六七八九十"), (F.col("p_size") % 10 + 1).cast("int"), F.lit(1)), F.when(F.col("p_size") % 3 == 0, "期工程").when(F.col("p_size") % 3 == 1, "公司").otherwise("合同"))
 
 
 def phase_section_domain(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.phase(KEY).alias("phase"), text.section(KEY).alias("section"), text.domain(KEY).alias("domain"))
+    return table(spark, d, "part").select("p_partkey", text.phase(_key()).alias("phase"), text.section(_key()).alias("section"), text.domain(_key()).alias("domain"))
 
 
 def direction_category(spark, d):
