@@ -23,7 +23,7 @@ def half_width(c: Column) -> Column:
 
 def valid(c: Column) -> Column:
     """True for a cell that is neither null nor blank."""
-    return F.coalesce(F.length(strip(c.cast("string"))) > 0, F.lit(False))
+    return F.coalesce(c.cast("string").rlike(r"(?U)\S"), F.lit(False))
 
 
 def strip_parentheses(c: Column) -> Column:
