@@ -82,7 +82,7 @@ class ByteUnits:
         self.odd = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x85]").search
         self.find = re.compile(r"\n(?=[^ \n\t\r])|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+").findall
         self.ranked = self._ranked(ranks_path) if ranks_path else None
-        self.plain = re.compile("[^\x00-\u024f]|<[|]").search
+        self.beyond = re.compile("[^\x00-\u024f]").search
         if self.ranked:  # use it only if it agrees
             probe = self.cut("The thanedble's 12,345 --- ÉÇañ über\n\nx\t y!! Ünß *** don't 'sT a.b")
             if [self.ranked(u) for u in probe] != [x.ids for x in self.tokenizer.encode_batch(probe, add_special_tokens=False)]:
@@ -107,7 +107,7 @@ class ByteUnits:
 
     def encode(self, units: list[str]) -> Iterable[bytes]:
         if self.ranked:
-            own = [u for u in units if self.plain(u)]
+            own = [u for u in units if "<|" in u or not u.isascii() and self.beyond(u)]
             slow = dict(zip(own, self._library(own), strict=True))
             return [slow[u] if u in slow else array("I", self.ranked(u)).tobytes() for u in units]
         return self._library(units)
@@ -121,7 +121,11 @@ _loaded: dict[tuple[str, ...], Encoder] = {}
 
 
 class Encoder:
-    """Values of texts' units: the broadcast table first, then this worker's caches, then the library."""
+    """Values of texts' units: the broadcast table first, then this worker's caches, then the library.
+
+    ``newer`` starts as a copy of the broadcast table and learns other units; when it is full
+    it becomes ``older``, from which units that recur move over to its successor.
+    """
 
     def __init__(self, kind: str, *paths: str):
         self.units = KINDS[kind](*paths)
@@ -134,16 +138,11 @@ class Encoder:
             _loaded[kind, *paths] = Encoder(kind, *paths)
         return _loaded[kind, *paths]
 
-    def _learn(self, missing: set[str]) -> dict:
-        """Values of units that neither table nor newer cache has; short ones are kept for later texts."""
-        if len(self.newer) > CACHE_ENTRIES:
-            self.newer, self.older = {}, self.newer
-        older = self.older
-        found = {u: older[u] for u in missing if u in older}
+    def _learn(self, missing: set[str]) -> None:
+        found = {u: self.older[u] for u in missing if u in self.older}
         fresh = [u for u in missing if u not in found]
-        found |= zip(fresh, self.units.encode(fresh), strict=True)
-        self.newer |= ((u, v) for u, v in found.items() if len(u) <= UNIT_CHARS)
-        return found
+        self.newer |= found
+        self.newer |= zip(fresh, self.units.encode(fresh), strict=True)
 
     def values(self, texts: list[str | None], frequent: dict) -> Iterator[list]:
         """For each text the values of its units; null counts as empty."""
@@ -154,15 +153,16 @@ class Encoder:
                 chars += len(texts[end] or "")
                 end += 1
             cut = [self.units.cut(t or "") for t in texts[at:end]]
-            newer = self.newer
-            rest = {u for units in cut for u in units if u not in frequent}
-            found = self._learn({u for u in rest if u not in newer})
-            found |= ((u, newer[u]) for u in rest if u not in found)
+            if len(self.newer) > CACHE_ENTRIES or not self.newer:
+                self.newer, self.older = dict(frequent), self.newer
+            missing = set().union(*cut).difference(self.newer)
+            self._learn(missing)
+            look = self.newer.__getitem__
             for units in cut:
-                out = list(map(frequent.get, units))
-                if None in out:
-                    out = [found[u] if v is None else v for u, v in zip(units, out, strict=True)]
-                yield out
+                yield list(map(look, units))
+            for u in missing:  # long units seldom recur
+                if len(u) > UNIT_CHARS:
+                    del self.newer[u]
             at = end
 
 
