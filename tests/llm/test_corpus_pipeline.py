@@ -1,8 +1,11 @@
 """The pipeline's stages on a small corpus with planted cases."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from loomfuse.llm import near, simhash
 from loomfuse.llm.common import written
 
 
@@ -30,3 +33,34 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def test_near_dedup_finds_all_similar_texts_and_no_others(spark):
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = " ".join(r.choices(vocabulary, k=60))
+    texts = ["", " \n", "short text", "SHORT  text"]
+    for _ in range(25):
+        base = r.choices(vocabulary, k=r.choice([8, 40, 90, 300]))
+        for changes in range(6):
+            words = list(base)
+            for _ in range(changes):
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+            texts.append(" ".join(words))
+        texts.append(passage + " " + " ".join(r.choices(vocabulary, k=r.choice([5, 30]))))
+    sets = [near.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(set(a.tolist()) & set(b.tolist()))
+            if 5 * both >= 4 * (len(a) + len(b) - both):
+                root = [root[j] if x == root[i] else x for x in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = {}
+    for k, x in enumerate(root):
+        first.setdefault(x, k)
+    assert len(first) < len(set(texts))
+    assert {x[0] for x in simhash.stage(spark, docs, "").select("doc_id").collect()} == set(first.values())
+    for block in (3, near.BLOCK):
+        got = {x.doc_id: x.root for x in near.near_copies(docs, block=block).collect()}
+        assert len(set(got.values())) == len(first) and all(got[k] == got[first[x]] for k, x in enumerate(root))
