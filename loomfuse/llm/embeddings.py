@@ -21,9 +21,6 @@ FIT_VECTORS = 16_384
 MOST_LISTS, SUBSPACES, CODES = 4096, 8, 256
 #: Members and queries that meet in one task.
 BLOCK = 1024
-#: How far probing allows for a neighbour's difference to point at another centre, in standard deviations of a
-#: random direction (one over the root of the dimensions). At the root of the dimensions nothing can be missed at all.
-SIGMAS = 3.0
 #: Spare room in the distance bounds for rounding of single-precision tables.
 SLACK = 1e-3
 
@@ -104,12 +101,11 @@ def _comparable(vec) -> F.Column:
     return F.coalesce(fine & F.exists(vec, lambda v: v != 0), F.lit(False))
 
 
-def _links(vectors: DataFrame, threshold: float, sigmas: float, label: str) -> DataFrame:
+def _links(vectors: DataFrame, threshold: float, label: str) -> DataFrame:
     """Rows (a, b, n) over distinct vectors (node, copies, vec) of one length: links of a spanning forest of
     each block pair (n null), and for node a the rows it links to in that block pair (b null)."""
     spark = vectors.sparkSession
     reach = math.sqrt(2 - 2 * threshold)
-    probed = reach * min(1.0, sigmas / math.sqrt(vectors.select(F.size("vec")).first()[0]))
     total = vectors.count()
     part = min(1.0, FIT_VECTORS / max(1, total))
     fit = vectors.where(F.pmod(F.xxhash64("node", F.lit("fit")), F.lit(1 << 30)) < part * (1 << 30)).select("vec").toArrow()
@@ -125,7 +121,7 @@ def _links(vectors: DataFrame, threshold: float, sigmas: float, label: str) -> D
             own = q.near(x)[1]
             codes, off = q.encode(x, own)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array([p.astype(np.int32) for p in q.probes(x, probed)], pa.list_(pa.int32()))],
+                [*b.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array([p.astype(np.int32) for p in q.probes(x, reach)], pa.list_(pa.int32()))],
                 ["node", "copies", "vec", "own", "codes", "off", "probes"],
             )
 
@@ -170,19 +166,16 @@ def _links(vectors: DataFrame, threshold: float, sigmas: float, label: str) -> D
     return rows.groupBy("list", "m", "q").applyInArrow(compare, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sigmas: float = SIGMAS, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of ``vectors``.
 
     Two rows link if the cosine of their vectors, in double precision, is ``threshold``
     or more. Equal vectors are indexed once. Each vector is put in the list of its
     nearest coarse centre with codes of its residual; each asks every list that can hold
     a neighbour, bounds the distance to each member by table lookup and the member's own
-    quantisation error, and computes the exact cosine of those that the bound leaves. That
-    bound is strict. Probing allows for the part of a neighbour's difference that points from
-    centre to centre up to ``sigmas`` standard deviations of a random direction: nearer pairs
-    (for 64 dimensions and 3, of cosine 0.986 and more) are never missed, of pairs right at
-    the threshold about one in a thousand; ``sigmas`` at the root of the dimensions misses
-    none, at the price of probing most lists of unclustered vectors. Lists are divided into blocks, so that no task
+    quantisation error, and computes the exact cosine of those that the bound leaves. Both
+    bounds are strict, so no link is missed whatever directions the vectors take, at the price
+    of probing most lists of unclustered vectors. Lists are divided into blocks, so that no task
     gets more than a block of members and one of queries; a block pair yields counts and at
     most one link a node.
 
@@ -197,7 +190,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sigmas: fl
     lengths = sorted(r[0] for r in distinct.select(F.size("vec")).distinct().collect())
     found = None
     for length in lengths:  # vectors of one length make one index
-        part = _links(distinct.where(F.size("vec") == length), threshold, sigmas, f"vectors-{length}")
+        part = _links(distinct.where(F.size("vec") == length), threshold, f"vectors-{length}")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(vec_id).cast("long").alias("component_id"), F.lit(True).alias("kept"))

@@ -162,6 +162,20 @@ def test_embeddings_against_brute_force(spark):
     assert all(own[j] in probes[i] and own[i] in probes[j] for i, j in linked)
 
 
+def test_embeddings_of_low_rank_lose_no_link(spark):
+    for dims, rank in ((64, 8), (384, 16), (768, 12)):
+        rng = np.random.default_rng(dims)
+        base = rng.normal(size=(500, rank))
+        near = base + rng.normal(size=base.shape) * 0.4
+        x = (np.concatenate([base, near]) @ rng.normal(size=(rank, dims))).astype(np.float32)
+        df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<float>")
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        want = (u @ u.T >= 0.9).sum(1) - 1
+        assert want.sum() > 100
+        got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+        assert [got[i] for i in range(len(x))] == want.tolist()
+
+
 def test_simhash_against_brute_force(spark, odd, none):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(300)]
