@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfuse.llm.common import table, written
-from loomfuse.llm.units import Encoder, frequent_units
+from loomfuse.llm.units import Encoder
 
 MODEL, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SIZE = 1024
@@ -19,7 +20,7 @@ OPEN_WINDOWS = 32
 LEAST_CUT = 16
 #: Leftover windows that one task merges.
 MERGE_WINDOWS = 512
-COLUMNS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "leftover"]
+COLUMNS = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset", "leftover"]
 
 
 class Window:
@@ -44,15 +45,15 @@ class Packer:
     still open into full windows and at most one leftover.
     """
 
-    def __init__(self, size: int, open_windows: int, first_id: int):
-        self.size, self.most, self.next_id = size, open_windows, first_id
+    def __init__(self, size: int, open_windows: int, first_id: int, with_ids: bool = True):
+        self.size, self.most, self.next_id, self.with_ids = size, open_windows, first_id, with_ids
         self.open: list[Window] = []
         self.rows: list[tuple] = []
 
     def emit(self, window: Window, leftover: bool = False) -> None:
         at = 0
         for doc_id, start, ids, total in window.pieces:
-            self.rows.append((doc_id, start, len(ids) // 4, ids, total, self.next_id, at, leftover))
+            self.rows.append((doc_id, start, len(ids) // 4, ids if self.with_ids or leftover else None, zlib.crc32(ids), total, self.next_id, at, leftover))
             at += len(ids) // 4
         self.next_id += 1
 
@@ -102,35 +103,36 @@ class Packer:
 
 
 def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    types = [kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    types = [kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], COLUMNS)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, size: int = SIZE, open_windows: int = OPEN_WINDOWS, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of sequences of at most ``size`` tokens.
+def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, size: int = SIZE, open_windows: int = OPEN_WINDOWS, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """Pieces (doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset) of sequences of at most ``size`` tokens.
 
-    ``ids`` are little-endian unsigned 32-bit token ids. A document is its ids by the
+    ``ids`` are little-endian unsigned 32-bit token ids, ``ids_crc32`` their CRC sum; without
+    ``with_ids`` the ids are left out and only the sums kept. A document is its ids by the
     byte-level BPE at ``tokenizer_path``, then ``end_id``; a null text is empty, so its
     document is that one id. ``ranks_path`` may name the same vocabulary in tiktoken's
     form, which only makes it faster. Each partition packs its own rows; the one window that it
     leaves unfilled joins those of other partitions in a second, small pass. The first
     pass is written to the shared folder, so a lost executor can't change what the
-    second one sees. Repeated rows are documents of their own; an empty table gives
-    no pieces; columns other than the two named are not read.
+    second one sees. Repeated rows are documents of their own, null ids are ids like others;
+    an empty table gives no pieces; columns other than the two named are not read, so their
+    names don't matter.
     """
     paths = (tokenizer_path, ranks_path) if ranks_path else (tokenizer_path,)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_units(docs, text, "byte", paths))
     field = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {field}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, leftover boolean"
+    schema = f"doc_id {field}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, leftover boolean"
     end = end_id.to_bytes(4, "little")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder.of("byte", *paths), Packer(size, open_windows, TaskContext.get().partitionId() << 32)
+        encoder, packer = Encoder.of("byte", *paths), Packer(size, open_windows, TaskContext.get().partitionId() << 32, with_ids)
         kind = pa.int64()
         for b in batches:
             names, kind = b.column(0).to_pylist(), b.column(0).type
-            for name, values in zip(names, encoder.values(b.column(1).to_pylist(), frequent.value), strict=True):
-                packer.document(name, b"".join(values) + end)
+            for name, ids in zip(names, encoder.texts(b.column(1)), strict=True):
+                packer.document(name, ids + end)
                 if len(packer.rows) >= 2000:
                     yield _batch(packer.rows, kind)
                     packer.rows = []
@@ -139,7 +141,7 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, si
             yield _batch(packer.rows, kind)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(size, open_windows, 1 << 60 | TaskContext.get().partitionId() << 32)
+        packer = Packer(size, open_windows, 1 << 60 | TaskContext.get().partitionId() << 32, with_ids)
         kind = pa.int64()
         for b in batches:
             kind = b.column(0).type
@@ -156,15 +158,18 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, si
     if tasks:
         again = left.repartition(tasks, "sequence_id").sortWithinPartitions("sequence_id", "offset").select("doc_id", "start", "ids", "doc_tokens")
         done = done.unionByName(again.mapInArrow(merge, schema))
-    return done.drop("leftover")
+    return done.drop("leftover") if with_ids else done.drop("leftover", "ids")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(spark, table(spark, sf_dir, "documents"), sf_dir).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, public_tokenizers.path(MODEL), public_tokenizers.path(RANKS), with_ids=False)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of packed sequences, with the ids themselves."""
+    """All documents as pieces of packed sequences, with the ids themselves; null texts are empty documents, and so on as in ``pack``."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path(MODEL), public_tokenizers.path(RANKS))

@@ -14,8 +14,8 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Entries of each of a worker's two caches: when the newer is full it becomes the older, and the older goes.
 CACHE_ENTRIES = 250_000
@@ -69,7 +69,7 @@ class ByteUnits:
     characters that follows. Special strings inside a text get their special id, the
     library's default. Texts with blanks other than space, tab, newline and return
     are encoded whole. Given ``ranks_path``, the same vocabulary in tiktoken's form,
-    units of Latin letters and without special strings are encoded by that library.
+    texts and units of Latin letters and without special strings are encoded by that library.
     """
 
     def __init__(self, path: str, ranks_path: str | None = None):
@@ -105,6 +105,12 @@ class ByteUnits:
             return []
         return [text] if self.odd(text) else self.find(text)
 
+    def plain(self, text: str) -> bytes | None:
+        """The ids of a text that the faster library encodes alike as a whole; None for any other text."""
+        if self.ranked and "<|" not in text and (text.isascii() or not self.beyond(text)):
+            return array("I", self.ranked(text)).tobytes()
+        return None
+
     def encode(self, units: list[str]) -> Iterable[bytes]:
         if self.ranked:
             own = [u for u in units if "<|" in u or not u.isascii() and self.beyond(u)]
@@ -144,6 +150,13 @@ class Encoder:
         self.newer |= found
         self.newer |= zip(fresh, self.units.encode(fresh), strict=True)
 
+    def texts(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a batch: of plain texts as a whole, of others unit by unit; null counts as empty."""
+        for value in column:
+            text = value.as_py() or ""
+            ids = self.units.plain(text)
+            yield b"".join(next(self.values([text], {}))) if ids is None else ids
+
     def values(self, texts: list[str | None], frequent: dict) -> Iterator[list]:
         """For each text the values of its units; null counts as empty."""
         at = 0
@@ -162,37 +175,31 @@ class Encoder:
                 yield list(map(look, units))
             for u in missing:  # long units seldom recur
                 if len(u) > UNIT_CHARS:
-                    del self.newer[u]
+                    self.newer.pop(u, None)
             at = end
 
 
-def frequent_units(docs: DataFrame, text: str, kind: str, paths: tuple[str, ...], entries: int = 65_536, partitions: int = 64, chars: int = 400_000) -> dict:
+def frequent_units(docs: DataFrame, text: str, kind: str, paths: tuple[str, ...], entries: int = 65_536, one_in: int = 64) -> dict:
     """The values of frequent units, for broadcasting: at most ``entries`` units of at most UNIT_CHARS characters.
 
-    The first ``partitions`` partitions each count the units of their first ``chars``
-    characters or so and send their most frequent ones; other partitions read nothing.
-    This only warms the table: a unit that is not in it is encoded where it occurs, so
-    the bounds change no result.
+    One Spark job counts the units of one text in ``one_in``, chosen by a hash of the text,
+    so from every partition alike, and returns the most frequent. This only warms the
+    table: a unit that is not in it is encoded where it occurs, so no result depends on it.
     """
-    each = max(1, 4 * entries // partitions)
 
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if TaskContext.get().partitionId() >= partitions:
-            return
-        units, seen, count = Encoder.of(kind, *paths).units, 0, Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, found = Encoder.of(kind, *paths).units, Counter()
+        give = lambda: pa.RecordBatch.from_pydict({"unit": list(found), "n": list(found.values())})
         for b in batches:
             for t in b.column(0).to_pylist():
-                count.update(u for u in units.cut(t or "") if len(u) <= UNIT_CHARS)
-                seen += len(t or "")
-                if seen >= chars:
-                    break
-            if seen >= chars:
-                break
-        if best := [(u, n) for u, n in count.most_common(each) if n > 1]:
-            yield pa.RecordBatch.from_pydict({"unit": [u for u, _ in best], "n": [n for _, n in best]})
-
-    total: Counter = Counter()
-    for unit, n in docs.select(text).mapInArrow(top, "unit string, n long").toLocalIterator():
-        total[unit] += n
-    names = [u for u, _ in total.most_common(entries)]
+                found.update(u for u in units.cut(t or "") if len(u) <= UNIT_CHARS)
+                if len(found) > CACHE_ENTRIES:
+                    yield give()
+                    found.clear()
+        if found:
+            yield give()
+
+    sample = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0)
+    total = sample.mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    names = [r["unit"] for r in total.where("n > 1").orderBy(F.desc("n"), "unit").limit(entries).collect()]
     return dict(zip(names, KINDS[kind](*paths).encode(names), strict=True))
