@@ -19,8 +19,8 @@ THRESHOLD = 0.9
 #: Vectors on which the quantiser is fitted, about so many at most; every vector is indexed.
 FIT_VECTORS = 16_384
 MOST_LISTS, SUBSPACES, CODES = 4096, 8, 256
-#: Members and queries that meet in one task.
-BLOCK = 1024
+#: Members of a group of lists, and queries, that meet in one task; members that are compared at a time.
+GROUP, ASKED, SLICE = 4096, 4096, 256
 #: Spare room in the distance bounds for rounding of single-precision tables.
 SLACK = 1e-3
 
@@ -58,35 +58,52 @@ class Quantiser:
         d = (x**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * x @ self.centres.T
         return d, np.argmin(d, 1)
 
-    def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the residuals, and how far each vector is from what its codes stand for."""
+    def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the residuals; how far each vector is from what its codes stand for; and the part of a distance to
+        that point z which no query changes, |z|^2 - |centre|^2."""
         rest = x - self.centres[own]
         codes = np.stack([np.argmin((b**2).sum(1) - 2 * p @ b.T, 1) for p, b in zip(self._parts(rest), self.books, strict=True)], 1)
         stood = np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], 1)
-        return codes.astype(np.uint8), np.sqrt(((rest - stood) ** 2).sum(1))
+        return codes.astype(np.uint8), np.sqrt(((rest - stood) ** 2).sum(1)), (stood * (stood + 2 * self.centres[own])).sum(1)
 
-    def distances(self, queries: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances, query by member of one list: sums of table entries, one for each subspace."""
-        total = np.zeros((len(queries), len(codes)), np.float32)
-        for j, (p, b) in enumerate(zip(self._parts(queries - self.centres[centre]), self.books, strict=True)):
-            lookup = ((p**2).sum(1)[:, None] + (b**2).sum(1) - 2 * p @ b.T).astype(np.float32)
-            total += lookup[:, codes[:, j]]
-        return np.sqrt(np.maximum(total, 0))
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """For each subspace a table, code by query, of -2 (query . code): one row serves all members with that code."""
+        return [np.ascontiguousarray((-2 * b @ p.T).astype(np.float32)) for p, b in zip(self._parts(queries), self.books, strict=True)]
 
-    def probes(self, x: np.ndarray, reach: float) -> list[np.ndarray]:
-        """For each vector all lists that can hold a vector within ``reach`` of it.
+    def distances(self, tables: list[np.ndarray], near: np.ndarray, codes: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+        """Squared asymmetric distances, member by query, within one list: sums of table rows. ``near``: the queries'
+        squared distances to the list's centre; ``fixed``: the members' own parts."""
+        total = near[None] + fixed.astype(np.float32)[:, None]
+        for j, t in enumerate(tables):
+            total += t[codes[:, j]]
+        return total
+
+    def probes(self, x: np.ndarray, own: np.ndarray, reach: float, radius: np.ndarray) -> np.ndarray:
+        """Vector by list: whether the list can hold a vector within ``reach`` of this one.
 
         If y is in the list of c, then y is at least as near to c as to x's own centre o, so
-        |x - c|^2 - |x - o|^2 <= 2 (x - y)(c - o) <= 2 |x - y| |c - o|: lists beyond that
-        with |x - y| = ``reach`` hold none.
+        |x - c|^2 - |x - o|^2 <= 2 (x - y)(c - o) <= 2 |x - y| |c - o|; and |x - c| <= |x - y| +
+        the list's ``radius``. Lists beyond either bound with |x - y| = ``reach`` hold none.
         """
-        d, own = self.near(x)
-        apart = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(2), 0)) if len(self.centres) <= 512 else None
-        out = []
-        for i, o in enumerate(own):
-            gap = apart[o] if apart is not None else np.sqrt(((self.centres - self.centres[o]) ** 2).sum(1))
-            out.append(np.flatnonzero(d[i] - d[i, o] <= 2 * reach * gap + SLACK))
-        return out
+        d, o = self.near(x)[0], self.centres[own]
+        gap = np.sqrt(np.maximum((o**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * o @ self.centres.T, 0))
+        return (d - d[np.arange(len(x)), own][:, None] <= 2 * reach * gap + SLACK) & (np.sqrt(np.maximum(d, 0)) <= reach + radius + SLACK)
+
+
+def group_lists(centres: np.ndarray, sizes: np.ndarray, most: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its first group and in how many groups its members are dealt: large lists get several of their own,
+    small ones share one with lists whose centres lie near along the centres' main direction."""
+    middle = centres - centres.mean(0)
+    main = np.linalg.svd(middle, full_matrices=False)[2][0] if len(centres) > 1 else np.zeros(centres.shape[1])
+    first, parts, at, held = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most)), 0, 0
+    for i in np.argsort(middle @ main, kind="stable"):
+        if held and held + sizes[i] > most:
+            at, held = at + 1, 0
+        first[i] = at
+        held += sizes[i]
+        if parts[i] > 1:
+            at, held = at + parts[i], 0
+    return first, parts
 
 
 def _unit(column) -> np.ndarray:
@@ -103,14 +120,15 @@ def _comparable(vec) -> F.Column:
 
 def _links(vectors: DataFrame, threshold: float, label: str) -> DataFrame:
     """Rows (a, b, n) over distinct vectors (node, copies, vec) of one length: links of a spanning forest of
-    each block pair (n null), and for node a the rows it links to in that block pair (b null)."""
+    each task's pairs (n null), and for node a the rows it links to among them (b null)."""
     spark = vectors.sparkSession
     reach = math.sqrt(2 - 2 * threshold)
     total = vectors.count()
     part = min(1.0, FIT_VECTORS / max(1, total))
     fit = vectors.where(F.pmod(F.xxhash64("node", F.lit("fit")), F.lit(1 << 30)) < part * (1 << 30)).select("vec").toArrow()
     sample = _unit(fit["vec"]) if len(fit) else _unit(vectors.limit(1).toArrow()["vec"])
-    model = spark.sparkContext.broadcast(Quantiser.fit(sample, max(1, min(MOST_LISTS, len(sample), math.isqrt(total)))))
+    quantiser = Quantiser.fit(sample, max(1, min(MOST_LISTS, len(sample), math.isqrt(total))))
+    model = spark.sparkContext.broadcast(quantiser)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = model.value
@@ -118,28 +136,44 @@ def _links(vectors: DataFrame, threshold: float, label: str) -> DataFrame:
             if not len(b):
                 continue
             x = _unit(b.column(2))
-            own = q.near(x)[1]
-            codes, off = q.encode(x, own)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array([p.astype(np.int32) for p in q.probes(x, reach)], pa.list_(pa.int32()))],
-                ["node", "copies", "vec", "own", "codes", "off", "probes"],
-            )
+            d, own = q.near(x)
+            codes, off, fixed = q.encode(x, own)
+            far = np.sqrt(np.maximum(d[np.arange(len(x)), own], 0))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32)), pa.array(far), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array(fixed)], ["node", "copies", "vec", "own", "far", "codes", "off", "fixed"])
 
     kind = vectors.schema["vec"].dataType.simpleString()
     spread = vectors.select("node", "copies", "vec").repartition(max(1, min(total // 500, 4096)), "node")
-    indexed = written(spread.mapInArrow(index, f"node long, copies long, vec {kind}, own int, codes binary, off double, probes array<int>"), f"{label}-index")
-    # how many blocks each list's members and queries fill: at most MOST_LISTS numbers
-    members = {r[0]: -(-r[1] // BLOCK) for r in indexed.groupBy("own").count().collect()}
-    queries = {r[0]: -(-r[1] // BLOCK) for r in indexed.select(F.explode("probes").alias("own")).groupBy("own").count().collect()}
-    sizes = spark.createDataFrame([(k, v, queries.get(k, 0)) for k, v in members.items()], "list int, m_blocks int, q_blocks int")
-
-    def dealt(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("node", F.lit(side)), F.col(own)).cast("int")
-        each = rows.join(F.broadcast(sizes), "list").withColumn("mine", mine).withColumn("its", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        m, q = ("its", "mine") if side else ("mine", "its")
-        return each.select("list", F.col(m).alias("m"), F.col(q).alias("q"), F.lit(side).alias("side"), "node", "copies", "vec", *([F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("off")] if side else ["codes", "off"]))
-
-    rows = dealt(indexed.withColumnRenamed("own", "list"), 0, "m_blocks", "q_blocks").unionByName(dealt(indexed.withColumn("list", F.explode("probes")), 1, "q_blocks", "m_blocks"))
+    indexed = written(spread.mapInArrow(index, f"node long, copies long, vec {kind}, own int, far double, codes binary, off double, fixed double"), f"{label}-index")
+    lists = len(quantiser.centres)
+    sizes, radius = np.zeros(lists, np.int64), np.zeros(lists)
+    for r in indexed.groupBy("own").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # at most MOST_LISTS rows
+        sizes[r["own"]], radius[r["own"]] = r["n"], r["far"]
+    first, parts = group_lists(quantiser.centres, sizes)
+    layout = spark.sparkContext.broadcast((radius, first, parts))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, (radius, first, parts) = model.value, layout.value
+        for b in batches:
+            own, groups = np.asarray(b.column(3)), []
+            x = _unit(b.column(2)) if len(b) else np.zeros((0, q.centres.shape[1]))
+            for k in range(0, len(x), SLICE):
+                asked = q.probes(x[k : k + SLICE], own[k : k + SLICE], reach, radius)
+                for i, row in enumerate(asked):
+                    to = np.flatnonzero(row[own[k + i] :]) + own[k + i]
+                    groups.append(np.unique(np.concatenate([first[to], *(first[j] + np.arange(1, parts[j]) for j in to[parts[to] > 1])])).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(groups, pa.list_(pa.int32()))], ["node", "groups"])
+
+    asked = written(indexed.select("node", "copies", "vec", "own").mapInArrow(ask, "node long, groups array<int>"), f"{label}-asked")
+    # how many queries ask each group: a number for each list and GROUP members
+    blocks = asked.select(F.explode("groups").alias("group")).groupBy("group").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("blocks"))
+    blocks = written(blocks, f"{label}-blocks")
+    layout_rows = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(first, parts, strict=True))], "own int, first int, parts int")
+    place = (F.col("first") + F.pmod(F.xxhash64("node", F.lit(0)), F.col("parts"))).cast("int")
+    members = indexed.join(F.broadcast(layout_rows), "own").withColumn("group", place).join(F.broadcast(blocks), "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    queries = asked.select("node", F.explode("groups").alias("group")).join(F.broadcast(blocks), "group").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    queries = queries.select("node", "group", "block").join(indexed.select("node", "copies", "vec", "own"), "node")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("codes", "binary"), ("off", "double"), ("fixed", "double"))]
+    rows = members.select("group", "block", F.lit(0).alias("side"), "node", "copies", "vec", "own", "codes", "off", "fixed").unionByName(queries.select("group", "block", F.lit(1).alias("side"), "node", "copies", "vec", "own", *nothing))
 
     def compare(t: pa.Table) -> pa.Table:
         q, side = model.value, np.asarray(t["side"])
@@ -148,22 +182,36 @@ def _links(vectors: DataFrame, threshold: float, label: str) -> DataFrame:
         if len(ours) and len(theirs):
             y, x = _unit(ours["vec"]), _unit(theirs["vec"])
             codes = np.frombuffer(b"".join(ours["codes"].to_pylist()), np.uint8).reshape(len(ours), -1)
-            bound = reach + np.asarray(ours["off"]) + SLACK
-            i, j = np.nonzero(q.distances(x, t["list"][0].as_py(), codes) <= bound[None])
-            to, by = np.asarray(ours["node"]), np.asarray(theirs["node"])
-            fine = np.concatenate([[], *((np.einsum("ij,ij->i", x[i[k : k + 100_000]], y[j[k : k + 100_000]]) >= threshold) for k in range(0, len(i), 100_000))]).astype(bool)
-            fine &= by[i] != to[j]
-            i, j = i[fine], j[fine]
-            found = np.bincount(i, np.asarray(ours["copies"])[j], len(by)).astype(np.int64)
-            some = np.flatnonzero(found)
-            ids, place = np.unique(np.concatenate([to, by]), return_inverse=True)
+            off, fixed, to, by = (np.asarray(c) for c in (ours["off"], ours["fixed"], ours["node"], theirs["node"]))
+            owner, own = np.asarray(ours["own"]), np.asarray(theirs["own"])
+            tables, probed, near = q.tables(x), q.probes(x, own, reach, layout.value[0]), q.near(x)[0].astype(np.float32)
+            most = ((reach + off + SLACK) ** 2).astype(np.float32)
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for c in np.unique(owner):
+                who = np.flatnonzero(probed[:, c] & (own <= c))
+                part = [t[:, who] for t in tables] if len(who) < len(x) else tables
+                every = np.flatnonzero(owner == c)
+                for held in np.array_split(every, -(-len(every) // SLICE)):
+                    m, k = np.nonzero(q.distances(part, near[who, c], codes[held], fixed[held]) <= most[held][:, None])
+                    i, j = who[k], held[m]
+                    once = (own[i] < c) | (by[i] < to[j])  # pairs of one list are met from both ends
+                    i, j = i[once], j[once]
+                    for s in range(0, len(i), 100_000):
+                        fine = np.einsum("ij,ij->i", x[i[s : s + 100_000]], y[j[s : s + 100_000]]) >= threshold
+                        found.append((i[s : s + 100_000][fine], j[s : s + 100_000][fine]))
+            i, j = (np.concatenate(z) for z in zip(*found, strict=True))
+            ids, at = np.unique(np.concatenate([to, by]), return_inverse=True)
+            j, i, copies = at[j], at[len(to) + i], np.zeros(len(ids), np.int64)
+            copies[at] = np.concatenate([np.asarray(ours["copies"]), np.asarray(theirs["copies"])])
+            n = (np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))).astype(np.int64)
+            some = np.flatnonzero(n)
             forest = Forest(len(ids))
-            forest.join(place[len(to) + i], place[j])
+            forest.join(i, j)
             a, b = forest.links()
-            out = {"a": [*ids[a], *by[some]], "b": [*ids[b], *[None] * len(some)], "n": [*[None] * len(a), *found[some]]}
+            out = {"a": [*ids[a], *ids[some]], "b": [*ids[b], *[None] * len(some)], "n": [*[None] * len(a), *n[some]]}
         return pa.table(out, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))
 
-    return rows.groupBy("list", "m", "q").applyInArrow(compare, "a long, b long, n long")
+    return rows.groupBy("group", "block").applyInArrow(compare, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -173,11 +221,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     or more. Equal vectors are indexed once. Each vector is put in the list of its
     nearest coarse centre with codes of its residual; each asks every list that can hold
     a neighbour, bounds the distance to each member by table lookup and the member's own
-    quantisation error, and computes the exact cosine of those that the bound leaves. Both
+    quantisation error, and computes the exact cosine of those that the bound leaves. All
     bounds are strict, so no link is missed whatever directions the vectors take, at the price
-    of probing most lists of unclustered vectors. Lists are divided into blocks, so that no task
-    gets more than a block of members and one of queries; a block pair yields counts and at
-    most one link a node.
+    of probing most lists of unclustered vectors. Small lists share a group, large ones are
+    divided, and a group's queries are dealt to blocks, so no task gets more than about GROUP
+    members and ASKED queries; it yields counts and at most one link a node.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, nor do vectors of different lengths. Repeated rows link with each other; rows
