@@ -13,15 +13,15 @@ def components(links: DataFrame, label: str) -> DataFrame:
 
     Each round every node points to the neighbour, or itself, of least rank, ranks being
     a hash that is new each round; pointers are followed once more, and the links between
-    what is left go on to the next round. Ranks keep chains short, so the number of links
-    falls geometrically whatever the shape of the graph. Rounds are written to the shared
+    what is left go on to the next round, until none is left. Ranks keep chains short, so the
+    number of links falls geometrically whatever the shape of the graph, and every round joins
+    some nodes, so there is an end. Rounds are written to the shared
     folder. Links of a node to itself are ignored; nulls are not allowed.
     """
     edges = written(links.select("a", "b").where("a <> b").distinct(), f"{label}-links")
     maps: list[DataFrame] = []
-    for turn in range(200):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
+        turn = len(maps)
         both = edges.union(edges.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("node"))
         up = both.groupBy("a").agg(F.min(rank("b")).alias("least")).select(F.col("a").alias("node"), F.least(rank("a"), F.col("least"))["node"].alias("up"))

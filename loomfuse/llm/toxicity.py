@@ -17,7 +17,8 @@ BITS = 20
 ORDERS = (3, 4, 5)
 #: At most so many labelled rows of each class train the classifier (in expectation; chosen by a hash of the id).
 MAX_PER_CLASS = 4000
-#: n-grams that the classifier keeps, those with the most telling log-count ratios.
+#: n-grams that the classifier keeps, those with the most telling log-count ratios: the size of the model, not of what
+#: it reads. All n-grams of two texts or more did worse: 0.960 of held-out labels right on sf0.1 instead of 0.976.
 KEPT = 3000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -167,7 +168,8 @@ def score(docs: DataFrame, model: Linear, doc_id: str = "doc_id", text: str = "t
     """Rows (doc_id, score), one for each row of ``docs``, nothing shuffled.
 
     Whole texts are scored; null and empty texts get the score of no n-gram at all.
-    Null ids and repeated rows are scored each for itself; other columns are not read.
+    Null ids and repeated rows are scored each for itself; other columns are not read;
+    an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
