@@ -181,10 +181,6 @@ def longest_digits(c: Column) -> Column:
     return F.aggregate(runs, F.lit(""), lambda best, r: F.when(F.length(r) > F.length(best), r).otherwise(best))
 
 
-def flex_tokens(c: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, fixed.FLEX_TOKENS)), lambda t: F.contains(c, t))
-
-
 def date_text(c: Column) -> Column:
     """A time as text: the date alone at midnight, else date and time."""
     midnight = (F.hour(c) == 0) & (F.minute(c) == 0) & (F.second(c) == 0)

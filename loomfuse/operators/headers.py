@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomfuse.functions import fixed, text
 
-TITLE_SHARE, TITLE_ROWS, PROBE_ROWS, SCORED_ROWS, PREVIEW_ROWS, PREVIEW_CHARS = 0.5, 10, 200, 100, 6, 40
+TITLE_SHARE, TITLE_ROWS, PROBE_ROWS, SCORED_ROWS, NAMED_ROWS, PREVIEW_ROWS, PREVIEW_CHARS = 0.5, 10, 200, 100, 31, 6, 40
 DATA_SHARE, STABLE_SHARE, STABLE_RATIO, WIDE, SPARSE, FULL_SPAN = 0.6, 0.5, 0.3, 3, 0.6, 0.8
 
 
@@ -37,52 +37,66 @@ def expand_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def row_stats(cells: DataFrame) -> DataFrame:
-    """For each row: cells filled (eff), those outside merges (real), distinct values, numbers, the most common value's count, and whether it is a title or data."""
+    """For each row: cells filled (eff), those outside merges (real), distinct values, numbers, characters, key words, the most common value's count, and whether it is a title or data."""
     said = cells.where(filled(F.col("v"))).select("sheet", "r", "c", text.strip(F.col("v")).alias("v"), "in_merge")
-    number = F.regexp_replace("v", "[, ]", "").try_cast("double").isNotNull()
+    number = F.regexp_replace("v", "[, ]", "").rlike(fixed.NUMBER)
+    words = sum((F.col("v").contains(w).cast("int") for w in fixed.HEADER_WORDS), F.lit(0))
     by_value = said.groupBy("sheet", "r", "v").agg(F.count("*").alias("n"), F.count_if(~F.col("in_merge")).alias("own"), F.count_if(number).alias("numbers"), F.min("c").alias("c"))
-    rows = by_value.groupBy("sheet", "r").agg(F.sum("n").alias("eff"), F.sum("own").alias("real"), F.count("*").alias("uniq"), F.sum("numbers").alias("numbers"), F.max("n").alias("most"), F.min_by("v", "c").alias("first"), F.sum(F.col("n") * F.length("v")).alias("chars"), F.array_sort(F.collect_set("v")).alias("values"))
+    rows = by_value.withColumn("words", F.col("n") * words).groupBy("sheet", "r").agg(F.sum("n").alias("eff"), F.sum("own").alias("real"), F.count("*").alias("uniq"), F.sum("numbers").alias("numbers"), F.max("n").alias("most"), F.min_by("v", "c").alias("first"), F.sum(F.col("n") * F.length("v")).alias("chars"), F.sum("words").alias("words"))
     total = F.lit(False)
     for w in fixed.TOTAL_WORDS:
         total = total | F.col("first").contains(w)
     return rows.withColumn("is_title", (F.col("eff") >= 2) & (F.col("most") >= 2) & (F.col("most") / F.col("eff") >= TITLE_SHARE)).withColumn("is_data", (F.col("numbers") / F.col("eff") >= DATA_SHARE) | total)
 
 
-def spans(rows: DataFrame, merges: DataFrame) -> DataFrame:
-    """``rows`` with the widest merged region over each row, in columns."""
-    over = merges.select("sheet", F.explode(F.sequence("r1", "r2")).alias("r"), (F.col("c2") - F.col("c1") + 1).alias("_w")).groupBy("sheet", "r").agg(F.max("_w").alias("span"))
-    return rows.join(over, ["sheet", "r"], "left").withColumn("span", F.coalesce("span", F.lit(0)))
+def spans(merges: DataFrame) -> DataFrame:
+    """Rows (sheet, r, span): the widest merged region over each row that has one, in columns."""
+    over = merges.select("sheet", F.explode(F.sequence("r1", "r2")).alias("r"), (F.col("c2") - F.col("c1") + 1).alias("span"))
+    return over.groupBy("sheet", "r").agg(F.max("span").alias("span"))
 
 
 def header_zone(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """Rows (sheet, detail, categories, n_columns): the row of field names and the category rows above it.
 
-    A field row has enough cells, is no title and no data, and either fills half the columns
-    or is followed by rows of like fill; a lone cell above the table is passed over unless
-    a wide category stands above it, and a richer next row is taken instead. If no row
-    qualifies by all cells, cells outside merges decide, then any row with enough cells.
+    A field row has enough cells, is no title, no data and no wide category, and either fills
+    half the columns or is filled much as the next two rows. A sparse row above a fuller one is
+    passed over, unless a wide category stands above it; where the next row could be one too and
+    tells more values apart, that one is taken. If no row qualifies by all cells, cells outside
+    merges decide, and then those without regard to titles and categories. All rows above are
+    categories, but for titles and a first region as wide as the sheet above narrower ones.
+    Sheets without such a row are left out.
     """
     per_sheet = cells.where(filled(F.col("v"))).groupBy("sheet").agg(F.max("c").alias("n_columns"))
-    rows = spans(row_stats(cells).where(F.col("r") <= PROBE_ROWS), merges).join(per_sheet, "sheet")
+    over = spans(merges)
+    rows = row_stats(cells).where(F.col("r") <= PROBE_ROWS).join(per_sheet, "sheet").join(over, ["sheet", "r"], "left")
+    rows = rows.join(over.select("sheet", (F.col("r") + 1).alias("r"), F.col("span").alias("span_above")), ["sheet", "r"], "left").na.fill(0, ["span", "span_above"])
     w = Window.partitionBy("sheet").orderBy("r")
     after = w.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("title", F.col("is_title") & (F.col("r") <= TITLE_ROWS) & F.lead("r").over(w).isNotNull())
     least = F.greatest(F.lit(1), F.least(F.floor(F.col("n_columns") / 6), F.lit(3)))
-    rows = rows.select(
-        "*", F.lead("eff").over(w).alias("_e1"), F.lead("eff", 2).over(w).alias("_e2"), F.lead("uniq").over(w).alias("_u1"), F.lead("r").over(w).alias("_r1"), F.lead("is_data").over(w).alias("_d1"), F.lead("is_title").over(w).alias("_t1"),
-        F.max("eff").over(after).alias("_most_after"), F.coalesce(F.lag("span").over(w), F.lit(0)).alias("_span_above"),
-    )
-    title = F.col("is_title") & (F.col("r") <= TITLE_ROWS) & F.col("_most_after").isNotNull()
-    near = lambda n: F.least("_e1", F.coalesce("_e2", "_e1"), n) / F.greatest("_e1", F.coalesce("_e2", "_e1"), n) >= STABLE_RATIO
-    steady = lambda n: (F.col(n) >= STABLE_SHARE * F.col("n_columns")) | F.col("_e1").isNull() | near(F.col(n))
-    lone = (F.col("eff") < SPARSE * F.col("n_columns")) & (F.col("eff") < F.coalesce("_most_after", F.lit(0))) & (F.col("eff") <= 1) & (F.col("_span_above") < WIDE)
-    ok = lambda n: (F.col(n) >= least) & ~title & ~F.col("is_data") & steady(n) & ~lone
-    place = F.when(ok("eff"), 1).when(ok("real"), 2).when((F.col("eff") >= least) & ~F.col("is_data"), 3)
-    richer = (F.col("_u1") > F.col("uniq")) & ~F.col("_d1") & ~F.col("_t1") & (F.col("span") >= WIDE)
-    found = rows.withColumn("_p", place).where("_p is not null").withColumn("detail", F.when(richer, F.col("_r1")).otherwise(F.col("r")))
-    best = found.groupBy("sheet", "n_columns").agg(F.min_by("detail", F.struct("_p", "r")).alias("detail"))
-    above = rows.join(best.select("sheet", "detail"), "sheet").where((F.col("r") < F.col("detail")) & (F.col("eff") > 0) & (F.col("span") >= 2))
-    category = above.withColumn("_full", F.col("span") >= FULL_SPAN * F.col("n_columns")).withColumn("_first", F.row_number().over(w) == 1).withColumn("_next_full", F.lead("_full").over(w))
-    kept = category.where(~(F.col("_first") & F.col("_full") & ~F.coalesce("_next_full", F.lit(False)))).groupBy("sheet").agg(F.array_sort(F.collect_set("r")).alias("categories"))
+    follow = lambda n, fine, k: F.nth_value(F.when(fine & (F.col(n) > 0), F.col(n)), k, True).over(after)
+    untitled, always = ~F.col("title"), F.lit(True)
+    fields = {f"{name}{k}": follow(n, fine, k) for name, n, fine in (("e", "eff", untitled), ("f", "real", untitled), ("g", "real", always)) for k in (1, 2)}
+    following = {f"next_{c}": F.when(F.lead("r").over(w) == F.col("r") + 1, F.lead(c).over(w)) for c in ("title", "span", "is_data", "eff", "uniq", "real")}
+    rows = rows.withColumns(fields | following)
+
+    def steady(n: str, name: str) -> Column:
+        """Whether the count ``n`` fills half the columns, or is like the next two of its kind."""
+        like = lambda other: other.isNull() | (F.least(other, F.col(n)) / F.greatest(other, F.col(n)) >= STABLE_RATIO)
+        return (F.col(n) >= STABLE_SHARE * F.col("n_columns")) | (like(F.col(f"{name}1")) & like(F.col(f"{name}2")))
+
+    plain = untitled & (F.col("span") < WIDE)
+    next_plain = ~F.col("next_title") & (F.col("next_span") < WIDE) & ~F.col("next_is_data")
+    sparse = (F.col("eff") < SPARSE * F.col("n_columns")) & F.coalesce(F.col("eff") < F.greatest("e1", "e2"), F.lit(False)) & (F.col("span_above") < WIDE)
+    able = lambda n: (F.col(n) >= least) & ~F.col("is_data")
+    richer = {1: next_plain & (F.col("next_eff") >= least) & (F.col("next_uniq") > F.col("uniq")), 2: next_plain & (F.col("next_real") >= least) & (F.col("next_real") > F.col("real"))}
+    richer[3] = ~F.col("next_is_data") & (F.col("next_real") >= least) & (F.col("next_real") > F.col("real"))
+    fine = {1: able("eff") & plain & ~sparse & steady("eff", "e"), 2: able("real") & plain & steady("real", "f"), 3: able("real") & steady("real", "g")}
+    passes = F.array(*[F.when(fine[k], F.struct(F.lit(k).alias("p"), F.col("r").alias("at"), F.when(richer[k], F.col("r") + 1).otherwise(F.col("r")).alias("detail"))) for k in fine])
+    best = rows.select("sheet", "n_columns", F.explode(F.filter(passes, lambda x: x.isNotNull())).alias("x")).groupBy("sheet", "n_columns").agg(F.min("x")["detail"].alias("detail"))
+    above = rows.where(untitled).join(best.select("sheet", "detail"), "sheet").where(F.col("r") < F.col("detail"))
+    category = above.withColumn("full", F.col("span") >= FULL_SPAN * F.col("n_columns")).withColumn("first", F.row_number().over(w) == 1).withColumn("next_full", F.lead("full", 1, True).over(w))
+    kept = category.where(~(F.col("first") & F.col("full") & ~F.col("next_full"))).groupBy("sheet").agg(F.array_sort(F.collect_set("r")).alias("categories"))
     return best.join(kept, "sheet", "left").select("sheet", "detail", F.coalesce("categories", F.array().cast("array<int>")).alias("categories"), "n_columns")
 
 
@@ -91,7 +105,7 @@ def compound_names(cells: DataFrame, zones: DataFrame) -> DataFrame:
 
     A column without a field name is Col<c>. Field names that repeat a category stay behind it.
     """
-    said = cells.where(filled(F.col("v"))).join(F.broadcast(zones), "sheet")
+    said = cells.where(filled(F.col("v"))).join(zones.select("sheet", "detail", "categories"), "sheet")
     above = said.where(F.array_contains("categories", F.col("r"))).withColumn("_before", F.lag("v").over(Window.partitionBy("sheet", "c").orderBy("r")))
     above = above.where(F.col("_before").isNull() | (F.col("_before") != F.col("v"))).groupBy("sheet", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", text.strip(F.col("v")).alias("v")))), lambda x: x["v"]), ">").alias("prefix"))
     own = said.where("r = detail").select("sheet", "c", text.strip(F.col("v")).alias("leaf"))
@@ -101,15 +115,21 @@ def compound_names(cells: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def legacy_header(cells: DataFrame) -> DataFrame:
-    """Rows (sheet, r, score): the best row by the older rule: points for cells, their length and key words, less for numbers alone."""
+    """Rows (sheet, r, score): the best row by the older rule: points for cells, their length and each key word in each cell, less for numbers alone."""
     rows = row_stats(cells).where(F.col("r") <= SCORED_ROWS)
     mean = F.col("chars") / F.col("eff")
-    joined = F.lower(F.array_join("values", "\u0001"))
-    words = sum((F.when(joined.contains(w), 10).otherwise(0) for w in fixed.HEADER_WORDS), F.lit(0))
-    score = F.col("eff") * 10 + F.when(F.col("eff") >= 5, 20).when(F.col("eff") >= 3, 10).otherwise(0) + F.when(mean.between(2, 25), 15).when(mean <= 40, 8).otherwise(0) + words - F.when(F.col("numbers") == F.col("eff"), 50).otherwise(0)
+    score = F.col("eff") * 10 + F.when(F.col("eff") >= 5, 20).when(F.col("eff") >= 3, 10).otherwise(0) + F.when(mean.between(2, 25), 15).when(mean <= 40, 8).otherwise(0) + F.col("words") * 10 - F.when(F.col("numbers") == F.col("eff"), 50).otherwise(0)
     return rows.withColumn("score", score).groupBy("sheet").agg(F.max_by("r", F.struct("score", -F.col("r"))).alias("r"), F.max("score").alias("score"))
 
 
+def named_header(cells: DataFrame) -> DataFrame:
+    """Rows (sheet, r, score): the row among the first that reads most like names: points for cells, for a name's length, for a letter in front."""
+    name = text.strip(F.col("v"))
+    point = F.lit(10) + F.when(F.length(name) <= 30, 5).otherwise(0) + F.when(name.rlike(r"^\p{L}"), 3).otherwise(0)
+    rows = cells.where(filled(F.col("v")) & (F.col("r") <= NAMED_ROWS)).groupBy("sheet", "r").agg(F.sum(point).alias("score"))
+    return rows.groupBy("sheet").agg(F.max_by("r", F.struct("score", -F.col("r"))).alias("r"), F.max("score").alias("score"))
+
+
 def header_candidates(cells: DataFrame) -> DataFrame:
     """Rows (sheet, start, end, preview): the first rows alone, and runs of two and three of them."""
     lines = cells.where(filled(F.col("v")) & (F.col("r") <= PREVIEW_ROWS)).groupBy("sheet", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", text.strip(F.col("v")).alias("v")))), lambda x: x["v"]), " | ").alias("line"))
@@ -120,18 +140,20 @@ def header_candidates(cells: DataFrame) -> DataFrame:
 
 
 def clean_names(names: list[str | None], prefix: str = "_col_") -> list[str]:
-    """Unique column names: stripped, blank ones numbered by place, repeated ones with _2, _3 behind them."""
-    out, seen = [], {}
-    for i, n in enumerate(names):
+    """Unique column names: stripped, blank ones numbered from 1 among themselves, repeated ones with _2, _3 behind them."""
+    out, seen, blank = [], {}, 0
+    for n in names:
         n = (n or "").strip()
-        n = n if n and "Unnamed" not in n else f"{prefix}{i}"
+        if not n or "Unnamed" in n:
+            blank += 1
+            n = f"{prefix}{blank}"
         seen[n] = seen.get(n, 0) + 1
         out.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
     return out
 
 
 def to_table(cells: DataFrame, sheet: str, zone: dict, names: list[str]) -> DataFrame:
-    """One sheet's rows below its header as a table with ``row_idx``; blank rows between others stay."""
+    """One sheet's rows below its header as a table with ``row_idx``, the place below the header; rows without cells are left out."""
     body = cells.where((F.col("sheet") == sheet) & (F.col("r") > zone["detail"]))
     columns = list(range(1, len(names) + 1))
     wide = body.groupBy("r").pivot("c", columns).agg(F.first("v", ignorenulls=True))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfuse.functions import fixed, text
+from loomfuse.operators.scratch import kept
 
 GENERATED = "_col_"
 
@@ -57,15 +58,18 @@ def forward_fill(df: DataFrame, key: str, order: str, by: list[str] = [], block:
 
     Only nulls are filled, blanks stay. Rows are dealt to blocks of ``order``; each block
     takes over the last value of the blocks before it, so that no task sorts more than a
-    block and the blocks' own table has a row for each block.
+    block and the blocks' own table has a row for each block. Rows with null ``by`` are a group
+    like others; rows with null ``order`` come first in theirs.
     """
     at = df.withColumn("_block", F.floor(F.col(order) / block))
-    last = at.where(F.col(key).isNotNull()).groupBy(*by, "_block").agg(F.max_by(key, order).alias("_last"))
-    blocks = at.select(*by, "_block").distinct().join(last, [*by, "_block"], "left")
+    blocks = at.groupBy(*by, "_block").agg(F.max_by(key, F.when(F.col(key).isNotNull(), F.col(order))).alias("_last"))
     carried = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*by, "_block", F.last("_last", ignorenulls=True).over(carried).alias("_carried"))
+    blocks = blocks.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_block").alias("_own_block"), F.last("_last", ignorenulls=True).over(carried).alias("_carried"))
+    same = F.col("_block").eqNullSafe(F.col("_own_block"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = at.join(blocks, [*by, "_block"]).withColumn("_filled", F.coalesce(F.last(key, ignorenulls=True).over(inside), F.col("_carried")))
+    filled = at.join(blocks, same).withColumn("_filled", F.coalesce(F.last(key, ignorenulls=True).over(inside), F.col("_carried")))
     if to:
         return filled.select(*df.columns, F.col("_filled").alias(to))
     return filled.select(*[F.col("_filled").alias(c) if c == key else F.col(c) for c in df.columns])
@@ -97,12 +101,20 @@ def distinct_in_order(df: DataFrame, value: str, order: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(order).alias(order))
 
 
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``_rank`` from 0 in the order of ``order``: rows are sorted by ranges, a range counts from the rows before it."""
+    placed = kept(df.orderBy(order).withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("n"))  # a row for each range
+    before = counts.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.col("_at") - F.shiftleft(F.col("_range"), 33)
+    return placed.join(F.broadcast(before), "_range").withColumn("_rank", rank).drop("_at", "_range", "_before")
+
+
 def expand_target(target: DataFrame, keys: DataFrame, key: str, order: str) -> DataFrame:
     """``target`` with a row for each of ``keys`` (key, ord) that it lacks, behind its own rows; a missing key column is added."""
     if key not in target.columns:
         target = target.withColumn(key, F.lit(None).cast("string"))
     start = target.agg(F.coalesce(F.max(order) + 1, F.lit(0))).first()[0]
     new = keys.join(target.select(F.col(key).alias("key")), "key", "left_anti")
-    rank = F.row_number().over(Window.orderBy("ord")) - 1  # as many rows as an empty template gains
-    rows = new.select(F.col("key").alias(key), (rank + start).cast(target.schema[order].dataType).alias(order))
+    rows = numbered(new, "ord").select(F.col("key").alias(key), (F.col("_rank") + start).cast(target.schema[order].dataType).alias(order))
     return target.unionByName(rows, allowMissingColumns=True)

@@ -11,15 +11,19 @@ from loomfuse.operators.scratch import kept
 
 #: Of a key's bigrams, rarest first, this share (and one more) is looked up: any key that scores shares one of them.
 PROBED = 0.45
+#: Scores that spelling alone can't exceed where codes differ, or lengths by more than LENGTH_GAP of the longer.
+CODES_CAP, LENGTH_CAP, LENGTH_GAP = 0.6, 0.72, 0.34
 
 
 def features(keys: DataFrame, key: str = "key") -> DataFrame:
-    """``keys`` with what a score needs of each, once for each key."""
+    """``keys`` with what a score needs of each, once for each key; keys of one ``kind`` score alike with any other key."""
     norm = text.norm_rowkey(F.col(key))
     df = keys.withColumn("norm", norm)
+    road = text.road(F.col(key))
     return df.select(
         *keys.columns, "norm", text.phase(F.col("norm")).alias("phase"), text.section(F.col("norm")).alias("section"), text.domain(F.col("norm")).alias("domain"),
-        text.road(F.col(key)).alias("road"), text.longest_digits(F.col("norm")).alias("digits"), text.code_tokens(F.col("norm")).alias("codes"), text.strip_generics(F.col("norm")).alias("core"),
+        road.alias("road"), text.longest_digits(F.col("norm")).alias("digits"), text.code_tokens(F.col("norm")).alias("codes"), text.strip_generics(F.col("norm")).alias("core"),
+        F.concat_ws("\u0001", "norm", road["road"], F.array_join(road["ends"], "\u0001")).alias("kind"),
     )
 
 
@@ -42,8 +46,8 @@ def _score(a: str, b: str, equality_first: bool) -> Column:
     if equality_first:
         core = F.least(core, F.lit(0.99))
     base = F.when((core < 0.85) & (F.col("_whole.ratio") >= 0.9), F.col("_whole.ratio")).otherwise(core)
-    base = F.when((x("codes") != y("codes")) & ((F.size(x("codes")) > 0) | (F.size(y("codes")) > 0)), F.least(base, F.lit(0.6))).otherwise(base)
-    base = F.when(F.abs(la - lb) / F.greatest(la, lb) > 0.34, F.least(base, F.lit(0.72))).otherwise(base)
+    base = F.when((x("codes") != y("codes")) & ((F.size(x("codes")) > 0) | (F.size(y("codes")) > 0)), F.least(base, F.lit(CODES_CAP))).otherwise(base)
+    base = F.when(F.abs(la - lb) / F.greatest(la, lb) > LENGTH_GAP, F.least(base, F.lit(LENGTH_CAP))).otherwise(base)
     known = lambda c: c.isNotNull() & (c != "unknown")
     same_road = x("road") == y("road")
     both_roads = x("road").isNotNull() & y("road").isNotNull()
@@ -74,29 +78,34 @@ def _bigrams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
 
 
-def candidates(targets: DataFrame, sources: DataFrame) -> DataFrame:
-    """Distinct pairs (source_id, t_ord, s_ord) that can score 0.6 or more; ``targets`` (source_id, t_ord, features), ``sources`` (source_id, s_ord, features).
+def candidates(targets: DataFrame, sources: DataFrame, least: float = fixed.ROW_SUGGEST) -> DataFrame:
+    """Distinct pairs (source_id, t_ord, s_ord) that can score ``least``, 0.6 or more; ``targets`` (source_id, t_ord, features), ``sources`` (source_id, s_ord, features).
 
     Scores above 0.4 come from equal keys, equal cores, equal long digit runs, equal roads
     or strings that share a stretch of 0.6 of the shorter or differ by a tenth. The last two
     leave the shorter string at most PROBED of its bigrams that the longer lacks, so its rarest
-    ones, that many and one more, must hold a shared one: only those are looked up. Frequent
-    bigrams thus join nothing, and no pair is lost.
+    ones, that many and one more, must hold a shared one: only those are looked up. Pairs by
+    bigrams score over 0.6 only with equal codes and over 0.72 only with lengths about alike, so
+    for such a ``least`` these narrow the look-up. No pair is lost.
     """
     blocks = []
     for name, value, fine in (("norm", F.col("norm"), F.col("norm") != ""), ("core", F.col("core"), F.col("core") != ""), ("digits", F.col("digits"), F.length("digits") >= 6), ("road", F.col("road.road"), F.col("road").isNotNull())):
         t, s = (df.where(fine).select("source_id", o, F.concat(F.lit(f"{name}:"), value).alias("_b")) for df, o in ((targets, "t_ord"), (sources, "s_ord")))
         blocks.append(t.join(s, ["source_id", "_b"]).select("source_id", "t_ord", "s_ord"))
+    codes = F.array_join("codes", " ") if least > CODES_CAP else F.lit("")
     for name in ("norm", "core"):
-        t, s = (df.where(F.length(name) >= 2).select("source_id", F.col(o).alias("_o"), F.length(name).alias("_n"), F.explode(_bigrams(F.col(name))).alias("_b")) for df, o in ((targets, "t_ord"), (sources, "s_ord")))
-        often = t.select("source_id", "_b").unionByName(s.select("source_id", "_b")).groupBy("source_id", "_b").agg(F.count("*").alias("_f"))
+        grams = lambda df, o: df.where(F.length(name) >= 2).select("source_id", F.col(o).alias("_o"), F.length(name).alias("_n"), F.length("norm").alias("_l"), codes.alias("_c"), F.explode(_bigrams(F.col(name))).alias("_b"))  # noqa: B023, E731
+        t, s = grams(targets, "t_ord"), grams(sources, "s_ord")
+        often = t.select("source_id", "_c", "_b").unionByName(s.select("source_id", "_c", "_b")).groupBy("source_id", "_c", "_b").agg(F.count("*").alias("_f"))
 
         def rare(grams: DataFrame, often: DataFrame = often) -> DataFrame:
             w = Window.partitionBy("source_id", "_o").orderBy("_f", "_b")
-            return grams.join(often, ["source_id", "_b"]).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.floor(PROBED * F.col("_n")) + 1).drop("_r", "_f")
+            return grams.join(often, ["source_id", "_c", "_b"]).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.floor(PROBED * F.col("_n")) + 1).drop("_r", "_f")
 
         for probe, index, swap in ((t, s, False), (s, t, True)):
-            found = rare(probe).join(index.select("source_id", "_b", F.col("_o").alias("_i"), F.col("_n").alias("_m")), ["source_id", "_b"]).where("_n <= _m")
+            found = rare(probe).join(index.select("source_id", "_c", "_b", F.col("_o").alias("_i"), F.col("_n").alias("_m"), F.col("_l").alias("_k")), ["source_id", "_c", "_b"]).where("_n <= _m")
+            if least > LENGTH_CAP:
+                found = found.where(F.abs(F.col("_l") - F.col("_k")) <= LENGTH_GAP * F.greatest("_l", "_k"))
             blocks.append(found.select("source_id", F.col("_i" if swap else "_o").alias("t_ord"), F.col("_o" if swap else "_i").alias("s_ord")))
     out = blocks[0]
     for more in blocks[1:]:
@@ -104,50 +113,124 @@ def candidates(targets: DataFrame, sources: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def scored_candidates(targets: DataFrame, sources: DataFrame, equality_first: bool = False) -> DataFrame:
-    """Rows (source_id, t_ord, s_ord, tgt_key, src_key, score) with a score of 0.6 or more.
+def _with_sources(targets: DataFrame, sources: DataFrame) -> DataFrame:
+    """``targets`` with a row for each of the few sources, unless they name theirs."""
+    if "source_id" in targets.columns:
+        return targets
+    ids = [F.lit(r[0]) for r in sources.select("source_id").distinct().collect()]
+    return targets.withColumn("source_id", F.explode(F.array(*ids).cast("array<string>")))
 
-    ``targets`` (t_ord, tgt_key) and ``sources`` (source_id, s_ord, src_key) hold distinct keys.
+
+def kind_scores(targets: DataFrame, sources: DataFrame, equality_first: bool = False, least: float = fixed.ROW_SUGGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores of kinds of keys, (source_id, t_kind, s_kind, score), and the kinds' members, (source_id, t_kind, t_ord, tgt_key) and (source_id, s_kind, s_ord, src_key).
+
+    A kind is named by the place of its first key. Many equal keys are thus scored once.
     """
-    ids = F.broadcast(sources.select("source_id").distinct())
-    t = kept(features(targets, "tgt_key"), "row-targets").crossJoin(ids)  # a row for each of the few sources
+    t = kept(features(_with_sources(targets, sources), "tgt_key"), "row-targets")
     s = kept(features(sources, "src_key"), "row-sources")
-    pairs = candidates(t, s)
-    t = t.select("source_id", "t_ord", "tgt_key", *[F.col(c).alias(f"t_{c}") for c in FEATURES])
-    s = s.select("source_id", "s_ord", "src_key", *[F.col(c).alias(f"s_{c}") for c in FEATURES])
-    joined = pairs.join(t, ["source_id", "t_ord"]).join(s, ["source_id", "s_ord"])
-    return score_pairs(joined, equality_first=equality_first).select("source_id", "t_ord", "s_ord", "tgt_key", "src_key", "score").where(F.col("score") >= fixed.ROW_SUGGEST - 1e-9)
+    first = lambda df, o: df.groupBy("source_id", "kind").agg(F.min(o).alias(o), *[F.min_by(c, o).alias(c) for c in FEATURES])
+    ft, fs = kept(first(t, "t_ord"), "row-kinds"), kept(first(s, "s_ord"), "row-kinds")
+    pairs = candidates(ft, fs, least)
+    a = ft.select("source_id", "t_ord", *[F.col(c).alias(f"t_{c}") for c in FEATURES])
+    b = fs.select("source_id", "s_ord", *[F.col(c).alias(f"s_{c}") for c in FEATURES])
+    scored = score_pairs(pairs.join(a, ["source_id", "t_ord"]).join(b, ["source_id", "s_ord"]), equality_first=equality_first).where(F.col("score") >= least - 1e-9)
+    members = lambda df, kinds, o, to, key: df.select("source_id", "kind", o, key).join(kinds.select("source_id", "kind", F.col(o).alias(to)), ["source_id", "kind"]).drop("kind")
+    return scored.select("source_id", F.col("t_ord").alias("t_kind"), F.col("s_ord").alias("s_kind"), "score"), members(t, ft, "t_ord", "t_kind", "tgt_key"), members(s, fs, "s_ord", "s_kind", "src_key")
 
 
-def align(scored: DataFrame, threshold: float = fixed.ROW_AUTO, rounds: int = 10_000) -> DataFrame:
-    """One-to-one pairs of ``scored``: best score first, then target order, then source order, as a greedy pass would take them.
+def scored_candidates(targets: DataFrame, sources: DataFrame, equality_first: bool = False, least: float = fixed.ROW_SUGGEST) -> DataFrame:
+    """Rows (source_id, t_ord, s_ord, tgt_key, src_key, score) with a score of ``least``, 0.6 or more.
 
-    Each round takes the pairs that are the best left for both their ends, drops what
-    touches them and goes on with the rest: the same pairs as the greedy pass, but whole
-    rounds at a time. Rounds are written, so lost executors repeat none.
+    ``targets`` (t_ord, tgt_key, and source_id if they differ by source) and ``sources`` (source_id, s_ord, src_key) hold distinct keys.
     """
-    left = kept(scored.where(F.col("score") >= threshold), "align-left")
+    scored, t, s = kind_scores(targets, sources, equality_first, least)
+    return scored.join(t, ["source_id", "t_kind"]).join(s, ["source_id", "s_kind"]).select("source_id", "t_ord", "s_ord", "tgt_key", "src_key", "score")
+
+
+def _ranked(members: DataFrame, side: str) -> DataFrame:
+    own = Window.partitionBy("source_id", f"{side}_kind").orderBy(f"{side}_ord")
+    return kept(members.withColumn(f"{side}_rank", (F.row_number().over(own) - 1).cast("long")), f"align-{side}")
+
+
+def _greedy(scored: DataFrame, t: DataFrame, s: DataFrame) -> DataFrame:
+    """Pairs (source_id, t_kind, s_kind, t_rank, s_rank, score) of members that a greedy pass over all pairs of members would take.
+
+    A round takes, of each kind, what is the best left for it and for the other end: the pass
+    would take these before any pair that touches them. Kinds that are all best for each
+    other at one score form a block, in which the pass takes the k-th target with the k-th
+    source; elsewhere, where scores tie unevenly, the next members alone go. Every round
+    takes a pair at least, so there is an end. Rounds are written, so lost executors repeat none.
+    """
+    size = lambda df, side: df.groupBy("source_id", f"{side}_kind").agg(F.count("*").alias(f"{side}_n"))
+    none = F.lit(0).cast("long")
+    left = scored.join(size(t, "t"), ["source_id", "t_kind"]).join(size(s, "s"), ["source_id", "s_kind"])
+    left = kept(left.withColumn("t_used", none).withColumn("s_used", none), "align-left")
     taken = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        rank = F.struct((-F.col("score")).alias("worse"), "t_ord", "s_ord")
-        t = left.groupBy("source_id", "t_ord").agg(F.min(rank).alias("_t"))
-        s = left.groupBy("source_id", "s_ord").agg(F.min(rank).alias("_s"))
-        best = left.join(t, ["source_id", "t_ord"]).join(s, ["source_id", "s_ord"]).where((F.col("_t.s_ord") == F.col("s_ord")) & (F.col("_s.t_ord") == F.col("t_ord")))
-        best = kept(best.select(*left.columns), "align-best")
+    while not left.isEmpty():
+        now = left
+        for side, members in (("t", t), ("s", s)):
+            own = members.select("source_id", f"{side}_kind", F.col(f"{side}_rank").alias(f"{side}_used"), F.col(f"{side}_ord").alias(f"{side}_next"))
+            now = now.join(own, ["source_id", f"{side}_kind", f"{side}_used"])
+        each = {side: Window.partitionBy("source_id", f"{side}_kind") for side in "ts"}
+        for side, other in (("t", "s"), ("s", "t")):
+            now = now.withColumn(f"{side}_top", F.col("score") == F.max("score").over(each[side]))
+            best = F.when(F.col(f"{side}_top"), F.col(f"{other}_next"))
+            now = now.withColumn(f"{side}_best", F.col(f"{side}_top") & (F.min(best).over(each[side]) == F.col(f"{other}_next")))
+            now = now.withColumn(f"{side}_tops", F.bit_xor(F.when(F.col(f"{side}_top"), F.xxhash64(f"{other}_kind"))).over(each[side]))
+        for side, other in (("t", "s"), ("s", "t")):
+            tops = F.when(F.col(f"{side}_top"), F.col(f"{other}_tops"))
+            both = F.count_if(F.col(f"{side}_top") & ~F.col(f"{other}_top")).over(each[side]) == 0
+            now = now.withColumn(f"{side}_even", both & (F.min(tops).over(each[side]) == F.max(tops).over(each[side])))
+        now = now.withColumn("even", F.col("t_top") & F.col("s_top") & F.col("t_even") & F.col("s_even"))
+        now = now.withColumn("block", F.min(F.when(F.col("even"), F.col("t_kind"))).over(each["s"]))
+        now = kept(now.where("even or (t_best and s_best)"), "align-now")
+        sides = {}
+        for side, members in (("t", t), ("s", s)):
+            kinds = now.where("even").select("source_id", "block", "score", f"{side}_kind", f"{side}_used").distinct()
+            place = F.row_number().over(Window.partitionBy("source_id", "block").orderBy(f"{side}_ord"))
+            sides[side] = kinds.join(members, ["source_id", f"{side}_kind"]).where(F.col(f"{side}_rank") >= F.col(f"{side}_used")).withColumn("k", place).drop(f"{side}_used", f"{side}_ord")
+        columns = ["source_id", "t_kind", "s_kind", "t_rank", "s_rank", "score"]
+        blocks = sides["t"].join(sides["s"].drop("score"), ["source_id", "block", "k"]).select(*columns)
+        alone = now.where("not even").select("source_id", "t_kind", "s_kind", F.col("t_used").alias("t_rank"), F.col("s_used").alias("s_rank"), "score")
+        best = kept(blocks.unionByName(alone), "align-best")
         taken = best if taken is None else taken.unionByName(best)
-        left = left.join(best.select("source_id", "t_ord"), ["source_id", "t_ord"], "left_anti").join(best.select("source_id", "s_ord"), ["source_id", "s_ord"], "left_anti")
-        left = kept(left, "align-left")
-    return left if taken is None else taken
+        for side in "ts":
+            gone = best.groupBy("source_id", f"{side}_kind").agg(F.count("*").alias("_many"))
+            left = left.join(gone, ["source_id", f"{side}_kind"], "left").withColumn(f"{side}_used", F.col(f"{side}_used") + F.coalesce("_many", none)).drop("_many")
+        left = kept(left.where("t_used < t_n and s_used < s_n"), "align-left")
+    return left.select("source_id", "t_kind", "s_kind", F.col("t_used").alias("t_rank"), F.col("s_used").alias("s_rank"), "score") if taken is None else taken
 
 
-def preview(targets: DataFrame, scored: DataFrame, aligned: DataFrame) -> DataFrame:
-    """Rows (source_id, t_ord, tgt_key, src_key, score, status): auto if aligned, suggest with the best other candidate, else unmatched."""
+def align_keys(targets: DataFrame, sources: DataFrame, equality_first: bool = False, threshold: float = fixed.ROW_AUTO) -> DataFrame:
+    """One-to-one pairs (source_id, t_ord, s_ord, tgt_key, src_key, score): best score first, then target order, then source order.
+
+    The pairs of many equal keys are never formed: kinds of keys are scored and aligned, their members by rank.
+    """
+    scored, t, s = kind_scores(targets, sources, equality_first, threshold)
+    t, s = _ranked(t, "t"), _ranked(s, "s")
+    found = _greedy(kept(scored, "align-scored"), t, s)
+    return found.join(t, ["source_id", "t_kind", "t_rank"]).join(s, ["source_id", "s_kind", "s_rank"]).select("source_id", "t_ord", "s_ord", "tgt_key", "src_key", "score")
+
+
+def align(scored: DataFrame, threshold: float = fixed.ROW_AUTO) -> DataFrame:
+    """The one-to-one pairs of rows that are ``scored`` already, as a greedy pass would take them."""
+    good = kept(scored.where(F.col("score") >= threshold), "align-scored")
+    members = lambda side: _ranked(good.select("source_id", F.col(f"{side}_ord").alias(f"{side}_kind"), f"{side}_ord").distinct(), side)
+    found = _greedy(good.select("source_id", F.col("t_ord").alias("t_kind"), F.col("s_ord").alias("s_kind"), "score"), members("t"), members("s"))
+    return good.join(found.select("source_id", F.col("t_kind").alias("t_ord"), F.col("s_kind").alias("s_ord")), ["source_id", "t_ord", "s_ord"]).select(*scored.columns)
+
+
+def preview(targets: DataFrame, sources: DataFrame, equality_first: bool = False) -> DataFrame:
+    """Rows (source_id, t_ord, tgt_key, src_key, score, status) for each target and source: auto if aligned, suggest with the best other key that scores 0.6, else unmatched.
+
+    Only targets that are not aligned are scored down to 0.6.
+    """
+    every = _with_sources(targets.select("t_ord", "tgt_key"), sources)
+    sure = kept(align_keys(every, sources, equality_first).select("source_id", "t_ord", F.col("src_key").alias("_key"), F.col("score").alias("_score")), "preview-sure")
+    rest = every.join(sure.select("source_id", "t_ord"), ["source_id", "t_ord"], "left_anti")
+    scored = scored_candidates(rest, sources, equality_first)
     best = scored.groupBy("source_id", "t_ord").agg(F.min(F.struct((-F.col("score")).alias("worse"), "s_ord", "src_key")).alias("_b"))
-    ids = F.broadcast(scored.select("source_id").distinct())
-    sure = aligned.select("source_id", "t_ord", F.col("src_key").alias("_key"), F.col("score").alias("_score"))
-    joined = targets.crossJoin(ids).join(sure, ["source_id", "t_ord"], "left").join(best, ["source_id", "t_ord"], "left")
+    joined = every.join(sure, ["source_id", "t_ord"], "left").join(best, ["source_id", "t_ord"], "left")
     status = F.when(F.col("_key").isNotNull(), "auto").when(F.col("_b").isNotNull(), "suggest").otherwise("unmatched")
     return joined.select("source_id", "t_ord", "tgt_key", F.coalesce("_key", "_b.src_key").alias("src_key"), F.round(F.coalesce("_score", -F.col("_b.worse"), F.lit(0.0)), 2).alias("score"), status.alias("status"))
 
@@ -159,8 +242,10 @@ def leaders(keys: DataFrame, threshold: float = fixed.ROW_AUTO) -> DataFrame:
     is settled: it follows its first leader among them or becomes one.
     """
     named = keys.select(F.lit("all").alias("source_id"), F.col("ord").alias("s_ord"), F.col("key").alias("src_key"))
-    pairs = scored_candidates(keys.select(F.col("ord").alias("t_ord"), F.col("key").alias("tgt_key")), named)
-    edges = kept(pairs.where((F.col("score") >= threshold) & (F.col("s_ord") < F.col("t_ord"))).select(F.col("t_ord").alias("ord"), F.col("s_ord").alias("before")), "leader-edges")
+    scored, members, _ = kind_scores(keys.select(F.col("ord").alias("t_ord"), F.col("key").alias("tgt_key")), named, least=threshold)
+    members, every = kept(members.select(F.col("t_ord").alias("ord"), F.col("t_kind").alias("kind")), "leader-members"), keys
+    edges = kept(scored.where("s_kind < t_kind").select(F.col("t_kind").alias("ord"), F.col("s_kind").alias("before")), "leader-edges")
+    keys = members.where("ord = kind").select("ord")  # further keys of a kind follow its first
     done = kept(keys.join(edges.select("ord").distinct(), "ord", "left_anti").select("ord", F.col("ord").alias("leader")), "leader-done")
     left = kept(edges.select("ord").distinct(), "leader-left")
     while not left.isEmpty():
@@ -169,4 +254,4 @@ def leaders(keys: DataFrame, threshold: float = fixed.ROW_AUTO) -> DataFrame:
         now = kept(settled.where((F.col("_open") == 0) | (F.col("_lead") < F.col("_wait"))).select("ord", F.coalesce("_lead", "ord").alias("leader")), "leader-now")
         done = kept(done.unionByName(now), "leader-done")
         left = kept(left.join(now.select("ord"), "ord", "left_anti"), "leader-left")
-    return keys.join(done, "ord").select("ord", "key", "leader")
+    return every.join(members, "ord").join(done.withColumnRenamed("ord", "kind"), "kind").select("ord", "key", "leader")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfuse.functions import fixed, text
 from loomfuse.functions.kernels import pair_kernel
+from loomfuse.operators.keys import GENERATED
 from loomfuse.operators.lexicon import canonical
 from loomfuse.operators.scratch import kept
 
 LONGEST_ATOM = 8
-#: Names nest no deeper than this: each stage takes parts of the names of the one before.
-STAGES = 8
+#: Least score by which a column stands for a name that it doesn't have.
+LIKE = 80.0
 
 
 def _atoms(terms: list[str]):
@@ -58,13 +61,13 @@ def _sub_pairs(pairs: DataFrame) -> DataFrame:
     return subs.where(~(F.col("sub_src").eqNullSafe(F.col("src")) & F.col("sub_tgt").eqNullSafe(F.col("tgt"))))
 
 
-def _described(pairs: DataFrame, terms: DataFrame, atoms) -> DataFrame:
-    """Pairs with forms, synonyms and atoms of both names."""
+def _described(pairs: DataFrame, terms: DataFrame, atoms, words: list[str]) -> DataFrame:
+    """Pairs with forms, synonyms, atoms and tokens of both names, found once a name."""
     names = pairs.select(F.col("src").alias("name")).unionByName(pairs.select(F.col("tgt").alias("name"))).distinct()
     forms = names.select("name", text.norm_field(F.col("name"), fold=True).alias("fold"), text.norm_field(F.col("name")).alias("norm"), text.leaf(F.col("name")).alias("leaf"))
-    forms = forms.withColumn("leaf_norm", text.norm_field(F.col("leaf"))).withColumn("leaf_fold", text.norm_field(F.col("leaf"), fold=True)).withColumn("base", F.split("norm", "_", 2)[0]).withColumn("atoms", atoms("norm"))
+    forms = forms.withColumn("leaf_norm", text.norm_field(F.col("leaf"))).withColumn("leaf_fold", text.norm_field(F.col("leaf"), fold=True)).withColumn("base", F.split("norm", "_", 2)[0]).withColumn("atoms", atoms("norm")).withColumn("tokens", text.tokens(F.col("norm"), words))
     for form in ("norm", "leaf_norm", "base"):
-        known = F.broadcast(terms.select(F.col("norm").alias(form), F.col("groups").alias(f"{form}_groups"), F.col("canon").alias(f"{form}_canon")))
+        known = terms.select(F.col("norm").alias(form), F.col("groups").alias(f"{form}_groups"), F.col("canon").alias(f"{form}_canon"))
         forms = forms.join(known, form, "left")
     side = lambda p: forms.select(F.col("name").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in forms.columns if c != "name"])
     return pairs.join(side("src"), "src").join(side("tgt"), "tgt")
@@ -82,11 +85,11 @@ def _excluded(pairs: list[tuple[str, str]]) -> Column:
     for a, b in pairs:
         for x, y in ((a, b), (b, a)):
             found = found | ((sl == x) & (tl == y))
-        found = found | (s.contains(a) & t.contains(b)) | ((s == b) & (t == a))
+        found = found | (s.contains(a) & t.contains(b)) | (t.contains(a) & s.contains(b))
     return found
 
 
-def _cascade(exclusions: list[tuple[str, str]], words: list[str], exact_first: bool) -> Column:
+def _cascade(exclusions: list[tuple[str, str]], exact_first: bool) -> Column:
     """The score of a described pair with its parts' scores (by_target_atom, by_source_atom, by_leaf, by_part) and ``_k``."""
     c = F.col
     s, t = c("src_norm"), c("tgt_norm")
@@ -102,7 +105,7 @@ def _cascade(exclusions: list[tuple[str, str]], words: list[str], exact_first: b
     ratio = c("_k.ratio")
     close = F.abs(ls - lt) <= F.greatest(F.lit(3.0), 0.5 * least)
     kept_or = lambda high, low: F.when(conflict, low).otherwise(high)
-    j = F.coalesce(text.jaccard(text.tokens(s, words), text.tokens(t, words)), F.lit(0.0))
+    j = F.coalesce(text.jaccard(c("src_tokens"), c("tgt_tokens")), F.lit(0.0))
     da, db = text.direction(c("src")), text.direction(c("tgt"))
     exact = F.when((c("src_fold") == "") | (c("tgt_fold") == ""), 0.0).when(c("src_fold") == c("tgt_fold"), 100.0).when(s == t, 98.0)
     compound = F.coalesce(c("by_target_atom"), c("by_source_atom")) * 0.95
@@ -154,8 +157,8 @@ def score_fields(pairs: DataFrame, terms: DataFrame, exclusions: list[tuple[str,
     atoms = _atoms([r[0] for r in words_of.select("norm").collect()])  # the dictionary, a parameter
     stage = pairs.select(F.coalesce("src", F.lit("")).alias("src"), F.coalesce("tgt", F.lit("")).alias("tgt")).distinct()
     stages, asked = [], []
-    for _ in range(STAGES):
-        described = kept(_described(stage, words_of, atoms), "field-pairs")
+    while True:  # parts are shorter than what they are parts of, so there is a last stage
+        described = kept(_described(stage, words_of, atoms, words), "field-pairs")
         subs = kept(_sub_pairs(described), "field-parts")
         stages.append(described)
         asked.append(subs)
@@ -174,7 +177,7 @@ def score_fields(pairs: DataFrame, terms: DataFrame, exclusions: list[tuple[str,
             first = lambda role: F.min_by(F.when((F.col("role") == role) & (F.col("score") >= 70), F.col("score")), F.when((F.col("role") == role) & (F.col("score") >= 70), F.col("i")))
             best = known.groupBy("src", "tgt").agg(first("target atom").alias("by_target_atom"), first("source atom").alias("by_source_atom"), F.max(F.when(F.col("role") == "leaf", F.col("score"))).alias("by_leaf"), F.max(F.when(F.col("role") == "part", F.when(F.col("sub_src") == F.col("sub_tgt"), 98.0).otherwise(F.col("score")))).alias("by_part"))
             full = described.join(best, ["src", "tgt"], "left")
-        full = full.withColumn("_k", pair_kernel("src_norm", "tgt_norm")).withColumn("score", _cascade(exclusions, words, exact_first))
+        full = full.withColumn("_k", pair_kernel("src_norm", "tgt_norm")).withColumn("score", _cascade(exclusions, exact_first))
         scored = kept(full.select("src", "tgt", _penalised(F.col("score")).alias("score")), "field-scores")
     return scored
 
@@ -229,16 +232,80 @@ def status_summary(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count_if("matched").alias("matched"), F.count_if("suggested").alias("suggested"), F.count_if(~F.col("matched") & ~F.col("suggested")).alias("unmatched"), F.count_if("conflict").alias("conflicts"))
 
 
-def resolve_column(columns: list[str], name: str, fallback: str = "") -> str | None:
-    """The column that a name means: the same, the same normalised, or with the same last part, parentheses aside at last."""
-    import re
+def _squeeze(name: str) -> str:
+    """``text.norm_name`` of a single name."""
+    return re.sub(r"[\s_\-]", "", name.strip().translate(str.maketrans(text.WIDE, text.NARROW)).lower())
+
+
+def _leaf(name: str) -> str:
+    return name.rsplit(">", 1)[-1].strip()
+
+
+def _bare(name: str) -> str:
+    return re.sub(fixed.PARENTHESES, "", name).strip()
+
 
-    squeeze = lambda s: re.sub(r"[\s_\-]", "", s.strip().translate(str.maketrans(text.WIDE, text.NARROW)).lower())
-    last = lambda s: s.rsplit(">", 1)[-1].strip()
-    bare = lambda s: re.sub(fixed.PARENTHESES, "", s).strip()
-    for form in (lambda s: s, squeeze, lambda s: squeeze(last(s)), lambda s: squeeze(bare(last(s)))):
-        for wanted in filter(None, (name, fallback)):
-            for c in columns:
-                if form(wanted) and form(c) == form(wanted):
-                    return c
-    return None
+def _means(column: str, wanted: str) -> bool:
+    """Whether a column's name, or the last part of its path, or that without parentheses, is the wanted name or its last part."""
+    if _squeeze(column) == _squeeze(wanted) or ">" in wanted and _squeeze(column) == _squeeze(_leaf(wanted)):
+        return True
+    if ">" not in column or not (last := _leaf(column)):
+        return False
+    bare = _bare(last)
+    return _squeeze(last) == _squeeze(wanted) or bool(bare) and bare != last and _squeeze(bare) in (_squeeze(wanted), _squeeze(_bare(wanted)))
+
+
+def resolve_column(columns: list[str], name: str, fallback: str = "", score=None) -> str | None:
+    """The column that a name means: the same, then one whose name comes to the same, first for ``name``, then for ``fallback``.
+
+    If none does, ``score`` is asked, a function from pairs (column, name) to their scores:
+    the best column of LIKE or more, of equal ones the first. Generated columns are never guessed.
+    """
+    wanted = [x for x in dict.fromkeys((name, fallback)) if x]
+    for w in wanted:
+        if w in columns:
+            return w
+        if found := next((c for c in columns if _means(c, w)), None):
+            return found
+    named = [c for c in columns if not c.startswith(GENERATED)]
+    if not (score and wanted and named):
+        return None
+    pairs = [(c, w) for w in wanted for c in named]
+    scores = score(pairs)
+    best = max(pairs, key=lambda p: scores[p])
+    return best[0] if scores[best] >= LIKE else None
+
+
+def header_row(rows: dict[int, dict[int, str]], names: list[str], candidate: int | None = None, probe: int = 199) -> int:
+    """The row of a sheet (row: column: text) that holds most of ``names``, whole or by their last parts.
+
+    The ``candidate`` is taken if it holds half of them, two at least; otherwise of the first
+    ``probe`` rows that with most, then most cells, then the lowest; if that is too few, the
+    candidate where it exists, else row 1.
+    """
+    whole, last = {_squeeze(n) for n in names}, {_squeeze(_leaf(n)) for n in names}
+
+    def hits(r: int) -> int:
+        said = [v.strip() for v in rows.get(r, {}).values() if v and v.strip() and "Unnamed" not in v]
+        return sum(bool(_squeeze(v)) and (_squeeze(v) in whole or bool(_squeeze(_leaf(v))) and _squeeze(_leaf(v)) in last) for v in said)
+
+    need = max(2, len(names) // 2)
+    if candidate and hits(candidate) >= need:
+        return candidate
+    best = max((r for r in rows if r <= probe), key=lambda r: (hits(r), len(rows[r]), r), default=1)
+    if hits(best) >= need:
+        return best
+    return candidate if candidate and candidate <= max(rows, default=0) else 1
+
+
+def header_places(rows: dict[int, dict[int, str]], detail: int, names: list[str]) -> dict[str, int]:
+    """For each of ``names`` the column whose header means it; a blank header takes the text above it. Names without one are left out."""
+    width = max((c for r in rows.values() for c in r), default=0)
+    above = rows.get(detail - 1, {})
+    headers = [(rows.get(detail, {}).get(c) or "").strip() or (above.get(c) or "").strip() for c in range(1, width + 1)]
+    found = {}
+    for n in names:
+        for own, form in ((n, str), (_leaf(n), _leaf), (_bare(_leaf(n)), _leaf)):
+            if n not in found and _squeeze(own) and (at := next((i for i, h in enumerate(headers, 1) if _squeeze(form(h)) == _squeeze(own)), None)):
+                found[n] = at
+    return found

@@ -139,12 +139,11 @@ def row_scores(spark, d):
 
 
 def align_rows(spark, d):
-    return row_match.align(row_scores(spark, d)).select("t_ord", "s_ord", "score")
+    return row_match.align_keys(targets(spark, d), sources(spark, d)).select("t_ord", "s_ord", "score")
 
 
 def align_preview(spark, d):
-    scored = row_scores(spark, d)
-    return row_match.preview(targets(spark, d), scored, row_match.align(scored)).select("t_ord", "src_key", "score", "status")
+    return row_match.preview(targets(spark, d), sources(spark, d)).select("t_ord", "src_key", "score", "status")
 
 
 def key_leaders(spark, d):

@@ -152,6 +152,10 @@ def legacy_header(spark, d):
     return headers.legacy_header(grid(spark, d))
 
 
+def named_header(spark, d):
+    return headers.named_header(grid(spark, d))
+
+
 def header_zones(spark, d):
     z = headers.header_zone(headers.expand_merges(grid(spark, d), merges_of(spark, d)), merges_of(spark, d))
     return z.select("sheet", "detail", F.array_join("categories", ",").alias("categories"), "n_columns")
@@ -159,7 +163,7 @@ def header_zones(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     norm_rowkey, norm_names, norm_field_units, unit_conflicts, leaf_segment, code_tokens, phase_section_domain, direction_category, generic_core, road_ends, token_jaccard, field_tokens, midnight_date,
-    fuzzy_search, zone_parse, completeness, similarity_kernel, similarity_native, row_stats, header_candidates, merge_expansion, compound_names, legacy_header, header_zones,
+    fuzzy_search, zone_parse, completeness, similarity_kernel, similarity_native, row_stats, header_candidates, merge_expansion, compound_names, legacy_header, named_header, header_zones,
 )}
 
 _HALF = f"translate(%s, '{text.WIDE}', '{text.NARROW}')".replace("''''", "''")
@@ -189,6 +193,13 @@ _MERGES = """
 merges AS (
   SELECT CAST(doc_id AS VARCHAR) AS sheet, 1 AS r1, 1 AS r2, 1 AS c1, 2 AS c2 FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, 3, 1, 4 FROM documents
 )"""
+_COVERED = """
+shown AS (SELECT sheet, r, c, CASE WHEN regexp_replace(v, '^\\s+|\\s+$', '', 'g') <> '' THEN v END AS v FROM cell), spot AS (
+  SELECT sheet, r1, r2, c1, c2, r, unnest(range(c1, c2 + 1)) AS c FROM (SELECT *, unnest(range(r1, r2 + 1)) AS r FROM merges)
+), val AS (
+  SELECT spot.sheet, r1, r2, c1, c2, arg_min(shown.v, spot.r * 100000 + spot.c) FILTER (WHERE shown.v IS NOT NULL) AS value
+  FROM spot LEFT JOIN shown ON shown.sheet = spot.sheet AND shown.r = spot.r AND shown.c = spot.c GROUP BY ALL
+), covered AS (SELECT spot.sheet, spot.r, spot.c, value FROM spot JOIN val USING (sheet, r1, r2, c1, c2))""".replace("\\\\", "\\")
 _SIMILAR = """
 WITH p AS (
   SELECT c_custkey, s_suppkey, string_split(c_name, '') AS a, string_split(s_name, '') AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey
@@ -200,7 +211,8 @@ WITH p AS (
   FROM p
 )
 SELECT c_custkey, s_suppkey, round(2.0 * seq[len(seq)] / n, 9) AS ratio, run[len(run)] AS common FROM k"""
-_WORDS = " + ".join(f"10 * max(contains(lower(v), '{w}')::INT)" for w in fixed.HEADER_WORDS)
+_WORDS = " + ".join(f"10 * count(*) FILTER (WHERE contains(v, '{w}'))" for w in fixed.HEADER_WORDS)
+_IS_NUMBER = f"regexp_matches(regexp_replace(v, '[, ]', '', 'g'), '{fixed.NUMBER}')"
 
 SQL = {
     "norm_rowkey": rf"SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({half(strip('text'))}, '{PAREN}', '', 'g'), '{fixed.RANGE_TAIL}', '', 'g'), '{fixed.SECTION_TAIL}', '', 'g'), '[\s_\-]', '', 'g')) AS norm FROM documents",
@@ -233,20 +245,56 @@ FROM (SELECT o_orderkey AS id, 'order' AS kind, o_orderdate AS t FROM orders UNI
     "completeness": "SELECT event_id, (event_type IS NOT NULL)::INT + (coalesce(value, 0) > 20)::INT + (user_id % 2 = 0 AND props IS NOT NULL)::INT AS n_valid FROM events",
     "row_stats": f"""
 WITH {_GRID}, v AS (
-  SELECT sheet, r, v, count(*) AS n, min(c) AS c, count(*) FILTER (WHERE try_cast(regexp_replace(v, '[, ]', '', 'g') AS DOUBLE) IS NOT NULL) AS numbers FROM said GROUP BY ALL
+  SELECT sheet, r, v, count(*) AS n, min(c) AS c, count(*) FILTER (WHERE {_IS_NUMBER}) AS numbers FROM said GROUP BY ALL
 ), s AS (SELECT sheet, r, sum(n) AS eff, count(*) AS uniq, sum(numbers) AS numbers, max(n) AS most, arg_min(v, c) AS first FROM v GROUP BY ALL)
 SELECT sheet, CAST(r AS INTEGER) AS r, CAST(eff AS BIGINT) AS eff, CAST(eff AS BIGINT) AS real, uniq, CAST(numbers AS BIGINT) AS numbers, most, eff >= 2 AND most >= 2 AND most / eff >= 0.5 AS is_title, (numbers / eff >= 0.6) OR {_TOTALS} AS is_data FROM s""",
     "header_candidates": f"""
 WITH {_GRID}, l AS (SELECT sheet, r, string_agg(v, ' | ' ORDER BY c) AS line FROM said WHERE r <= 6 GROUP BY ALL)
 SELECT a.sheet, CAST(a.r AS INTEGER) AS start, CAST(b.r AS INTEGER) AS "end", substr(a.line, 1, 40) AS preview FROM l a JOIN l b ON a.sheet = b.sheet AND b.r BETWEEN a.r AND a.r + 2""",
     "merge_expansion": f"""
-WITH {_GRID}, {_MERGES}, val AS (
-  SELECT m.sheet, m.r1, m.r2, m.c1, m.c2, arg_min(cell.v, cell.r * 100000 + cell.c) AS value FROM merges m LEFT JOIN cell ON cell.sheet = m.sheet AND cell.r BETWEEN r1 AND r2 AND cell.c BETWEEN c1 AND c2 AND trim(cell.v) <> '' GROUP BY ALL
-), covered AS (
-  SELECT sheet, r, unnest(range(c1, c2 + 1)) AS c, value FROM (SELECT sheet, unnest(range(r1, r2 + 1)) AS r, c1, c2, value FROM val)
+WITH {_GRID}, {_MERGES}, {_COVERED}
+SELECT coalesce(a.sheet, b.sheet) AS sheet, CAST(coalesce(a.r, b.r) AS INTEGER) AS r, CAST(coalesce(a.c, b.c) AS INTEGER) AS c, CASE WHEN b.sheet IS NOT NULL THEN b.value ELSE a.v END AS value, b.sheet IS NOT NULL AS in_merge
+FROM shown a FULL JOIN covered b ON a.sheet = b.sheet AND a.r = b.r AND a.c = b.c""",
+    "header_zones": f"""
+WITH {_GRID}, {_MERGES}, {_COVERED}, full_grid AS (
+  SELECT coalesce(a.sheet, b.sheet) AS sheet, coalesce(a.r, b.r) AS r, coalesce(a.c, b.c) AS c, CASE WHEN b.sheet IS NOT NULL THEN b.value ELSE a.v END AS raw, b.sheet IS NOT NULL AS merged
+  FROM shown a FULL JOIN covered b ON a.sheet = b.sheet AND a.r = b.r AND a.c = b.c
+), f AS (
+  SELECT sheet, r, c, merged, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS v FROM full_grid WHERE regexp_replace(raw, '^\\s+|\\s+$', '', 'g') <> '' AND NOT contains(raw, 'Unnamed')
+), width AS (SELECT sheet, max(c) AS n FROM f GROUP BY sheet), times AS (
+  SELECT sheet, r, v, count(*) AS k FROM f WHERE r <= 200 GROUP BY ALL
+), most AS (SELECT sheet, r, max(k) AS most FROM times GROUP BY ALL), stat AS (
+  SELECT sheet, r, count(*) AS eff, count(*) FILTER (WHERE NOT merged) AS own, count(DISTINCT v) AS uniq, count(*) FILTER (WHERE {_IS_NUMBER}) AS numbers, arg_min(v, c) AS first FROM f WHERE r <= 200 GROUP BY ALL
+), s AS (
+  SELECT stat.*, n, CASE r WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 4 ELSE 0 END AS span, CASE r - 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 4 ELSE 0 END AS above,
+    numbers / eff >= 0.6 OR {_TOTALS} AS data, r <= 10 AND eff >= 2 AND most >= 2 AND most / eff >= 0.5 AND lead(r) OVER (PARTITION BY sheet ORDER BY r) IS NOT NULL AS title, greatest(1, least(n // 6, 3)) AS least_
+  FROM stat JOIN most USING (sheet, r) JOIN width USING (sheet)
+), t AS (
+  SELECT *, lead(CASE WHEN NOT title THEN eff END, 1 IGNORE NULLS) OVER w AS e1, lead(CASE WHEN NOT title THEN eff END, 2 IGNORE NULLS) OVER w AS e2,
+    lead(CASE WHEN NOT title AND own > 0 THEN own END, 1 IGNORE NULLS) OVER w AS f1, lead(CASE WHEN NOT title AND own > 0 THEN own END, 2 IGNORE NULLS) OVER w AS f2,
+    lead(CASE WHEN own > 0 THEN own END, 1 IGNORE NULLS) OVER w AS g1, lead(CASE WHEN own > 0 THEN own END, 2 IGNORE NULLS) OVER w AS g2,
+    lead(r) OVER w = r + 1 AS next_, lead(title) OVER w AS nt, lead(span) OVER w AS ns, lead(data) OVER w AS nd, lead(eff) OVER w AS ne, lead(own) OVER w AS no_, lead(uniq) OVER w AS nu
+  FROM s WINDOW w AS (PARTITION BY sheet ORDER BY r)
+), found AS (
+  SELECT sheet, 1 AS p, r, r + CASE WHEN next_ AND NOT nt AND ns < 3 AND NOT nd AND ne >= least_ AND nu > uniq THEN 1 ELSE 0 END AS detail FROM t
+  WHERE NOT title AND eff >= least_ AND NOT data AND span < 3 AND NOT (eff < n * 0.6 AND eff < coalesce(greatest(e1, e2), 0) AND above < 3)
+    AND (eff >= n * 0.5 OR (least(e1, eff) / greatest(e1, eff) >= 0.3 AND least(e2, eff) / greatest(e2, eff) >= 0.3))
+  UNION ALL
+  SELECT sheet, 2, r, r + CASE WHEN next_ AND NOT nt AND ns < 3 AND NOT nd AND no_ >= least_ AND no_ > own THEN 1 ELSE 0 END FROM t
+  WHERE NOT title AND own >= least_ AND NOT data AND span < 3 AND (own >= n * 0.5 OR (least(f1, own) / greatest(f1, own) >= 0.3 AND least(f2, own) / greatest(f2, own) >= 0.3))
+  UNION ALL
+  SELECT sheet, 3, r, r + CASE WHEN next_ AND NOT nd AND no_ >= least_ AND no_ > own THEN 1 ELSE 0 END FROM t
+  WHERE own >= least_ AND NOT data AND (own >= n * 0.5 OR (least(g1, own) / greatest(g1, own) >= 0.3 AND least(g2, own) / greatest(g2, own) >= 0.3))
+), best AS (SELECT sheet, arg_min(detail, p * 1000 + r) AS detail FROM found GROUP BY sheet), cat AS (
+  SELECT sheet, r, span >= 0.8 * n AS wide, row_number() OVER w AS i, lead(span >= 0.8 * n, 1, true) OVER w AS next_wide FROM s JOIN best USING (sheet) WHERE NOT title AND r < detail WINDOW w AS (PARTITION BY sheet ORDER BY r)
+)
+SELECT sheet, CAST(detail AS INTEGER) AS detail, coalesce((SELECT string_agg(CAST(r AS VARCHAR), ',' ORDER BY r) FROM cat WHERE cat.sheet = best.sheet AND NOT (i = 1 AND wide AND NOT next_wide)), '') AS categories, CAST(n AS INTEGER) AS n_columns
+FROM best JOIN width USING (sheet)""",
+    "named_header": f"""
+WITH {_GRID}, s AS (
+  SELECT sheet, r, sum(10 + CASE WHEN length(v) <= 30 THEN 5 ELSE 0 END + CASE WHEN regexp_matches(v, '^\\p{{L}}') THEN 3 ELSE 0 END) AS score FROM said WHERE r <= 31 GROUP BY ALL
 )
-SELECT coalesce(a.sheet, b.sheet) AS sheet, CAST(coalesce(a.r, b.r) AS INTEGER) AS r, CAST(coalesce(a.c, b.c) AS INTEGER) AS c, CASE WHEN b.sheet IS NOT NULL THEN b.value WHEN trim(a.v) <> '' THEN a.v END AS value, b.sheet IS NOT NULL AS in_merge
-FROM cell a FULL JOIN covered b ON a.sheet = b.sheet AND a.r = b.r AND a.c = b.c""",
+SELECT sheet, CAST(r AS INTEGER) AS r, CAST(score AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY score DESC, r) = 1""",
     "compound_names": f"""
 WITH {_GRID}, n AS (SELECT sheet, max(c) AS n FROM said GROUP BY sheet), cols AS (SELECT sheet, unnest(range(1, n + 1)) AS c FROM n)
 SELECT cols.sheet, CAST(cols.c AS INTEGER) AS c, concat_ws('>', a.v, CASE WHEN b.v IS NOT NULL AND (a.v IS NULL OR a.v <> b.v) THEN b.v END, coalesce(l.v, 'Col' || cols.c)) AS name
@@ -255,7 +303,7 @@ FROM cols LEFT JOIN said a ON a.sheet = cols.sheet AND a.c = cols.c AND a.r = 1
     "similarity_native": _SIMILAR,
     "legacy_header": f"""
 WITH {_GRID}, s AS (
-  SELECT sheet, r, count(*) AS eff, sum(length(v)) / count(*) AS mean, count(*) FILTER (WHERE try_cast(regexp_replace(v, '[, ]', '', 'g') AS DOUBLE) IS NOT NULL) AS numbers, {_WORDS} AS words FROM said WHERE r <= 100 GROUP BY ALL
+  SELECT sheet, r, count(*) AS eff, sum(length(v)) / count(*) AS mean, count(*) FILTER (WHERE {_IS_NUMBER}) AS numbers, {_WORDS} AS words FROM said WHERE r <= 100 GROUP BY ALL
 ), p AS (
   SELECT sheet, r, eff * 10 + CASE WHEN eff >= 5 THEN 20 WHEN eff >= 3 THEN 10 ELSE 0 END + CASE WHEN mean BETWEEN 2 AND 25 THEN 15 WHEN mean <= 40 THEN 8 ELSE 0 END + words - CASE WHEN numbers = eff THEN 50 ELSE 0 END AS score FROM s
 )

@@ -55,6 +55,22 @@ def _number(v: str) -> str:
     return str(int(x)) if x == int(x) and abs(x) < 1e15 else repr(x)
 
 
+def numbered_rows(data: ET.Element) -> Iterator[tuple[int, ET.Element]]:
+    """Rows with their numbers; one without a number stands below the row before it."""
+    at = 0
+    for row in data.iter(f"{MAIN}row"):
+        at = int(row.get("r") or at + 1)
+        yield at, row
+
+
+def placed_cells(row: ET.Element) -> Iterator[tuple[int, ET.Element]]:
+    """Cells of a row with their columns; one without a reference stands right of the cell before it."""
+    at = 0
+    for cell in row.iter(f"{MAIN}c"):
+        at = place(cell.get("r"))[1] if cell.get("r") else at + 1
+        yield at, cell
+
+
 def sheet_paths(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     """The sheets' names and their parts, in the workbook's order."""
     targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
@@ -78,16 +94,18 @@ def workbook(content: bytes) -> Iterator[tuple]:
         own = {int(f.get("numFmtId")) for f in styles.iter(f"{MAIN}numFmt") if re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "").lower()))}
         if (formats := styles.find(f"{MAIN}cellXfs")) is not None:
             dates = [int(x.get("numFmtId", 0)) in DATE_FORMATS | own for x in formats]
+    settings = ET.fromstring(book.read("xl/workbook.xml")).find(f"{MAIN}workbookPr")
+    start = datetime(1904, 1, 1) if settings is not None and settings.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
     for sheet, part in sheet_paths(book):
+        r = 0
         with book.open(part) as xml:
             for _, e in ET.iterparse(xml):
                 if e.tag == f"{MAIN}mergeCell":
                     a, b = (e.get("ref").split(":") * 2)[:2]
-                    (r, c), (r2, c2) = place(a), place(b)
-                    yield sheet, "merge", r, c, r2, c2, None, None
+                    yield sheet, "merge", *place(a), *place(b), None, None
                 elif e.tag == f"{MAIN}row":
-                    for cell in e.iter(f"{MAIN}c"):
-                        r, c = place(cell.get("r"))
+                    r = int(e.get("r") or r + 1)
+                    for c, cell in placed_cells(e):
                         kind, value = cell.get("t", "n"), cell.findtext(f"{MAIN}v")
                         if kind == "inlineStr":
                             value = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
@@ -98,7 +116,7 @@ def workbook(content: bytes) -> Iterator[tuple]:
                         elif kind == "b":
                             value, kind = str(value == "1"), "bool"
                         elif kind == "n" and (k := int(cell.get("s", 0))) < len(dates) and dates[k]:
-                            moment = datetime(1899, 12, 30) + timedelta(days=float(value))
+                            moment = start + timedelta(days=float(value))
                             moment = (moment + timedelta(milliseconds=500)).replace(microsecond=0)
                             value, kind = moment.strftime("%Y-%m-%d" if moment.time() == datetime.min.time() else "%Y-%m-%d %H:%M:%S"), "date"
                         elif kind == "n":
@@ -125,7 +143,7 @@ def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
                         if len(rows) == BATCH:
                             yield pack(rows)
                             rows = []
-                except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
+                except (zipfile.BadZipFile, KeyError, ValueError, IndexError, AttributeError, ET.ParseError) as e:
                     rows.append((path, None, "error", None, None, None, None, str(e), None))
                 if rows:
                     yield pack(rows)
@@ -134,8 +152,13 @@ def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A file with one header row as a table of text columns with row_idx in the order of the file."""
-    df = spark.read.options(header=True, inferSchema=False, **options).csv(path)
+    """A file with one header row as a table of text columns with row_idx in the order of the file.
+
+    Only a file with an odd number of quotes in some line, where a record may go on in the next, is read by one task.
+    """
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    broken = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    df = spark.read.options(**{"header": True, "inferSchema": False, "multiLine": broken, "escape": '"'} | options).csv(path)
     numbered = df.select(F.monotonically_increasing_id().alias("_at"), "*")  # the order of the scan; made dense below, from counts
     part = numbered.withColumn("_part", F.shiftright("_at", 33))
     counts = part.groupBy("_part").count()

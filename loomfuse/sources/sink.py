@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import zipfile
 from datetime import datetime
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfuse.sources.grid import MAIN, column_letters, place, sheet_paths
+from loomfuse.sources.grid import MAIN, column_letters, numbered_rows, place, placed_cells, sheet_paths, workbook
 
 
 def default_name(template: str, suffix: str = "filled", now: datetime | None = None) -> str:
@@ -20,49 +22,83 @@ def default_name(template: str, suffix: str = "filled", now: datetime | None = N
     return f"{stem}_{suffix}_{(now or datetime.now()).strftime('%Y%m%d_%H%M%S')}.xlsx"
 
 
-def _fits(ref: str, first_row: int) -> bool:
-    return place(ref.split(":")[-1])[0] < first_row
+def _with_namespaces(xml: bytes, root: ET.Element) -> bytes:
+    """``root`` as XML with the prefixes of its source ``xml``, those too that only attribute values name."""
+    prefixes = dict(e for _, e in ET.iterparse(io.BytesIO(xml), events=["start-ns"]))
+    for prefix, uri in prefixes.items():
+        if not re.fullmatch(r"ns\d+", prefix):
+            ET.register_namespace(prefix, uri)
+    text = ET.tostring(root, encoding="unicode")
+    end = text.index(">")
+    missing = "".join(f' xmlns:{p}="{escape(u)}"' for p, u in prefixes.items() if p and f'xmlns:{p}="' not in text[:end])
+    start = text.index(" ") if " " in text[:end] else end
+    return ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text[:start] + missing + text[start:]).encode("utf-8")
 
 
-def patch_workbook(template: bytes, sheet: str, values: dict[tuple[int, int], str], first_row: int) -> bytes:
-    """The template with ``values`` by (row, column) in one sheet; styles stay, regions that reach into the data go, blanks change nothing."""
-    ET.register_namespace("", MAIN[1:-1])
+def patch_workbook(template: bytes, sheet: str, values: dict[tuple[int, int], str], first_row: int, last_row: int = 1 << 20) -> bytes:
+    """The template with ``values`` by (row, column) in one sheet.
+
+    Styles and namespaces stay; regions that reach into the rows from ``first_row`` to ``last_row`` are
+    taken apart; blanks change nothing.
+    """
     book, out = zipfile.ZipFile(io.BytesIO(template)), io.BytesIO()
     part = dict(sheet_paths(book))[sheet]
-    root = ET.fromstring(book.read(part))
+    xml = book.read(part)
+    root = ET.fromstring(xml)
     data = root.find(f"{MAIN}sheetData")
-    rows = {int(r.get("r")): r for r in data}
+    rows = dict(numbered_rows(data))
+    cells = {n: dict(placed_cells(r)) for n, r in rows.items()}
+    for n, r in rows.items():
+        r.set("r", str(n))
+        for c, x in cells[n].items():
+            x.set("r", f"{column_letters(c)}{n}")
     for (r, c), value in sorted(values.items()):
         if value is None or not str(value).strip():
             continue
         if r not in rows:
-            rows[r] = ET.Element(f"{MAIN}row", r=str(r))
-        ref = f"{column_letters(c)}{r}"
-        cell = next((x for x in rows[r] if x.get("r") == ref), None)
-        if cell is None:
-            cell = ET.Element(f"{MAIN}c", r=ref)
-            rows[r].append(cell)
-            rows[r][:] = sorted(rows[r], key=lambda x: place(x.get("r"))[1])
+            rows[r], cells[r] = ET.Element(f"{MAIN}row", r=str(r)), {}
+        cell = cells[r].setdefault(c, ET.Element(f"{MAIN}c", r=f"{column_letters(c)}{r}"))
         for old in list(cell):
             cell.remove(old)
         cell.set("t", "inlineStr")
-        ET.SubElement(ET.SubElement(cell, f"{MAIN}is"), f"{MAIN}t").text = str(value)
+        shown = ET.SubElement(ET.SubElement(cell, f"{MAIN}is"), f"{MAIN}t")
+        shown.text = str(value)
+        shown.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+    for r, row in rows.items():
+        row.attrib.pop("spans", None)
+        row[:] = [cells[r][c] for c in sorted(cells[r])] + [x for x in row if x.tag != f"{MAIN}c"]
     data[:] = [rows[k] for k in sorted(rows)]
+    if (size := root.find(f"{MAIN}dimension")) is not None:
+        root.remove(size)  # it may not hold any more, and may be left out
     if (merged := root.find(f"{MAIN}mergeCells")) is not None:
-        merged[:] = [m for m in merged if _fits(m.get("ref"), first_row)]
+        bounds = lambda m: [place(x)[0] for x in (m.get("ref").split(":") * 2)[:2]]
+        merged[:] = [m for m in merged if bounds(m)[1] < first_row or bounds(m)[0] > last_row]
         merged.set("count", str(len(merged)))
         if not len(merged):
             root.remove(merged)
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
         for name in book.namelist():
-            new.writestr(name, ET.tostring(root, encoding="utf-8", xml_declaration=True) if name == part else book.read(name))
+            new.writestr(name, _with_namespaces(xml, root) if name == part else book.read(name))
     return out.getvalue()
 
 
+def filled_workbook(template: bytes, sheet: str, names: list[str], rows: list[tuple], candidate: int | None = None) -> tuple[bytes, list[str]]:
+    """The template with ``rows`` (place below the header, *values of ``names``), and the names that its header doesn't have."""
+    from loomfuse.operators.schema_match import header_places, header_row
+
+    shown: dict[int, dict[int, str]] = {}
+    for s, kind, r, c, _, _, v, _ in workbook(template):
+        if s == sheet and kind == "cell":
+            shown.setdefault(r, {})[c] = v
+    detail = header_row(shown, names, candidate)
+    places = header_places(shown, detail, names)
+    values = {(detail + 1 + at, places[n]): v for at, *cells in rows for n, v in zip(names, cells, strict=True) if n in places and v is not None}
+    last = detail + max((at for at, *_ in rows), default=0) + 1
+    return patch_workbook(template, sheet, values, detail + 1, last), [n for n in names if n not in places]
+
+
 def new_workbook(names: list[str], rows: list[list[str | None]], sheet: str = "Sheet1") -> bytes:
     """A plain workbook with one sheet."""
-    from xml.sax.saxutils import escape
-
     cell = lambda r, c, v: f'<c r="{column_letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' if v is not None else ""
     body = "".join(f'<row r="{i}">{"".join(cell(i, j, v) for j, v in enumerate(row, 1))}</row>' for i, row in enumerate([names, *rows], 1))
     ns, rel = MAIN[1:-1], "http://schemas.openxmlformats.org/officeDocument/2006/relationships"

@@ -1,6 +1,8 @@
 """Row keys, fields, headers, fills and workbooks, on small cases."""
 
+import io
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +86,9 @@ def test_candidates_lose_nothing_and_rounds_are_greedy(spark):
             used_t.add(r.t_ord)
             used_s.add(r.s_ord)
     assert {(r.t_ord, r.s_ord) for r in row_match.align(scored).collect()} == taken
+    assert {(r.t_ord, r.s_ord) for r in row_match.align_keys(*frames(spark, left, right)).collect()} == taken
+    high = row_match.scored_candidates(*frames(spark, left, right), least=0.85)
+    assert {(r.tgt_key, r.src_key) for r in high.collect()} == {p for p, s in want.items() if s >= 0.85 - 1e-9}
     named = spark.createDataFrame(list(enumerate(left)), "ord long, key string")
     own = {(a, b): s for (a, b), s in zip([(a, b) for a in left for b in left], scores(spark, [(a, b) for a in left for b in left]), strict=True)}
     leaders, expected = [], {}
@@ -94,6 +99,24 @@ def test_candidates_lose_nothing_and_rounds_are_greedy(spark):
     assert {r.key: left[r.leader] for r in row_match.leaders(named).collect()} == expected
 
 
+def test_equal_keys_align_in_few_rounds(spark, monkeypatch):
+    left, right = [f"某路（{c}）" for c in "甲乙丙丁戊己庚辛壬癸子丑"], [f"某路 （{c}）" for c in "甲乙丙丁戊己庚辛壬"] + ["某路工程", "另一座桥"]
+    tables = []
+    monkeypatch.setattr(row_match, "kept", lambda df, label, old=row_match.kept: tables.append(label) or old(df, label))
+    got = row_match.align_keys(*frames(spark, left, right))
+    assert tables.count("align-best") <= 4
+    assert {(r.t_ord, r.s_ord) for r in got.collect()} == {(k, k) for k in range(9)}
+    scored = row_match.scored_candidates(*frames(spark, left, right))
+    assert {(r.t_ord, r.s_ord) for r in row_match.align(scored).collect()} == {(k, k) for k in range(9)}
+
+
+def test_preview_names_every_target(spark):
+    t, s = frames(spark, ["甲乙丙项目P10", "毫不相干", "示范山公园建设"], ["甲乙丙项目P12", "示范山公园建设"])
+    got = {r.tgt_key: (r.src_key, r.score, r.status) for r in row_match.preview(t, s).collect()}
+    assert got == {"甲乙丙项目P10": ("甲乙丙项目P12", 0.6, "suggest"), "毫不相干": (None, 0.0, "unmatched"), "示范山公园建设": ("示范山公园建设", 1.0, "auto")}
+    assert [r.status for r in row_match.preview(t.where("t_ord = 1"), s).collect()] == ["unmatched"]
+
+
 def test_kernels(spark):
     rng = random.Random(1)
     pairs = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))) for _ in range(80)]
@@ -131,6 +154,10 @@ def test_field_scores(spark):
     same = ("负责人联系电话", "负责人联系电话")
     assert field_score(spark, [same], exact_first=True) == [100.0] and field_score(spark, [same])[0] < 85
     assert field_score(spark, [("甲名", "甲名x")], exclusions=[("甲名", "甲名x")]) == [0.0]
+    assert field_score(spark, [("前乙名后", "前甲名后")], exclusions=[("甲名", "乙名")]) == [0.0]
+    deep = "/".join("abcdefghijklmnop"[i] * (i + 2) for i in range(3))
+    nested = ">".join(["p"] * 12 + [deep])
+    assert field_score(spark, [(nested, "aa")])[0] == 98.0
 
 
 def test_auto_match(spark):
@@ -193,7 +220,12 @@ def test_keys(spark):
     assert keys.detect_key(df.drop("row")) == "a" and keys.resolve_key(["甲 名", "b"], "甲名") == "甲 名" and keys.resolve_key(["a", "b"], 1) == "b"
     filled = keys.forward_fill(df, "a", "row", block=1)
     assert [r.a for r in filled.orderBy("row").collect()] == ["x", "x", "y"]
-    assert headers.clean_names(["a", None, "a", " ", "Unnamed: 3"]) == ["a", "_col_1", "a_2", "_col_3", "_col_4"]
+    groups = spark.createDataFrame([(0, None, "x"), (1, None, None), (2, "g", None), (3, "g", "y"), (None, "g", None)], "row long, g string, k string")
+    assert sorted((r.row if r.row is not None else -1, r.k) for r in keys.forward_fill(groups, "k", "row", by=["g"], block=2).collect() if r.row not in (None, 2)) == [(0, "x"), (1, "x"), (3, "y")]
+    assert keys.forward_fill(groups, "k", "row", by=["g"]).count() == 5
+    more = keys.expand_target(df.select("row", "a"), spark.createDataFrame([("n", 9), ("m", 4), ("x", 1)], "key string, ord long"), "a", "row")
+    assert sorted((r.row, r.a) for r in more.where("row > 2").collect()) == [(3, "m"), (4, "n")]
+    assert headers.clean_names(["a", None, "a", " ", "Unnamed: 3"]) == ["a", "_col_1", "a_2", "_col_2", "_col_3"]
     matches = spark.createDataFrame([(0, "项目编号", "x", True), (1, "立项名称", "y", True), (2, "备注", "z", True)], "ord int, tgt_field string, src_field string, matched boolean")
     counts = spark.createDataFrame([("项目编号", 0), ("立项名称", 5), ("备注", 9)], "tgt_field string, n_valid long")
     assert keys.row_key_candidates(matches, counts).where("rank = 1").first().tgt_field == "立项名称"
@@ -210,16 +242,32 @@ def test_header_zones(spark):
         "title": [["Report", None, None], ["name", "amount", "date"], ["x", "1", "2"]],
         "repeated": [["Report", "Report", "Report"], ["name", "amount", "date"], ["x", "1", "2"]],
         "numbers": [["1", "2", "3"], ["name", "amount", "date"], ["x", "1", "2"]],
-        "category": [["base", None, None, "money"], ["name", "code", "kind", "amount"], ["x", "y", "z", "1"]],
+        "category": [["base", None, "money", None, "time"], ["name", "code", "amount", "paid", "day"], ["x", "y", "1", "z", "k"]],
     }
-    merges = spark.createDataFrame([("title", 1, 1, 1, 2), ("category", 1, 1, 1, 3)], "sheet string, r1 int, r2 int, c1 int, c2 int")
+    merges = spark.createDataFrame([("title", 1, 1, 1, 2), ("category", 1, 1, 1, 2), ("category", 1, 1, 3, 4)], "sheet string, r1 int, r2 int, c1 int, c2 int")
     cells = headers.expand_merges(cells_of(spark, sheets), merges)
     zones = headers.header_zone(cells, merges)
     got = {r.sheet: (r.detail, list(r.categories)) for r in zones.collect()}
     assert got["single"] == (1, []) and got["repeated"][0] == 2 and got["numbers"][0] == 2
     assert got["category"] == (2, [1])
+    # three levels; a short title above the header; narrow categories; a totals row; a wide sparse sheet; header without data
+    more = {
+        "levels": [["all"] + [None] * 7, ["base", None, None, "money", None, None, "time", None], list("abcdefgh"), ["x"] * 7 + ["1"], ["y", "z", None, "k", "m", "n", "o", "p"]],
+        "short": [["Report", "2024"], ["one", "two", "three", "four", "five", "six"], list("uvwxyz"), list("abcdef")],
+        "narrow": [["a", None, "b", None, "c"], ["v", "w", "x", "y", "z"], ["1", "k", "3", "m", "n"]],
+        "total": [["合计", "10", "x", "y"], ["name", "n", "k", "m"], ["p", "1", "q", "r"]],
+        "sparse": [[f"f{i}" for i in range(120)], ["only"] + [None] * 119, [None, "two"] + [None] * 118],
+        "empty": [["Report", None, None], ["name", "amount", "date"]],
+    }
+    wide = spark.createDataFrame([("levels", 1, 1, 1, 8), ("levels", 2, 2, 1, 3), ("levels", 2, 2, 4, 6), ("levels", 2, 2, 7, 8), ("narrow", 1, 1, 1, 2), ("narrow", 1, 1, 3, 4)], "sheet string, r1 int, r2 int, c1 int, c2 int")
+    grid_of_more = headers.expand_merges(cells_of(spark, more), wide)
+    deep = {r.sheet: (r.detail, list(r.categories)) for r in headers.header_zone(grid_of_more, wide).collect()}
+    assert deep == {"levels": (3, [2]), "short": (2, [1]), "narrow": (2, [1]), "total": (2, [1]), "sparse": (1, []), "empty": (2, [1])}
+    old = {r.sheet: r.r for r in headers.legacy_header(grid_of_more).collect()}
+    named = {r.sheet: r.r for r in headers.named_header(grid_of_more).collect()}
+    assert old["total"] == 2 and named["sparse"] == 1 and named["short"] == 2
     names = {(r.sheet, r.c): r.name for r in headers.compound_names(cells, zones).collect()}
-    assert names["category", 1] == "base>name" and names["category", 4] == "money>amount" and names["single", 2] == "amount"
+    assert names["category", 1] == "base>name" and names["category", 3] == "money>amount" and names["single", 2] == "amount"
 
 
 def test_workbook_round_trip(spark, tmp_path):
@@ -232,6 +280,23 @@ def test_workbook_round_trip(spark, tmp_path):
     with open(path, "rb") as f:
         patched = sink.patch_workbook(f.read(), "Sheet1", {(3, 1): "new", (2, 1): " ", (5, 3): "far"}, 2)
     assert {(r, c): v for _, k, r, c, _, _, v, _ in grid.workbook(patched) if k == "cell"} == {(1, 1): "name", (1, 2): "n", (2, 1): "x", (2, 2): "1", (3, 1): "new", (3, 2): "<2>", (5, 3): "far"}
+    plain = zipfile.ZipFile(path)
+    odd = str(tmp_path / "odd.xlsx")
+    with zipfile.ZipFile(odd, "w") as new:  # as spreadsheet programs write it: extension names, cells without references, regions, dates from 1904
+        for n in plain.namelist():
+            xml = plain.read(n).decode()
+            if n == "xl/worksheets/sheet1.xml":
+                xml = xml.replace("<worksheet ", '<worksheet xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" mc:Ignorable="x14ac" xmlns:x14ac="http://schemas.microsoft.com/office/spreadsheetml/2009/9/ac" ')
+                xml = xml.replace(' r="B2"', "").replace('<row r="3">', "<row>").replace("</sheetData>", '</sheetData><mergeCells count="3"><mergeCell ref="A1:A1"/><mergeCell ref="A2:A3"/><mergeCell ref="A9:B9"/></mergeCells>')
+            new.writestr(n, xml)
+    same = {(r, c): v for _, k, r, c, _, _, v, _ in grid.workbook(open(odd, "rb").read()) if k == "cell"}
+    assert same == {(1, 1): "name", (1, 2): "n", (2, 1): "x", (2, 2): "1", (3, 2): "<2>"}
+    content, skipped = sink.filled_workbook(open(odd, "rb").read(), "Sheet1", ["n", "NAME", "gone"], [(0, "7", "y", "q"), (2, "9", None, None)], None)
+    assert skipped == ["gone"]
+    assert {(r, c): v for _, k, r, c, _, _, v, _ in grid.workbook(content) if k == "cell"} == {(1, 1): "name", (1, 2): "n", (2, 1): "y", (2, 2): "7", (3, 2): "<2>", (4, 2): "9"}
+    assert [(r, c, r2, c2) for _, k, r, c, r2, c2, _, _ in grid.workbook(content) if k == "merge"] == [(1, 1, 1, 1), (9, 1, 9, 2)]
+    sheet = zipfile.ZipFile(io.BytesIO(content)).read("xl/worksheets/sheet1.xml").decode()
+    assert 'mc:Ignorable="x14ac"' in sheet and "xmlns:x14ac=" in sheet and "ns0:" not in sheet
     (tmp_path / "bad.xlsx").write_bytes(b"no zip")
     assert [r.kind for r in grid.read_workbooks(spark, [str(tmp_path / "bad.xlsx")]).collect()] == ["error"]
     with pytest.raises(ValueError):
@@ -239,6 +304,19 @@ def test_workbook_round_trip(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,a,\n1,2,3\n4,5,6\n", encoding="utf-8")
     csv = grid.read_delimited(spark, str(tmp_path / "a.csv"))
     assert csv.columns[0] == "row_idx" and [r.row_idx for r in csv.orderBy("row_idx").collect()] == [0, 1]
+    (tmp_path / "b.csv").write_text('a,b\n"one\ntwo",x\n"say ""hi""",y\n', encoding="utf-8")
+    assert [(r.a, r.b) for r in grid.read_delimited(spark, str(tmp_path / "b.csv")).orderBy("row_idx").collect()] == [("one\ntwo", "x"), ('say "hi"', "y")]
+
+
+def test_columns_by_name():
+    columns = ["基本>项目 名称", "金额（万元）", "x>备注(说明)", "_col_1"]
+    assert schema_match.resolve_column(columns, "项目名称") == columns[0] and schema_match.resolve_column(columns, "none", "备注") == columns[2]
+    assert schema_match.resolve_column(columns, "a>金额(万元)") == columns[1] and schema_match.resolve_column(columns, "other") is None
+    like = lambda pairs: {p: 90.0 if p == (columns[1], "费用") else 10.0 for p in pairs}
+    assert schema_match.resolve_column(columns, "费用", score=like) == columns[1] and schema_match.resolve_column(columns, "别", score=like) is None
+    rows = {1: {1: "Report"}, 2: {1: "base", 2: "base"}, 3: {1: "name", 2: "Code", 3: "amount"}, 4: {1: "name"}}
+    assert schema_match.header_row(rows, ["base>name", "code", "amount"]) == 3 and schema_match.header_row(rows, ["p", "q"], 2) == 2 and schema_match.header_row(rows, ["p", "q"]) == 1
+    assert schema_match.header_places({1: {2: "kind"}, 2: {1: "name", 3: "n(万元)"}}, 2, ["a>name", "kind", "n（万元）", "lost"]) == {"a>name": 1, "kind": 2, "n（万元）": 3}
 
 
 def test_entry(spark):
