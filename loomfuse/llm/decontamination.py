@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A window within RADIUS bits of an item then agrees with it, within a bit, in some block, so none is missed.
 BLOCKS = 8
 RADIUS = 2 * BLOCKS - 1
-#: Benchmarks of at most so many distinct shingles are broadcast; larger ones are joined by shuffling.
-BROADCAST_SHINGLES = 1_000_000
+#: Tables of a benchmark with at most so many rows are broadcast; larger ones are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 
 
 def _words(text: Column) -> Column:
@@ -28,20 +30,67 @@ def _shingles(words: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _simhash(shingles: Column) -> Column:
-    """The 64-bit SimHash of shingle hashes, repeats included."""
+@dataclass(frozen=True)
+class Counters:
+    """How often each of 64 bits is set in a window, several counters in a long: ``width`` bits each, ``lanes`` of them."""
+
+    width: int
+    lanes: int
+
+    @staticmethod
+    def up_to(most: int) -> Counters:
+        """Counters that hold ``most`` without running over."""
+        width = max(1, most).bit_length()
+        return Counters(width, min(8, 63 // width))
+
+    def spread(self, shingles: Column) -> Column:
+        """A struct of arrays: for each long its counters of each shingle alone."""
+        table = F.array(*[F.lit(sum((b >> i & 1) << i * self.width for i in range(self.lanes))).cast("long") for b in range(1 << self.lanes)])
+        part = lambda k: lambda x: F.get(table, F.call_function("shiftrightunsigned", x, F.lit(k)).bitwiseAND(F.lit((1 << self.lanes) - 1)).cast("int"))
+        return F.struct(*[F.transform(shingles, part(k)).alias(f"p{k}") for k in range(0, 64, self.lanes)])
 
-    def bit(h: Column, k: int) -> Column:
-        ones = F.aggregate(h, F.lit(0), lambda n, x: n + F.call_function("shiftrightunsigned", x, F.lit(k)).bitwiseAND(F.lit(1)).cast("int"))
-        return F.when(2 * ones > F.size(h), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
+    def simhash(self, spread: Column, start: Column, n: Column) -> Column:
+        """The SimHash of ``n`` shingles from place ``start`` on, repeats included."""
+        add = lambda total, x: total + x
+        sums = F.struct(*[F.aggregate(F.slice(spread[f"p{k}"], start + 1, n), F.lit(0).cast("long"), add).alias(f"p{k}") for k in range(0, 64, self.lanes)])
 
-    def all_bits(h: Column) -> Column:
-        total = bit(h, 0)
-        for k in range(1, 64):
-            total = total.bitwiseOR(bit(h, k))
-        return total
+        def bits(held: Column) -> Column:
+            total = F.lit(0).cast("long")
+            for b in range(64):
+                count = F.call_function("shiftrightunsigned", held[f"p{b // self.lanes * self.lanes}"], F.lit(b % self.lanes * self.width)).bitwiseAND(F.lit((1 << self.width) - 1))
+                total = total.bitwiseOR(F.when(2 * count > n, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+            return total
 
-    return let(shingles, all_bits)
+        return let(sums, bits)
+
+
+def _windows(hits: Column, n_words: Column, sizes: list[int], similarity: float) -> Column:
+    """All windows (size, start, n) of the given sizes in words, ``n`` shingles each, that can be similar to an item.
+
+    ``hits`` are the places, in order, of the document's shingles that occur in some item. Two windows
+    of m and n shingles reach the similarity only if they share s/(1+s) (m+n) of them, so a window
+    must hold as many places of ``hits``. Its first one, hits[j], gives its starts as a range: after
+    hits[j-1], and late enough to reach hits[j + least - 1]. A document shorter than an item is one window.
+    """
+    rows = []
+    for size in sizes:
+        m = size - SHINGLE + 1
+        short = n_words < size
+        n = F.when(short, n_words - SHINGLE + 1).otherwise(F.lit(m))
+        least = F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).cast("int")
+        rows.append(F.struct(F.lit(size).alias("size"), n.cast("int").alias("n"), F.greatest(least, F.lit(1)).alias("least"), F.when(short, 0).otherwise(n_words - size).cast("int").alias("last")))
+
+    def starts(w: Column) -> Column:
+        def of(j: Column) -> Column:
+            low = F.greatest(F.coalesce(F.get(hits, j - 1) + 1, F.lit(0)), F.get(hits, j + w["least"] - 1) - w["n"] + 1, F.lit(0))
+            high = F.least(F.get(hits, j), w["last"])
+            some = F.transform(F.sequence(low, F.greatest(low, high)), lambda at: F.struct(w["size"].alias("size"), at.alias("start"), w["n"].alias("n")))
+            return F.when(low <= high, some).otherwise(F.array().cast("array<struct<size:int,start:int,n:int>>"))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits) - w["least"]), of))
+
+    usable = F.filter(F.array(*rows), lambda w: (w["n"] > 0) & (w["least"] <= w["n"]) & (w["least"] <= F.size(hits)))
+    return F.flatten(F.transform(usable, starts))
 
 
 def _block(fp: Column, k: Column | int) -> Column:
@@ -61,40 +110,48 @@ def _similarity(a: Column, b: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (doc_id, text_hash, item_id, start, n_words, similarity): each document with each item that it holds.
 
-    Words are lower-case runs of letters and digits, shingles runs of five words. A window
-    is as long as an item and lies where one of the document's shingles takes the place it
-    has in that item; windows that share no shingle with any item cannot be similar, so these
-    are all that matter. Windows and items are fingerprinted by SimHash; fingerprints within
-    RADIUS bits meet through the multi-index blocks; of those pairs the weighted Jaccard
-    similarity of the shingles themselves decides. The best window of a pair is given, then
-    the first: ``start`` counts words from 0.
+    Words are lower-case runs of letters and digits, shingles runs of five words. Windows as long
+    as an item, of every length that items have, are laid at every place where enough of their
+    shingles occur anywhere in the benchmark; others can't be similar to any item. Windows and
+    items are fingerprinted by SimHash; fingerprints of one length within RADIUS bits meet through the
+    multi-index blocks, as ids alone; of those pairs the weighted Jaccard similarity of the
+    shingles themselves decides. The best window of a pair is given, of equal ones the
+    first: ``start`` counts words from 0.
 
     Null and short texts hold nothing; items of fewer than five words are not looked for;
-    null item ids are items like others. Rows that repeat id and text give one result;
-    other columns are not read; an empty table on either side gives no rows.
+    null item ids are items like others. A document shorter than an item is compared as a whole.
+    Rows that repeat id and text give one result; other columns are not read, so their names
+    don't matter; an empty table on either side gives no rows.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("_words")).where(F.size("_words") >= SHINGLE).distinct()
-    items = written(items.withColumn("_shingles", _shingles(F.col("_words"))).withColumn("_size", F.size("_words")).withColumn("_fp", _simhash(F.col("_shingles"))), "bench-items")
-    places = items.select("_size", F.posexplode("_shingles").alias("_offset", "_hash")).distinct()
-    places = written(places.groupBy("_hash").agg(F.collect_set(F.struct("_size", "_offset")).alias("_places")), "bench-places")
-    if places.count() <= BROADCAST_SHINGLES:
-        places = F.broadcast(places)
-    # windows: one for each place that a shared shingle can have
+    items = benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("_item")).where(F.size("_item") >= SHINGLE).distinct()
+    items = written(items.withColumn("_size", F.size("_item")).withColumn("_name", F.xxhash64("item_id", F.array_join("_item", " "))), "bench-items")
+    sizes = sorted(r[0] for r in items.select("_size").distinct().collect())  # lengths of items, few
+    counters = Counters.up_to(max(sizes, default=1))
+    known = written(items.select(F.explode(_shingles(F.col("_item"))).alias("_hash")).distinct(), "bench-shingles")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key"), _words(F.col(text)).alias("_words"))
-    shared = rows.select("_id", "_key", F.size("_words").alias("_n"), F.posexplode(_shingles(F.col("_words"))).alias("_at", "_hash")).join(places, "_hash")
-    window = shared.select("_id", "_key", "_n", "_at", F.explode("_places").alias("_place")).select("_id", "_key", F.col("_place._size").alias("_size"), F.greatest(F.lit(0), F.least(F.col("_at") - F.col("_place._offset"), F.col("_n") - F.col("_place._size"))).alias("_start"))
-    windows = written(window.distinct().groupBy("_id", "_key").agg(F.collect_list(F.struct("_size", "_start")).alias("_windows")), "bench-windows")
+    shared = rows.select("_id", "_key", F.posexplode(_shingles(F.col("_words"))).alias("_at", "_hash")).join(small(known), "_hash")
+    hits = written(shared.groupBy("_id", "_key").agg(F.array_sort(F.collect_set("_at")).alias("_hits")), "bench-hits")
     texts = docs.select(F.col(doc_id).alias("_own"), F.xxhash64(text).alias("_own_key"), F.col(text).alias("_text"))
-    held = texts.join(windows, (F.col("_own_key") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id"))).select("_id", "_key", "_windows", _words(F.col("_text")).alias("_words"))
-    cut = written(held.select("_id", "_key", "_words", F.explode("_windows").alias("_w")).select("_id", "_key", "_w._size", "_w._start", F.slice("_words", F.col("_w._start") + 1, F.col("_w._size")).alias("_part")).distinct(), "bench-parts")
-    prints = written(cut.withColumn("_fp", _simhash(_shingles(F.col("_part")))), "bench-prints")
+    held = texts.join(hits, (F.col("_own_key") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id"))).select("_id", "_key", "_hits", _words(F.col("_text")).alias("_words"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = written(held.dropDuplicates(["_id", "_key"]).repartition(parts, "_key", "_id"), "bench-held")
+    print_of = lambda w: lambda p: F.struct(w["size"].alias("_size"), w["start"].alias("_start"), counters.simhash(p, w["start"], w["n"]).alias("_fp"))
+    windows = _windows(F.col("_hits"), F.size("_words"), sizes, similarity) if sizes else F.array().cast("array<struct<size:int,start:int,n:int>>")
+    printed = let(counters.spread(_shingles(F.col("_words"))), lambda p: F.transform(windows, lambda w: print_of(w)(p)))
+    prints = written(held.select("_id", "_key", F.explode(printed).alias("_w")).select("_id", "_key", "_w.*"), "bench-prints")
     block = F.array(*[F.lit(k) for k in range(BLOCKS)])
     flips = F.array(F.lit(0), *[F.lit(1 << k) for k in range(64 // BLOCKS)])
-    filed = items.select("item_id", "_size", F.col("_words").alias("_item"), F.col("_fp").alias("_item_fp"), F.explode(block).alias("_block")).withColumn("_flip", F.explode(flips)).withColumn("_value", _block(F.col("_item_fp"), F.col("_block")).bitwiseXOR(F.col("_flip").cast("long"))).drop("_flip")
+    whole = let(counters.spread(_shingles(F.col("_item"))), lambda p: counters.simhash(p, F.lit(0), F.col("_size") - SHINGLE + 1))
+    filed = items.select("_name", "_size", whole.alias("_item_fp")).withColumn("_block", F.explode(block)).withColumn("_flip", F.explode(flips))
+    filed = written(filed.withColumn("_value", _block(F.col("_item_fp"), F.col("_block")).bitwiseXOR(F.col("_flip").cast("long"))).drop("_flip"), "bench-filed")
     asked = prints.withColumn("_block", F.explode(block)).withColumn("_value", _block(F.col("_fp"), F.col("_block")))
-    near = asked.join(filed, ["_size", "_block", "_value"]).where(F.bit_count(F.col("_fp").bitwiseXOR(F.col("_item_fp"))) <= RADIUS)
+    near = asked.join(small(filed), ["_size", "_block", "_value"]).where(F.bit_count(F.col("_fp").bitwiseXOR(F.col("_item_fp"))) <= RADIUS)
+    near = near.select("_id", "_key", "_start", "_name").distinct()
     runs = lambda words: F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
-    scored = near.select("_id", "_key", "item_id", "_start", "_size", "_part", "_item").distinct().withColumn("_similarity", let(F.struct(runs(F.col("_part")).alias("a"), runs(F.col("_item")).alias("b")), lambda s: _similarity(s["a"], s["b"])))
+    own = held.select(F.col("_id").alias("_own"), F.col("_key").alias("_own_key"), "_words")
+    met = near.join(items, "_name").join(own, (F.col("_own_key") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id")))
+    scored = met.withColumn("_part", F.slice("_words", F.col("_start") + 1, F.col("_size"))).withColumn("_similarity", let(F.struct(runs(F.col("_part")).alias("a"), runs(F.col("_item")).alias("b")), lambda s: _similarity(s["a"], s["b"])))
     best = F.max(F.struct("_similarity", (-F.col("_start")).alias("_back"), "_size")).alias("_best")
     found = scored.where(F.col("_similarity") >= similarity).groupBy("_id", "_key", "item_id").agg(best)
     return found.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_hash"), "item_id", (-F.col("_best._back")).alias("start"), F.col("_best._size").alias("n_words"), F.col("_best._similarity").alias("similarity"))
@@ -105,7 +162,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item, with all their columns.
+
+    Documents with null or short texts stay, as do those with null ids; rows that repeat id and
+    text stay or go together; an empty table or benchmark takes nothing away.
+    """
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     found = written(found, "bench-found")
     return docs.join(found, (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
@@ -127,16 +188,16 @@ WITH dw AS (
 ), i AS (
   SELECT item_id, size, o, array_to_string(w[o + 1:o + 5], ' ') AS s FROM isr
 ), win AS (
-  SELECT DISTINCT d.id, i.size, greatest(0, least(d.p - i.o, d.n - i.size)) AS start FROM d JOIN i ON d.s = i.s
+  SELECT DISTINCT id, item_id, size, start FROM (SELECT d.id, i.item_id, i.size, d.n, unnest(range(greatest(0, d.p - i.size + 5), d.p + 1)) AS start FROM d JOIN i ON d.s = i.s) WHERE start <= greatest(0, n - size)
 ), wc AS (
-  SELECT win.id, win.start, win.size, d.s, count(*) AS c FROM win JOIN d ON d.id = win.id AND d.p >= win.start AND d.p <= win.start + win.size - 5 GROUP BY ALL
+  SELECT win.id, win.item_id, win.start, win.size, d.s, count(*) AS c FROM win JOIN d ON d.id = win.id AND d.p >= win.start AND d.p <= win.start + win.size - 5 GROUP BY ALL
 ), ic AS (
   SELECT item_id, size, s, count(*) AS c FROM i GROUP BY ALL
 ), both_ AS (
-  SELECT wc.id, ic.item_id, wc.start, wc.size, sum(least(wc.c, ic.c)) AS m FROM wc JOIN ic ON wc.size = ic.size AND wc.s = ic.s GROUP BY ALL
+  SELECT wc.id, ic.item_id, wc.start, wc.size, sum(least(wc.c, ic.c)) AS m FROM wc JOIN ic ON wc.item_id = ic.item_id AND wc.s = ic.s GROUP BY ALL
 ), sim AS (
   SELECT b.id AS doc_id, b.item_id, b.start, b.size, b.m::DOUBLE / ((SELECT sum(c) FROM ic WHERE ic.item_id = b.item_id) + t.n - b.m) AS similarity
-  FROM both_ b JOIN (SELECT id, start, size, sum(c) AS n FROM wc GROUP BY ALL) t ON t.id = b.id AND t.start = b.start AND t.size = b.size
+  FROM both_ b JOIN (SELECT id, item_id, start, sum(c) AS n FROM wc GROUP BY ALL) t ON t.id = b.id AND t.item_id = b.item_id AND t.start = b.start
 )
 SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(size AS INTEGER) AS n_words, similarity
 FROM sim WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
