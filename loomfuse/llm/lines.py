@@ -9,7 +9,11 @@ from loomfuse.llm.common import let, table, written
 
 #: A chunk ends after a line if the rolling hash of so many lines up to it leaves no remainder by DIVISOR.
 WINDOW, DIVISOR, BASE = 2, 3, 31
-LEAST_LINES = 2
+#: A line of so many characters is a chunk of its own, so that it is found wherever it stands.
+LONG_LINE = 60
+#: A chunk alone is looked for if it has so many lines, or so many blanks between words; chunks side by side always are.
+LEAST_LINES, LEAST_BLANKS = 2, 50
+BLANKS = " \t\r\n"
 
 
 def _chunks(text: Column) -> Column:
@@ -27,7 +31,8 @@ def _chunks(text: Column) -> Column:
 
     def cut(lines: Column) -> Column:
         last = F.size(lines) - 1
-        ends = lambda hashes: F.filter(F.sequence(F.lit(0), last), lambda i: (rolling(hashes, i) % DIVISOR == 0) | (i == last))
+        long = lambda i: F.coalesce(F.length(F.get(lines, i)) >= LONG_LINE, F.lit(False))
+        ends = lambda hashes: F.filter(F.sequence(F.lit(0), last), lambda i: long(i) | long(i + 1) | (rolling(hashes, i) % DIVISOR == 0) | (i == last))
         hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
         return let(let(hashes, ends), lambda e: F.transform(e, lambda end, i: chunk(lines, F.when(i == 0, F.lit(0)).otherwise(F.get(e, i - 1) + 1), end)))
 
@@ -43,28 +48,55 @@ def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_key", F.xxhash64(text)).withColumn("_chunks", F.when(F.col(text).isNotNull(), _chunks(F.col(text))))
 
 
+def _units(chunks: Column) -> Column:
+    """What is looked for in other places: (at, pair, a, b), hashes of chunks alone (pair 0, b 0) and of two side by side (pair 1)."""
+
+    def told(c: Column) -> Column:
+        bare = F.length(F.translate(c["text"], BLANKS, ""))
+        fine = bare > 0
+        alone = fine & ((c["lines"] >= LEAST_LINES) | (F.length(c["text"]) - bare >= LEAST_BLANKS))
+        return F.struct(F.xxhash64(c["text"]).alias("h"), fine.alias("fine"), alone.alias("alone"))
+
+    def both(t: Column, i: Column, every: Column) -> Column:
+        next_ = F.get(every, i + 1)
+        unit = lambda ok, pair, b: F.struct(ok.alias("ok"), i.alias("at"), F.lit(pair).alias("pair"), t["h"].alias("a"), b.alias("b"))
+        beside = F.coalesce(t["fine"] & next_["fine"], F.lit(False))
+        return F.array(unit(t["alone"], 0, F.lit(0).cast("long")), unit(beside, 1, F.coalesce(next_["h"], F.lit(0).cast("long"))))
+
+    every = let(F.transform(chunks, told), lambda ts: F.flatten(F.transform(ts, lambda t, i: both(t, i, ts))))
+    return F.filter(every, lambda u: u["ok"])
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated chunks taken out of the text, and (n_chunks, n_removed) beside its columns.
 
-    Texts are cut into lines and lines into chunks where the rolling hash of the last
-    WINDOW line hashes says so, so that equal passages are cut alike wherever they stand.
-    Of chunks of LEAST_LINES lines or more with equal bytes, blank ones aside, the first
-    stays (by id, nulls first, then text hash, then place), all others go. Only hashes are
-    compared across documents at first; the texts of repeated chunks are then compared byte
-    by byte, and chunks whose hash stands for several texts stay.
+    Texts are cut into lines and lines into chunks: where the rolling hash of the last WINDOW
+    line hashes says so, and around each line of LONG_LINE characters, so that equal passages are cut
+    alike wherever they stand. Repeated passages are chunks of several lines, or of many words,
+    and any two chunks side by side, that stand elsewhere too with equal bytes, blank chunks aside.
+    Of equal passages the first stays (by id, nulls first, then text hash, then place), all
+    others go; so of a chunk that goes an equal one always stands before it. Only hashes are
+    compared across documents at first; the texts of repeated chunks are then compared byte by
+    byte, and chunks whose hash stands for several texts stay.
 
     A null text stays null with no chunks; an empty text is one blank chunk. Rows that
     repeat both id and text are one document: they keep or lose the same chunks. Texts
-    that lose all lines become empty. Other columns pass, but the names (n_chunks,
-    n_removed) must be free; names that begin with an underscore are the operator's own.
+    that lose all lines become empty. Other columns pass; ValueError if one of them is named
+    n_chunks or n_removed, or begins with an underscore.
     """
-    chunked = with_chunks(docs.withColumn("_id", F.col(doc_id)), text)
-    each = chunked.select("_id", "_key", F.posexplode("_chunks").alias("_at", "_chunk")).where((F.col("_chunk.lines") >= LEAST_LINES) & (F.trim(F.regexp_replace("_chunk.text", r"\s+", "")) != ""))
-    hashed = written(each.select("_id", "_key", "_at", F.xxhash64("_chunk.text").alias("_hash")), "line-chunks")
+    if taken := [c for c in docs.columns if c in ("n_chunks", "n_removed") or c.startswith("_")]:
+        raise ValueError(f"the names of these columns are the operator's own: {', '.join(taken)}")
+    chunked = with_chunks(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text")
+    each = chunked.select("_id", "_key", F.explode(_units(F.col("_chunks"))).alias("_u")).select("_id", "_key", F.col("_u.at").alias("_at"), F.col("_u.pair").alias("_pair"), F.col("_u.a").alias("_a"), F.col("_u.b").alias("_b"))
+    hashed = written(each, "line-chunks")
     place = F.struct("_id", "_key", "_at")
-    repeated = written(hashed.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").drop("_n"), "line-repeated")
-    found = hashed.join(repeated, "_hash").groupBy("_id", "_key").agg(F.collect_set(F.struct("_at", "_hash", (~place.eqNullSafe(F.col("_first"))).alias("_later"))).alias("_found"))
-    found = written(found, "line-found").select(F.col("_id").alias("_found_id"), F.col("_key").alias("_found_key"), "_found")
+    repeated = written(hashed.groupBy("_pair", "_a", "_b").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").drop("_n"), "line-repeated")
+    later = ~place.eqNullSafe(F.col("_first"))
+    entry = lambda at, h: F.struct(at.cast("int").alias("_at"), h.alias("_hash"), later.alias("_later"))
+    entries = F.when(F.col("_pair") == 1, F.array(entry(F.col("_at"), F.col("_a")), entry(F.col("_at") + 1, F.col("_b")))).otherwise(F.array(entry(F.col("_at"), F.col("_a"))))
+    found = hashed.join(repeated, ["_pair", "_a", "_b"]).select("_id", "_key", F.explode(entries).alias("_e"))
+    found = written(found.groupBy("_id", "_key").agg(F.collect_set("_e").alias("_found")), "line-found")
+    found = found.select(F.col("_id").alias("_found_id"), F.col("_key").alias("_found_key"), "_found")
     rows = docs.withColumn("_id", F.col(doc_id)).withColumn("_key", F.xxhash64(text))
     # the same join at every size: found is a fraction of the documents, so it is never broadcast
     marked = written(rows.join(found.hint("merge"), (F.col("_key") == F.col("_found_key")) & F.col("_id").eqNullSafe(F.col("_found_id")), "left").drop("_found_id", "_found_key"), "line-marked")
@@ -72,7 +104,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts = chunked.where("_found is not null").select("_chunks", F.explode("_found").alias("_f")).select(F.col("_f._hash").alias("_hash"), F.get("_chunks", F.col("_f._at"))["text"].alias("_text")).distinct()
     clashing = [r[0] for r in texts.groupBy("_hash").count().where("count > 1").collect()]  # none, unless 64-bit hashes collide
     later = F.filter("_found", lambda f: f["_later"] & ~f["_hash"].isin(clashing) if clashing else f["_later"])
-    gone = F.coalesce(F.transform(later, lambda f: f["_at"]), F.array().cast("array<int>"))
+    gone = F.coalesce(F.array_distinct(F.transform(later, lambda f: f["_at"])), F.array().cast("array<int>"))
     n = F.coalesce(F.size("_chunks"), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone"))
     shorter = let(F.col("_chunks"), lambda c: F.array_join(F.transform(kept, lambda i: F.get(c, i)["text"]), "\n"))
@@ -88,7 +120,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without repeated chunks; where lines went, ``n_chars`` is counted anew."""
+    """All documents, without repeated chunks; where lines went, ``n_chars`` is counted anew.
+
+    Null and empty texts, null ids, repeated rows and empty tables are as in ``dedup_lines``.
+    """
     shorter = dedup_lines(docs)
     return shorter.select(*[F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
@@ -100,14 +135,18 @@ WITH line AS (
   SELECT doc_id, i, ls[i] AS l, len(ls) AS n, ('0x' || substr(md5(ls[i]), 1, 8))::BIGINT AS h
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
 ), cut AS (
-  SELECT *, CASE WHEN (h + {BASE} * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % {DIVISOR} = 0 THEN 1 ELSE 0 END AS ends FROM line
+  SELECT *, CASE WHEN length(l) >= {LONG_LINE} OR coalesce(length(lead(l) OVER w), 0) >= {LONG_LINE} OR (h + {BASE} * coalesce(lag(h) OVER w, 0)) % {DIVISOR} = 0 THEN 1 ELSE 0 END AS ends FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), numbered AS (
   SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM cut
 ), chunk AS (
   SELECT doc_id, c, count(*) AS lines, string_agg(l, chr(10) ORDER BY i) AS t FROM numbered GROUP BY doc_id, c
-), marked AS (
-  SELECT *, lines >= {LEAST_LINES} AND regexp_replace(t, '\\s+', '', 'g') <> '' AND row_number() OVER (PARTITION BY t, lines >= {LEAST_LINES} ORDER BY doc_id, c) > 1 AS gone FROM chunk
+), told AS (
+  SELECT *, length(regexp_replace(t, '[ \t\r\n]', '', 'g')) AS bare, lead(t) OVER (PARTITION BY doc_id ORDER BY c) AS t2 FROM chunk
+), gone AS (
+  SELECT doc_id, c FROM (SELECT doc_id, c, row_number() OVER (PARTITION BY t ORDER BY doc_id, c) AS k FROM told WHERE bare > 0 AND (lines >= {LEAST_LINES} OR length(t) - bare >= {LEAST_BLANKS})) WHERE k > 1
+  UNION
+  SELECT doc_id, unnest([c, c + 1]) FROM (SELECT doc_id, c, row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, c) AS k FROM told WHERE bare > 0 AND length(regexp_replace(t2, '[ \t\r\n]', '', 'g')) > 0) WHERE k > 1
 )
-SELECT doc_id, coalesce(string_agg(t, chr(10) ORDER BY c) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed
-FROM marked GROUP BY doc_id"""
+SELECT told.doc_id, coalesce(string_agg(t, chr(10) ORDER BY told.c) FILTER (WHERE gone.c IS NULL), '') AS text, count(*) AS n_chunks, count(gone.c) AS n_removed
+FROM told LEFT JOIN gone ON gone.doc_id = told.doc_id AND gone.c = told.c GROUP BY told.doc_id"""
 }
