@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomfuse.llm.common import table, written
 
 SHARDS = 16
 #: Bits of each quantised dimension.
 BITS = 4
-#: Rows of one curve cell are told apart by the first dimension at so many bits more, then by a hash.
-FINE_BITS, SALTS = 10, 64
+#: Rows of one curve cell are told apart by so many cells of the first dimension, then by a hash.
+FINE, SALTS = 128, 64
 
 
 def hilbert_states(n: int) -> tuple[list[int], list[int]]:
@@ -54,42 +55,68 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(levels, F.struct(F.lit(0).alias("state"), F.lit(0).alias("place")), step, lambda s: s["place"])
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A dimension as a number that keeps its order; of a string, its first seven bytes. Null counts as lowest."""
-    if dict(df.dtypes)[name] in ("string", "binary"):
-        head = F.hex(F.substring(F.rpad(F.encode(F.coalesce(F.col(name), F.lit("")), "utf-8"), 7, F.lit(b"\0")), 1, 7))
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(name).cast("double")
+def _order(df: DataFrame, name: str) -> Column:
+    """A dimension as values in order: text and bytes by their bytes, anything else as it compares."""
+    return F.encode(F.col(name), "utf-8") if dict(df.dtypes)[name] == "string" else F.col(name)
 
 
-def _cell(value: Column, low: float | None, high: float | None, bits: int) -> Column:
-    if low is None or high is None or not high > low:
-        return F.lit(0)
-    part = (value - low) / (high - low) * (1 << bits)
-    return F.coalesce(F.least(F.greatest(F.floor(part), F.lit(0)), F.lit((1 << bits) - 1)), F.lit(0)).cast("int")
+def _cuts(rows: DataFrame, values: dict[str, Column], parts: dict[str, int]) -> dict[str, list]:
+    """For each dimension its cut points: of numbers from sketches of bounded size, all in one pass; of others from counts of values."""
+    numeric = [d for d in values if isinstance(rows.schema[d].dataType, T.NumericType)]
+    found = {d: _cut_points(rows.select(values[d].alias("v")), parts[d]) for d in values if d not in numeric}
+    if numeric:
+        at = lambda d: F.percentile_approx(values[d], [k / parts[d] for k in range(1, parts[d])], 100 * parts[d]).alias(d)
+        found |= {d: sorted(set(x or [])) for d, x in rows.agg(*map(at, numeric)).first().asDict().items()}
+    return found
+
+
+def _cut_points(values: DataFrame, parts: int) -> list:
+    """At most ``parts`` - 1 values that divide the non-null rows of the one column ``v`` about evenly, a value that is frequent once.
+
+    Values are counted once each, then laid out in ranges by Spark's sort, and each range tells how many rows it
+    holds: the cuts are the values at whose rows the shares of the whole begin.
+    """
+    counts = written(values.where("v is not null").groupBy("v").count().orderBy("v").withColumn("at", F.monotonically_increasing_id()), "hilbert-values")
+    ranges = counts.groupBy(F.shiftright("at", 33).alias("range")).agg(F.sum("count").alias("n"))  # a row for each range
+    before = ranges.select("range", F.sum("n").over(Window.orderBy("range")).alias("to"), F.col("n"))
+    total = ranges.agg(F.sum("n")).first()[0] or 0
+    inside = counts.withColumn("range", F.shiftright("at", 33)).join(F.broadcast(before.select("range", (F.col("to") - F.col("n")).alias("before"))), "range")
+    upto = F.col("before") + F.sum("count").over(Window.partitionBy("range").orderBy("at"))
+    share = lambda n: F.floor((n - 1) * parts / max(1, total))
+    placed = inside.withColumn("share", share(upto)).withColumn("prior", share(upto - F.col("count")))
+    cuts = placed.where("prior >= 0 and share > prior").orderBy("at").select("v").collect()  # parts - 1 at most
+    return [r["v"] for r in cuts]
+
+
+def _cell(value: Column, cuts: list) -> Column:
+    """How many of the cut points a value reaches; null counts as lowest."""
+    return sum((F.coalesce((value >= F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
 
 
 def hilbert_shards(rows: DataFrame, dimensions: list[str], ties: list[str], shards: int = SHARDS) -> DataFrame:
     """``rows`` with columns (shard int, slot long): runs of a Hilbert curve, their counts at most one apart.
 
-    Each dimension's range is cut into 2^BITS equal cells; rows are ordered by the curve
-    through the cells, inside a cell by the first dimension at a finer scale and then by a
+    Each dimension is cut into 2^BITS cells of about as many rows each, so outliers don't matter; rows are
+    ordered by the curve through the cells, inside a cell by finer cells of the first dimension and then by a
     hash, and ``ties`` settle the rest. A row's rank is the sum of offsets taken from counts
     on three levels (256 top parts of the curve, the cells of each, the fine parts of each
     cell) and its place in its fine part, so no task sorts more than a fine part. Nulls lie
     in the lowest cell. Rows alike in all of these are ordered arbitrarily, which changes no
-    row's content. An empty table gives no rows. The columns (shard, slot) must not exist.
+    row's content. An empty table gives no rows. ValueError if a column is named shard or slot, or
+    begins with an underscore and names one of the operator's own.
     """
-    names = {d: f"_d{i}" for i, d in enumerate(dimensions)}
-    numbered = rows.select("*", *[_number(rows, d).alias(n) for d, n in names.items()])
-    ends = numbered.agg(*[f(n).alias(f"{n}{k}") for n in names.values() for k, f in (("low", F.min), ("high", F.max))], F.count("*").alias("n")).first()
-    low, high = ({n: ends[f"{n}{k}"] for n in names.values()} for k in ("low", "high"))
-    first, total = names[dimensions[0]], ends["n"]
+    own = {"shard", "slot", "_h", "_fine", "_salt", "_top", "_place", "_start", "_rank"}
+    if taken := own.intersection(rows.columns):
+        raise ValueError(f"the names of these columns are the operator's own: {', '.join(sorted(taken))}")
+    values = {d: _order(rows, d) for d in dimensions}
+    first, total = dimensions[0], rows.count()
+    cuts = _cuts(rows, values, dict.fromkeys(values, 1 << BITS))
+    fine_cuts = _cuts(rows, {first: values[first]}, {first: FINE})[first]
     bits = BITS * len(dimensions)
-    placed = numbered.select(
+    placed = rows.select(
         *rows.columns,
-        hilbert_index([_cell(F.col(n), low[n], high[n], BITS) for n in names.values()]).alias("_h"),
-        _cell(F.col(first), low[first], high[first], BITS + FINE_BITS).alias("_fine"),
+        hilbert_index([_cell(values[d], cuts[d]) for d in dimensions]).alias("_h"),
+        _cell(values[first], fine_cuts).alias("_fine"),
         F.pmod(F.xxhash64(*ties), F.lit(SALTS)).cast("int").alias("_salt"),
     )
     placed = placed.withColumn("_top", F.shiftright("_h", max(0, bits - 8)))

@@ -293,6 +293,29 @@ def test_sharding(spark, odd, none, small):
     assert len(rows) == len(texts) and sorted(shards) == list(range(16))
     assert all(sorted(s) == list(range(len(s))) for s in shards.values())
     assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+    # against a plain sort: cells by the cut points, places on the curve, fine cells and a hash of the ties
+    numbers = spark.createDataFrame([(i if i % 50 else 10**17 + i, f"{'source' * 3}{i % 7}", float(i * i % 97)) for i in range(400)], "doc_id long, source string, size double")
+    dims = ["doc_id", "source", "size"]
+    values = {d: sharding._order(numbers, d) for d in dims}
+    cuts = sharding._cuts(numbers, values, dict.fromkeys(values, 16))
+    assert all(10 <= len(cuts[d]) <= 15 for d in ("doc_id", "size")) and len(cuts["source"]) == 6  # an outlier or a shared prefix hides nothing
+    fine = sharding._cuts(numbers, {"doc_id": values["doc_id"]}, {"doc_id": sharding.FINE})["doc_id"]
+    places, following = sharding.hilbert_states(3)
+    salt = {r.doc_id: r.s for r in numbers.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(sharding.SALTS))).collect()}
+
+    def place_of(r):
+        cell = [sum((r[d].encode() if d == "source" else r[d]) >= c for c in cuts[d]) for d in dims]
+        state = place = 0
+        for k in reversed(range(sharding.BITS)):
+            at = state * 8 + sum((x >> k & 1) << j for j, x in enumerate(cell))
+            place, state = place * 8 + places[at], following[at]
+        return place, sum(r.doc_id >= c for c in fine), salt[r.doc_id], r.doc_id
+
+    order = [r.doc_id for r in sorted(numbers.collect(), key=place_of)]
+    got = sharding.hilbert_shards(numbers, dims, ["doc_id"], 7).orderBy("shard", "slot").collect()
+    assert [r.doc_id for r in got] == order and [r.shard for r in got] == [i * 7 // 400 for i in range(400)]
+    with pytest.raises(ValueError):
+        sharding.hilbert_shards(numbers.withColumn("slot", F.lit(1)), dims, ["doc_id"])
     placed = sharding.hilbert_shards(odd.withColumn("size", F.length("text")), ["doc_id", "source", "lang", "size"], ["doc_id", "size"], 4)
     assert placed.count() == odd.count()
     assert sharding.hilbert_shards(none, ["doc_id", "lang"], ["doc_id"]).count() == 0
