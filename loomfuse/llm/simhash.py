@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomfuse.llm.common import table, written
 from loomfuse.llm.components import components
 from loomfuse.llm.forest import Forest
-from loomfuse.llm.near import near_copies
+from loomfuse.llm.near import first_copies
 
 WORDS, SEED, BUDGET = 3, 42, 2
 #: Node pairs of the trie with more fingerprints are divided before a task traverses them.
@@ -187,10 +187,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of similar texts: that with the smallest id (nulls last), then text hash; of repeated rows, one.
 
-    Here similar means five-word shingles at Jaccard similarity 0.8, verified; op9's fingerprints are the query's contract alone.
+    Here similar means five-word shingles at Jaccard similarity 0.8, verified: texts that similar differ in ten of 64 fingerprint
+    bits and more, for which the trie prunes nothing, so ``near`` finds them. Null and blank texts are copies of each
+    other; an empty table gives no rows; further columns pass, but names that begin with an underscore are the stage's own.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    kept = near_copies(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    kept = first_copies(docs, first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     rows = docs.withColumn("_text_hash", F.xxhash64("text"))
     chosen = rows.join(kept, (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return chosen.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
