@@ -14,30 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfuse.llm.common import table, written
+from loomfuse.llm.notices import TEMPLATES
 
 THRESHOLD = 0.7
-#: A file is a licence file if its name says so, or if licence lines hold this share of its words.
+#: Lines with telling terms that are no further apart belong to one notice.
+NEAR_LINES = 3
+#: A file is a licence file if its name says so, or if one notice holds this share of its words.
 LICENCE_SHARE = 0.5
 LICENCE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][^/]*)?$"
 
-#: Notices as they stand in headers and licence files; callers may pass their own.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
-
 _terms = re.compile("[a-z0-9]+").findall
 
 
@@ -46,102 +31,114 @@ def terms(text: str) -> Counter:
     return Counter(_terms(text.lower()))
 
 
+def idf(documents: int, having: int) -> float:
+    return math.log((1 + documents) / (1 + having)) + 1
+
+
 @dataclass
 class Matcher:
-    """Cosines of lines to templates. Terms that no template has weigh as if no document had them."""
+    """Templates as rows of a term matrix, scaled to length 1 by TF-IDF, and the terms that tell of one."""
 
     names: list[str]
-    vectors: list[dict[str, float]]
-    idf: dict[str, float]
-    unseen: float
+    place: dict[str, int]
+    weights: np.ndarray
     threshold: float
-    anchors: list[str]
+    anchors: frozenset[str]
 
     @staticmethod
     def of(templates, documents: int, having: dict[str, int], threshold: float) -> Matcher:
         counted = [(name, terms(text)) for name, text in templates]
-        idf = {t: math.log((1 + documents) / (1 + having.get(t, 0))) + 1 for _, c in counted for t in c}
-        vectors, anchors = [], set()
-        for _, c in counted:
-            v = {t: k * idf[t] for t, k in c.items()}
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            vectors.append(v := {t: x / norm for t, x in v.items()})
-            # a line with none of the heaviest terms can't reach the threshold by the others
+        place = {t: i for i, t in enumerate(sorted({t for _, c in counted for t in c}))}
+        weights = np.zeros((len(counted), len(place)))
+        for row, (_, c) in zip(weights, counted, strict=True):
+            for t, k in c.items():
+                row[place[t]] = k * idf(documents, having.get(t, 0))
+        weights /= np.sqrt((weights**2).sum(1))[:, None]
+        words, anchors = list(place), set()
+        for row in weights:
+            # what has none of a template's heaviest terms can't reach the threshold by the others
             rest = 1.0
-            for t, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+            for i in sorted(range(len(words)), key=lambda i: (-row[i], words[i])):
                 if rest < threshold**2:
                     break
-                anchors.add(t)
-                rest -= x * x
-        return Matcher([n for n, _ in counted], vectors, idf, math.log(1 + documents) + 1, threshold, sorted(anchors))
-
-    def line(self, text: str) -> tuple[float, str] | None:
-        """The best (cosine, licence) of a line at or above the threshold; of equal ones, the first licence by name."""
-        c = terms(text)
-        v = {t: k * self.idf.get(t, self.unseen) for t, k in c.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        best = None
-        for name, template in zip(self.names, self.vectors, strict=True):
-            cosine = round(sum(x * v.get(t, 0.0) for t, x in template.items()) / norm, 12) if norm else 0.0
-            if cosine >= self.threshold and (best is None or (-cosine, name) < (-best[0], best[1])):
-                best = (cosine, name)
-        return best
-
-    def file(self, text: str | None) -> tuple[str | None, float | None, float]:
-        """A whole text's licence and cosine, by its best line or else as one text, and the share of words in licence lines."""
-        low = (text or "").lower()
-        if not any(a in low for a in self.anchors):
-            return None, None, 0.0
-        found, words = [], 0
-        for line in low.split("\n"):
-            if any(a in line for a in self.anchors) and (hit := self.line(line)):
-                found.append(hit)
-                words += len(line.split())
-        if not found and (hit := self.line(low)):
-            found, words = [hit], len(low.split())
-        if not found:
-            return None, None, 0.0
-        cosine, name = min(found, key=lambda p: (-p[0], p[1]))
-        return name, cosine, words / max(1, len(low.split()))
+                anchors.add(words[i])
+                rest -= row[i] ** 2
+        return Matcher([n for n, _ in counted], place, weights, threshold, frozenset(anchors))
+
+    def stretches(self, text: str | None) -> list[str]:
+        """What of a text may be a notice: lines with a telling term, the runs of lines around those that lie near
+        each other, the lines up to the first blank one, and the whole text; each once."""
+        lines = [x.strip() for x in (text or "").lower().split("\n")]
+        told = [i for i, x in enumerate(lines) if not self.anchors.isdisjoint(_terms(x))]
+        if not told:
+            return []
+        runs, start = [], told[0]
+        for i, j in zip(told, [*told[1:], len(lines) + NEAR_LINES + 1], strict=True):
+            if j - i > NEAR_LINES:
+                runs.append("\n".join(lines[start : i + 1]))
+                start = j
+        head = next((i for i, x in enumerate(lines) if not x), len(lines))
+        return list(dict.fromkeys([*(lines[i] for i in told), *runs, *(["\n".join(lines[:head])] if told[0] < head else []), "\n".join(lines)]))
+
+    def best(self, units: list[tuple[list[str], np.ndarray]]) -> list[tuple[float, str] | None]:
+        """For each unit, its terms and their weights, the best (cosine, licence) at or above the threshold; of equal ones the first by name."""
+        x = np.zeros((len(units), len(self.place)))
+        for row, (words, w) in zip(x, units, strict=True):
+            at = [(self.place[t], v) for t, v in zip(words, w, strict=True) if t in self.place]
+            for i, v in at:
+                row[i] = v
+        norm = np.sqrt([(w**2).sum() for _, w in units])
+        cosines = np.round((x @ self.weights.T) / np.maximum(norm, 1e-300)[:, None], 12)
+        found = [min(((-c, n) for c, n in zip(row, self.names, strict=True) if c >= self.threshold), default=None) for row in cosines]
+        return [(-f[0], f[1]) if f else None for f in found]
 
 
 def license_scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, path: str = "path", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows (doc_id, path, own_license, own_similarity, is_license_file, inherited_license, inherited_from, license), one for each row of ``files``.
 
-    A first pass counts in how many of all documents each template term occurs; a second
-    compares every line that holds a telling term, and otherwise the whole text, with each
-    template by TF-IDF cosine. A licence file speaks for its directory (of several, the one
-    of highest cosine, then lowest licence name). Each directory takes the licence of the
-    nearest directory on its path that has one, by a join of distinct directories' ancestors;
-    ``license`` is a file's own, else its directory's.
+    Spark counts in how many documents each term occurs. Of each text the lines that hold a
+    telling term, the runs of lines around them, the head and the whole are compared with each
+    template by TF-IDF cosine, once for each distinct stretch of text; the best speaks for the file. A licence file
+    speaks for its directory (of several, the one of highest cosine, then lowest licence name).
+    Each directory takes the licence of the nearest directory on its path that has one, by a
+    join of distinct directories' ancestors; ``license`` is a file's own, else its directory's.
 
     Null and empty texts have no licence of their own; a null path has no directory and
-    inherits nothing. Repeated rows are judged each for itself; other columns are not read;
+    inherits nothing. Repeated rows are judged each for itself; other columns are not read, so their names don't matter;
     an empty table gives no rows. Templates are few and fixed, so what is sent to tasks is too.
     """
     vocabulary = sorted({t for _, x in templates for t in terms(x)})
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, n, documents = {t: i for i, t in enumerate(vocabulary)}, np.zeros(len(vocabulary) + 1, np.int64), 0
-        known = set(place)
+    split = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda t: t != "")
+    having = files.select(F.explode(split(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("having"))
+    having = written(having, "license-terms")
+    documents = files.count()
+    known = {r["term"]: r["having"] for r in having.where(F.col("term").isin(vocabulary)).collect()}  # the templates' terms
+    matcher = files.sparkSession.sparkContext.broadcast(Matcher.of(templates, documents, known, threshold))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            documents += len(b)
-            for t in b.column(0).to_pylist():
-                for term in known.intersection(_terms((t or "").lower())):
-                    n[place[term]] += 1
-        n[-1] = documents
-        yield pa.RecordBatch.from_pydict({"term": [*vocabulary, ""], "n": n})
+            units = [matcher.value.stretches(t) for t in b.column(2).to_pylist()]
+            words = [len((t or "").split()) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.int64()), pa.array(units, pa.list_(pa.string()))], ["doc_id", "path", "words", "units"])
 
-    counts = {r["term"]: r["n"] for r in files.select(F.col(text).alias("text")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    matcher = files.sparkSession.sparkContext.broadcast(Matcher.of(templates, counts.get("", 0), counts, threshold))
+    kind = files.schema[doc_id].dataType.simpleString()
+    rows = files.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(cut, f"doc_id {kind}, path string, words long, units array<string>")
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "license-units")
+    units = written(rows.select(F.explode("units").alias("unit")).distinct(), "license-distinct")
+    said = units.select("unit", F.explode(F.filter(F.split("unit", "[^a-z0-9]+"), lambda t: t != "")).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("times"))
+    weighed = said.join(having, "term").groupBy("unit").agg(F.collect_list(F.struct("term", "times", "having")).alias("terms"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, cosines, shares = zip(*map(matcher.value.file, b.column(2).to_pylist()), strict=True) if len(b) else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(cosines, pa.float64()), pa.array(shares, pa.float64())], ["doc_id", "path", "own_license", "own_similarity", "share"])
-
-    kind = files.schema[doc_id].dataType.simpleString()
-    rows = files.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(scan, f"doc_id {kind}, path string, own_license string, own_similarity double, share double")
+            found = [(sorted((t["term"], t["times"], t["having"]) for t in u)) for u in b.column(1).to_pylist()]
+            best = matcher.value.best([([t for t, _, _ in u], np.array([k * idf(documents, h) for _, k, h in u])) for u in found]) if found else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x and x[1] for x in best], pa.string()), pa.array([x and x[0] for x in best], pa.float64())], ["unit", "name", "cosine"])
+
+    hits = written(weighed.mapInArrow(judge, "unit string, name string, cosine double").where("name is not null"), "license-hits")
+    each = rows.select("_row", "words", F.explode("units").alias("unit")).join(hits, "unit")
+    long = F.size(F.split(F.trim("unit"), r"\s+"))
+    own = each.groupBy("_row").agg(F.min(F.struct((-F.col("cosine")).alias("s"), "name")).alias("b"), F.max(long / F.greatest("words", F.lit(1))).alias("share"))
+    rows = rows.drop("units").join(own.select("_row", F.col("b.name").alias("own_license"), (-F.col("b.s")).alias("own_similarity"), "share"), "_row", "left")
     says = F.coalesce(F.col("own_license").isNotNull() & (F.col("path").rlike(LICENCE_NAME) | (F.col("share") >= LICENCE_SHARE)), F.lit(False))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
     rows = written(rows.select("doc_id", "path", "own_license", "own_similarity", says.alias("is_license_file"), folder.alias("_folder")), "license-files")

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomfuse.llm import decontamination, embeddings, licenses, lines, packing, quality, sharding, simhash, token_counts, toxicity
+from loomfuse.llm import decontamination, embeddings, licenses, lines, notices, packing, quality, sharding, simhash, token_counts, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"Wort{i} über, naïve" for i in range(4000))
@@ -344,11 +344,25 @@ def test_licenses(spark, odd, none):
     assert [got[i].license for i in range(8)] == ["Apache-2.0", "Apache-2.0", "GPL-3.0", "MIT", "MIT", None, "CC-BY-NC-4.0", None]
     assert (got[1].inherited_from, got[4].inherited_from, got[2].inherited_license) == ("/a", "/a/d", "Apache-2.0")
     assert got[0].is_license_file and got[3].is_license_file and not got[2].is_license_file
-    # anchors lose no line: every line is compared in brute force
-    m = licenses.Matcher.of(licenses.TEMPLATES, 8, {}, licenses.THRESHOLD)
-    for _, t in files:
-        best = min([h for x in (t or "").lower().split("\n") if (h := m.line(x))], key=lambda p: (-p[0], p[1]), default=None)
-        assert best is None or m.file(t)[:2] == (best[1], best[0])
+    # an independent TF-IDF over all stretches of lines: the anchors lose no line and counts of all terms weigh
+    import math
+    import re
+
+    bags = [Counter(re.findall("[a-z0-9]+", (t or "").lower())) for _, t in files]
+    weigh = lambda c: {t: k * (math.log(9 / (1 + sum(t in b for b in bags))) + 1) for t, k in c.items()}
+    cosine = lambda a, b: sum(v * b.get(t, 0) for t, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())) if a and b else 0.0
+    templates = [(n, weigh(Counter(re.findall("[a-z0-9]+", x.lower())))) for n, x in notices.TEMPLATES]
+    for i, (_, t) in enumerate(files):
+        ls = (t or "").lower().split("\n")
+        stretches = ["\n".join(ls[a:b]) for a in range(len(ls)) for b in range(a + 1, len(ls) + 1)]
+        every = [(-round(cosine(w, weigh(Counter(re.findall("[a-z0-9]+", x)))), 12), n) for x in stretches for n, w in templates]
+        best = min((p for p in every if -p[0] >= licenses.THRESHOLD), default=None)
+        assert (got[i].own_license, got[i].own_similarity and round(got[i].own_similarity, 9)) == (best and best[1], best and round(-best[0], 9))
+    by = {n: x for n, x in notices.TEMPLATES if len(x) > 200}  # whole licence texts, wrapped and commented
+    wrapped = [("src/%d.c" % i, "/*\n" + re.sub(r"(.{60}\S*) ", r" * \1\n", f"Copyright 2020 The Authors. {x}") + "\n */\n\nint main() {}\n" + "code line\n" * 40) for i, x in enumerate(by.values())]
+    wrapped += [("a/spdx.py", "# SPDX-License-Identifier: GPL-2.0\nprint()"), ("b/apache.py", "# Copyright (c) 2020 Foo Corp. Licensed under the Apache License, Version 2.0.\n" + "code " * 50)]
+    many = spark.createDataFrame([(i, p, x) for i, (p, x) in enumerate(wrapped)], "doc_id long, path string, text string")
+    assert [r.own_license for r in licenses.license_scan(many).orderBy("doc_id").collect()] == [*by, "GPL-2.0", "Apache-2.0"]
     assert licenses.license_scan(odd.withColumn("path", F.lit("/a/b"))).count() == odd.count()
     assert licenses.license_scan(none.withColumn("path", F.lit("x"))).count() == 0
 
