@@ -52,3 +52,11 @@ def test_rows_that_arrive_over_time(spark, tmp_path):
     batches = []
     ingest.fill_as_they_come(rows, lambda df, i: batches.append((i, df.count())), str(tmp_path / "state")).awaitTermination(120)
     assert batches == [(0, 3)]
+
+
+def test_scratch_folder(spark):
+    from loomfuse.operators import scratch
+
+    folder = scratch.shared_folder(spark)
+    assert folder.endswith(spark.sparkContext.applicationId)
+    assert [r.id for r in scratch.kept(spark.range(3), "x").orderBy("id").collect()] == [0, 1, 2]
