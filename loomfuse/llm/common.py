@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfuse.operators.scratch import kept
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder, by whatever path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
-
-    Only where neither that setting nor a checkpoint folder exists, as in tests on
-    one machine, a temporary folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again.
-
-    Later steps read the files: lost executors cost no recomputation, and every
-    later use sees the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written once to the shared folder, compressed well, and read again (``scratch.kept``)."""
+    return kept(df, label, compression="zstd")
 
 
 def fold(doc_id, parts: int):

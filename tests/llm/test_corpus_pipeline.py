@@ -64,3 +64,23 @@ def test_near_dedup_finds_all_similar_texts_and_no_others(spark):
     for block in (3, near.BLOCK):
         got = {x.doc_id: x.root for x in near.near_copies(docs, block=block).collect()}
         assert len(set(got.values())) == len(first) and all(got[k] == got[first[x]] for k, x in enumerate(root))
+
+
+def test_stages_on_odd_documents(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and a further column."""
+    long = " ".join(f"word{i} of a long text" for i in range(6000))
+    passage = "\n".join(f"this is line {i} of a passage that stands in several documents, word for word" for i in range(6))
+    rows = [(None, None, None, None, None), (0, None, "en", "s", 0), (1, "", "en", "s", 0), (2, " ", None, "s", 1), (3, long, "en", None, len(long)), (3, long, "en", None, len(long)), (4, long, "en", "s", None)]
+    rows += [(5, passage, "en", "s", 1), (6, "first words here\n" + passage, "en", "s", 1), (7, "tie one two three four", "en", "s", 1), (8, "tie one two three four", "en", "s", 1), (None, "nobody's own words stand here", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("x"))
+    sf, seen = "/root/testdata/sf0.001", []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf), name)
+        seen.append(sorted((r.doc_id if r.doc_id is not None else -1, len(r.text or "")) for r in docs.collect()))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score"]
+    assert len(seen[0]) == len(seen[1]) == 12  # clean documents stay, repeated rows too
+    assert [n for i, n in seen[1] if i == 6] == [len("first words here")]
+    # one row for all without words, one for the long text, one for the ties
+    assert [i for i, _ in seen[2]] == [-1, 0, 3, 5, 6, 7] and seen[3] == seen[2]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.select("doc_id").distinct().count() == 6

@@ -388,3 +388,139 @@ def test_classifiers(spark, odd, none, module, label):
     flipped = labels.withColumn(label, F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == held, 1 - F.col(label)).otherwise(F.col(label)))
     again = {r.doc_id: r.score for r in module.score(docs.orderBy(F.desc("doc_id")), module.fit(docs, flipped)).collect()}
     assert all(abs(again[r.doc_id] - r.score) < 1e-6 for r in rows)
+
+
+def test_toxicity_against_brute_force(spark):
+    import math
+
+    rng = np.random.default_rng(6)
+    words = ["alpha", "beta", "Gamma", "delta", "épsilon", "zeta", "vile", "nasty", "eta"]
+    texts, y = [], []
+    for i in range(80):
+        y.append(int(rng.random() < 0.4))
+        texts.append(" ".join(rng.choice(words, rng.integers(3, 12))) + (" vile nasty" if y[-1] and rng.random() < 0.8 else ""))
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+
+    def grams(t):
+        s, found = " " + " ".join(t.lower().split()) + " ", set()
+        for n in (3, 4, 5):
+            for i in range(len(s) - n + 1):
+                h = ord(s[i])
+                for c in s[i + 1 : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                found.add(((h * 0x9E3779B97F4A7C15 + n) * 0x9E3779B97F4A7C15 % 2**64) >> 44)
+        return found
+
+    assert all(set(toxicity.Grams()(t).tolist()) == grams(t) for t in texts)
+    train = [i for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2]
+    n = [Counter(), Counter()]
+    for i in train:
+        n[y[i]].update(grams(texts[i]))
+    rows = [sum(y[i] == c for i in train) for c in (0, 1)]
+    ratio = {g: math.log((n[1][g] + 1) / (rows[1] + 2)) - math.log((n[0][g] + 1) / (rows[0] + 2)) for g in {*n[0], *n[1]} if n[0][g] + n[1][g] >= 2}
+    best = sorted(ratio, key=lambda g: (-abs(ratio[g]) * math.sqrt(min(n[0][g] + n[1][g], rows[1])), g))[: toxicity.KEPT]
+    features = lambda t: np.array([ratio[g] if g in own else 0.0 for own in [grams(t)] for g in best])
+    x, labels_ = np.array([features(texts[i]) for i in train]), np.array([y[i] for i in train], float)
+    k, a, b = x @ x.T, np.zeros(len(train)), 0.0
+    for _ in range(60):  # Newton's steps to the one optimum: a = y - p, sum(a) = 0
+        p = 1 / (1 + np.exp(-(k @ a + b)))
+        w = (p * (1 - p))[:, None]
+        full = np.block([[np.eye(len(a)) + w * k, w], [np.ones((1, len(a))), np.zeros((1, 1))]])
+        step = np.linalg.solve(full, -np.append(a - labels_ + p, a.sum()))
+        a, b = a + step[:-1], b + step[-1]
+    want = [1 / (1 + math.exp(-(features(t) @ (x.T @ a) + b))) for t in texts]
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert max(abs(got[i] - s) for i, s in enumerate(want)) < 0.02 and np.ptp(want) > 0.5
+
+
+def test_quality_trees_against_brute_force(monkeypatch):
+    monkeypatch.setattr(quality, "TREES", 4)
+    monkeypatch.setattr(quality, "DEPTH", 2)
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(150, 4)), 1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > rng.normal(size=150) * 0.3).astype(float)
+    weight = rng.choice([1.0, 2.0], 150)
+    model = quality.fit_trees(x, y, weight)
+    w = weight * 150 / weight.sum()
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1], method="lower"))) for j in range(4)]
+    base = np.log((w @ y) / (w.sum() - w @ y))
+    raw, forest = np.full(150, base), []
+
+    def grow(rows, g, h, depth):
+        value = -quality.RATE * g[rows].sum() / (h[rows].sum() + quality.L2)
+        part = lambda r: g[r].sum() ** 2 / (h[r].sum() + quality.L2)
+        best = None
+        if depth < 2 and len(rows) >= 2 * quality.LEAST_ROWS:
+            for j in range(4):
+                for e in edges[j]:
+                    left, right = [i for i in rows if x[i, j] <= e], [i for i in rows if x[i, j] > e]
+                    if min(h[left].sum(), h[right].sum()) < quality.LEAST_ROWS / 4:
+                        continue
+                    gain = part(left) + part(right) - part(rows)
+                    if gain > 1e-6 and (best is None or gain > best[0] + 1e-9):
+                        best = (gain, j, e, left, right)
+        return (value,) if best is None else (value, best[1], best[2], grow(best[3], g, h, depth + 1), grow(best[4], g, h, depth + 1))
+
+    def walk(tree, row):
+        while len(tree) > 1:
+            tree = tree[3] if row[tree[1]] <= tree[2] else tree[4]
+        return tree[0]
+
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-raw))
+        forest.append(grow(list(range(150)), w * (p - y), w * np.maximum(p * (1 - p), 1e-6), 0))
+        raw += [walk(forest[-1], r) for r in x]
+    other = np.round(rng.normal(size=(200, 4)), 1)
+    want = np.array([base + sum(walk(t, r) for t in forest) for r in other])
+    assert np.abs(model.raw(other) - want).max() < 1e-9 and len(forest[0]) > 1
+
+
+def test_quality_statistics():
+    got = dict(zip(quality.STATISTICS, quality.statistics("Ab cd cd. 12\n\ncd X!"), strict=True))
+    assert got["log_words"] == np.log1p(6) and got["longest_word"] == 3 and got["digits"] == 2 / 19 and got["upper"] == 2 / 19
+    assert got["distinct_words"] == 5 / 6 and got["top_word"] == 2 / 6 and got["words_without_letters"] == 1 / 6 and got["lines"] == np.log1p(3)
+    assert quality.statistics(None) == quality.statistics(" \n") == [0.0] * len(quality.STATISTICS)
+
+
+def test_packing_order_against_brute_force():
+    rng = np.random.default_rng(9)
+    sizes = [int(n) for n in np.concatenate([rng.integers(1, 64, 150), [64, 130, 1, 63]])]
+    packer = packing.Packer(64, 4, 0)
+    for i, n in enumerate(sizes):
+        packer.document(i, bytes(4 * n))
+    packer.end()
+    got, at = defaultdict(list), defaultdict(int)
+    for doc, start, length, *_, sequence, offset, _ in packer.rows:
+        assert offset == at[sequence]
+        at[sequence] += length
+        got[sequence].append((doc, start, length))
+    want, windows = [], []
+    for i, n in enumerate(sizes):
+        start = 0
+        while n >= 64:
+            want.append([(i, start, 64)])
+            start, n = start + 64, n - 64
+        if not n:
+            continue
+        used = lambda w: sum(p[2] for p in w)
+        fit = [w for w in windows if used(w) + n <= 64]
+        if not fit and len(windows) == 4:
+            full = max(windows, key=used)
+            windows.remove(full)
+            room = 64 - used(full)
+            if room >= packing.LEAST_CUT:
+                full.append((i, start, room))
+                start, n = start + room, n - room
+            want.append(full)
+        if not fit:
+            windows.append(fit_window := [])
+        else:
+            fit_window = max(fit, key=used)
+        fit_window.append((i, start, n))
+        if used(fit_window) == 64:
+            windows.remove(fit_window)
+            want.append(fit_window)
+    closed = [got[k] for k in sorted(got)][: len(want)]
+    assert closed == want and sum(x[2] for w in got.values() for x in w) == sum(sizes)
