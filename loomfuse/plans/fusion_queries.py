@@ -151,6 +151,13 @@ def key_leaders(spark, d):
     return row_match.leaders(named.select("ord", "key"))
 
 
+def linked_leaders(spark, d):
+    """Names of customers and suppliers, one after the other: those with the same long number follow the first."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    names = c.select(F.col("c_custkey").alias("ord"), F.col("c_name").alias("key")).unionByName(s.select((F.col("s_suppkey") + 10_000_000).alias("ord"), F.col("s_name").alias("key")))
+    return row_match.leaders(names)
+
+
 def override_effective(spark, d):
     own = targets(spark, d).select(F.lit("customer").alias("source_id"), F.col("tgt_key"))
     aligned = sources(spark, d).select("source_id", F.concat(F.lit("Supplier"), F.substring("src_key", 9, 99)).alias("tgt_key"), "src_key")
@@ -220,7 +227,7 @@ def flagship(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     key_autodetect, ffill_key, ffill_key_by_type, key_index_dups, distinct_keys, field_catalog, canonical_terms, dict_json_explode, dictionary_groups, match_conflicts, match_summary, match_updates, candidate_topk,
-    field_scores, field_matches, row_scores, align_rows, align_preview, key_leaders, override_effective, rank_fill, fill_first_source, fill_latest_source, fill_stats, template_expand, flagship,
+    field_scores, field_matches, row_scores, align_rows, align_preview, key_leaders, linked_leaders, override_effective, rank_fill, fill_first_source, fill_latest_source, fill_stats, template_expand, flagship,
 )}
 
 _MATCHES = """
@@ -231,7 +238,40 @@ _ALIGNED = """
 t AS (SELECT s_suppkey AS t_ord, s_name AS tgt_key, substr(s_name, 10) AS n FROM supplier), s AS (SELECT c_custkey AS s_ord, c_name AS src_key, substr(c_name, 10) AS n FROM customer),
 pair AS (SELECT t_ord, s_ord, tgt_key, src_key, 0.92 AS score FROM t JOIN s ON t.n = s.n)"""
 
+# Names are an adjective and a noun. A target is a path that ends in a name; below the cases of equal last parts and of
+# a shared beginning stands the score of the last parts themselves, by how many letters they share in order.
+_FIELDS = """
+pair AS (
+  SELECT DISTINCT a.p_name AS src, b.p_type || '>' || b.p_name AS tgt, b.p_name AS leaf, replace(a.p_name, ' ', '') AS s, replace(b.p_name, ' ', '') AS t
+  FROM part a JOIN part b ON string_split(a.p_name, ' ')[1] = string_split(b.p_name, ' ')[1]
+), letter AS (
+  SELECT *, string_split(s, '') AS x, string_split(t, '') AS y FROM (SELECT DISTINCT s, t FROM pair)
+), lcs AS (
+  SELECT s, t, list_reduce(x, lambda acc, ch: list_reduce(range(1, len(y) + 1), lambda r, j: list_append(r, CASE WHEN ch = y[j] THEN coalesce(acc[j - 1], 0) + 1 ELSE greatest(acc[j], coalesce(r[len(r)], 0)) END), []::INTEGER[]), list_transform(y, lambda z: 0)) AS row FROM letter
+), alike AS (
+  SELECT s, t, 2.0 * row[len(row)] / (length(s) + length(t)) AS r, (SELECT coalesce(max(k), 0) FROM (SELECT unnest(range(1, least(length(s), length(t)) + 1)) AS k) WHERE s[1:k] = t[1:k]) AS shared FROM lcs
+), scored AS (
+  SELECT src, tgt, CASE WHEN src = leaf THEN 95.0
+    WHEN abs(length(s) - length(t)) <= greatest(3, 0.5 * least(length(s), length(t))) AND r >= 0.75 THEN 75 + (r - 0.75) * 52
+    WHEN abs(length(s) - length(t)) <= greatest(3, 0.5 * least(length(s), length(t))) AND r >= 0.65 THEN 65 + (r - 0.65) * 100
+    WHEN shared >= 2 AND shared >= 0.4 * least(length(s), length(t)) THEN 65.0 ELSE 0.0 END AS score
+  FROM pair JOIN alike USING (s, t)
+)"""
+
 SQL = {
+    "field_scores": f"WITH {_FIELDS} SELECT src, tgt, CAST(score AS DOUBLE) AS score FROM scored",
+    "field_matches": f"""
+WITH {_FIELDS}, best AS (
+  SELECT tgt, src, score FROM scored QUALIFY row_number() OVER (PARTITION BY tgt ORDER BY score DESC, src) = 1
+), m AS (
+  SELECT CAST(dense_rank() OVER (ORDER BY tgt) AS INTEGER) AS ord, tgt AS tgt_field, CASE WHEN score >= 60 THEN src END AS src_field, CASE WHEN score >= 60 THEN 'part' END AS src_file, CASE WHEN score >= 60 THEN 's' END AS src_sheet,
+    CAST(CASE WHEN score >= 60 THEN round(score, 1) ELSE 0 END AS DOUBLE) AS confidence, score >= 85 AS auto, score >= 85 AS matched, score >= 60 AND score < 85 AS suggested FROM best
+)
+SELECT *, matched AND count(*) FILTER (WHERE matched) OVER (PARTITION BY src_field) > 1 AS conflict FROM m""",
+    "key_leaders": "SELECT min(p_partkey) AS ord, p_name AS key, min(p_partkey) AS leader FROM part GROUP BY p_name",
+    "linked_leaders": """
+SELECT c_custkey AS ord, c_name AS key, c_custkey AS leader FROM customer
+UNION ALL SELECT s_suppkey + 10000000, s_name, coalesce(c_custkey, s_suppkey + 10000000) FROM supplier LEFT JOIN customer ON substr(c_name, 10) = substr(s_name, 10)""",
     "key_autodetect": f"""
 WITH n AS ({_COUNT('customer', ['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'])} UNION ALL {_COUNT('orders', ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'])}
   UNION ALL {_COUNT('events', ['event_id', 'ts', 'user_id', 'event_type', 'value', 'props'])})
