@@ -32,6 +32,8 @@ CATEGORIES = {
 HOSTILE = [("location", "project"), ("location", "entity"), ("location", "amount"), ("entity", "amount"), ("entity", "date")]
 HOSTILE_FACTOR = 0.35
 START_WORDS, END_WORDS = ["开工"], ["竣工", "完工"]
+TAGS = {"合同": ["合同", "协议", "合同书", "协议书"], "项目": ["项目", "工程", "立项", "子项"], "标段": ["标段"], "主体": ["公司", "企业", "单位", "集团"]}
+PHASE_TAGS = ["立项", "可研", "设计", "勘察", "招标", "施工", "监理", "竣工", "验收", "运维", "前期", "建设", "规划"]
 SOURCE_KEY_WORDS = ["项目", "编号", "名称", "合同", "立项", "标识"]
 ROW_KEY_WORDS = ["立项", "名称", "项目", "工程", "标段", "合同", "协议", "编号"]
 

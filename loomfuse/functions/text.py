@@ -122,6 +122,23 @@ def field_category(c: Column) -> Column:
     return out.when(has["amount"], "amount").when(has["date"], "date").otherwise("general")
 
 
+def kind_tag(c: Column) -> Column:
+    """The first of TAGS that a field name has a word of; empty without one."""
+    out = F.when(c.isNull(), "")
+    for tag, words in fixed.TAGS.items():
+        out = out.when(_any(c, words), F.lit(tag))
+    return out.otherwise("")
+
+
+def phase_tag(c: Column) -> Column:
+    """The first of PHASE_TAGS that the first part of a field's path holds, else that part itself; empty for an empty name."""
+    top = strip(F.substring_index(F.translate(F.coalesce(c, F.lit("")), "＞→", ">>"), ">", 1))
+    out = F.when(top == "", "")
+    for p in fixed.PHASE_TAGS:
+        out = out.when(top.contains(p), F.lit(p))
+    return out.otherwise(top)
+
+
 def direction(c: Column) -> Column:
     """start, end or both, as the last part of a field's path tells; null if it tells nothing."""
     part = F.when(leaf(c) != "", leaf(c)).otherwise(c)

@@ -114,6 +114,17 @@ def compound_names(cells: DataFrame, zones: DataFrame) -> DataFrame:
     return named.select("sheet", "c", F.concat_ws(">", "prefix", F.coalesce("leaf", F.concat(F.lit("Col"), F.col("c")))).alias("name"))
 
 
+def zone_names(cells: DataFrame, zones: DataFrame) -> DataFrame:
+    """Rows (sheet, c, name) for zones that a user gives, (sheet, start, end, n_columns): a column's values from row
+    ``start`` to ``end``, each once where it repeats downwards, joined by ``>``; Col<c> for a column without any."""
+    said = cells.where(filled(F.col("v"))).join(zones.select("sheet", "start", "end"), "sheet").where(F.col("r").between(F.col("start"), F.col("end")))
+    said = said.select("sheet", "c", "r", text.strip(F.col("v")).alias("v")).withColumn("_before", F.lag("v").over(Window.partitionBy("sheet", "c").orderBy("r")))
+    parts = said.where(F.col("_before").isNull() | (F.col("_before") != F.col("v"))).groupBy("sheet", "c").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("_v"))
+    columns = zones.select("sheet", F.explode(F.sequence(F.lit(1), F.col("n_columns").cast("int"))).alias("c"))
+    name = F.array_join(F.transform("_v", lambda x: x["v"]), ">")
+    return columns.join(parts, ["sheet", "c"], "left").select("sheet", "c", F.coalesce(name, F.concat(F.lit("Col"), F.col("c"))).alias("name"))
+
+
 def legacy_header(cells: DataFrame) -> DataFrame:
     """Rows (sheet, r, score): the best row by the older rule: points for cells, their length and each key word in each cell, less for numbers alone."""
     rows = row_stats(cells).where(F.col("r") <= SCORED_ROWS)

@@ -80,10 +80,15 @@ class Session:
             older = headers.legacy_header(full).join(zones, "sheet", "left_anti").join(width, "sheet")
             zones = zones.unionByName(older.select("sheet", F.col("r").alias("detail"), F.array().cast("array<int>").alias("categories"), "n_columns"))
             if zone:
-                zones = zones.withColumn("detail", F.lit(zone["end"])).withColumn("categories", F.sequence(F.lit(zone["start"]), F.lit(zone["end"] - 1)) if zone["end"] > zone["start"] else F.array().cast("array<int>"))
+                last = full.agg(F.max("r")).first()[0] or 1
+                start = min(max(1, zone["start"]), last)
+                end = min(max(start, zone["end"]), last)
+                zones = kept(width.select("sheet", F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(end).alias("detail"), "n_columns"), "zones")
+                names = headers.zone_names(full, zones)
+            else:
+                zones = kept(zones, "zones")
+                names = headers.compound_names(full, zones)
             found = []
-            zones = kept(zones, "zones")
-            names = headers.compound_names(full, zones)
             for z in zones.orderBy("sheet").collect():  # a row for each sheet of one file
                 columns = [r["name"] for r in names.where(F.col("sheet") == z["sheet"]).orderBy("c").collect()]
                 found.append((z["sheet"], headers.to_table(full, z["sheet"], z.asDict(), columns), z["detail"]))

@@ -60,6 +60,12 @@ def direction_category(spark, d):
     return table(spark, d, "events").select("event_id", text.direction(name).alias("direction"), text.field_category(text.leaf(name)).alias("category"))
 
 
+def field_tags(spark, d):
+    kind = F.when(F.col("p_size") % 4 == 0, "合同编号").when(F.col("p_size") % 4 == 1, "子项标段").when(F.col("p_size") % 4 == 2, "标段单位").otherwise(F.col("p_brand"))
+    top = F.when(F.col("p_size") % 3 == 0, "施工监理阶段").when(F.col("p_size") % 3 == 1, " 立项 ").otherwise(F.col("p_type"))
+    return table(spark, d, "part").select("p_partkey", text.kind_tag(kind).alias("kind"), text.phase_tag(F.concat(top, F.when(F.col("p_size") % 2 == 0, "＞").otherwise(">"), F.col("p_name"))).alias("phase"))
+
+
 def generic_core(spark, d):
     name = F.concat(F.lit("示例市"), F.col("p_name"), F.when(F.col("p_size") % 2 == 0, "建设工程").otherwise("基础设施项目"))
     return table(spark, d, "part").select("p_partkey", text.strip_generics(name).alias("core"))
@@ -148,6 +154,13 @@ def compound_names(spark, d):
     return headers.compound_names(cells, zones)
 
 
+def zone_names(spark, d):
+    """The first three rows of every document's grid as a zone that a user gives."""
+    cells = grid(spark, d)
+    zones = cells.where(headers.filled(F.col("v"))).groupBy("sheet").agg(F.max("c").alias("n_columns"))
+    return headers.zone_names(cells, zones.withColumn("start", F.lit(1)).withColumn("end", F.lit(3)))
+
+
 def legacy_header(spark, d):
     return headers.legacy_header(grid(spark, d))
 
@@ -162,8 +175,8 @@ def header_zones(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    norm_rowkey, norm_names, norm_field_units, unit_conflicts, leaf_segment, code_tokens, phase_section_domain, direction_category, generic_core, road_ends, token_jaccard, field_tokens, midnight_date,
-    fuzzy_search, zone_parse, completeness, similarity_kernel, similarity_native, row_stats, header_candidates, merge_expansion, compound_names, legacy_header, named_header, header_zones,
+    norm_rowkey, norm_names, norm_field_units, unit_conflicts, leaf_segment, code_tokens, phase_section_domain, direction_category, field_tags, generic_core, road_ends, token_jaccard, field_tokens, midnight_date,
+    fuzzy_search, zone_parse, completeness, similarity_kernel, similarity_native, row_stats, header_candidates, merge_expansion, compound_names, zone_names, legacy_header, named_header, header_zones,
 )}
 
 _HALF = f"translate(%s, '{text.WIDE}', '{text.NARROW}')".replace("''''", "''")
@@ -231,6 +244,8 @@ SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN CAST(p_size % 10 + 1 AS INTEGER)
     "direction_category": """
 SELECT event_id, CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'end' WHEN 'error' THEN 'both' END AS direction,
   CASE event_type WHEN 'click' THEN 'date' WHEN 'view' THEN 'amount' WHEN 'error' THEN 'entity' ELSE 'general' END AS category FROM events""",
+    "field_tags": """
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '合同' WHEN 1 THEN '项目' WHEN 2 THEN '标段' ELSE '' END AS kind, CASE p_size % 3 WHEN 0 THEN '施工' WHEN 1 THEN '立项' ELSE p_type END AS phase FROM part""",
     "generic_core": "SELECT p_partkey, p_name AS core FROM part",
     "road_ends": r"SELECT p_partkey, lower(replace(p_name, ' ', '')) || '路' AS road, array_to_string(list_sort(list_distinct([lower(regexp_replace(p_type, '[\s_\-]', '', 'g')), lower(p_brand)])), '|') AS ends FROM part",
     "token_jaccard": "SELECT p_partkey, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS jaccard FROM (SELECT p_partkey, string_split(p_name, ' ') AS a, [lower(p_type), 'ring'] AS b FROM part)",
@@ -299,6 +314,11 @@ SELECT sheet, CAST(r AS INTEGER) AS r, CAST(score AS BIGINT) AS score FROM s QUA
 WITH {_GRID}, n AS (SELECT sheet, max(c) AS n FROM said GROUP BY sheet), cols AS (SELECT sheet, unnest(range(1, n + 1)) AS c FROM n)
 SELECT cols.sheet, CAST(cols.c AS INTEGER) AS c, concat_ws('>', a.v, CASE WHEN b.v IS NOT NULL AND (a.v IS NULL OR a.v <> b.v) THEN b.v END, coalesce(l.v, 'Col' || cols.c)) AS name
 FROM cols LEFT JOIN said a ON a.sheet = cols.sheet AND a.c = cols.c AND a.r = 1 LEFT JOIN said b ON b.sheet = cols.sheet AND b.c = cols.c AND b.r = 2 LEFT JOIN said l ON l.sheet = cols.sheet AND l.c = cols.c AND l.r = 3""",
+    "zone_names": f"""
+WITH {_GRID}, n AS (SELECT sheet, max(c) AS n FROM said GROUP BY sheet), cols AS (SELECT sheet, unnest(range(1, n + 1)) AS c FROM n), z AS (
+  SELECT *, lag(v) OVER (PARTITION BY sheet, c ORDER BY r) AS before FROM said WHERE r <= 3
+), p AS (SELECT sheet, c, string_agg(v, '>' ORDER BY r) AS name FROM z WHERE before IS NULL OR before <> v GROUP BY ALL)
+SELECT cols.sheet, CAST(cols.c AS INTEGER) AS c, coalesce(name, 'Col' || cols.c) AS name FROM cols LEFT JOIN p ON p.sheet = cols.sheet AND p.c = cols.c""",
     "similarity_kernel": _SIMILAR,
     "similarity_native": _SIMILAR,
     "legacy_header": f"""

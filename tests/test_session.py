@@ -35,6 +35,9 @@ def test_fill_from_files(spark, tmp_path):
     assert s.status["error"] is None and "note" not in s.status["result"]
     shown = {(r, c): v for _, k, r, c, _, _, v, _ in grid.workbook((tmp_path / "out.xlsx").read_bytes()) if k == "cell"}
     assert shown == {(1, 1): "项目名称", (1, 2): "项目经理人", (1, 3): "电话", (1, 4): "备注", (2, 1): "示范山公园项目", (2, 2): "张三", (2, 3): "123", (2, 4): "kept", (3, 1): "示范湖学校", (3, 2): "李四", (4, 1): "别的"}
+    zoned = Session(spark)
+    assert zoned.set_target(str(tmp_path / "t.xlsx"), {"start": 1, "end": 2})["fields"] == ["项目名称>示范山公园项目", "项目经理人", "电话", "备注>kept"]
+    assert zoned.target.table.count() == 2
     assert s.score_field("项目经理", "项目经理人") >= 85
     moved = matches.withColumn("src_file", F.regexp_replace("src_file", ".*/", "/elsewhere/"))
     assert {r.tgt_field: r.cells for r in s.fill(moved)[1].collect()} == {r["tgt_field"]: r["cells"] for r in s.status["result"]["details"]}
