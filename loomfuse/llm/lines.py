@@ -11,9 +11,8 @@ from loomfuse.llm.common import let, table, written
 WINDOW, DIVISOR, BASE = 2, 3, 31
 #: A line of so many characters is a chunk of its own, so that it is found wherever it stands.
 LONG_LINE = 60
-#: A chunk alone is looked for if it has so many lines, or so many blanks between words; chunks side by side always are.
-LEAST_LINES, LEAST_BLANKS = 2, 50
-BLANKS = " \t\r\n"
+#: A chunk alone is looked for if it has so many lines, or so many characters; chunks side by side always are.
+LEAST_LINES, LEAST_CHARS = 2, 150
 
 
 def _chunks(text: Column) -> Column:
@@ -52,9 +51,8 @@ def _units(chunks: Column) -> Column:
     """What is looked for in other places: (at, pair, a, b), hashes of chunks alone (pair 0, b 0) and of two side by side (pair 1)."""
 
     def told(c: Column) -> Column:
-        bare = F.length(F.translate(c["text"], BLANKS, ""))
-        fine = bare > 0
-        alone = fine & ((c["lines"] >= LEAST_LINES) | (F.length(c["text"]) - bare >= LEAST_BLANKS))
+        fine = c["text"].rlike("[^ \\t\\r\\n]")
+        alone = fine & ((c["lines"] >= LEAST_LINES) | (F.length(c["text"]) >= LEAST_CHARS))
         return F.struct(F.xxhash64(c["text"]).alias("h"), fine.alias("fine"), alone.alias("alone"))
 
     def both(t: Column, i: Column, every: Column) -> Column:
@@ -72,7 +70,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Texts are cut into lines and lines into chunks: where the rolling hash of the last WINDOW
     line hashes says so, and around each line of LONG_LINE characters, so that equal passages are cut
-    alike wherever they stand. Repeated passages are chunks of several lines, or of many words,
+    alike wherever they stand. Repeated passages are chunks of several lines, or of LEAST_CHARS characters,
     and any two chunks side by side, that stand elsewhere too with equal bytes, blank chunks aside.
     Of equal passages the first stays (by id, nulls first, then text hash, then place), all
     others go; so of a chunk that goes an equal one always stands before it. Only hashes are
@@ -141,11 +139,11 @@ WITH line AS (
 ), chunk AS (
   SELECT doc_id, c, count(*) AS lines, string_agg(l, chr(10) ORDER BY i) AS t FROM numbered GROUP BY doc_id, c
 ), told AS (
-  SELECT *, length(regexp_replace(t, '[ \t\r\n]', '', 'g')) AS bare, lead(t) OVER (PARTITION BY doc_id ORDER BY c) AS t2 FROM chunk
+  SELECT *, regexp_matches(t, '[^ \t\r\n]') AS fine, lead(t) OVER (PARTITION BY doc_id ORDER BY c) AS t2 FROM chunk
 ), gone AS (
-  SELECT doc_id, c FROM (SELECT doc_id, c, row_number() OVER (PARTITION BY t ORDER BY doc_id, c) AS k FROM told WHERE bare > 0 AND (lines >= {LEAST_LINES} OR length(t) - bare >= {LEAST_BLANKS})) WHERE k > 1
+  SELECT doc_id, c FROM (SELECT doc_id, c, row_number() OVER (PARTITION BY t ORDER BY doc_id, c) AS k FROM told WHERE fine AND (lines >= {LEAST_LINES} OR length(t) >= {LEAST_CHARS})) WHERE k > 1
   UNION
-  SELECT doc_id, unnest([c, c + 1]) FROM (SELECT doc_id, c, row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, c) AS k FROM told WHERE bare > 0 AND length(regexp_replace(t2, '[ \t\r\n]', '', 'g')) > 0) WHERE k > 1
+  SELECT doc_id, unnest([c, c + 1]) FROM (SELECT doc_id, c, row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, c) AS k FROM told WHERE fine AND regexp_matches(t2, '[^ \t\r\n]')) WHERE k > 1
 )
 SELECT told.doc_id, coalesce(string_agg(t, chr(10) ORDER BY told.c) FILTER (WHERE gone.c IS NULL), '') AS text, count(*) AS n_chunks, count(gone.c) AS n_removed
 FROM told LEFT JOIN gone ON gone.doc_id = told.doc_id AND gone.c = told.c GROUP BY told.doc_id"""

@@ -100,7 +100,7 @@ def test_line_dedup_against_brute_force(spark, odd, none):
             for unit, at in (((c,), {k}), (beside, {k, k + 1})):
                 if not unit or not all(u.strip() for u in unit):
                     continue
-                if len(unit) == 1 and "\n" not in c and sum(ch.isspace() for ch in c) < 50:
+                if len(unit) == 1 and "\n" not in c and len(c) < 150:
                     continue
                 gone |= at if unit in seen else set()
                 seen.add(unit)
