@@ -18,7 +18,7 @@ def unpivot(df: DataFrame, ids: list[str], fields: list[str]) -> DataFrame:
 def source_cells(source: DataFrame, source_id: str, source_order: int, key: str, order: str, fields: list[str]) -> DataFrame:
     """A source's valid cells: (source_id, source_order, src_row, key, n_valid, field, value)."""
     rest = [c for c in source.columns if c != order]
-    keyed = source.select(F.lit(source_id).alias("source_id"), F.lit(source_order).alias("source_order"), F.col(order).alias("src_row"), key_text(F.col(key)).alias("key"), text.nonempty_count([F.col(f"`{c}`") for c in rest]).alias("n_valid"), *[F.col(f"`{c}`") for c in fields if c not in ("source_id", "source_order", "src_row", "key", "n_valid")])
+    keyed = source.select(F.lit(source_id).alias("source_id"), F.lit(source_order).alias("source_order"), F.col(f"`{order}`").alias("src_row"), key_text(F.col(f"`{key}`")).alias("key"), text.nonempty_count([F.col(f"`{c}`") for c in rest]).alias("n_valid"), *[F.col(f"`{c}`") for c in fields if c not in ("source_id", "source_order", "src_row", "key", "n_valid")])
     return unpivot(keyed.where("key <> ''"), ["source_id", "source_order", "src_row", "key", "n_valid"], fields).where(text.valid(F.col("value")))
 
 
@@ -73,9 +73,9 @@ def fill(target: DataFrame, key: str, order: str, sources: DataFrame, keys: Data
     stats = active.where(~F.col("tgt_field").isin(known)).select("tgt_field", F.lit("skip").alias("status"), F.lit(0).cast("long").alias("cells"), F.lit("unknown target field").alias("reason")).distinct()
     if not fields:
         return target, stats
-    base = target.select(F.col(order).alias("tgt_row"), key_text(F.col(key)).alias("key"), *[F.col(f"`{c}`") for c in fields])
+    base = target.select(F.col(f"`{order}`").alias("tgt_row"), key_text(F.col(f"`{key}`")).alias("key"), *[F.col(f"`{c}`") for c in fields])
     cells = fill_cells(unpivot(base, ["tgt_row", "key"], fields), sources, keys, usable, policy)
     wide = cells.groupBy("tgt_row").pivot("field", fields).agg(F.first(F.coalesce("value", "old")))
-    out = target.drop(*fields).join(wide, target[order] == wide["tgt_row"], "left").select(*[F.col(f"`{c}`") for c in target.columns])
+    out = target.drop(*fields).join(wide, F.col(f"`{order}`") == F.col("tgt_row"), "left").select(*[F.col(f"`{c}`") for c in target.columns])
     done = cells.groupBy("field").agg(F.count("value").alias("cells")).select(F.col("field").alias("tgt_field"), F.lit("ok").alias("status"), "cells", F.lit(None).cast("string").alias("reason"))
     return out, done.unionByName(stats)

@@ -53,6 +53,11 @@ def key_number(c: Column) -> Column:
     return F.when(c == F.floor(c), F.floor(c).cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
 
 
+def _named(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col(f"`{column}`")
+
+
 def forward_fill(df: DataFrame, key: str, order: str, by: list[str] = [], block: int = 1 << 20, to: str | None = None) -> DataFrame:  # noqa: B006
     """``df`` with nulls of ``key`` replaced by the last value above them, in the order of the long ``order``, for each ``by``.
 
@@ -61,18 +66,21 @@ def forward_fill(df: DataFrame, key: str, order: str, by: list[str] = [], block:
     block and the blocks' own table has a row for each block. Rows with null ``by`` are a group
     like others; rows with null ``order`` come first in theirs.
     """
-    at = df.withColumn("_block", F.floor(F.col(order) / block))
-    blocks = at.groupBy(*by, "_block").agg(F.max_by(key, F.when(F.col(key).isNotNull(), F.col(order))).alias("_last"))
-    carried = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_block").alias("_own_block"), F.last("_last", ignorenulls=True).over(carried).alias("_carried"))
+    own, at = _named(key), _named(order)
+    rows = df.withColumn("_block", F.floor(at / block))
+    groups = [_named(c).alias(f"_by_{i}") for i, c in enumerate(by)]
+    names = [f"_by_{i}" for i in range(len(by))]
+    blocks = rows.groupBy(*groups, "_block").agg(F.max_by(own, F.when(own.isNotNull(), at)).alias("_last"))
+    carried = Window.partitionBy(*names).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*names, F.col("_block").alias("_own_block"), F.last("_last", ignorenulls=True).over(carried).alias("_carried"))
     same = F.col("_block").eqNullSafe(F.col("_own_block"))
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = at.join(blocks, same).withColumn("_filled", F.coalesce(F.last(key, ignorenulls=True).over(inside), F.col("_carried")))
+    for c, name in zip(by, names, strict=True):
+        same = same & _named(c).eqNullSafe(F.col(name))
+    inside = Window.partitionBy(*map(_named, by), "_block").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = rows.join(blocks, same).withColumn("_filled", F.coalesce(F.last(own, ignorenulls=True).over(inside), F.col("_carried")))
     if to:
-        return filled.select(*df.columns, F.col("_filled").alias(to))
-    return filled.select(*[F.col("_filled").alias(c) if c == key else F.col(c) for c in df.columns])
+        return filled.select(*map(_named, df.columns), F.col("_filled").alias(to))
+    return filled.select(*[F.col("_filled").alias(c) if c == key else _named(c) for c in df.columns])
 
 
 def key_index(df: DataFrame, key: str, order: str, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -115,6 +123,6 @@ def expand_target(target: DataFrame, keys: DataFrame, key: str, order: str) -> D
     if key not in target.columns:
         target = target.withColumn(key, F.lit(None).cast("string"))
     start = target.agg(F.coalesce(F.max(order) + 1, F.lit(0))).first()[0]
-    new = keys.join(target.select(F.col(key).alias("key")), "key", "left_anti")
+    new = keys.join(target.select(_named(key).alias("key")), "key", "left_anti")
     rows = numbered(new, "ord").select(F.col("key").alias(key), (F.col("_rank") + start).cast(target.schema[order].dataType).alias(order))
     return target.unionByName(rows, allowMissingColumns=True)

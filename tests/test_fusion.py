@@ -220,6 +220,8 @@ def test_keys(spark):
     assert keys.detect_key(df.drop("row")) == "a" and keys.resolve_key(["甲 名", "b"], "甲名") == "甲 名" and keys.resolve_key(["a", "b"], 1) == "b"
     filled = keys.forward_fill(df, "a", "row", block=1)
     assert [r.a for r in filled.orderBy("row").collect()] == ["x", "x", "y"]
+    dotted = keys.forward_fill(df.withColumnRenamed("a", "a.b>c").withColumnRenamed("b", "No."), "a.b>c", "row", by=["No."])
+    assert dotted.columns == ["row", "a.b>c", "No.", "_col_0"] and {r.row: r["a.b>c"] for r in dotted.collect()} == {0: "x", 1: None, 2: "y"}
     groups = spark.createDataFrame([(0, None, "x"), (1, None, None), (2, "g", None), (3, "g", "y"), (None, "g", None)], "row long, g string, k string")
     assert sorted((r.row if r.row is not None else -1, r.k) for r in keys.forward_fill(groups, "k", "row", by=["g"], block=2).collect() if r.row not in (None, 2)) == [(0, "x"), (1, "x"), (3, "y")]
     assert keys.forward_fill(groups, "k", "row", by=["g"]).count() == 5

@@ -35,6 +35,11 @@ def test_fill_from_files(spark, tmp_path):
     assert s.status["error"] is None and "note" not in s.status["result"]
     shown = {(r, c): v for _, k, r, c, _, _, v, _ in grid.workbook((tmp_path / "out.xlsx").read_bytes()) if k == "cell"}
     assert shown == {(1, 1): "项目名称", (1, 2): "项目经理人", (1, 3): "电话", (1, 4): "备注", (2, 1): "示范山公园项目", (2, 2): "张三", (2, 3): "123", (2, 4): "kept", (3, 1): "示范湖学校", (3, 2): "李四", (4, 1): "别的"}
+    named = Session(spark)
+    sink.publish(sink.new_workbook(["No.项目名称", "电.话"], [["甲项目", "1"], [None, "2"], ["乙项目", "3"]]), str(tmp_path / "dots.xlsx"))
+    sink.publish(sink.new_workbook(["No.项目名称", "电.话"], [["乙项目", None], ["甲项目", None]]), str(tmp_path / "empty.xlsx"))
+    assert named.add_sources([str(tmp_path / "dots.xlsx")])["success"] and named.set_target(str(tmp_path / "empty.xlsx"))["success"]
+    assert {r["No.项目名称"]: r["电.话"] for r in named.fill(named.auto_match())[0].collect()} == {"乙项目": "3", "甲项目": "1"}
     zoned = Session(spark)
     assert zoned.set_target(str(tmp_path / "t.xlsx"), {"start": 1, "end": 2})["fields"] == ["项目名称>示范山公园项目", "项目经理人", "电话", "备注>kept"]
     assert zoned.target.table.count() == 2
