@@ -43,7 +43,7 @@ class Matcher:
     place: dict[str, int]
     weights: np.ndarray
     threshold: float
-    anchors: frozenset[str]
+    anchors: list[frozenset[str]]
 
     @staticmethod
     def of(templates, documents: int, having: dict[str, int], threshold: float) -> Matcher:
@@ -54,22 +54,32 @@ class Matcher:
             for t, k in c.items():
                 row[place[t]] = k * idf(documents, having.get(t, 0))
         weights /= np.sqrt((weights**2).sum(1))[:, None]
-        words, anchors = list(place), set()
+        words, anchors = list(place), []
         for row in weights:
+            own = set()
             # what has none of a template's heaviest terms can't reach the threshold by the others
             rest = 1.0
             for i in sorted(range(len(words)), key=lambda i: (-row[i], words[i])):
                 if rest < threshold**2:
                     break
-                anchors.add(words[i])
+                own.add(words[i])
                 rest -= row[i] ** 2
-        return Matcher([n for n, _ in counted], place, weights, threshold, frozenset(anchors))
+            anchors.append(frozenset(own))
+        return Matcher([n for n, _ in counted], place, weights, threshold, anchors)
 
     def stretches(self, text: str | None) -> list[str]:
         """What of a text may be a notice: lines with a telling term, the runs of lines around those that lie near
-        each other, the lines up to the first blank one, and the whole text; each once."""
-        lines = [x.strip() for x in (text or "").lower().split("\n")]
-        told = [i for i, x in enumerate(lines) if not self.anchors.isdisjoint(_terms(x))]
+        each other, the lines up to the first blank one, and the whole text; each once.
+
+        A cosine is at most the length of the template's part whose terms occur, so only templates of which the
+        whole text holds enough are looked for.
+        """
+        low = (text or "").lower()
+        known = [self.place[t] for t in self.place.keys() & set(_terms(low))]
+        held = np.flatnonzero((self.weights[:, known] ** 2).sum(1) >= self.threshold**2 - 1e-9)
+        anchors = frozenset().union(*(self.anchors[k] for k in held))
+        lines = [x.strip() for x in low.split("\n")] if anchors else []
+        told = [i for i, x in enumerate(lines) if not anchors.isdisjoint(_terms(x))]
         if not told:
             return []
         runs, start = [], told[0]
