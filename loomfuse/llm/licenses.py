@@ -134,20 +134,21 @@ def license_scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     kind = files.schema[doc_id].dataType.simpleString()
     rows = files.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(cut, f"doc_id {kind}, path string, words long, units array<string>")
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "license-units")
-    units = written(rows.select(F.explode("units").alias("unit")).distinct(), "license-distinct")
-    said = units.select("unit", F.explode(F.filter(F.split("unit", "[^a-z0-9]+"), lambda t: t != "")).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("times"))
-    weighed = said.join(having, "term").groupBy("unit").agg(F.collect_list(F.struct("term", "times", "having")).alias("terms"))
+    key = F.sha2("unit", 256)  # stands for a stretch wherever its terms go one by one
+    units = written(rows.select(F.explode("units").alias("unit")).distinct().select(key.alias("key"), "unit"), "license-distinct")
+    said = units.select("key", F.explode(F.filter(F.split("unit", "[^a-z0-9]+"), lambda t: t != "")).alias("term")).groupBy("key", "term").agg(F.count("*").alias("times"))
+    weighed = said.join(having, "term").groupBy("key").agg(F.collect_list(F.struct("term", "times", "having")).alias("terms"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(sorted((t["term"], t["times"], t["having"]) for t in u)) for u in b.column(1).to_pylist()]
             best = matcher.value.best([([t for t, _, _ in u], np.array([k * idf(documents, h) for _, k, h in u])) for u in found]) if found else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x and x[1] for x in best], pa.string()), pa.array([x and x[0] for x in best], pa.float64())], ["unit", "name", "cosine"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x and x[1] for x in best], pa.string()), pa.array([x and x[0] for x in best], pa.float64())], ["key", "name", "cosine"])
 
-    hits = written(weighed.mapInArrow(judge, "unit string, name string, cosine double").where("name is not null"), "license-hits")
-    each = rows.select("_row", "words", F.explode("units").alias("unit")).join(hits, "unit")
+    hits = written(weighed.mapInArrow(judge, "key string, name string, cosine double").where("name is not null"), "license-hits")
     long = F.size(F.split(F.trim("unit"), r"\s+"))
-    own = each.groupBy("_row").agg(F.min(F.struct((-F.col("cosine")).alias("s"), "name")).alias("b"), F.max(long / F.greatest("words", F.lit(1))).alias("share"))
+    each = rows.select("_row", "words", F.explode("units").alias("unit")).select("_row", "words", key.alias("key"), long.alias("long")).join(hits, "key")
+    own = each.groupBy("_row").agg(F.min(F.struct((-F.col("cosine")).alias("s"), "name")).alias("b"), F.max(F.col("long") / F.greatest("words", F.lit(1))).alias("share"))
     rows = rows.drop("units").join(own.select("_row", F.col("b.name").alias("own_license"), (-F.col("b.s")).alias("own_similarity"), "share"), "_row", "left")
     says = F.coalesce(F.col("own_license").isNotNull() & (F.col("path").rlike(LICENCE_NAME) | (F.col("share") >= LICENCE_SHARE)), F.lit(False))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
