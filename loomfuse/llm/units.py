@@ -23,6 +23,8 @@ CACHE_ENTRIES = 250_000
 UNIT_CHARS = 40
 #: Text that is cut and looked up at a time.
 SLICE_CHARS = 1_000_000
+#: The faster library can't bear runs of some hundred thousand blanks; texts with twice as many as this in a row go to the other.
+BLANK_RUN = 5_000
 
 
 class PieceUnits:
@@ -105,15 +107,21 @@ class ByteUnits:
             return []
         return [text] if self.odd(text) else self.find(text)
 
+    def _fast(self, text: str) -> bool:
+        """Whether the faster library encodes a text alike: no special strings, letters up to Latin ones, no long run of blanks."""
+        if "<|" in text or not text.isascii() and self.beyond(text):
+            return False
+        return not any(text[i : i + BLANK_RUN].isspace() for i in range(0, len(text) - BLANK_RUN, BLANK_RUN))
+
     def plain(self, text: str) -> bytes | None:
         """The ids of a text that the faster library encodes alike as a whole; None for any other text."""
-        if self.ranked and "<|" not in text and (text.isascii() or not self.beyond(text)):
+        if self.ranked and self._fast(text):
             return array("I", self.ranked(text)).tobytes()
         return None
 
     def encode(self, units: list[str]) -> Iterable[bytes]:
         if self.ranked:
-            own = [u for u in units if "<|" in u or not u.isascii() and self.beyond(u)]
+            own = [u for u in units if not self._fast(u)]
             slow = dict(zip(own, self._library(own), strict=True))
             return [slow[u] if u in slow else array("I", self.ranked(u)).tobytes() for u in units]
         return self._library(units)

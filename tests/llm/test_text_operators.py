@@ -524,3 +524,16 @@ def test_packing_order_against_brute_force():
             want.append(fit_window)
     closed = [got[k] for k in sorted(got)][: len(want)]
     assert closed == want and sum(x[2] for w in got.values() for x in w) == sum(sizes)
+
+
+def test_packing_bears_millions_of_blanks(spark):
+    from tokenizers import Tokenizer
+
+    n = 2_000_000
+    texts = [" " * n, "\t" * n, "\n" * n, "\xa0" * n, "ab " + " " * n + "cd", "ab 漢字 " + " " * n + "漢字", "é " + "\n" * n + " über", "\r\n" * (n // 2) + "<|endoftext|>"]
+    path = public_tokenizers.path(packing.MODEL)
+    tokenizer = Tokenizer.from_file(path)
+    pieces = packing.pack(documents(spark, texts).repartition(4), path, public_tokenizers.path(packing.RANKS), size=1 << 20).select("doc_id", "start", "ids").collect()
+    for i, t in enumerate(texts):
+        ids = b"".join(bytes(p.ids) for p in sorted(pieces, key=lambda p: p.start) if p.doc_id == i)
+        assert np.array_equal(np.frombuffer(ids, "<u4"), [*tokenizer.encode(t, add_special_tokens=False).ids, 0])
