@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ ONE_IN, PROPOSED = 8, 2
 COVERED = 50
 TOP = 2000
 UNKNOWN = "und"
-#: Bits of a filter, as a power of two: 16 MB each, whatever the input.
-FILTER_BITS = 27
+#: Bits of a filter, as a power of two: at most 8 MB each, whatever the input.
+FILTER_BITS = 26
 #: Bytes of text cut at a time, and different pairs, triples or words that a task holds before it gives its counts on.
 SLICE, HELD, VOCABULARY = 4_000_000, 1_000_000, 400_000
 #: Bits of a word's number within a task; three fit a 64-bit key.
@@ -86,14 +87,12 @@ class Counter:
         self.last = np.zeros(2, np.int64)
 
     def _number(self, tokens: list[bytes]) -> np.ndarray:
-        from zlib import crc32
-
         ids = self.ids
         new = [t for t in dict.fromkeys(tokens) if t not in ids]
         if new:
             ids.update(zip(new, range(len(ids), len(ids) + len(new)), strict=True))
             self.words += new
-            place = np.fromiter((crc32(self.prefix + t) for t in new), np.int64, len(new))
+            place = np.fromiter((zlib.crc32(self.prefix + t) for t in new), np.int64, len(new))
             self.place = np.concatenate([self.place, place])
             self.ok = [np.concatenate([ok, _passes(f[0], place, self.bits)]) for ok, f in zip(self.ok, self.filters, strict=True)]
             self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
@@ -157,15 +156,17 @@ class Counter:
         self.fresh()
 
 
-def _counted(rows: DataFrame, filters: list[tuple], bits: int, count_words: bool) -> DataFrame:
-    """COUNTS of ``rows`` (lang, text): of words, and of all words of a language as its phrase of none, if asked for, and of the pairs and triples that pass.
+def _counted(rows: DataFrame, filters: list[tuple], bits: int, count_words: bool, least: int) -> DataFrame:
+    """COUNTS of ``rows`` (lang, text), written: of words, and of all words of a language as its phrase of none, if asked for, and of
+    the pairs and triples that pass; those of less than ``least`` are left out.
 
     ``filters`` are those of this pass and of the one before, if any. Each task adds up what it reads, in bounded memory.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(filters)
+    shared = rows.sparkSession.sparkContext.broadcast([[zlib.compress(f.tobytes(), 1) for f in pair] for pair in filters])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[str, Counter] = {}
+        opened = [tuple(np.frombuffer(zlib.decompress(f), np.uint8) for f in pair) for pair in shared.value]
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
             waiting: dict[str, list[bytes]] = {}
@@ -175,7 +176,7 @@ def _counted(rows: DataFrame, filters: list[tuple], bits: int, count_words: bool
             for lang, some in waiting.items():
                 counter = counters.get(lang)
                 if counter is None:
-                    counter = counters[lang] = Counter(lang, shared.value, bits, count_words)
+                    counter = counters[lang] = Counter(lang, opened, bits, count_words)
                 joined, at = b"\n".join([b"", *some, b""]), 0
                 while at < len(joined):
                     end = at + SLICE
@@ -194,7 +195,10 @@ def _counted(rows: DataFrame, filters: list[tuple], bits: int, count_words: bool
         for c in counters.values():
             yield from c.given()
 
-    return rows.mapInArrow(count, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(count, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    done = written(counts.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+    shared.destroy()
+    return done
 
 
 def frequent(docs: DataFrame, least: int = LEAST, one_in: int = ONE_IN, proposed: int = PROPOSED, bits: int = FILTER_BITS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[DataFrame, int]:
@@ -212,11 +216,11 @@ def frequent(docs: DataFrame, least: int = LEAST, one_in: int = ONE_IN, proposed
     every = np.full(1 << (bits - 3), 255, np.uint8)
     none = np.zeros(1 << (bits - 3), np.uint8)
     sample = docs.where(F.pmod(F.xxhash64(doc_id, text), F.lit(one_in)) == 0).select(F.coalesce(lang, F.lit(UNKNOWN)).alias("lang"), text)
-    sampled = written(_counted(sample, [(every, none)], bits, True).where(F.col("n") >= proposed), "phrases-sampled")
+    sampled = _counted(sample, [(every, none)], bits, True, proposed)
     have = _filter(sampled, 1, bits), _filter(sampled, 2, bits)
     filters, parts = [have], []
     while True:
-        parts.append(written(_counted(rows, filters, bits, not parts).where((F.col("n") >= least) | (F.col("words") == 0)), "phrases-counted"))
+        parts.append(_counted(rows, filters, bits, not parts, least))
         grown = have[0] | _filter(parts[-1], 1, bits), have[1] | _filter(parts[-1], 2, bits)
         if all(map(np.array_equal, have, grown)):
             break
