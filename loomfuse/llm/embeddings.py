@@ -30,7 +30,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     order = np.lexsort(x.T)
     centres = x[order[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]]
     for _ in range(rounds):
-        near = np.argmin((centres**2).sum(1) - 2 * x @ centres.T, 1)
+        near = np.concatenate([np.argmin((centres**2).sum(1) - 2 * x[i : i + 1024] @ centres.T, 1) for i in range(0, len(x), 1024)])
         n = np.bincount(near, minlength=len(centres))
         sums = np.stack([np.bincount(near, x[:, j], len(centres)) for j in range(x.shape[1])], 1)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
@@ -47,22 +47,28 @@ class Quantiser:
     @staticmethod
     def fit(x: np.ndarray, lists: int) -> Quantiser:
         centres = _kmeans(x, lists)
-        rest = x - centres[np.argmin((centres**2).sum(1) - 2 * x @ centres.T, 1)]
+        rest = x - centres[Quantiser(centres, []).near(x)[0]]
         return Quantiser(centres, [_kmeans(part, CODES) for part in np.array_split(rest, min(SUBSPACES, x.shape[1]), axis=1)])
 
     def _parts(self, x: np.ndarray) -> list[np.ndarray]:
         return np.array_split(x, len(self.books), axis=1)
 
     def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances to all centres, and the nearest one."""
-        d = (x**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * x @ self.centres.T
-        return d, np.argmin(d, 1)
+        """For each vector its nearest centre and the squared distance to it."""
+        own, far, parts = np.zeros(len(x), np.int64), np.zeros(len(x)), (self.centres**2).sum(1)
+        for k in range(0, len(x), SLICE):
+            d = parts - 2 * x[k : k + SLICE] @ self.centres.T
+            own[k : k + SLICE] = np.argmin(d, 1)
+            far[k : k + SLICE] = d.min(1) + (x[k : k + SLICE] ** 2).sum(1)
+        return own, np.maximum(far, 0)
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of the residuals; how far each vector is from what its codes stand for; and the part of a distance to
         that point z which no query changes, |z|^2 - |centre|^2."""
-        rest = x - self.centres[own]
-        codes = np.stack([np.argmin((b**2).sum(1) - 2 * p @ b.T, 1) for p, b in zip(self._parts(rest), self.books, strict=True)], 1)
+        rest, codes = x - self.centres[own], np.zeros((len(x), len(self.books)), np.int64)
+        for k in range(0, len(x), 4 * SLICE):
+            for j, (part, b) in enumerate(zip(self._parts(rest[k : k + 4 * SLICE]), self.books, strict=True)):
+                codes[k : k + 4 * SLICE, j] = np.argmin((b**2).sum(1) - 2 * part @ b.T, 1)
         stood = np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], 1)
         return codes.astype(np.uint8), np.sqrt(((rest - stood) ** 2).sum(1)), (stood * (stood + 2 * self.centres[own])).sum(1)
 
@@ -78,16 +84,24 @@ class Quantiser:
             total += t[codes[:, j]]
         return total
 
-    def probes(self, x: np.ndarray, own: np.ndarray, reach: float, radius: np.ndarray) -> np.ndarray:
-        """Vector by list: whether the list can hold a vector within ``reach`` of this one.
+    def probes(self, x: np.ndarray, own: np.ndarray, reach: float, radius: np.ndarray, lists: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Vector by list: whether the list can hold a vector within ``reach`` of this one; and the squared distances to the lists' centres.
 
         If y is in the list of c, then y is at least as near to c as to x's own centre o, so
         |x - c|^2 - |x - o|^2 <= 2 (x - y)(c - o) <= 2 |x - y| |c - o|; and |x - c| <= |x - y| +
-        the list's ``radius``. Lists beyond either bound with |x - y| = ``reach`` hold none.
+        the list's ``radius``. Lists beyond either bound with |x - y| = ``reach`` hold none. Worked out for some vectors at a time.
         """
-        d, o = self.near(x)[0], self.centres[own]
-        gap = np.sqrt(np.maximum((o**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * o @ self.centres.T, 0))
-        return (d - d[np.arange(len(x)), own][:, None] <= 2 * reach * gap + SLACK) & (np.sqrt(np.maximum(d, 0)) <= reach + radius + SLACK)
+        lists = np.arange(len(self.centres)) if lists is None else lists
+        centres, fine, near = self.centres[lists], np.zeros((len(x), len(lists)), bool), np.zeros((len(x), len(lists)), np.float32)
+        lengths = (centres**2).sum(1)
+        for k in range(0, len(x), SLICE):
+            some, o = x[k : k + SLICE], self.centres[own[k : k + SLICE]]
+            d = np.maximum((some**2).sum(1)[:, None] + lengths - 2 * some @ centres.T, 0)
+            home = ((some - o) ** 2).sum(1)[:, None]
+            gap = np.sqrt(np.maximum((o**2).sum(1)[:, None] + lengths - 2 * o @ centres.T, 0))
+            fine[k : k + SLICE] = (d - home <= 2 * reach * gap + SLACK) & (np.sqrt(d) <= reach + radius[lists] + SLACK)
+            near[k : k + SLICE] = d
+        return fine, near
 
 
 def group_lists(centres: np.ndarray, sizes: np.ndarray, most: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +123,7 @@ def group_lists(centres: np.ndarray, sizes: np.ndarray, most: int = GROUP) -> tu
 def _unit(column) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
+    x = x / np.abs(x).max(1, initial=0)[:, None]  # so that no square runs over or under
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
@@ -119,7 +134,7 @@ def _comparable(vec) -> F.Column:
 
 
 def _links(vectors: DataFrame, threshold: float, label: str) -> DataFrame:
-    """Rows (a, b, n) over distinct vectors (node, copies, vec) of one length: links of a spanning forest of
+    """Rows (a, b, n) over distinct vectors (node, copies, vec), each with a node of its own, of one length: links of a spanning forest of
     each task's pairs (n null), and for node a the rows it links to among them (b null)."""
     spark = vectors.sparkSession
     reach = math.sqrt(2 - 2 * threshold)
@@ -136,10 +151,9 @@ def _links(vectors: DataFrame, threshold: float, label: str) -> DataFrame:
             if not len(b):
                 continue
             x = _unit(b.column(2))
-            d, own = q.near(x)
+            own, far = q.near(x)
             codes, off, fixed = q.encode(x, own)
-            far = np.sqrt(np.maximum(d[np.arange(len(x)), own], 0))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32)), pa.array(far), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array(fixed)], ["node", "copies", "vec", "own", "far", "codes", "off", "fixed"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32)), pa.array(np.sqrt(far)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array(fixed)], ["node", "copies", "vec", "own", "far", "codes", "off", "fixed"])
 
     kind = vectors.schema["vec"].dataType.simpleString()
     spread = vectors.select("node", "copies", "vec").repartition(max(1, min(total // 500, 4096)), "node")
@@ -157,7 +171,7 @@ def _links(vectors: DataFrame, threshold: float, label: str) -> DataFrame:
             own, groups = np.asarray(b.column(3)), []
             x = _unit(b.column(2)) if len(b) else np.zeros((0, q.centres.shape[1]))
             for k in range(0, len(x), SLICE):
-                asked = q.probes(x[k : k + SLICE], own[k : k + SLICE], reach, radius)
+                asked = q.probes(x[k : k + SLICE], own[k : k + SLICE], reach, radius)[0]
                 for i, row in enumerate(asked):
                     to = np.flatnonzero(row[own[k + i] :]) + own[k + i]
                     groups.append(np.unique(np.concatenate([first[to], *(first[j] + np.arange(1, parts[j]) for j in to[parts[to] > 1])])).astype(np.int32))
@@ -184,15 +198,16 @@ def _links(vectors: DataFrame, threshold: float, label: str) -> DataFrame:
             codes = np.frombuffer(b"".join(ours["codes"].to_pylist()), np.uint8).reshape(len(ours), -1)
             off, fixed, to, by = (np.asarray(c) for c in (ours["off"], ours["fixed"], ours["node"], theirs["node"]))
             owner, own = np.asarray(ours["own"]), np.asarray(theirs["own"])
-            tables, probed, near = q.tables(x), q.probes(x, own, reach, layout.value[0]), q.near(x)[0].astype(np.float32)
+            lists = np.unique(owner)
+            tables, (probed, near) = q.tables(x), q.probes(x, own, reach, layout.value[0], lists)
             most = ((reach + off + SLACK) ** 2).astype(np.float32)
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for c in np.unique(owner):
-                who = np.flatnonzero(probed[:, c] & (own <= c))
+            for at_list, c in enumerate(lists):
+                who = np.flatnonzero(probed[:, at_list] & (own <= c))
                 part = [t[:, who] for t in tables] if len(who) < len(x) else tables
                 every = np.flatnonzero(owner == c)
                 for held in np.array_split(every, -(-len(every) // SLICE)):
-                    m, k = np.nonzero(q.distances(part, near[who, c], codes[held], fixed[held]) <= most[held][:, None])
+                    m, k = np.nonzero(q.distances(part, near[who, at_list], codes[held], fixed[held]) <= most[held][:, None])
                     i, j = who[k], held[m]
                     once = (own[i] < c) | (by[i] < to[j])  # pairs of one list are met from both ends
                     i, j = i[once], j[once]
@@ -214,6 +229,14 @@ def _links(vectors: DataFrame, threshold: float, label: str) -> DataFrame:
     return rows.groupBy("group", "block").applyInArrow(compare, "a long, b long, n long")
 
 
+def _shared_ids(usable: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of different vectors with one id; told by hashes of 128 bits which ids have any."""
+    print_of = F.struct(F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("g"))
+    ids = usable.groupBy("vec_id").agg(F.min(print_of).alias("low"), F.max(print_of).alias("high")).where("low <> high").select("vec_id")
+    pairs = written(usable.join(ids, "vec_id").join(distinct, "vec").select("vec_id", "node").distinct(), "vectors-of-ids")
+    return pairs.join(pairs.groupBy("vec_id").agg(F.min("node").alias("a")), "vec_id").where("a <> node").select("a", F.col("node").alias("b"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of ``vectors``.
 
@@ -229,12 +252,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, nor do vectors of different lengths. Repeated rows link with each other; rows
-    of one id with different vectors share one node, so one component. Rows with null ids
+    of one id with different vectors are vectors of their own with links of their own, but share one component. Rows with null ids
     are returned with no links and a null component, and kept. Other columns are not read.
     """
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("vec"))
     usable = base.where(_comparable(F.col("vec")) & F.col("vec_id").isNotNull())
-    distinct = written(usable.groupBy("vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vectors")
+    distinct = usable.groupBy("vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     lengths = sorted(r[0] for r in distinct.select(F.size("vec")).distinct().collect())
     found = None
     for length in lengths:  # vectors of one length make one index
@@ -243,11 +267,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     if found is None:
         return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(vec_id).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     found = written(found, "vector-links")
-    roots = components(found.where("b is not null").select("a", "b"), "vectors")
+    roots = components(found.where("b is not null").select("a", "b").unionByName(_shared_ids(usable, distinct)), "vectors")
     counts = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    named = distinct.select("vec", "node", "copies").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = distinct.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named, "vectors-named")
-    smallest = named.groupBy("root").agg(F.min("node").alias("component_id"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(named.join(smallest, "root").select("vec", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vectors-classes")
     linked = base.join(named, F.when(_comparable(base["vec"]) & base["vec_id"].isNotNull(), base["vec"]) == named["vec"], "left")
     component = F.coalesce("component_id", "vec_id")

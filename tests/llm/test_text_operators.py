@@ -218,10 +218,10 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
     # the probes and bounds lose nothing: every list that holds a neighbour is asked
     model = embeddings.Quantiser.fit(u, 9)
-    own = model.near(u)[1]
+    own = model.near(u)[0]
     far = np.linalg.norm(u - model.centres[own], axis=1)
     radius = np.array([max(far[own == c], default=0.0) for c in range(len(model.centres))])
-    probes = model.probes(u, own, (2 - 1.8) ** 0.5, radius)
+    probes = model.probes(u, own, (2 - 1.8) ** 0.5, radius)[0]
     assert all(probes[i, own[j]] and probes[j, own[i]] for i, j in linked)
 
 
@@ -239,6 +239,35 @@ def test_embeddings_of_low_rank_lose_no_link(spark):
         assert [got[i] for i in range(len(x))] == want.tolist()
 
 
+def test_embeddings_with_repeated_ids_and_huge_or_tiny_components(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 3))
+    rows = [(int(rng.integers(0, 25)), (v * 10.0 ** rng.choice([-200, 0, 200])).tolist()) for v in np.concatenate([x, x[:15] + 0.1])]
+    rows += [(1, [1.0, 0.0, 0.0]), (1, [0.99, 0.1, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 0.0, 1.0]), rows[0], (90, [0.0, 1e-310, 0.0]), (91, [0.0, 1e300, 1e299])]
+    u = np.array([v for _, v in rows])
+    u /= np.abs(u).max(1)[:, None]
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    want = brute_components({i for i, _ in rows}, [(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(near), strict=True)])
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted((i, int(near[k].sum()) - 1, want[i], want[i] == i) for k, (i, _) in enumerate(rows))
+
+
+def test_embedding_tables_stay_small(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(10_000, 32))
+    model = embeddings.Quantiser(x[:4096], [x[:256, :16], x[:256, 16:]])
+    tracemalloc.start()
+    own, far = model.near(x)
+    model.encode(x, own)
+    fine, near = model.probes(x[:4096], own[:4096], 0.4, np.ones(4096), np.arange(4096))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert fine.shape == near.shape == (4096, 4096) and peak < 200e6
+
+
 def test_simhash_against_brute_force(spark, odd, none):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(300)]
