@@ -24,7 +24,7 @@ UNKNOWN = "und"
 #: Bits of a filter, as a power of two: at most 8 MB each, whatever the input.
 FILTER_BITS = 26
 #: Bytes of text cut at a time, and different pairs, triples or words that a task holds before it gives its counts on.
-SLICE, HELD, VOCABULARY = 4_000_000, 1_000_000, 400_000
+SLICE, HELD, VOCABULARY = 1_500_000, 400_000, 150_000
 #: Bits of a word's number within a task; three fit a 64-bit key.
 ID_BITS = 21
 #: Parts that a language is ranked in before they meet.
@@ -188,10 +188,10 @@ def _counted(rows: DataFrame, filters: list[tuple], bits: int, count_words: bool
                         last = [counter.words[i] for i in counter.last]
                         yield from counter.given()
                         counter.last = counter._number(last)
-            if sum(len(c.words) for c in counters.values()) > 2 * VOCABULARY or sum(len(c.held[2][0]) + len(c.held[3][0]) for c in counters.values()) > 2 * HELD:
-                for c in counters.values():
-                    yield from c.given()
-                counters = {}
+                if sum(len(c.words) for c in counters.values()) > 2 * VOCABULARY or sum(len(c.held[2][0]) + len(c.held[3][0]) for c in counters.values()) > 2 * HELD:
+                    for c in counters.values():  # each stands at the end of a text
+                        yield from c.given()
+                    counters = {}
         for c in counters.values():
             yield from c.given()
 
