@@ -109,13 +109,34 @@ def distinct_in_order(df: DataFrame, value: str, order: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(order).alias(order))
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``_rank`` from 0 in the order of ``order``: rows are sorted by ranges, a range counts from the rows before it."""
-    placed = kept(df.orderBy(order).withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_range", F.shiftright("_at", 33))
+def _in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` sorted by ranges and written, with ``_range`` and ``_rank`` from 0 over all of it; a range counts from the rows before it."""
+    placed = kept(df.orderBy(*map(_named, order)).withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_range", F.shiftright("_at", 33))
     counts = placed.groupBy("_range").agg(F.count("*").alias("n"))  # a row for each range
     before = counts.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.col("_before") + F.col("_at") - F.shiftleft(F.col("_range"), 33)
-    return placed.join(F.broadcast(before), "_range").withColumn("_rank", rank).drop("_at", "_range", "_before")
+    return placed.join(F.broadcast(before), "_range").withColumn("_rank", rank).drop("_at", "_before")
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``_rank`` from 0 in the order of ``order``: rows are sorted by ranges, a range counts from the rows before it."""
+    return _in_ranges(df, order).drop("_range")
+
+
+def numbered_within(df: DataFrame, by: list[str], order: list[str], to: str) -> DataFrame:
+    """``df`` with the long ``to`` from 0 in the order of ``order`` for each ``by``, nulls a group like others.
+
+    All rows are sorted by ranges together, so a group of any size is spread over many tasks; a row's rank is
+    its place less that of its group's first row, which is known for each group and range.
+    """
+    placed = _in_ranges(df, *by, *order)
+    names = [f"_by_{i}" for i in range(len(by))]
+    spans = placed.groupBy(*[_named(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_range").alias("_of")).agg(F.min("_rank").alias("_first"))
+    spans = spans.withColumn("_first", F.min("_first").over(Window.partitionBy(*names)))  # a row for each group and range
+    same = F.col("_range") == F.col("_of")
+    for c, n in zip(by, names, strict=True):
+        same = same & _named(c).eqNullSafe(F.col(n))
+    return placed.join(spans, same).select(*map(_named, df.columns), (F.col("_rank") - F.col("_first")).alias(to))
 
 
 def expand_target(target: DataFrame, keys: DataFrame, key: str, order: str) -> DataFrame:

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomfuse.functions import fixed, text
 from loomfuse.functions.kernels import pair_kernel
+from loomfuse.operators.graph import buckets
+from loomfuse.operators.keys import numbered_within
 from loomfuse.operators.scratch import kept
 
-#: Of a key's bigrams, rarest first, this share (and one more) is looked up: any key that scores shares one of them.
-PROBED = 0.45
 #: Scores that spelling alone can't exceed where codes differ, or lengths by more than LENGTH_GAP of the longer.
 CODES_CAP, LENGTH_CAP, LENGTH_GAP = 0.6, 0.72, 0.34
+#: Links and keys that one task settles at most.
+LOCAL = 200_000
 
 
 def features(keys: DataFrame, key: str = "key") -> DataFrame:
@@ -74,39 +81,111 @@ def score_pairs(pairs: DataFrame, a: str = "t_", b: str = "s_", equality_first:
     return kernel.withColumn("score", _score(a, b, equality_first)).drop("_whole", "_core")
 
 
-def _bigrams(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+#: What spelling must share: a stretch of this part of the shorter string at this ratio, or without one the higher ratio.
+STRETCH, ALIKE, VERY_ALIKE = 0.6, 0.7, 0.9
+#: Longer stretches are looked up by pieces of so many characters.
+PIECE = 24
+#: Shorter keys count as contained in others only as equal ones.
+LEAST_CONTAINED = 4
+_EPS = 1e-9
+
+
+def _stretch(m: Column) -> Column:
+    """The shortest stretch that a string of ``m`` characters, the shorter one, must share."""
+    return F.ceil(STRETCH * m - _EPS).cast("int")
+
+
+def _lost(m: Column, n: Column) -> Column:
+    """How many characters of the shorter string, of ``m``, the longer one of ``n`` may lack at the ratio VERY_ALIKE; negative: no such pair."""
+    return F.floor(((1 - VERY_ALIKE) * (m + n) - (n - m)) / 2 + _EPS).cast("int")
+
+
+def _pieces(c: Column, size: Column, step: Column) -> Column:
+    """Pieces of ``size`` characters, at each ``step``; none of a shorter string."""
+    n = F.length(c) - size
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0)), step), lambda i: c.substr(i + 1, size))).otherwise(F.array().cast("array<string>"))
+
+
+def _ints(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<int>")
+
+
+def _of_shorter(c: Column, contained: bool) -> Column:
+    """What the shorter string is looked up by: pieces of which every stretch that it must share holds one; if it may be ``contained``, its beginning too."""
+    size = F.least(_stretch(F.length(c)), F.lit(PIECE))
+    found = _pieces(c, size, _stretch(F.length(c)) - size + 1)
+    return F.concat(found, F.when(F.length(c) >= LEAST_CONTAINED, F.array(F.concat(F.lit("="), F.left(c, F.lit(PIECE))))).otherwise(F.array().cast("array<string>"))) if contained else found
+
+
+def _of_longer(c: Column, lengths: list[int], contained: bool) -> Column:
+    """All pieces of the longer string by which shorter ones of any of ``lengths`` may be looked up."""
+    n, one = F.length(c), F.lit(1)
+    fine = F.filter(_ints(lengths), lambda m: (m <= n) & (2 * m >= (m + n) * (ALIKE - _EPS)))
+    sizes = F.array_distinct(F.transform(fine, lambda m: F.least(_stretch(m), F.lit(PIECE))))
+    found = F.flatten(F.transform(sizes, lambda q: _pieces(c, q, one)))
+    if contained:
+        short = F.array_distinct(F.transform(F.filter(_ints(lengths), lambda m: (m >= LEAST_CONTAINED) & (m <= n)), lambda m: F.least(m, F.lit(PIECE))))
+        found = F.concat(found, F.transform(F.flatten(F.transform(short, lambda q: _pieces(c, q, one))), lambda p: F.concat(F.lit("="), p)))
+    return F.array_distinct(found)
+
+
+def _segments(c: Column, m: Column, n: Column, shifts: bool) -> Column:
+    """Segments (_pair, _least, _b), two more than a pair of lengths ``m`` and ``n`` may have edits, so that two stay whole: of the shorter string ``c``,
+    or of the longer one wherever deleted and inserted characters may have moved it. ``_least``: so many must be looked up."""
+    lost = _lost(m, n)
+    parts = 2 * lost + n - m + 2
+    begin = lambda i: F.floor(i * m / parts).cast("int")
+    name = lambda i, at: F.struct(F.concat_ws(":", m, n).alias("_pair"), (parts - 1).alias("_least"), F.concat_ws(":", m, n, i, c.substr(at + 1, begin(i + 1) - begin(i))).alias("_b"))
+    every = lambda i: F.transform(F.sequence(F.greatest(begin(i) - lost, F.lit(0)), F.least(begin(i) + lost + n - m, n - begin(i + 1) + begin(i))), lambda at: name(i, at))
+    each = F.sequence(F.lit(0), parts - 1)
+    found = F.flatten(F.transform(each, every)) if shifts else F.transform(each, lambda i: name(i, begin(i)))
+    return F.when((m <= n) & (m > 0) & (lost >= 0), found).otherwise(F.array().cast("array<struct<_pair:string,_least:int,_b:string>>"))
+
+
+def _rarest(segments: DataFrame, index: DataFrame) -> DataFrame:
+    """Of each string's ``segments`` those that must be looked up, the rarest in ``index``: all but one, as two stay whole."""
+    often = index.groupBy("source_id", "_c", "_b").agg(F.count("*").alias("_f"))
+    w = Window.partitionBy("source_id", "_o", "_pair").orderBy(F.coalesce("_f", F.lit(0)), "_b")
+    return segments.join(often, ["source_id", "_c", "_b"], "left").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_least")).drop("_r", "_f", "_least", "_pair")
 
 
 def candidates(targets: DataFrame, sources: DataFrame, least: float = fixed.ROW_SUGGEST) -> DataFrame:
     """Distinct pairs (source_id, t_ord, s_ord) that can score ``least``, 0.6 or more; ``targets`` (source_id, t_ord, features), ``sources`` (source_id, s_ord, features).
 
-    Scores above 0.4 come from equal keys, equal cores, equal long digit runs, equal roads
-    or strings that share a stretch of 0.6 of the shorter or differ by a tenth. The last two
-    leave the shorter string at most PROBED of its bigrams that the longer lacks, so its rarest
-    ones, that many and one more, must hold a shared one: only those are looked up. Pairs by
-    bigrams score over 0.6 only with equal codes and over 0.72 only with lengths about alike, so
-    for such a ``least`` these narrow the look-up. No pair is lost.
+    Such scores come from equal keys, equal cores, equal long digit runs, equal roads, from keys or cores
+    that share a stretch of 0.6 of the shorter at a ratio of 0.7, from keys that contain each other, or from
+    keys at a ratio of 0.9. A shared stretch is looked up as a whole: the shorter string by all its
+    windows of that length, the longer by all its pieces of the lengths that shorter ones have; what is
+    contained by its beginning. At 0.9 the edits that a pair of lengths allows
+    leave two segments whole of two more than edits, near their places, so all but the most frequent segment are looked up. So nearly all pairs that are found do score. Spelling alone scores over 0.6 only with
+    equal codes and over 0.72 only with lengths about alike; for such a ``least`` these narrow the look-up. No pair is lost.
     """
     blocks = []
     for name, value, fine in (("norm", F.col("norm"), F.col("norm") != ""), ("core", F.col("core"), F.col("core") != ""), ("digits", F.col("digits"), F.length("digits") >= 6), ("road", F.col("road.road"), F.col("road").isNotNull())):
         t, s = (df.where(fine).select("source_id", o, F.concat(F.lit(f"{name}:"), value).alias("_b")) for df, o in ((targets, "t_ord"), (sources, "s_ord")))
         blocks.append(t.join(s, ["source_id", "_b"]).select("source_id", "t_ord", "s_ord"))
     codes = F.array_join("codes", " ") if least > CODES_CAP else F.lit("")
+    sides = (targets, "t_ord"), (sources, "s_ord")
+    lengths = {name: [sorted(r[0] for r in df.select(F.length(name)).distinct().collect() if r[0]) for df, _ in sides] for name in ("norm", "core")}  # as many as the longest key has characters
+
+    def sought(side: int, name: str, by: Column) -> DataFrame:
+        df, at = sides[side]
+        rows = df.select("source_id", F.col(at).alias("_o"), F.length(name).alias("_n"), F.length("norm").alias("_l"), codes.alias("_c"), F.explode(F.array_distinct(by)).alias("_e"))
+        return rows.select("*", "_e.*").drop("_e") if isinstance(rows.schema["_e"].dataType, StructType) else rows.withColumnRenamed("_e", "_b")
+
     for name in ("norm", "core"):
-        grams = lambda df, o: df.where(F.length(name) >= 2).select("source_id", F.col(o).alias("_o"), F.length(name).alias("_n"), F.length("norm").alias("_l"), codes.alias("_c"), F.explode(_bigrams(F.col(name))).alias("_b"))  # noqa: B023, E731
-        t, s = grams(targets, "t_ord"), grams(sources, "s_ord")
-        often = t.select("source_id", "_c", "_b").unionByName(s.select("source_id", "_c", "_b")).groupBy("source_id", "_c", "_b").agg(F.count("*").alias("_f"))
-
-        def rare(grams: DataFrame, often: DataFrame = often) -> DataFrame:
-            w = Window.partitionBy("source_id", "_o").orderBy("_f", "_b")
-            return grams.join(often, ["source_id", "_c", "_b"]).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.floor(PROBED * F.col("_n")) + 1).drop("_r", "_f")
-
-        for probe, index, swap in ((t, s, False), (s, t, True)):
-            found = rare(probe).join(index.select("source_id", "_c", "_b", F.col("_o").alias("_i"), F.col("_n").alias("_m"), F.col("_l").alias("_k")), ["source_id", "_c", "_b"]).where("_n <= _m")
-            if least > LENGTH_CAP:
-                found = found.where(F.abs(F.col("_l") - F.col("_k")) <= LENGTH_GAP * F.greatest("_l", "_k"))
-            blocks.append(found.select("source_id", F.col("_i" if swap else "_o").alias("t_ord"), F.col("_o" if swap else "_i").alias("s_ord")))
+        c, n = F.col(name), F.length(name)
+        for short, long in ((0, 1), (1, 0)):
+            own, other = lengths[name][short], lengths[name][long]
+            ways = [(sought(short, name, _of_shorter(c, name == "norm")), sought(long, name, _of_longer(c, own, name == "norm")))]
+            if name == "norm":
+                index = sought(long, name, F.flatten(F.transform(_ints(own), lambda m: _segments(c, m, n, True)))).drop("_pair", "_least")  # noqa: B023
+                ways.append((_rarest(sought(short, name, F.flatten(F.transform(_ints(other), lambda m: _segments(c, n, m, False)))), index), index))  # noqa: B023
+            for probe, index in ways:
+                found = probe.join(index.select("source_id", "_c", "_b", F.col("_o").alias("_i"), F.col("_n").alias("_m"), F.col("_l").alias("_k")), ["source_id", "_c", "_b"]).where("_n <= _m")
+                if least > LENGTH_CAP:
+                    found = found.where(F.abs(F.col("_l") - F.col("_k")) <= LENGTH_GAP * F.greatest("_l", "_k"))
+                blocks.append(found.select("source_id", F.col("_o" if short == 0 else "_i").alias("t_ord"), F.col("_i" if short == 0 else "_o").alias("s_ord")))
     out = blocks[0]
     for more in blocks[1:]:
         out = out.unionByName(more)
@@ -148,25 +227,99 @@ def scored_candidates(targets: DataFrame, sources: DataFrame, equality_first: bo
 
 
 def _ranked(members: DataFrame, side: str) -> DataFrame:
-    own = Window.partitionBy("source_id", f"{side}_kind").orderBy(f"{side}_ord")
-    return kept(members.withColumn(f"{side}_rank", (F.row_number().over(own) - 1).cast("long")), f"align-{side}")
+    return kept(numbered_within(members, ["source_id", f"{side}_kind"], [f"{side}_ord"], f"{side}_rank"), f"align-{side}")
 
 
-def _greedy(scored: DataFrame, t: DataFrame, s: DataFrame) -> DataFrame:
+def take_greedily(links: pa.Table, members: list[pa.Table]) -> pa.Table:
+    """What a greedy pass over all pairs of members takes, by score, then target, then source; the pairs themselves are never formed.
+
+    ``links`` (source_id, t_kind, s_kind, score), ``members`` (source_id, side, kind, rank, ord) of either side. Score by score, targets
+    go in their order, and each takes the first source left among the kinds linked to its own at this score.
+    """
+    queues: dict[tuple, list] = {}
+    rows = lambda t: zip(*(t[c].to_pylist() for c in ("source_id", "side", "kind", "rank", "ord")), strict=True)
+    for source, side, kind, rank, at in (m for side in members for m in sorted(rows(side), key=lambda m: m[4], reverse=True)):
+        queues.setdefault((source, side, kind), []).append((at, rank))
+    levels: dict[tuple, dict] = {}
+    for source, t, s, score in zip(*(links[c].to_pylist() for c in ("source_id", "t_kind", "s_kind", "score")), strict=True):
+        levels.setdefault((-score, source), {}).setdefault(t, []).append(s)
+    taken = []
+    for worse, source in sorted(levels, key=lambda x: x[0]):
+        level = levels[worse, source]
+        queue = lambda side, kind: queues.get((source, side, kind))  # noqa: B023, E731
+        order = [(queue(0, t)[-1][0], t) for t in level if queue(0, t)]
+        waiting = {t: [(queue(1, s)[-1][0], s) for s in level[t] if queue(1, s)] for _, t in order}
+        for heap in (order, *waiting.values()):
+            heapq.heapify(heap)
+        while order:
+            t = heapq.heappop(order)[1]
+            heap = waiting[t]
+            while heap and not (queue(1, heap[0][1]) and queue(1, heap[0][1])[-1][0] == heap[0][0]):  # its first member has gone
+                s = heapq.heappop(heap)[1]
+                if queue(1, s):
+                    heapq.heappush(heap, (queue(1, s)[-1][0], s))
+            if heap:
+                s = heap[0][1]
+                taken.append((source, t, s, queue(0, t).pop()[1], queue(1, s).pop()[1], -worse))
+                if queue(0, t):
+                    heapq.heappush(order, (queue(0, t)[-1][0], t))
+    types = [links[c].type for c in ("source_id", "t_kind", "s_kind")] + [pa.int64(), pa.int64(), pa.float64()]
+    columns = zip(*taken, strict=True) if taken else [[]] * 6
+    return pa.table([pa.array(list(c), k) for c, k in zip(columns, types, strict=True)], names=["source_id", "t_kind", "s_kind", "t_rank", "s_rank", "score"])
+
+
+def _locally(left: DataFrame, t: DataFrame, s: DataFrame) -> DataFrame:
+    """The greedy pass over ``left`` (bucket, ...), each bucket in one task, as no link leads from one to another."""
+    names = ["bucket", "source_id", "side", "t_kind", "s_kind", "score", "rank", "t_ord", "s_ord"]
+    kind = {"bucket": "long", "source_id": dict(left.dtypes)["source_id"], "side": "int", "score": "double", "rank": "long"} | {f"{x}_{c}": dict(d.dtypes)[f"{x}_{c}"] for x, d in (("t", t), ("s", s)) for c in ("kind", "ord")}
+    shaped = lambda df: df.select([(F.col(c) if c in df.columns else F.lit(None)).cast(kind[c]).alias(c) for c in names])
+    rows = shaped(left.withColumn("side", F.lit(2)))
+    for side, (x, members) in enumerate((("t", t), ("s", s))):
+        kinds = left.select("bucket", "source_id", f"{x}_kind", f"{x}_used").distinct()
+        own = kinds.join(members, ["source_id", f"{x}_kind"]).where(F.col(f"{x}_rank") >= F.col(f"{x}_used"))
+        rows = rows.unionByName(shaped(own.withColumn("side", F.lit(side)).withColumnRenamed(f"{x}_rank", "rank")))
+
+    def run(table: pa.Table) -> pa.Table:
+        links = table.filter(pc.equal(table["side"], 2))
+        members = [table.filter(pc.equal(table["side"], i)).select(["source_id", "side", f"{x}_kind", "rank", f"{x}_ord"]).rename_columns(["source_id", "side", "kind", "rank", "ord"]) for i, x in enumerate("ts")]
+        return take_greedily(links, members)
+
+    schema = f"source_id {kind['source_id']}, t_kind {kind['t_kind']}, s_kind {kind['s_kind']}, t_rank long, s_rank long, score double"
+    return kept(rows.groupBy("bucket").applyInArrow(run, schema), "align-local")
+
+
+def _greedy(scored: DataFrame, t: DataFrame, s: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs (source_id, t_kind, s_kind, t_rank, s_rank, score) of members that a greedy pass over all pairs of members would take.
 
+    Kinds that scores link, directly or not, form a component, and what the pass takes in one depends on nothing outside. So components
+    go to tasks, together up to ``most`` links and members, and each task makes the pass. Only components too large for a task go in rounds, until what is left is small enough.
+
     A round takes, of each kind, what is the best left for it and for the other end: the pass
     would take these before any pair that touches them. Kinds that are all best for each
     other at one score form a block, in which the pass takes the k-th target with the k-th
     source; elsewhere, where scores tie unevenly, the next members alone go. Every round
     takes a pair at least, so there is an end. Rounds are written, so lost executors repeat none.
     """
+    most = most or LOCAL
     size = lambda df, side: df.groupBy("source_id", f"{side}_kind").agg(F.count("*").alias(f"{side}_n"))
     none = F.lit(0).cast("long")
     left = scored.join(size(t, "t"), ["source_id", "t_kind"]).join(size(s, "s"), ["source_id", "s_kind"])
     left = kept(left.withColumn("t_used", none).withColumn("s_used", none), "align-left")
-    taken = None
-    while not left.isEmpty():
+    node = {side: F.xxhash64(F.lit(side), "source_id", f"{side}_kind") for side in "ts"}  # equal hashes would only join components
+    weighed = lambda left: left.select(F.explode(F.array(*[F.struct(node[x].alias("node"), (F.col(f"{x}_n") - F.col(f"{x}_used")).alias("n")) for x in "ts"])).alias("w")).select("w.*")
+    taken, parted = [], False
+    while n := left.count():
+        if n + weighed(left).groupBy("node").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] <= most:
+            taken.append(_locally(left.withColumn("bucket", none), t, s))
+            left = left.limit(0)
+            break
+        if not parted:
+            parted = True
+            dealt = buckets(left.select(node["t"].alias("a"), node["s"].alias("b")), weighed(left), most, "align")
+            dealt = left.join(dealt.withColumnRenamed("node", "_node"), node["t"] == F.col("_node")).drop("_node")
+            taken.append(_locally(dealt.where("bucket is not null"), t, s))
+            left = kept(dealt.where("bucket is null").drop("bucket"), "align-left")
+            continue
         now = left
         for side, members in (("t", t), ("s", s)):
             own = members.select("source_id", f"{side}_kind", F.col(f"{side}_rank").alias(f"{side}_used"), F.col(f"{side}_ord").alias(f"{side}_next"))
@@ -193,12 +346,15 @@ def _greedy(scored: DataFrame, t: DataFrame, s: DataFrame) -> DataFrame:
         blocks = sides["t"].join(sides["s"].drop("score"), ["source_id", "block", "k"]).select(*columns)
         alone = now.where("not even").select("source_id", "t_kind", "s_kind", F.col("t_used").alias("t_rank"), F.col("s_used").alias("s_rank"), "score")
         best = kept(blocks.unionByName(alone), "align-best")
-        taken = best if taken is None else taken.unionByName(best)
+        taken.append(best)
         for side in "ts":
             gone = best.groupBy("source_id", f"{side}_kind").agg(F.count("*").alias("_many"))
             left = left.join(gone, ["source_id", f"{side}_kind"], "left").withColumn(f"{side}_used", F.col(f"{side}_used") + F.coalesce("_many", none)).drop("_many")
         left = kept(left.where("t_used < t_n and s_used < s_n"), "align-left")
-    return left.select("source_id", "t_kind", "s_kind", F.col("t_used").alias("t_rank"), F.col("s_used").alias("s_rank"), "score") if taken is None else taken
+    out = left.select("source_id", "t_kind", "s_kind", F.col("t_used").alias("t_rank"), F.col("s_used").alias("s_rank"), "score").limit(0)
+    for part in taken:
+        out = out.unionByName(part)
+    return out
 
 
 def align_keys(targets: DataFrame, sources: DataFrame, equality_first: bool = False, threshold: float = fixed.ROW_AUTO) -> DataFrame:
@@ -235,23 +391,52 @@ def preview(targets: DataFrame, sources: DataFrame, equality_first: bool = False
     return joined.select("source_id", "t_ord", "tgt_key", F.coalesce("_key", "_b.src_key").alias("src_key"), F.round(F.coalesce("_score", -F.col("_b.worse"), F.lit(0.0)), 2).alias("score"), status.alias("status"))
 
 
-def leaders(keys: DataFrame, threshold: float = fixed.ROW_AUTO) -> DataFrame:
+def follow(links: pa.Table) -> pa.Table:
+    """Rows (ord, leader) of all that ``links`` (ord, before) name: in the order of ``ord``, each follows the first of those before it that lead, or leads."""
+    before: dict = {}
+    for at, b in zip(links["ord"].to_pylist(), links["before"].to_pylist(), strict=True):
+        before.setdefault(at, []).append(b)
+        before.setdefault(b, [])
+    leader: dict = {}
+    for at in sorted(before):
+        leader[at] = min((b for b in before[at] if leader[b] == b), default=at)
+    kind = links["ord"].type
+    return pa.table([pa.array(list(leader), kind), pa.array(list(leader.values()), kind)], names=["ord", "leader"])
+
+
+def leaders(keys: DataFrame, threshold: float = fixed.ROW_AUTO, most: int | None = None) -> DataFrame:
     """Rows (ord, key, leader): each key with the first earlier leader that it scores ``threshold`` to, else itself.
 
-    ``keys`` (ord, key) are distinct. In rounds, a key whose earlier neighbours are all settled
-    is settled: it follows its first leader among them or becomes one.
+    ``keys`` (ord, key) are distinct. Who leads depends only on keys that scores link, directly or not: components up to ``most`` links
+    and keys go to tasks, which settle them in order, however long their chains are. Only larger components go in rounds: a key whose earlier neighbours are all settled
+    is settled; it follows its first leader among them or becomes one.
     """
+    most = most or LOCAL
     named = keys.select(F.lit("all").alias("source_id"), F.col("ord").alias("s_ord"), F.col("key").alias("src_key"))
     scored, members, _ = kind_scores(keys.select(F.col("ord").alias("t_ord"), F.col("key").alias("tgt_key")), named, least=threshold)
     members, every = kept(members.select(F.col("t_ord").alias("ord"), F.col("t_kind").alias("kind")), "leader-members"), keys
     edges = kept(scored.where("s_kind < t_kind").select(F.col("t_kind").alias("ord"), F.col("s_kind").alias("before")), "leader-edges")
     keys = members.where("ord = kind").select("ord")  # further keys of a kind follow its first
-    done = kept(keys.join(edges.select("ord").distinct(), "ord", "left_anti").select("ord", F.col("ord").alias("leader")), "leader-done")
+    kind = dict(edges.dtypes)["ord"]
+    locally = lambda dealt: kept(dealt.groupBy("bucket").applyInArrow(lambda t: follow(t), f"ord {kind}, leader {kind}"), "leader-local")
+    linked = edges.select("ord").union(edges.select("before")).distinct()
+    alone = keys.join(linked, "ord", "left_anti").select("ord", F.col("ord").alias("leader"))
+    if edges.count() <= most:
+        done = alone.unionByName(locally(edges.withColumn("bucket", F.lit(0))))
+        return every.join(members, "ord").join(done.withColumnRenamed("ord", "kind"), "kind").select("ord", "key", "leader")
+    name = lambda c: F.xxhash64(F.lit("k"), c)
+    dealt = buckets(edges.select(name("ord").alias("a"), name("before").alias("b")), linked.select(name("ord").alias("node"), F.lit(1).cast("long").alias("n")), most, "leader")
+    dealt = kept(edges.join(dealt.withColumnRenamed("node", "_node"), name("ord") == F.col("_node")).drop("_node"), "leader-dealt")
+    settled = kept(alone.unionByName(locally(dealt.where("bucket is not null"))), "leader-settled")
+    edges = kept(dealt.where("bucket is null").drop("bucket"), "leader-edges")
+    heads = edges.select(F.col("before").alias("ord")).distinct().join(edges.select("ord").distinct(), "ord", "left_anti")
+    done = kept(heads.select("ord", F.col("ord").alias("leader")), "leader-done")
     left = kept(edges.select("ord").distinct(), "leader-left")
     while not left.isEmpty():
         state = edges.join(left, "ord").join(done.select(F.col("ord").alias("before"), "leader"), "before", "left")
-        settled = state.groupBy("ord").agg(F.count_if(F.col("leader").isNull()).alias("_open"), F.min(F.when(F.col("leader") == F.col("before"), F.col("before"))).alias("_lead"), F.min(F.when(F.col("leader").isNull(), F.col("before"))).alias("_wait"))
-        now = kept(settled.where((F.col("_open") == 0) | (F.col("_lead") < F.col("_wait"))).select("ord", F.coalesce("_lead", "ord").alias("leader")), "leader-now")
+        open_ = state.groupBy("ord").agg(F.count_if(F.col("leader").isNull()).alias("_open"), F.min(F.when(F.col("leader") == F.col("before"), F.col("before"))).alias("_lead"), F.min(F.when(F.col("leader").isNull(), F.col("before"))).alias("_wait"))
+        now = kept(open_.where((F.col("_open") == 0) | (F.col("_lead") < F.col("_wait"))).select("ord", F.coalesce("_lead", "ord").alias("leader")), "leader-now")
         done = kept(done.unionByName(now), "leader-done")
         left = kept(left.join(now.select("ord"), "ord", "left_anti"), "leader-left")
+    done = settled.unionByName(done)
     return every.join(members, "ord").join(done.withColumnRenamed("ord", "kind"), "kind").select("ord", "key", "leader")
