@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from loomfuse.functions import fixed, text
 from loomfuse.functions.kernels import pair_kernel
@@ -144,9 +144,9 @@ def _segments(c: Column, m: Column, n: Column, shifts: bool) -> Column:
 
 def _rarest(segments: DataFrame, index: DataFrame) -> DataFrame:
     """Of each string's ``segments`` those that must be looked up, the rarest in ``index``: all but one, as two stay whole."""
-    often = index.groupBy("source_id", "_c", "_b").agg(F.count("*").alias("_f"))
+    often = index.groupBy("source_id", "_b").agg(F.count("*").alias("_f"))
     w = Window.partitionBy("source_id", "_o", "_pair").orderBy(F.coalesce("_f", F.lit(0)), "_b")
-    return segments.join(often, ["source_id", "_c", "_b"], "left").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_least")).drop("_r", "_f", "_least", "_pair")
+    return segments.join(often, ["source_id", "_b"], "left").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_least")).drop("_r", "_f")
 
 
 def candidates(targets: DataFrame, sources: DataFrame, least: float = fixed.ROW_SUGGEST) -> DataFrame:
@@ -157,39 +157,52 @@ def candidates(targets: DataFrame, sources: DataFrame, least: float = fixed.ROW_
     keys at a ratio of 0.9. A shared stretch is looked up as a whole: the shorter string by all its
     windows of that length, the longer by all its pieces of the lengths that shorter ones have; what is
     contained by its beginning. At 0.9 the edits that a pair of lengths allows
-    leave two segments whole of two more than edits, near their places, so all but the most frequent segment are looked up. So nearly all pairs that are found do score. Spelling alone scores over 0.6 only with
-    equal codes and over 0.72 only with lengths about alike; for such a ``least`` these narrow the look-up. No pair is lost.
+    leave two segments whole of two more than edits, near their places, so all but the most frequent segment are looked up. So nearly all pairs that
+    are found do score. Spelling alone scores over 0.6 only with equal codes and over 0.72 only with lengths about alike;
+    for such a ``least`` these narrow the look-up. All are looked up by one join. No pair is lost.
     """
-    blocks = []
-    for name, value, fine in (("norm", F.col("norm"), F.col("norm") != ""), ("core", F.col("core"), F.col("core") != ""), ("digits", F.col("digits"), F.length("digits") >= 6), ("road", F.col("road.road"), F.col("road").isNotNull())):
-        t, s = (df.where(fine).select("source_id", o, F.concat(F.lit(f"{name}:"), value).alias("_b")) for df, o in ((targets, "t_ord"), (sources, "s_ord")))
-        blocks.append(t.join(s, ["source_id", "_b"]).select("source_id", "t_ord", "s_ord"))
     codes = F.array_join("codes", " ") if least > CODES_CAP else F.lit("")
     sides = (targets, "t_ord"), (sources, "s_ord")
-    lengths = {name: [sorted(r[0] for r in df.select(F.length(name)).distinct().collect() if r[0]) for df, _ in sides] for name in ("norm", "core")}  # as many as the longest key has characters
+    there: dict[tuple, set] = {}
+    for i, n, c in (targets.select(F.lit(0), F.length("norm"), F.length("core")).union(sources.select(F.lit(1), F.length("norm"), F.length("core")))).distinct().collect():  # lengths of keys, few
+        there.setdefault((i, "norm"), set()).add(n)
+        there.setdefault((i, "core"), set()).add(c)
+    lengths = lambda side, name: sorted(n for n in there.get((side, name), ()) if n)
+    norm, n = F.col("norm"), F.length("norm")
+
+    def keyed(side: int) -> DataFrame:
+        """What a key is looked up by: (_k, _n, _b), _k the kind of key: equal, or the side (0 targets, 1 sources) that is the shorter."""
+        key = lambda k, size, b: F.struct(F.lit(k).alias("_k"), size.cast("int").alias("_n"), b.alias("_b"))
+        equal = [("norm", norm, norm != ""), ("core", F.col("core"), F.col("core") != ""), ("digits", F.col("digits"), F.length("digits") >= 6), ("road", F.col("road.road"), F.col("road").isNotNull())]
+        found = [F.filter(F.array(*[key(2, F.lit(0), F.when(fine, F.concat(F.lit(f"{name}="), value))) for name, value, fine in equal]), lambda e: e["_b"].isNotNull())]
+        for name in ("norm", "core"):
+            c = F.col(name)
+            for k, pieces in ((side, _of_shorter(c, name == "norm")), (1 - side, _of_longer(c, lengths(1 - side, name), name == "norm"))):
+                named = F.transform(F.filter(F.array_distinct(pieces), lambda p: p != ""), lambda p: key(k, F.length(c), F.concat_ws(":", F.lit(f"{name}{k}"), codes, p)))  # noqa: B023
+                found.append(named)
+        df, at = sides[side]
+        return df.select("source_id", F.col(at).alias("_o"), n.alias("_l"), F.explode(F.concat(*found)).alias("_e")).select("source_id", "_o", "_l", "_e.*")
 
-    def sought(side: int, name: str, by: Column) -> DataFrame:
+    def segmented(side: int, shorter: bool) -> DataFrame:
         df, at = sides[side]
-        rows = df.select("source_id", F.col(at).alias("_o"), F.length(name).alias("_n"), F.length("norm").alias("_l"), codes.alias("_c"), F.explode(F.array_distinct(by)).alias("_e"))
-        return rows.select("*", "_e.*").drop("_e") if isinstance(rows.schema["_e"].dataType, StructType) else rows.withColumnRenamed("_e", "_b")
-
-    for name in ("norm", "core"):
-        c, n = F.col(name), F.length(name)
-        for short, long in ((0, 1), (1, 0)):
-            own, other = lengths[name][short], lengths[name][long]
-            ways = [(sought(short, name, _of_shorter(c, name == "norm")), sought(long, name, _of_longer(c, own, name == "norm")))]
-            if name == "norm":
-                index = sought(long, name, F.flatten(F.transform(_ints(own), lambda m: _segments(c, m, n, True)))).drop("_pair", "_least")  # noqa: B023
-                ways.append((_rarest(sought(short, name, F.flatten(F.transform(_ints(other), lambda m: _segments(c, n, m, False)))), index), index))  # noqa: B023
-            for probe, index in ways:
-                found = probe.join(index.select("source_id", "_c", "_b", F.col("_o").alias("_i"), F.col("_n").alias("_m"), F.col("_l").alias("_k")), ["source_id", "_c", "_b"]).where("_n <= _m")
-                if least > LENGTH_CAP:
-                    found = found.where(F.abs(F.col("_l") - F.col("_k")) <= LENGTH_GAP * F.greatest("_l", "_k"))
-                blocks.append(found.select("source_id", F.col("_o" if short == 0 else "_i").alias("t_ord"), F.col("_i" if short == 0 else "_o").alias("s_ord")))
-    out = blocks[0]
-    for more in blocks[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        other = F.transform(_ints(lengths(1 - side, "norm")), lambda m: _segments(norm, n, m, False) if shorter else _segments(norm, m, n, True))
+        rows = df.select("source_id", F.col(at).alias("_o"), n.alias("_l"), codes.alias("_c"), F.explode(F.array_distinct(F.flatten(other))).alias("_e")).select("source_id", "_o", "_l", "_c", "_e.*")
+        k = F.lit(side if shorter else 1 - side)
+        return rows.select("source_id", "_o", "_l", k.alias("_k"), F.col("_l").alias("_n"), F.concat_ws(":", F.lit("segment"), k, "_c", "_b").alias("_b"), "_pair", "_least")
+
+    every = {}
+    for side in (0, 1):
+        index = segmented(1 - side, False)
+        looked = _rarest(segmented(side, True), index)
+        every[side] = [keyed(side), *every.get(side, []), looked]
+        every.setdefault(1 - side, []).append(index)
+    columns = ["source_id", "_o", "_l", "_k", "_n", "_b"]
+    t, s = (functools.reduce(DataFrame.unionByName, [df.select(columns) for df in every[side]]) for side in (0, 1))
+    met = t.join(s.select("source_id", "_b", F.col("_o").alias("_i"), F.col("_n").alias("_m"), F.col("_l").alias("_p")), ["source_id", "_b"])
+    met = met.where(F.when(F.col("_k") == 0, F.col("_n") <= F.col("_m")).when(F.col("_k") == 1, F.col("_m") <= F.col("_n")).otherwise(F.lit(True)))
+    if least > LENGTH_CAP:
+        met = met.where((F.col("_k") == 2) | (F.abs(F.col("_l") - F.col("_p")) <= LENGTH_GAP * F.greatest("_l", "_p")))
+    return met.select("source_id", F.col("_o").alias("t_ord"), F.col("_i").alias("s_ord")).distinct()
 
 
 def _with_sources(targets: DataFrame, sources: DataFrame) -> DataFrame:
@@ -208,7 +221,8 @@ def kind_scores(targets: DataFrame, sources: DataFrame, equality_first: bool = F
     t = kept(features(_with_sources(targets, sources), "tgt_key"), "row-targets")
     s = kept(features(sources, "src_key"), "row-sources")
     first = lambda df, o: df.groupBy("source_id", "kind").agg(F.min(o).alias(o), *[F.min_by(c, o).alias(c) for c in FEATURES])
-    ft, fs = kept(first(t, "t_ord"), "row-kinds"), kept(first(s, "s_ord"), "row-kinds")
+    parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # look-ups are much work for few bytes
+    ft, fs = (kept(first(df, o).repartition(parts, "source_id", o), "row-kinds") for df, o in ((t, "t_ord"), (s, "s_ord")))
     pairs = candidates(ft, fs, least)
     a = ft.select("source_id", "t_ord", *[F.col(c).alias(f"t_{c}") for c in FEATURES])
     b = fs.select("source_id", "s_ord", *[F.col(c).alias(f"s_{c}") for c in FEATURES])
