@@ -26,3 +26,9 @@ def fold(doc_id, parts: int):
 def let(value, use):
     """``use(value)`` with ``value`` computed once, for expressions that name it often or inside a lambda."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def own_names(docs: DataFrame) -> None:
+    """ValueError if ``docs`` has a column that begins with an underscore: such names are the operator's own."""
+    if taken := [c for c in docs.columns if c.startswith("_")]:
+        raise ValueError(f"the names of these columns are the operator's own: {', '.join(taken)}")

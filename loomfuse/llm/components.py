@@ -1,41 +1,7 @@
-"""Connected components of a table of links, by contraction."""
+"""Connected components of a table of links, as the operators of this package use them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from loomfuse.operators.graph import components
 
-from loomfuse.llm.common import written
-
-
-def components(links: DataFrame, label: str) -> DataFrame:
-    """Rows (node, root), one for each node of ``links`` (a, b): equal roots mean connected.
-
-    Each round every node points to the neighbour, or itself, of least rank, ranks being
-    a hash that is new each round; pointers are followed once more, and the links between
-    what is left go on to the next round, until none is left. Ranks keep chains short, so the
-    number of links falls geometrically whatever the shape of the graph, and every round joins
-    some nodes, so there is an end. Rounds are written to the shared
-    folder. Links of a node to itself are ignored; nulls are not allowed.
-    """
-    edges = written(links.select("a", "b").where("a <> b").distinct(), f"{label}-links")
-    maps: list[DataFrame] = []
-    while not edges.isEmpty():
-        turn = len(maps)
-        both = edges.union(edges.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("node"))
-        up = both.groupBy("a").agg(F.min(rank("b")).alias("least")).select(F.col("a").alias("node"), F.least(rank("a"), F.col("least"))["node"].alias("up"))
-        up = written(up, f"{label}-up")
-        again = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        jumped = written(up.join(again, "up", "left").select("node", F.coalesce("top", "up").alias("up")), f"{label}-jumped")
-        maps.append(jumped)
-        a, b = (jumped.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
-        rest = edges.join(a, "a").join(b, "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).where("a <> b")
-        edges = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-links")
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = maps[-1].withColumnRenamed("up", "root")
-    for above in reversed(maps[:-1]):
-        step = roots.select(F.col("node").alias("up"), "root")
-        roots = written(above.join(step, "up", "left").select("node", F.coalesce("root", "up").alias("root")), f"{label}-roots")
-    return roots
+__all__ = ["components"]

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfuse.llm.common import let, table, written
+from loomfuse.llm.common import let, own_names, table, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints are cut into so many blocks; items are filed under each block's value and all values one bit away.
-#: A window within RADIUS bits of an item then agrees with it, within a bit, in some block, so none is missed.
-BLOCKS = 8
-RADIUS = 2 * BLOCKS - 1
+#: Fingerprints are cut into so many blocks; items are filed under each block's value and all values up to FLIPS bits away.
+#: A window within RADIUS bits of an item then agrees with it, up to FLIPS bits, in some block, so none is missed; of other
+#: windows of its length one in 24 meets it.
+BLOCKS, FLIPS = 4, 3
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+#: Starts of windows that one row holds: a longer text is cut into overlapping sections.
+SECTION = 2048
 #: Tables of a benchmark with at most so many rows are broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 
@@ -64,8 +68,9 @@ class Counters:
         return let(sums, bits)
 
 
-def _windows(hits: Column, n_words: Column, sizes: list[int], similarity: float) -> Column:
-    """All windows (size, start, n) of the given sizes in words, ``n`` shingles each, that can be similar to an item.
+def _windows(hits: Column, n_words: Column, offset: Column, sizes: list[int], similarity: float) -> Column:
+    """All windows (size, start, n) of the given sizes in words, ``n`` shingles each, that can be similar to an item and start in the
+    section of the document that begins at the word ``offset``; places count from there.
 
     ``hits`` are the places, in order, of the document's shingles that occur in some item. Two windows
     of m and n shingles reach the similarity only if they share s/(1+s) (m+n) of them, so a window
@@ -78,7 +83,7 @@ def _windows(hits: Column, n_words: Column, sizes: list[int], similarity: float)
         short = n_words < size
         n = F.when(short, n_words - SHINGLE + 1).otherwise(F.lit(m))
         least = F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).cast("int")
-        rows.append(F.struct(F.lit(size).alias("size"), n.cast("int").alias("n"), F.greatest(least, F.lit(1)).alias("least"), F.when(short, 0).otherwise(n_words - size).cast("int").alias("last")))
+        rows.append(F.struct(F.lit(size).alias("size"), n.cast("int").alias("n"), F.greatest(least, F.lit(1)).alias("least"), F.least(F.when(short, 0).otherwise(n_words - size) - offset, F.lit(SECTION - 1)).cast("int").alias("last")))
 
     def starts(w: Column) -> Column:
         def of(j: Column) -> Column:
@@ -137,11 +142,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = written(held.dropDuplicates(["_id", "_key"]).repartition(parts, "_key", "_id"), "bench-held")
     print_of = lambda w: lambda p: F.struct(w["size"].alias("_size"), w["start"].alias("_start"), counters.simhash(p, w["start"], w["n"]).alias("_fp"))
-    windows = _windows(F.col("_hits"), F.size("_words"), sizes, similarity) if sizes else F.array().cast("array<struct<size:int,start:int,n:int>>")
-    printed = let(counters.spread(_shingles(F.col("_words"))), lambda p: F.transform(windows, lambda w: print_of(w)(p)))
-    prints = written(held.select("_id", "_key", F.explode(printed).alias("_w")).select("_id", "_key", "_w.*"), "bench-prints")
+    # a row for each section: it holds the words that windows beginning in it can reach, and their places of hits
+    reach = SECTION + max(sizes, default=0)
+    section = lambda k: F.struct((k * SECTION).alias("_offset"), F.size("_words").alias("_n"), F.slice("_words", k * SECTION + 1, reach).alias("_part"), F.transform(F.filter("_hits", lambda h: (h >= k * SECTION) & (h < k * SECTION + reach)), lambda h: h - k * SECTION).alias("_near"))
+    touched = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.sequence(F.floor(F.greatest(h - reach + SECTION, F.lit(0)) / SECTION), F.floor(h / SECTION)))))
+    sections = held.select("_id", "_key", F.explode(F.transform(touched, lambda k: section(k.cast("int")))).alias("_s")).select("_id", "_key", "_s.*")
+    windows = _windows(F.col("_near"), F.col("_n"), F.col("_offset"), sizes, similarity) if sizes else F.array().cast("array<struct<size:int,start:int,n:int>>")
+    printed = let(counters.spread(_shingles(F.col("_part"))), lambda p: F.transform(windows, lambda w: print_of(w)(p)))
+    prints = sections.select("_id", "_key", "_offset", F.explode(printed).alias("_w")).select("_id", "_key", "_w._size", (F.col("_w._start") + F.col("_offset")).alias("_start"), "_w._fp")
+    prints = written(prints, "bench-prints")
     block = F.array(*[F.lit(k) for k in range(BLOCKS)])
-    flips = F.array(F.lit(0), *[F.lit(1 << k) for k in range(64 // BLOCKS)])
+    flips = F.array(*[F.lit(sum(1 << k for k in bits)) for n in range(FLIPS + 1) for bits in combinations(range(64 // BLOCKS), n)])
     whole = let(counters.spread(_shingles(F.col("_item"))), lambda p: counters.simhash(p, F.lit(0), F.col("_size") - SHINGLE + 1))
     filed = items.select("_name", "_size", whole.alias("_item_fp")).withColumn("_block", F.explode(block)).withColumn("_flip", F.explode(flips))
     filed = written(filed.withColumn("_value", _block(F.col("_item_fp"), F.col("_block")).bitwiseXOR(F.col("_flip").cast("long"))).drop("_flip"), "bench-filed")
@@ -165,8 +176,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns.
 
     Documents with null or short texts stay, as do those with null ids; rows that repeat id and
-    text stay or go together; an empty table or benchmark takes nothing away.
+    text stay or go together; an empty table or benchmark takes nothing away. Further columns pass; ValueError if
+    one of them begins with an underscore.
     """
+    own_names(docs)
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     found = written(found, "bench-found")
     return docs.join(found, (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")

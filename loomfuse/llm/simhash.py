@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfuse.llm.common import table, written
+from loomfuse.llm.common import own_names, table, written
 from loomfuse.llm.components import components
 from loomfuse.llm.forest import Forest
 from loomfuse.llm.near import first_copies
@@ -189,8 +189,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Here similar means five-word shingles at Jaccard similarity 0.8, verified: texts that similar differ in ten of 64 fingerprint
     bits and more, for which the trie prunes nothing, so ``near`` finds them. Null and blank texts are copies of each
-    other; an empty table gives no rows; further columns pass, but names that begin with an underscore are the stage's own.
+    other; an empty table gives no rows; further columns pass; ValueError if one of them begins with an underscore.
     """
+    own_names(docs)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     kept = first_copies(docs, first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     rows = docs.withColumn("_text_hash", F.xxhash64("text"))

@@ -566,3 +566,19 @@ def test_packing_bears_millions_of_blanks(spark):
     for i, t in enumerate(texts):
         ids = b"".join(bytes(p.ids) for p in sorted(pieces, key=lambda p: p.start) if p.doc_id == i)
         assert np.array_equal(np.frombuffer(ids, "<u4"), [*tokenizer.encode(t, add_special_tokens=False).ids, 0])
+
+
+def test_stages_name_clashing_columns(spark, odd, small):
+    for stage in (decontamination.stage, simhash.stage):
+        with pytest.raises(ValueError, match="_hash"):
+            stage(spark, odd.withColumn("_hash", F.lit(1)), small)
+
+
+def test_decontamination_cuts_long_texts_into_sections(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "SECTION", 8)
+    rng = np.random.default_rng(11)
+    item = [" ".join(rng.choice([f"w{i}" for i in range(60)], n)) for n in (9, 14, 30)]
+    texts = [" ".join([*rng.choice(["a", "b"], at), item[at % 3], *rng.choice(["a", "b"], at % 7)]) for at in range(0, 40)]
+    bench = spark.createDataFrame(list(enumerate(item)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontamination.contaminated(documents(spark, texts), bench).collect()}
+    assert all(got[at, at % 3] == (at, 1.0) for at in range(40))
