@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from loomfuse.functions import fixed, text
 
 TITLE_SHARE, TITLE_ROWS, PROBE_ROWS, SCORED_ROWS, NAMED_ROWS, PREVIEW_ROWS, PREVIEW_CHARS = 0.5, 10, 200, 100, 31, 6, 40
+#: Rows and columns of a tile in which cells meet merged regions.
+TILE = 256, 16
 DATA_SHARE, STABLE_SHARE, STABLE_RATIO, WIDE, SPARSE, FULL_SPAN = 0.6, 0.5, 0.3, 3, 0.6, 0.8
 
 
@@ -21,10 +23,23 @@ def filled(v: Column) -> Column:
     return text.valid(v) & ~v.contains("Unnamed")
 
 
+def covering(cells: DataFrame, regions: DataFrame) -> DataFrame:
+    """Each cell with each region that covers it: ``cells`` (sheet, r, c, ...) beside ``regions`` (sheet, r1, r2, c1, c2, ...).
+
+    Sheets are cut into tiles of TILE rows and columns; a cell lies in one tile, a region in those that it touches, and
+    only cells and regions of one tile meet. So a sheet with many of both is neither one group nor compared in full.
+    """
+    tile = lambda at, size: F.floor((F.col(at) - 1) / size)
+    placed = cells.withColumns({"_tr": tile("r", TILE[0]), "_tc": tile("c", TILE[1])})
+    spread = regions.withColumn("_tr", F.explode(F.sequence(tile("r1", TILE[0]), tile("r2", TILE[0])))).withColumn("_tc", F.explode(F.sequence(tile("c1", TILE[1]), tile("c2", TILE[1]))))
+    met = placed.join(spread, ["sheet", "_tr", "_tc"])
+    return met.where(F.col("r").between(F.col("r1"), F.col("r2")) & F.col("c").between(F.col("c1"), F.col("c2"))).drop("_tr", "_tc")
+
+
 def resolve_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """``merges`` with the value of each region: that of its corner, else of its first cell that is not blank, row by row."""
-    inside = (cells["sheet"] == merges["sheet"]) & cells["r"].between(merges["r1"], merges["r2"]) & cells["c"].between(merges["c1"], merges["c2"])
-    values = merges.join(cells.where(text.valid(F.col("v"))), inside).groupBy(merges["sheet"], "r1", "r2", "c1", "c2").agg(F.min_by("v", F.struct("r", "c")).alias("value"))
+    met = covering(cells.where(text.valid(F.col("v"))).select("sheet", "r", "c", "v"), merges.select("sheet", "r1", "r2", "c1", "c2").distinct())
+    values = met.groupBy("sheet", "r1", "r2", "c1", "c2").agg(F.min_by("v", F.struct("r", "c")).alias("value"))
     return merges.join(values, ["sheet", "r1", "r2", "c1", "c2"], "left")
 
 
@@ -151,15 +166,25 @@ def header_candidates(cells: DataFrame) -> DataFrame:
 
 
 def clean_names(names: list[str | None], prefix: str = "_col_") -> list[str]:
-    """Unique column names: stripped, blank ones numbered from 1 among themselves, repeated ones with _2, _3 behind them."""
-    out, seen, blank = [], {}, 0
+    """Unique column names: stripped, blank ones numbered from 1 among themselves, repeated ones with _2, _3 and so on behind
+    them, the first that no other column has or was given."""
+    plain, blank = [], 0
     for n in names:
         n = (n or "").strip()
         if not n or "Unnamed" in n:
             blank += 1
             n = f"{prefix}{blank}"
-        seen[n] = seen.get(n, 0) + 1
-        out.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
+        plain.append(n)
+    out, used, seen = [], set(plain), {}
+    for n in plain:
+        k = seen.get(n, 0) + 1
+        name = n
+        if k > 1:
+            while (name := f"{n}_{k}") in used:
+                k += 1
+            used.add(name)
+        seen[n] = k
+        out.append(name)
     return out
 
 
