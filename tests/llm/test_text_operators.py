@@ -430,7 +430,7 @@ def test_toxicity_against_brute_force(spark):
         texts.append(" ".join(rng.choice(words, rng.integers(3, 12))) + (" vile nasty" if y[-1] and rng.random() < 0.8 else ""))
     docs = documents(spark, texts)
     labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels)
+    model = toxicity.fit(docs, labels, sizes=(3000,))
 
     def grams(t):
         s, found = " " + " ".join(t.lower().split()) + " ", set()
@@ -449,7 +449,7 @@ def test_toxicity_against_brute_force(spark):
         n[y[i]].update(grams(texts[i]))
     rows = [sum(y[i] == c for i in train) for c in (0, 1)]
     ratio = {g: math.log((n[1][g] + 1) / (rows[1] + 2)) - math.log((n[0][g] + 1) / (rows[0] + 2)) for g in {*n[0], *n[1]} if n[0][g] + n[1][g] >= 2}
-    best = sorted(ratio, key=lambda g: (-abs(ratio[g]) * math.sqrt(min(n[0][g] + n[1][g], rows[1])), g))[: toxicity.KEPT]
+    best = sorted(ratio, key=lambda g: (-abs(ratio[g]) * math.sqrt(min(n[0][g] + n[1][g], rows[1])), g))[:3000]
     features = lambda t: np.array([ratio[g] if g in own else 0.0 for own in [grams(t)] for g in best])
     x, labels_ = np.array([features(texts[i]) for i in train]), np.array([y[i] for i in train], float)
     k, a, b = x @ x.T, np.zeros(len(train)), 0.0
@@ -582,3 +582,13 @@ def test_decontamination_cuts_long_texts_into_sections(spark, monkeypatch):
     bench = spark.createDataFrame(list(enumerate(item)), "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontamination.contaminated(documents(spark, texts), bench).collect()}
     assert all(got[at, at % 3] == (at, 1.0) for at in range(40))
+
+
+def test_toxicity_never_looks_at_held_out_labels(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(rng.choice(["vile", "foul"] if i % 3 == 0 else ["kind", "fine"], 3)) + f" w{rng.integers(50)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    fits = [toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0) ^ (flip and held(i))) for i in range(400)], "doc_id long, toxic int"), sizes=(5, 50)) for flip in (0, 1)]
+    assert np.array_equal(fits[0].weights, fits[1].weights) and fits[0].bias == fits[1].bias and 0 < np.count_nonzero(fits[0].weights) <= 50
+    assert fits[0].score(toxicity.Grams()("vile foul vile")) > 0.7 > 0.3 > fits[0].score(toxicity.Grams()("kind fine"))
