@@ -81,24 +81,54 @@ def sheet_paths(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return found
 
 
-def workbook(content: bytes) -> Iterator[tuple]:
-    """Rows (sheet, kind, r, c, r2, c2, v, vtype) of a workbook: its cells with a value and its merged regions."""
-    book = zipfile.ZipFile(io.BytesIO(content))
-    names = set(book.namelist())
-    strings = []
-    if "xl/sharedStrings.xml" in names:
-        strings = ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in ET.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")]
-    dates = []
-    if "xl/styles.xml" in names:
-        styles = ET.fromstring(book.read("xl/styles.xml"))
-        own = {int(f.get("numFmtId")) for f in styles.iter(f"{MAIN}numFmt") if re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "").lower()))}
-        if (formats := styles.find(f"{MAIN}cellXfs")) is not None:
-            dates = [int(x.get("numFmtId", 0)) in DATE_FORMATS | own for x in formats]
-    settings = ET.fromstring(book.read("xl/workbook.xml")).find(f"{MAIN}workbookPr")
-    start = datetime(1904, 1, 1) if settings is not None and settings.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
-    for sheet, part in sheet_paths(book):
+#: What a file that is no sound workbook may raise.
+BROKEN = (zipfile.BadZipFile, KeyError, ValueError, IndexError, AttributeError, ET.ParseError)
+
+
+class Book:
+    """An open workbook: what all sheets share is read once, a sheet only when it is asked for."""
+
+    def __init__(self, file):
+        self.zip = zipfile.ZipFile(file)
+        self.sheets = sheet_paths(self.zip)
+        names = set(self.zip.namelist())
+        self.strings: list[str] = []
+        if "xl/sharedStrings.xml" in names:
+            with self.zip.open("xl/sharedStrings.xml") as xml:
+                for _, e in ET.iterparse(xml):
+                    if e.tag == f"{MAIN}si":
+                        self.strings.append("".join(t.text or "" for t in e.iter(f"{MAIN}t")))
+                        e.clear()
+        self.dates: list[bool] = []
+        if "xl/styles.xml" in names:
+            styles = ET.fromstring(self.zip.read("xl/styles.xml"))
+            own = {int(f.get("numFmtId")) for f in styles.iter(f"{MAIN}numFmt") if re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "").lower()))}
+            if (formats := styles.find(f"{MAIN}cellXfs")) is not None:
+                self.dates = [int(x.get("numFmtId", 0)) in DATE_FORMATS | own for x in formats]
+        settings = ET.fromstring(self.zip.read("xl/workbook.xml")).find(f"{MAIN}workbookPr")
+        self.start = datetime(1904, 1, 1) if settings is not None and settings.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
+
+    def _cell(self, cell: ET.Element) -> tuple[str, str] | None:
+        """A cell's text and type; None for one without a value."""
+        kind, value = cell.get("t", "n"), cell.findtext(f"{MAIN}v")
+        if kind == "inlineStr":
+            value = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
+        if value is None:
+            return None
+        if kind == "s":
+            return self.strings[int(value)], "str"
+        if kind == "b":
+            return str(value == "1"), "bool"
+        if kind == "n" and (k := int(cell.get("s", 0))) < len(self.dates) and self.dates[k]:
+            moment = self.start + timedelta(days=float(value))
+            moment = (moment + timedelta(milliseconds=500)).replace(microsecond=0)
+            return moment.strftime("%Y-%m-%d" if moment.time() == datetime.min.time() else "%Y-%m-%d %H:%M:%S"), "date"
+        return (_number(value), kind) if kind == "n" else (value, "str" if kind == "inlineStr" else kind)
+
+    def rows(self, sheet: str, part: str) -> Iterator[tuple]:
+        """Rows (sheet, kind, r, c, r2, c2, v, vtype) of one sheet: its cells with a value and its merged regions."""
         r = 0
-        with book.open(part) as xml:
+        with self.zip.open(part) as xml:
             for _, e in ET.iterparse(xml):
                 if e.tag == f"{MAIN}mergeCell":
                     a, b = (e.get("ref").split(":") * 2)[:2]
@@ -106,47 +136,45 @@ def workbook(content: bytes) -> Iterator[tuple]:
                 elif e.tag == f"{MAIN}row":
                     r = int(e.get("r") or r + 1)
                     for c, cell in placed_cells(e):
-                        kind, value = cell.get("t", "n"), cell.findtext(f"{MAIN}v")
-                        if kind == "inlineStr":
-                            value = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
-                        if value is None:
-                            continue
-                        if kind == "s":
-                            value, kind = strings[int(value)], "str"
-                        elif kind == "b":
-                            value, kind = str(value == "1"), "bool"
-                        elif kind == "n" and (k := int(cell.get("s", 0))) < len(dates) and dates[k]:
-                            moment = start + timedelta(days=float(value))
-                            moment = (moment + timedelta(milliseconds=500)).replace(microsecond=0)
-                            value, kind = moment.strftime("%Y-%m-%d" if moment.time() == datetime.min.time() else "%Y-%m-%d %H:%M:%S"), "date"
-                        elif kind == "n":
-                            value = _number(value)
-                        yield sheet, "cell", r, c, r, c, value, "str" if kind == "inlineStr" else kind
+                        if (said := self._cell(cell)) is not None:
+                            yield sheet, "cell", r, c, r, c, *said
                     e.clear()
 
 
+def workbook(content: bytes) -> Iterator[tuple]:
+    """Rows (sheet, kind, r, c, r2, c2, v, vtype) of a workbook: its cells with a value and its merged regions."""
+    book = Book(io.BytesIO(content))
+    for sheet, part in book.sheets:
+        yield from book.rows(sheet, part)
+
+
+def batches_of(path: str, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of a workbook as batches of SCHEMA; what is wrong with the file as a last row of kind error."""
+    names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+    types = [pa.int32() if n in ("r", "c", "r2", "c2") else pa.string() for n in names]
+    pack = lambda some: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), types, strict=True)], names)
+    held: list[tuple] = []
+    try:
+        for row in rows:
+            held.append((path, *row))
+            if len(held) == BATCH:
+                yield pack(held)
+                held = []
+    except BROKEN as e:
+        held.append((path, None, "error", None, None, None, None, str(e), None))
+    if held:
+        yield pack(held)
+
+
 def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Cells and merged regions of all sheets of .xlsx files; a file that is no workbook gives one row of kind error."""
     if bad := [p for p in paths if p.lower().endswith(".xls")]:
         raise ValueError(f"the old .xls format can't be read; save as .xlsx: {', '.join(bad)}")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
-        types = [pa.int32() if n in ("r", "c", "r2", "c2") else pa.string() for n in names]
-        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = []
-                try:
-                    for row in workbook(content):
-                        rows.append((path, *row))
-                        if len(rows) == BATCH:
-                            yield pack(rows)
-                            rows = []
-                except (zipfile.BadZipFile, KeyError, ValueError, IndexError, AttributeError, ET.ParseError) as e:
-                    rows.append((path, None, "error", None, None, None, None, str(e), None))
-                if rows:
-                    yield pack(rows)
+                yield from batches_of(path, workbook(content))
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(take, SCHEMA)
 

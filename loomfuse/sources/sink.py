@@ -97,23 +97,41 @@ def filled_workbook(template: bytes, sheet: str, names: list[str], rows: list[tu
     return patch_workbook(template, sheet, values, detail + 1, last), [n for n in names if n not in places]
 
 
-def new_workbook(names: list[str], rows: list[list[str | None]], sheet: str = "Sheet1") -> bytes:
-    """A plain workbook with one sheet."""
-    cell = lambda r, c, v: f'<c r="{column_letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' if v is not None else ""
-    body = "".join(f'<row r="{i}">{"".join(cell(i, j, v) for j, v in enumerate(row, 1))}</row>' for i, row in enumerate([names, *rows], 1))
+XML_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+SHEET_PART = "xl/worksheets/sheet1.xml"
+SHEET_HEAD, SHEET_TAIL = f'{XML_HEAD}<worksheet xmlns="{MAIN[1:-1]}"><sheetData>', "</sheetData></worksheet>"
+
+
+def row_xml(r: int, cells: list) -> str:
+    """A row of inline texts; cells without a value are left out."""
+    cell = lambda c, v: f'<c r="{column_letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(_FORBIDDEN.sub("", str(v)))}</t></is></c>'
+    return f'<row r="{r}">{"".join(cell(c, v) for c, v in enumerate(cells, 1) if v is not None)}</row>'
+
+
+#: Characters that no XML file may hold.
+_FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
+
+def package_parts(sheet: str) -> dict[str, str]:
+    """The parts of a plain workbook with one sheet, but for the sheet itself."""
     ns, rel = MAIN[1:-1], "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
-    files = {
+    parts = {
         "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
         "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{ns}"><sheetData>{body}</sheetData></worksheet>',
     }
+    return {name: XML_HEAD + xml for name, xml in parts.items()}
+
+
+def new_workbook(names: list[str], rows: list[list[str | None]], sheet: str = "Sheet1") -> bytes:
+    """A plain workbook with one sheet."""
+    body = "".join(row_xml(i, row) for i, row in enumerate([names, *rows], 1))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
-        for name, xml in files.items():
-            new.writestr(name, f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>{xml}')
+        for name, xml in (package_parts(sheet) | {SHEET_PART: SHEET_HEAD + body + SHEET_TAIL}).items():
+            new.writestr(name, xml)
     return out.getvalue()
 
 
