@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfuse.functions import text
-from loomfuse.operators.keys import key_text
+from loomfuse.operators.keys import key_text, numbered_within
 
 
 def unpivot(df: DataFrame, ids: list[str], fields: list[str]) -> DataFrame:
@@ -49,10 +49,10 @@ def fill_cells(target_cells: DataFrame, sources: DataFrame, keys: DataFrame, mat
     """
     asked = target_cells.where("key <> ''").join(F.broadcast(matches), F.col("field") == F.col("tgt_field"))
     asked = asked.select("tgt_row", F.col("key").alias("tgt_key"), "field", "src_field", "source_id").join(keys, ["source_id", "tgt_key"]).where("src_key is not null")
-    turn = Window.partitionBy("source_id", "field", "src_key")
-    asked = asked.withColumn("_k", F.row_number().over(turn.orderBy("tgt_row")))
+    asked = numbered_within(asked, ["source_id", "field", "src_key"], ["tgt_row"], "_k")  # a key may hold any number of rows
     given = sources.join(F.broadcast(matches.select("source_id", F.col("src_field").alias("field"), F.col("tgt_field").alias("_to"))), ["source_id", "field"])
-    given = given.select("source_id", "source_order", F.col("_to").alias("field"), F.col("key").alias("src_key"), "value", F.row_number().over(Window.partitionBy("source_id", "_to", "key").orderBy(F.col("n_valid").desc(), "src_row")).alias("_k"))
+    given = given.select("source_id", "source_order", F.col("_to").alias("field"), F.col("key").alias("src_key"), "value", (-F.col("n_valid")).alias("_lacks"), "src_row")
+    given = numbered_within(given, ["source_id", "field", "src_key"], ["_lacks", "src_row"], "_k").drop("_lacks", "src_row")
     found = asked.join(given, ["source_id", "field", "src_key", "_k"])
     pick = F.max_by if policy == "coalesce_latest" else F.min_by
     won = found.groupBy("tgt_row", "field").agg(pick(F.struct("value", "source_id"), "source_order").alias("_w"))

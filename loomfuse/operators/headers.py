@@ -194,3 +194,19 @@ def to_table(cells: DataFrame, sheet: str, zone: dict, names: list[str]) -> Data
     columns = list(range(1, len(names) + 1))
     wide = body.groupBy("r").pivot("c", columns).agg(F.first("v", ignorenulls=True))
     return wide.select((F.col("r") - zone["detail"] - 1).cast("long").alias("row_idx"), *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, clean_names(names), strict=True)])
+
+
+def refilled(df: DataFrame, column: str, cells: DataFrame, sheet: str, detail: int) -> DataFrame:
+    """``df`` (row_idx, ...) in which blanks of ``column`` take what the grid shows there, as where a merged cell covers several rows of a key.
+
+    ``cells`` are those of ``expand_merges``. The column is looked up in the header row ``detail``: the first whose name, or its last part, is
+    the same after normalisation; without one nothing changes.
+    """
+    wanted = text.norm_name(F.lit(column))
+    shown = F.col("v")
+    own = cells.where((F.col("sheet") == sheet) & text.valid(shown))
+    at = own.where((F.col("r") == detail) & ((text.norm_name(text.strip(shown)) == wanted) | (text.norm_name(text.leaf(text.strip(shown))) == wanted))).agg(F.min("c").alias("_at"))
+    found = own.where(F.col("r") > detail).join(F.broadcast(at), F.col("c") == F.col("_at")).select((F.col("r") - detail - 1).cast("long").alias("_row"), text.strip(shown).alias("_shown"))
+    name = F.col(f"`{column}`")
+    joined = df.join(found, F.col("row_idx") == F.col("_row"), "left")
+    return joined.select(*[F.when(text.valid(name), name).otherwise(F.coalesce("_shown", name)).alias(column) if c == column else F.col(f"`{c}`") for c in df.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import threading
+import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -62,6 +63,7 @@ class Session:
     dictionary: dict = field(default_factory=lambda: {"synonyms": {}, "exclusions": []})
     dictionary_file: str | None = None
     _tag: str = ""
+    _jobs: int = 60
 
     # --- tables ---
 
@@ -78,7 +80,10 @@ class Session:
             zones = headers.header_zone(full, merges)
             width = full.where(headers.filled(F.col("v"))).groupBy("sheet").agg(F.max("c").alias("n_columns"))
             older = headers.legacy_header(full).join(zones, "sheet", "left_anti").join(width, "sheet")
-            zones = zones.unionByName(older.select("sheet", F.col("r").alias("detail"), F.array().cast("array<int>").alias("categories"), "n_columns"))
+            plain = lambda df: df.select("sheet", F.col("r").alias("detail"), F.array().cast("array<int>").alias("categories"), "n_columns")
+            zones = zones.unionByName(plain(older))
+            last = headers.named_header(full).join(zones, "sheet", "left_anti").join(width, "sheet")  # where neither rule finds a row
+            zones = zones.unionByName(plain(last))
             if zone:
                 last = full.agg(F.max("r")).first()[0] or 1
                 start = min(max(1, zone["start"]), last)
@@ -247,6 +252,14 @@ class Session:
         t, s, _ = self._keyed(tgt, src)
         return row_match.preview(t, s, self.options.equality_first)
 
+    def source_keys(self, tgt_key: str | None = None, matches: DataFrame | None = None) -> DataFrame:
+        """The sources' keys (src_key, ord), each once, in the order of sources and rows: what a user may choose instead of what was aligned."""
+        src, tgt = self._target_key(matches, tgt_key)
+        _, s, _ = self._keyed(tgt, src)
+        place = F.create_map(*[x for o in self.sources for x in (F.lit(o.source_id), F.lit(o.order))])
+        first = s.groupBy("src_key").agg(F.min(F.struct(F.element_at(place, F.col("source_id")).alias("o"), "s_ord")).alias("_at"))
+        return keys.numbered(first, "_at").select("src_key", F.col("_rank").alias("ord"))
+
     def _source_of(self, match) -> Source | None:
         """The one source that a match draws on: file and sheet as named, else the file's name, else the last with such a column."""
         file, sheet = match["src_file"] or "", match["src_sheet"] or ""
@@ -316,30 +329,61 @@ class Session:
         self.status = {"running": True, "pct": 0.0, "msg": "filling", "done": False, "aborted": False, "error": None, "result": None}
 
         def work() -> None:
+            began = time.time()
             self.spark.addTag(self._tag)
+            self.spark.sparkContext.addJobTag(self._tag)  # the session's own tags can't be asked for their jobs
             try:
                 if log:
+                    sink.log_start(self.spark, log, matches, output)
                     sink.log_matches(matches, log)
+                self.status["msg"] = "aligning"
                 table, stats = self.fill(matches, tgt_key, overrides)
+                self.status["msg"] = "filling"
                 table = kept(table, "filled")
                 if self.status["aborted"]:
                     raise TimeoutError("aborted before anything was written")
+                self.status["msg"] = "writing"
                 written = self._write(table, output)
                 details = [r.asDict() for r in stats.collect()]
-                self.status |= {"pct": 100.0, "done": True, "result": {"filled": sum(r["cells"] for r in details), "details": details} | written}
+                if log:
+                    sink.log_summary(matches, log, time.time() - began)
+                self._jobs = max(1, self.progress()["jobs"])
+                self.status |= {"pct": 100.0, "done": True, "msg": "done", "result": {"filled": sum(r["cells"] for r in details), "details": details} | written}
             except Exception as e:  # noqa: BLE001  the caller asks for the status
                 self.status |= {"error": str(e)}
             finally:
                 self.status["running"] = False
                 self.spark.removeTag(self._tag)
+                self.spark.sparkContext.removeJobTag(self._tag)
 
         thread = threading.Thread(target=work, daemon=True)
         thread.start()
         return thread
 
+    def progress(self) -> dict:
+        """The status, with its share done brought up to date, and the run's jobs and tasks so far.
+
+        Spark's own counts tell how far the jobs of the run are; how many there will be is taken from the last run of the session,
+        and if it was more, the share grows more slowly. It never falls, and reaches 100 only when the result is written.
+        """
+        tracker = self.spark.sparkContext.statusTracker()
+        jobs = self.spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(self._tag) if self._tag else []
+        done, tasks, over = 0.0, 0, 0
+        for info in filter(None, map(tracker.getJobInfo, jobs)):
+            stages = [s for s in map(tracker.getStageInfo, info.stageIds) if s]
+            every, complete = sum(s.numTasks for s in stages), sum(s.numCompletedTasks for s in stages)
+            tasks += complete
+            over += info.status == "SUCCEEDED"
+            done += 1.0 if info.status == "SUCCEEDED" else complete / every if every else 0.0
+        if self.status["running"]:
+            share = 95.0 * done / max(self._jobs, len(jobs) + 1)
+            self.status["pct"] = max(self.status["pct"], round(share, 1))
+        return self.status | {"jobs": len(jobs), "jobs_done": over, "tasks_done": tasks}
+
     def abort(self) -> None:
         self.status |= {"aborted": True}
         self.spark.interruptTag(self._tag)
+        self.spark.sparkContext.cancelJobsWithTag(self._tag)
 
     def path_exists(self, path: str) -> bool:
         return os.path.exists(path)

@@ -10,7 +10,7 @@ from datetime import datetime
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfuse.sources.grid import MAIN, column_letters, numbered_rows, place, placed_cells, sheet_paths, workbook
@@ -144,6 +144,12 @@ def publish(content: bytes, path: str) -> str:
     return path
 
 
+def log_start(spark: SparkSession, path: str, matches: DataFrame, output: str) -> None:
+    """Append one row that a run begins: where it writes, and how many fields are matched."""
+    n = matches.where("matched").count()
+    spark.range(1).select(F.lit("exec_start").alias("event"), F.current_timestamp().alias("at"), F.lit(output).alias("output"), F.lit(n).alias("fields")).write.mode("append").json(path)
+
+
 def log_matches(matches: DataFrame, path: str, event: str = "match") -> None:
     """Append a row for each match decision as JSON lines."""
     decision = F.when(F.col("matched"), "matched").when(F.col("suggested"), "suggested").otherwise("unmatched")
