@@ -146,6 +146,32 @@ def align_preview(spark, d):
     return row_match.preview(targets(spark, d), sources(spark, d)).select("t_ord", "src_key", "score", "status")
 
 
+#: A letter of another script for each Latin one: names without codes, so that spelling alone decides.
+LETTERS, BIRDS = "abcdefghijklmnopqrstuvwxyz", "鹊鸦鹰鹤鹭鸥鸽鸾鹦鹉鹌鹑鹧鸪鸳鸯鸵鸭鸡鹅鸢鸩鸨鹞鹫鹬"
+
+
+def spelled(spark, d):
+    """Names of parts, and names that begin or end otherwise, as keys of another script: (targets, sources)."""
+    part = table(spark, d, "part")
+    named = lambda c: F.translate(c, LETTERS, BIRDS)
+    t = part.groupBy(named(F.col("p_name")).alias("tgt_key")).agg(F.min("p_partkey").alias("t_ord"))
+    other = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("the "), "p_name")).when(F.col("p_size") % 3 == 1, F.concat("p_name", F.lit("s"))).otherwise(F.concat(F.reverse(F.split(F.col("p_name"), " ")[0]), F.split(F.col("p_name"), " ")[1]))
+    s = part.groupBy(named(other).alias("src_key")).agg(F.min("p_partkey").alias("s_ord")).select(F.lit("part").alias("source_id"), "s_ord", "src_key")
+    return t, s
+
+
+def spelled_scores(spark, d):
+    return row_match.scored_candidates(*spelled(spark, d)).select("tgt_key", "src_key", F.round("score", 9).alias("score"))
+
+
+def suggested_preview(spark, d):
+    """Names of parts against names of which half have a word more: those are suggested, as their codes differ."""
+    part = table(spark, d, "part")
+    t = part.groupBy(F.col("p_name").alias("tgt_key")).agg(F.min("p_partkey").alias("t_ord"))
+    s = t.select(F.lit("part").alias("source_id"), F.col("t_ord").alias("s_ord"), F.when(F.col("t_ord") % 2 == 0, F.col("tgt_key")).otherwise(F.concat("tgt_key", F.lit(" plus"))).alias("src_key"))
+    return row_match.preview(t.where("t_ord % 5 <> 3"), s).select("tgt_key", "src_key", "score", "status")
+
+
 def key_leaders(spark, d):
     named = table(spark, d, "part").groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("ord"))
     return row_match.leaders(named.select("ord", "key"))
@@ -227,7 +253,7 @@ def flagship(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     key_autodetect, ffill_key, ffill_key_by_type, key_index_dups, distinct_keys, field_catalog, canonical_terms, dict_json_explode, dictionary_groups, match_conflicts, match_summary, match_updates, candidate_topk,
-    field_scores, field_matches, row_scores, align_rows, align_preview, key_leaders, linked_leaders, override_effective, rank_fill, fill_first_source, fill_latest_source, fill_stats, template_expand, flagship,
+    field_scores, field_matches, row_scores, align_rows, align_preview, spelled_scores, suggested_preview, key_leaders, linked_leaders, override_effective, rank_fill, fill_first_source, fill_latest_source, fill_stats, template_expand, flagship,
 )}
 
 _MATCHES = """
@@ -258,7 +284,39 @@ pair AS (
   FROM pair JOIN alike USING (s, t)
 )"""
 
+# How alike two keys t and s are, by letters in order and by the longest run, and the score that spelling gives them.
+_SPELLED = """
+letters AS (SELECT DISTINCT t, s, string_split(t, '') AS a, string_split(s, '') AS b FROM pair), k AS (
+  SELECT t, s, len(a) AS la, len(b) AS lb,
+    list_reduce(a, lambda acc, x: list_reduce(range(1, len(b) + 1), lambda r, j: list_append(r, CASE WHEN x = b[j] THEN coalesce(acc[j - 1], 0) + 1 ELSE greatest(acc[j], coalesce(r[len(r)], 0)) END), []::INTEGER[]), list_transform(b, lambda y: 0)) AS seq,
+    list_reduce(a, lambda acc, x: list_append(list_transform(range(1, len(b) + 1), lambda j: CASE WHEN x = b[j] THEN coalesce(acc[j - 1], 0) + 1 ELSE 0 END),
+      greatest(acc[len(b) + 1], list_max(list_transform(range(1, len(b) + 1), lambda j: CASE WHEN x = b[j] THEN coalesce(acc[j - 1], 0) + 1 ELSE 0 END)))), list_transform(list_append(b, ''), lambda y: 0)) AS run
+  FROM letters
+), alike AS (SELECT t, s, la, lb, 2.0::DOUBLE * seq[len(seq)] / (la + lb) AS ratio, run[len(run)] AS common FROM k), spelt AS (
+  SELECT t, s, CASE WHEN t = s THEN 1.0::DOUBLE ELSE least(CASE
+    WHEN least(la, lb) >= 4 AND (contains(t, s) OR contains(s, t)) THEN 0.97::DOUBLE WHEN common >= 0.6::DOUBLE * least(la, lb) AND ratio >= 0.7 THEN 0.85::DOUBLE + 0.15::DOUBLE * ratio WHEN ratio >= 0.9 THEN ratio ELSE 0.0 END,
+    CASE WHEN abs(la - lb) / greatest(la, lb) > 0.34 THEN 0.72::DOUBLE ELSE 1.0 END) END AS score FROM alike
+)"""
+
 SQL = {
+    "spelled_scores": f"""
+WITH named AS (
+  SELECT translate(p_name, '{LETTERS}', '{BIRDS}') AS tgt_key, translate(CASE p_size % 3 WHEN 0 THEN 'the ' || p_name WHEN 1 THEN p_name || 's' ELSE reverse(string_split(p_name, ' ')[1]) || string_split(p_name, ' ')[2] END, '{LETTERS}', '{BIRDS}') AS src_key FROM part
+), pair AS (
+  SELECT a.tgt_key, b.src_key, replace(a.tgt_key, ' ', '') AS t, replace(b.src_key, ' ', '') AS s FROM (SELECT DISTINCT tgt_key FROM named) a, (SELECT DISTINCT src_key FROM named) b
+), {_SPELLED}
+SELECT tgt_key, src_key, round(score, 9) AS score FROM pair JOIN spelt USING (t, s) WHERE score >= 0.6 - 1e-9""",
+    "suggested_preview": f"""
+WITH name AS (
+  SELECT p_name AS tgt_key, min(p_partkey) AS ord FROM part GROUP BY p_name
+), pair AS (
+  SELECT a.tgt_key, b.ord AS s_ord, CASE WHEN b.ord % 2 = 0 THEN b.tgt_key ELSE b.tgt_key || ' plus' END AS src_key, replace(a.tgt_key, ' ', '') AS t, replace(CASE WHEN b.ord % 2 = 0 THEN b.tgt_key ELSE b.tgt_key || ' plus' END, ' ', '') AS s
+  FROM name a, name b WHERE a.ord % 5 <> 3
+), {_SPELLED}, best AS (
+  SELECT tgt_key, src_key, CASE WHEN pair.t = pair.s THEN 1.0 ELSE least(score, 0.6) END AS score FROM pair JOIN spelt ON spelt.t = pair.t AND spelt.s = pair.s
+  QUALIFY row_number() OVER (PARTITION BY tgt_key ORDER BY CASE WHEN pair.t = pair.s THEN 1.0 ELSE least(score, 0.6) END DESC, s_ord) = 1
+)
+SELECT tgt_key, CASE WHEN score >= 0.6 THEN src_key END AS src_key, CASE WHEN score >= 0.6 THEN score ELSE 0.0 END::DOUBLE AS score, CASE WHEN score = 1 THEN 'auto' WHEN score >= 0.6 THEN 'suggest' ELSE 'unmatched' END AS status FROM best""",
     "field_scores": f"WITH {_FIELDS} SELECT src, tgt, CAST(score AS DOUBLE) AS score FROM scored",
     "field_matches": f"""
 WITH {_FIELDS}, best AS (
