@@ -13,6 +13,8 @@ WINDOW, DIVISOR, BASE = 2, 3, 31
 LONG_LINE = 60
 #: A chunk alone is looked for if it has so many lines, or so many characters; chunks side by side always are.
 LEAST_LINES, LEAST_CHARS = 2, 150
+#: Words of 64 bits, as a power of two, of the set that tells which documents may lose lines.
+SLOT_BITS = 18
 
 
 def _chunks(text: Column) -> Column:
@@ -75,7 +77,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Of equal passages the first stays (by id, nulls first, then text hash, then place), all
     others go; so of a chunk that goes an equal one always stands before it. Only hashes are
     compared across documents at first; the texts of repeated chunks are then compared byte by
-    byte, and chunks whose hash stands for several texts stay.
+    byte, and chunks whose hash stands for several texts stay. Only texts that hold repeated chunks are shuffled, and a few more.
 
     A null text stays null with no chunks; an empty text is one blank chunk. Rows that
     repeat both id and text are one document: they keep or lose the same chunks. Texts
@@ -96,8 +98,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = written(found.groupBy("_id", "_key").agg(F.collect_set("_e").alias("_found")), "line-found")
     found = found.select(F.col("_id").alias("_found_id"), F.col("_key").alias("_found_key"), "_found")
     rows = docs.withColumn("_id", F.col(doc_id)).withColumn("_key", F.xxhash64(text))
-    # the same join at every size: found is a fraction of the documents, so it is never broadcast
-    marked = written(rows.join(found.hint("merge"), (F.col("_key") == F.col("_found_key")) & F.col("_id").eqNullSafe(F.col("_found_id")), "left").drop("_found_id", "_found_key"), "line-marked")
+    # a set of bits of bounded size tells documents that can't lose lines: their texts are never shuffled. The others meet what was
+    # found by the same join at every size: found is a fraction of the documents, so it is never broadcast
+    slot = lambda i, k: F.pmod(F.shiftright(F.xxhash64(i, k), 6), F.lit(1 << SLOT_BITS))
+    bit = lambda i, k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(i, k), F.lit(64)).cast("int"))
+    slots = written(found.groupBy(slot("_found_id", "_found_key").alias("_slot")).agg(F.bit_or(bit("_found_id", "_found_key")).alias("_set")), "line-slots")
+    told = rows.join(F.broadcast(slots), slot("_id", "_key") == F.col("_slot"), "left")
+    maybe = F.coalesce(F.col("_set").bitwiseAND(bit("_id", "_key")) != 0, F.lit(False))
+    columns = [*docs.columns, "_id", "_key"]
+    marked = told.where(maybe).select(columns).join(found.hint("merge"), (F.col("_key") == F.col("_found_key")) & F.col("_id").eqNullSafe(F.col("_found_id")), "left")
+    marked = written(marked.select(*columns, "_found"), "line-marked")
+    whole = told.where(~maybe).select(*columns, F.lit(None).cast(marked.schema["_found"].dataType).alias("_found"))
     chunked = with_chunks(marked, text)
     texts = chunked.where("_found is not null").select("_chunks", F.explode("_found").alias("_f")).select(F.col("_f._hash").alias("_hash"), F.get("_chunks", F.col("_f._at"))["text"].alias("_text")).distinct()
     clashing = [r[0] for r in texts.groupBy("_hash").count().where("count > 1").collect()]  # none, unless 64-bit hashes collide
@@ -106,7 +117,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     n = F.coalesce(F.size("_chunks"), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone"))
     shorter = let(F.col("_chunks"), lambda c: F.array_join(F.transform(kept, lambda i: F.get(c, i)["text"]), "\n"))
-    return chunked.withColumn("_gone", gone).select(
+    return chunked.unionByName(with_chunks(whole, text)).withColumn("_gone", gone).select(
         *[F.when(F.col(text).isNull() | (F.size("_gone") == 0), F.col(text)).otherwise(shorter).alias(text) if c == text else F.col(c) for c in docs.columns],
         F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("n_chunks"),
         F.size("_gone").cast("long").alias("n_removed"),
