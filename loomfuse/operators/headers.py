@@ -7,6 +7,10 @@ same jobs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,10 +68,65 @@ def row_stats(cells: DataFrame) -> DataFrame:
     return rows.withColumn("is_title", (F.col("eff") >= 2) & (F.col("most") >= 2) & (F.col("most") / F.col("eff") >= TITLE_SHARE)).withColumn("is_data", (F.col("numbers") / F.col("eff") >= DATA_SHARE) | total)
 
 
-def spans(merges: DataFrame) -> DataFrame:
-    """Rows (sheet, r, span): the widest merged region over each row that has one, in columns."""
-    over = merges.select("sheet", F.explode(F.sequence("r1", "r2")).alias("r"), (F.col("c2") - F.col("c1") + 1).alias("span"))
-    return over.groupBy("sheet", "r").agg(F.max("span").alias("span"))
+class Sheet:
+    """The first rows of one sheet, counted: what its header row is, by the rules of ``header_zone``."""
+
+    def __init__(self, n_columns: int, rows: dict[int, tuple[int, int, int, int, int, bool]], regions: list[tuple[int, int, int]]):
+        """``rows``: row -> (eff, real, uniq, most, numbers, total), only rows that say something; ``regions``: (first row, last row, columns)."""
+        self.n, self.at = n_columns, sorted(rows)
+        self.eff, self.real, self.uniq, most, numbers, total = (list(x) for x in zip(*(rows[r] for r in self.at), strict=True))
+        span = dict.fromkeys([*self.at, *(r - 1 for r in self.at)], 0)
+        for r1, r2, columns in regions:
+            for r in range(max(r1, self.at[0] - 1), min(r2, self.at[-1]) + 1):
+                if r in span:
+                    span[r] = max(span[r], columns)
+        self.span, self.above = [span[r] for r in self.at], [span[r - 1] for r in self.at]
+        every = range(len(self.at))
+        self.title = [i < every[-1] and self.at[i] <= TITLE_ROWS and self.eff[i] >= 2 and most[i] >= 2 and most[i] / self.eff[i] >= TITLE_SHARE for i in every]
+        self.data = [numbers[i] / self.eff[i] >= DATA_SHARE or total[i] for i in every]
+        self.least = max(1, min(self.n // 6, 3))
+
+    def _after(self, i: int, counts: list[int], untitled: bool) -> list[int]:
+        """The counts of the next two rows below that have any, titles left out if asked."""
+        found: list[int] = []
+        for k in range(i + 1, len(self.at)):
+            if len(found) < 2 and counts[k] > 0 and not (untitled and self.title[k]):
+                found.append(counts[k])
+        return found
+
+    def _steady(self, i: int, counts: list[int], untitled: bool = True) -> bool:
+        """Whether a row fills half the columns, or is filled much as the next two of its kind."""
+        own = counts[i]
+        return own >= STABLE_SHARE * self.n or all(min(own, x) / max(own, x) >= STABLE_RATIO for x in self._after(i, counts, untitled))
+
+    def _next(self, i: int) -> int | None:
+        return i + 1 if i + 1 < len(self.at) and self.at[i + 1] == self.at[i] + 1 else None
+
+    def _field(self, i: int, way: int) -> bool:
+        counts = self.eff if way == 1 else self.real
+        if counts[i] < self.least or self.data[i] or way < 3 and (self.title[i] or self.span[i] >= WIDE):
+            return False
+        if way == 1 and self.eff[i] < SPARSE * self.n and self.above[i] < WIDE and any(self.eff[i] < x for x in self._after(i, self.eff, True)):
+            return False
+        return self._steady(i, counts, way < 3)
+
+    def _richer(self, i: int, way: int) -> bool:
+        """Whether the next row could be the field row too and tells more apart."""
+        k = self._next(i)
+        if k is None or self.data[k] or way < 3 and (self.title[k] or self.span[k] >= WIDE):
+            return False
+        counts, more = (self.eff, self.uniq) if way == 1 else (self.real, self.real)
+        return counts[k] >= self.least and more[k] > more[i]
+
+    def zone(self) -> tuple[int, list[int]] | None:
+        """The field row and the category rows above it."""
+        first = next(((i, way) for way in (1, 2, 3) for i in range(len(self.at)) if self._field(i, way)), None)
+        if first is None:
+            return None
+        detail = self.at[first[0]] + self._richer(*first)
+        above = [i for i in range(len(self.at)) if self.at[i] < detail and not self.title[i]]
+        full = [self.span[i] >= FULL_SPAN * self.n for i in above] + [True]
+        return detail, [self.at[i] for k, i in enumerate(above) if not (k == 0 and full[0] and not full[1])]
 
 
 def header_zone(cells: DataFrame, merges: DataFrame) -> DataFrame:
@@ -80,39 +139,54 @@ def header_zone(cells: DataFrame, merges: DataFrame) -> DataFrame:
     merges decide, and then those without regard to titles and categories. All rows above are
     categories, but for titles and a first region as wide as the sheet above narrower ones.
     Sheets without such a row are left out.
+
+    One shuffle brings together what the first PROBE_ROWS rows of a sheet say, a few numbers a cell and no texts; whole sheets
+    pass through tasks one after the other, each judged by itself.
     """
-    per_sheet = cells.where(filled(F.col("v"))).groupBy("sheet").agg(F.max("c").alias("n_columns"))
-    over = spans(merges)
-    rows = row_stats(cells).where(F.col("r") <= PROBE_ROWS).join(per_sheet, "sheet").join(over, ["sheet", "r"], "left")
-    rows = rows.join(over.select("sheet", (F.col("r") + 1).alias("r"), F.col("span").alias("span_above")), ["sheet", "r"], "left").na.fill(0, ["span", "span_above"])
-    w = Window.partitionBy("sheet").orderBy("r")
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("title", F.col("is_title") & (F.col("r") <= TITLE_ROWS) & F.lead("r").over(w).isNotNull())
-    least = F.greatest(F.lit(1), F.least(F.floor(F.col("n_columns") / 6), F.lit(3)))
-    follow = lambda n, fine, k: F.nth_value(F.when(fine & (F.col(n) > 0), F.col(n)), k, True).over(after)
-    untitled, always = ~F.col("title"), F.lit(True)
-    fields = {f"{name}{k}": follow(n, fine, k) for name, n, fine in (("e", "eff", untitled), ("f", "real", untitled), ("g", "real", always)) for k in (1, 2)}
-    following = {f"next_{c}": F.when(F.lead("r").over(w) == F.col("r") + 1, F.lead(c).over(w)) for c in ("title", "span", "is_data", "eff", "uniq", "real")}
-    rows = rows.withColumns(fields | following)
-
-    def steady(n: str, name: str) -> Column:
-        """Whether the count ``n`` fills half the columns, or is like the next two of its kind."""
-        like = lambda other: other.isNull() | (F.least(other, F.col(n)) / F.greatest(other, F.col(n)) >= STABLE_RATIO)
-        return (F.col(n) >= STABLE_SHARE * F.col("n_columns")) | (like(F.col(f"{name}1")) & like(F.col(f"{name}2")))
-
-    plain = untitled & (F.col("span") < WIDE)
-    next_plain = ~F.col("next_title") & (F.col("next_span") < WIDE) & ~F.col("next_is_data")
-    sparse = (F.col("eff") < SPARSE * F.col("n_columns")) & F.coalesce(F.col("eff") < F.greatest("e1", "e2"), F.lit(False)) & (F.col("span_above") < WIDE)
-    able = lambda n: (F.col(n) >= least) & ~F.col("is_data")
-    richer = {1: next_plain & (F.col("next_eff") >= least) & (F.col("next_uniq") > F.col("uniq")), 2: next_plain & (F.col("next_real") >= least) & (F.col("next_real") > F.col("real"))}
-    richer[3] = ~F.col("next_is_data") & (F.col("next_real") >= least) & (F.col("next_real") > F.col("real"))
-    fine = {1: able("eff") & plain & ~sparse & steady("eff", "e"), 2: able("real") & plain & steady("real", "f"), 3: able("real") & steady("real", "g")}
-    passes = F.array(*[F.when(fine[k], F.struct(F.lit(k).alias("p"), F.col("r").alias("at"), F.when(richer[k], F.col("r") + 1).otherwise(F.col("r")).alias("detail"))) for k in fine])
-    best = rows.select("sheet", "n_columns", F.explode(F.filter(passes, lambda x: x.isNotNull())).alias("x")).groupBy("sheet", "n_columns").agg(F.min("x")["detail"].alias("detail"))
-    above = rows.where(untitled).join(best.select("sheet", "detail"), "sheet").where(F.col("r") < F.col("detail"))
-    category = above.withColumn("full", F.col("span") >= FULL_SPAN * F.col("n_columns")).withColumn("first", F.row_number().over(w) == 1).withColumn("next_full", F.lead("full", 1, True).over(w))
-    kept = category.where(~(F.col("first") & F.col("full") & ~F.col("next_full"))).groupBy("sheet").agg(F.array_sort(F.collect_set("r")).alias("categories"))
-    return best.join(kept, "sheet", "left").select("sheet", "detail", F.coalesce("categories", F.array().cast("array<int>")).alias("categories"), "n_columns")
+    said = cells.where(filled(F.col("v")))
+    v, none = text.strip(F.col("v")), lambda kind: F.lit(None).cast(kind)
+    total = F.lit(False)
+    for w in fixed.TOTAL_WORDS:
+        total = total | v.contains(w)
+    shown = said.where(F.col("r") <= PROBE_ROWS).select("sheet", F.lit(0).alias("kind"), "r", "c", F.xxhash64(v).alias("h"), F.regexp_replace(v, "[, ]", "").rlike(fixed.NUMBER).alias("number"), total.alias("total"), "in_merge")
+    width = said.groupBy("sheet").agg(F.max("c").alias("c")).select("sheet", F.lit(1).alias("kind"), F.lit(0).alias("r"), "c", none("long").alias("h"), *[none("boolean").alias(c) for c in ("number", "total", "in_merge")])
+    over = merges.where(F.col("r1") <= PROBE_ROWS).select("sheet", F.lit(2).alias("kind"), F.col("r1").alias("r"), (F.col("c2") - F.col("c1") + 1).alias("c"), F.col("r2").cast("long").alias("h"), *[none("boolean").alias(c) for c in ("number", "total", "in_merge")])
+    parts = shown.unionByName(width).unionByName(over).repartition("sheet").sortWithinPartitions("sheet", "kind", "r", "c")
+
+    def judge(name: str, kind: np.ndarray, r: np.ndarray, c: np.ndarray, h: np.ndarray, number: np.ndarray, total: np.ndarray, merged: np.ndarray) -> tuple | None:
+        cell = np.flatnonzero(kind == 0)
+        if not len(cell):
+            return None
+        rows = {}
+        for some in np.split(cell, np.flatnonzero(np.diff(r[cell])) + 1):
+            times = np.unique(h[some], return_counts=True)[1]
+            rows[int(r[some[0]])] = (len(some), int((~merged[some]).sum()), len(times), int(times.max()), int(number[some].sum()), bool(total[some[0]]))
+        sheet = Sheet(int(c[kind == 1].max()), rows, list(zip(r[kind == 2].tolist(), h[kind == 2].tolist(), c[kind == 2].tolist(), strict=True)))
+        zone = sheet.zone()
+        return zone and (name, *zone, sheet.n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(found: list) -> pa.RecordBatch:
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32()), strict=True)], ["sheet", "detail", "categories", "n_columns"])
+
+        name, held = None, []
+        for b in batches:
+            names = b.column(0).dictionary_encode()
+            codes, out = np.asarray(names.indices), []
+            values = [b.column(i).fill_null(0 if i < 5 else False).to_numpy(zero_copy_only=False) for i in range(1, 8)]
+            for some in np.split(np.arange(len(codes)), np.flatnonzero(np.diff(codes)) + 1) if len(codes) else ():
+                own = names.dictionary[int(codes[some[0]])].as_py()
+                if held and own != name:
+                    out.append(judge(name, *(np.concatenate(x) for x in zip(*held, strict=True))))
+                    held = []
+                name = own
+                held.append([x[some] for x in values])
+            yield done([x for x in out if x])
+        if held:
+            yield done([x for x in [judge(name, *(np.concatenate(x) for x in zip(*held, strict=True)))] if x])
+
+    return parts.mapInArrow(run, "sheet string, detail int, categories array<int>, n_columns int")
 
 
 def compound_names(cells: DataFrame, zones: DataFrame) -> DataFrame:
