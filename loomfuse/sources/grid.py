@@ -6,6 +6,7 @@ each workbook is taken apart inside one task, its cells as they come.
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -16,9 +17,12 @@ from xml.etree import ElementTree as ET
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loomfuse.functions import text
 from loomfuse.operators import headers
+from loomfuse.operators.keys import numbered
+from loomfuse.operators.scratch import kept
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -179,16 +183,89 @@ def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(take, SCHEMA)
 
 
+def ends_inside(line: str, inside: bool, divider: str = ",") -> bool:
+    """Whether a quoted field is open at the end of a line, given whether one was at its start. A quote opens only at a field's
+    start; a doubled one doesn't close."""
+    at, n = 0, len(line)
+    while True:
+        if not inside:
+            if not line.startswith('"', at):
+                at = line.find(divider, at) + 1
+                if not at:
+                    return False
+                continue
+            at += 1
+        while True:  # to the quote that closes
+            at = line.find('"', at)
+            if at < 0:
+                return True
+            if not line.startswith('"', at + 1):
+                break
+            at += 2
+        inside, at = False, line.find(divider, at + 1) + 1
+        if not at or at > n:
+            return False
+
+
+def _records(spark: SparkSession, path: str, divider: str) -> DataFrame:
+    """A file's records, which quoted fields may carry over many lines, as (_at, value), ``_at`` rising in the order of the file.
+
+    Each task goes through its stretch of the file twice at once, as if a quoted field were open at its start and as if not; how a stretch
+    ends for either start is all that the next ones need, so stretches are read side by side. Lines of one record then meet
+    by its first line; records of one line, nearly all, don't move.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = [False, True]
+        for b in batches:
+            begins: tuple[list, list] = ([], [])
+            ends: tuple[list, list] = ([], [])
+            for line in b.column(1).to_pylist():
+                for way in (0, 1):
+                    begins[way].append(state[way])
+                    if '"' in line:
+                        state[way] = ends_inside(line, state[way], divider)
+                    ends[way].append(state[way])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.bool_()) for x in (*begins, *ends))], ["_at", "value", "in0", "in1", "out0", "out1"])
+
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), "value")
+    lines = kept(lines.mapInArrow(mark, "_at long, value string, in0 boolean, in1 boolean, out0 boolean, out1 boolean"), "csv-lines").withColumn("_part", F.shiftright("_at", 33))
+    parts = lines.groupBy("_part").agg(F.max_by("out0", "_at").alias("out0"), F.max_by("out1", "_at").alias("out1"), F.max(F.when(~F.col("in0"), F.col("_at"))).alias("l0"), F.max(F.when(~F.col("in1"), F.col("_at"))).alias("l1"))
+    inside, last, entering = False, None, []
+    for r in parts.orderBy("_part").collect():  # a row for each stretch of the file
+        entering.append((r["_part"], inside, last))
+        last = (r["l1"] if inside else r["l0"]) if (r["l1"] if inside else r["l0"]) is not None else last
+        inside = r["out1"] if inside else r["out0"]
+    told = spark.createDataFrame(entering, "_part long, _inside boolean, _last long")
+    within = Window.partitionBy("_part").orderBy("_at")  # a stretch is a task's share of the file
+    lines = lines.join(F.broadcast(told), "_part").withColumn("_open", F.when(F.col("_inside"), F.col("in1")).otherwise(F.col("in0")))
+    lines = lines.withColumn("_record", F.coalesce(F.max(F.when(~F.col("_open"), F.col("_at"))).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_last")))
+    alone = ~F.col("_open") & ~F.coalesce(F.lead("_open").over(within), F.lit(True))
+    lines = lines.select("_at", "value", "_record", alone.alias("_alone"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), "\n")
+    several = lines.where(~F.col("_alone")).groupBy(F.col("_record").alias("_at")).agg(joined.alias("value"))
+    return lines.where("_alone").select("_at", "value").unionByName(several)
+
+
 def read_delimited(spark: SparkSession, path: str, **options) -> DataFrame:
     """A file with one header row as a table of text columns with row_idx in the order of the file.
 
-    Only a file with an odd number of quotes in some line, where a record may go on in the next, is read by one task.
+    Files in which some line has an odd number of quotes, so that records may go on in the next line, are cut into records first
+    (``_records``); blank lines are no records.
     """
     quotes = F.length("value") - F.length(F.translate("value", '"', ""))
-    broken = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    df = spark.read.options(**{"header": True, "inferSchema": False, "multiLine": broken, "escape": '"'} | options).csv(path)
-    numbered = df.select(F.monotonically_increasing_id().alias("_at"), "*")  # the order of the scan; made dense below, from counts
-    part = numbered.withColumn("_part", F.shiftright("_at", 33))
+    if not spark.read.text(path).where(quotes % 2 == 1).isEmpty():
+        divider = options.get("sep", ",")
+        records = kept(_records(spark, path, divider).where(F.trim("value") != ""), "csv-records")
+        head = records.orderBy("_at").first()
+        columns = next(csv.reader(io.StringIO(head["value"]), delimiter=divider))
+        shape = StructType([StructField(f"c{i}", StringType()) for i in range(len(columns))])
+        parsed = F.from_csv("value", shape.simpleString()[7:-1].replace(":", " "), {"escape": '"', "sep": divider})
+        rows = numbered(records.where(F.col("_at") != head["_at"]).select("_at", parsed.alias("_c")), "_at")
+        return rows.select(F.col("_rank").alias("row_idx"), *[F.col(f"_c.c{i}").alias(n) for i, n in enumerate(headers.clean_names(columns))])
+    df = spark.read.options(**{"header": True, "inferSchema": False, "escape": '"'} | options).csv(path)
+    placed = df.select(F.monotonically_increasing_id().alias("_at"), "*")  # the order of the scan; made dense below, from counts
+    part = placed.withColumn("_part", F.shiftright("_at", 33))
     counts = part.groupBy("_part").count()
     before = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rows = part.join(F.broadcast(before), "_part").withColumn("row_idx", F.col("_before") + F.col("_at") - F.shiftleft(F.col("_part"), 33))

@@ -61,7 +61,7 @@ def test_merged_keys_are_filled_again(spark):
     assert [r[1] for r in headers.refilled(df.withColumnRenamed("项目名称", "else"), "else", full, "s", 1).orderBy("row_idx").collect()] == ["kept", " ", None, None]
 
 
-@pytest.mark.parametrize("cuts", [[], [1], [7, 8, 30], list(range(3, 40, 3))])
+@pytest.mark.parametrize("cuts", [[], [7, 8, 30]])
 def test_any_split_of_arrivals_fills_as_one_batch(spark, tmp_path, cuts):
     rng = random.Random(9)
     rows = [(i, rng.choice(["a", "b ", "c", " ", None]), rng.choice(["x", None, " ", f"v{i}"]), f"w{i}") for i in range(40)]
