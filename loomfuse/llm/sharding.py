@@ -60,37 +60,52 @@ def _order(df: DataFrame, name: str) -> Column:
     return F.encode(F.col(name), "utf-8") if dict(df.dtypes)[name] == "string" else F.col(name)
 
 
-def _cuts(rows: DataFrame, values: dict[str, Column], parts: dict[str, int]) -> dict[str, list]:
-    """For each dimension its cut points: of numbers from sketches of bounded size, all in one pass; of others from counts of values."""
-    numeric = [d for d in values if isinstance(rows.schema[d].dataType, T.NumericType)]
-    found = {d: _cut_points(rows.select(values[d].alias("v")), parts[d]) for d in values if d not in numeric}
-    if numeric:
-        at = lambda d: F.percentile_approx(values[d], [k / parts[d] for k in range(1, parts[d])], 100 * parts[d]).alias(d)
-        found |= {d: sorted(set(x or [])) for d, x in rows.agg(*map(at, numeric)).first().asDict().items()}
-    return found
+def _cuts(rows: DataFrame, values: dict[str, Column], first: str) -> tuple[dict[str, list], list, int]:
+    """Each dimension's cut points, the finer ones of the ``first`` dimension, and the number of rows.
 
-
-def _cut_points(values: DataFrame, parts: int) -> list:
-    """At most ``parts`` - 1 values that divide the non-null rows of the one column ``v`` about evenly, a value that is frequent once.
-
-    Values are counted once each, then laid out in ranges by Spark's sort, and each range tells how many rows it
-    holds: the cuts are the values at whose rows the shares of the whole begin.
+    Numbers are cut by sketches of bounded size, all in the pass that counts rows; others by counts of values, in one pass a type.
+    """
+    asked = {(d, 1 << BITS) for d in values} | {(first, FINE)}
+    kind = {d: rows.schema[d].dataType for d in values}
+    at = {(d, n): F.percentile_approx(values[d], [k / n for k in range(1, n)], 100 * n).alias(f"{n}:{d}") for d, n in asked if isinstance(kind[d], T.NumericType)}
+    told = rows.agg(F.count(F.lit(1)).alias("rows"), *at.values()).first()
+    found = {(d, n): sorted(set(told[f"{n}:{d}"] or [])) for d, n in at}
+    others: dict[str, dict[str, Column]] = {}
+    for d in values:
+        if not isinstance(kind[d], T.NumericType):
+            others.setdefault(kind[d].simpleString(), {})[d] = values[d]
+    for alike in others.values():
+        found |= _counted_cuts(rows, alike, {(d, n) for d, n in asked if d in alike})
+    return {d: found[d, 1 << BITS] for d in values}, found[first, FINE], told["rows"]
+
+
+def _counted_cuts(rows: DataFrame, values: dict[str, Column], asked: set[tuple[str, int]]) -> dict[tuple[str, int], list]:
+    """For each (dimension, parts) at most parts - 1 values that divide its non-null rows about evenly, a value that is frequent once.
+
+    The values of all dimensions, of one type, are counted once each, then laid out in ranges by Spark's sort, and each range tells
+    how many rows it holds: the cuts are the values at whose rows the shares of the whole begin.
     """
-    counts = written(values.where("v is not null").groupBy("v").count().orderBy("v").withColumn("at", F.monotonically_increasing_id()), "hilbert-values")
-    ranges = counts.groupBy(F.shiftright("at", 33).alias("range")).agg(F.sum("count").alias("n"))  # a row for each range
-    before = ranges.select("range", F.sum("n").over(Window.orderBy("range")).alias("to"), F.col("n"))
-    total = ranges.agg(F.sum("n")).first()[0] or 0
-    inside = counts.withColumn("range", F.shiftright("at", 33)).join(F.broadcast(before.select("range", (F.col("to") - F.col("n")).alias("before"))), "range")
-    upto = F.col("before") + F.sum("count").over(Window.partitionBy("range").orderBy("at"))
-    share = lambda n: F.floor((n - 1) * parts / max(1, total))
-    placed = inside.withColumn("share", share(upto)).withColumn("prior", share(upto - F.col("count")))
-    cuts = placed.where("prior >= 0 and share > prior").orderBy("at").select("v").collect()  # parts - 1 at most
-    return [r["v"] for r in cuts]
+    each = F.array(*[F.struct(F.lit(d).alias("d"), v.alias("v")) for d, v in values.items()])
+    counts = rows.select(F.explode(each).alias("e")).select("e.*").where("v is not null").groupBy("d", "v").count()
+    counts = written(counts.orderBy("d", "v").withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33)), "hilbert-values")
+    ranges = counts.groupBy("d", "range").agg(F.sum("count").alias("n"))  # a row for each range, one more where a dimension begins
+    own = Window.partitionBy("d")
+    before = ranges.select("d", "range", (F.sum("n").over(own.orderBy("range")) - F.col("n")).alias("before"), F.sum("n").over(own).alias("total"))
+    inside = counts.join(F.broadcast(before), ["d", "range"])
+    upto = F.col("before") + F.sum("count").over(Window.partitionBy("d", "range").orderBy("at"))
+    parts = F.explode(F.array(*[F.struct(F.lit(d).alias("_d"), F.lit(n).alias("parts")) for d, n in sorted(asked)])).alias("_p")
+    placed = inside.withColumn("upto", upto).select("*", parts).where(F.col("_p._d") == F.col("d"))
+    share = lambda n: F.floor((n - 1) * F.col("_p.parts") / F.col("total"))
+    placed = placed.withColumn("share", share(F.col("upto"))).withColumn("prior", share(F.col("upto") - F.col("count")))
+    cuts: dict[tuple[str, int], list] = {x: [] for x in asked}
+    for r in placed.where("prior >= 0 and share > prior").orderBy("at").select("d", "_p.parts", "v").collect():  # parts - 1 a dimension at most
+        cuts[r["d"], r["parts"]].append(r["v"])
+    return cuts
 
 
 def _cell(value: Column, cuts: list) -> Column:
     """How many of the cut points a value reaches; null counts as lowest."""
-    return sum((F.coalesce((value >= F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: value >= c)) if cuts else F.lit(0)
 
 
 def hilbert_shards(rows: DataFrame, dimensions: list[str], ties: list[str], shards: int = SHARDS) -> DataFrame:
@@ -109,9 +124,8 @@ def hilbert_shards(rows: DataFrame, dimensions: list[str], ties: list[str], shar
     if taken := own.intersection(rows.columns):
         raise ValueError(f"the names of these columns are the operator's own: {', '.join(sorted(taken))}")
     values = {d: _order(rows, d) for d in dimensions}
-    first, total = dimensions[0], rows.count()
-    cuts = _cuts(rows, values, dict.fromkeys(values, 1 << BITS))
-    fine_cuts = _cuts(rows, {first: values[first]}, {first: FINE})[first]
+    first = dimensions[0]
+    cuts, fine_cuts, total = _cuts(rows, values, first)
     bits = BITS * len(dimensions)
     placed = rows.select(
         *rows.columns,

@@ -326,9 +326,9 @@ def test_sharding(spark, odd, none, small):
     numbers = spark.createDataFrame([(i if i % 50 else 10**17 + i, f"{'source' * 3}{i % 7}", float(i * i % 97)) for i in range(400)], "doc_id long, source string, size double")
     dims = ["doc_id", "source", "size"]
     values = {d: sharding._order(numbers, d) for d in dims}
-    cuts = sharding._cuts(numbers, values, dict.fromkeys(values, 16))
+    cuts, fine, total = sharding._cuts(numbers, values, "doc_id")
+    assert total == numbers.count()
     assert all(10 <= len(cuts[d]) <= 15 for d in ("doc_id", "size")) and len(cuts["source"]) == 6  # an outlier or a shared prefix hides nothing
-    fine = sharding._cuts(numbers, {"doc_id": values["doc_id"]}, {"doc_id": sharding.FINE})["doc_id"]
     places, following = sharding.hilbert_states(3)
     salt = {r.doc_id: r.s for r in numbers.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(sharding.SALTS))).collect()}
 
