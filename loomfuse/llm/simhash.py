@@ -23,6 +23,8 @@ STEP = 4
 LEAF_PAIRS = 64
 #: Node pairs that a task holds at a time.
 FRONTIER = 400_000
+#: A fingerprint of one row in so many is met by a broadcast; there are at most so many such fingerprints.
+CROWDS = 4096
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -168,15 +170,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, p
     repeated rows among them, count once in the join; rows without words have
     fingerprint 0 and link like any other. Null ids are never the smallest; a component
     of null ids alone has a null id. An empty table gives no rows; other columns are not read.
+    A fingerprint that one row in CROWDS has, such as that of empty texts, gets its class by a broadcast of at most CROWDS rows,
+    so no task gets all its rows.
     """
     fps = written(fingerprints(docs, words, doc_id, text), "simhash")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(near_links(distinct.select("fp"), budget, pair_rows, distinct.count()), "simhash")
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "simhash-distinct")
+    n, rows = distinct.agg(F.count("*"), F.sum("copies")).first()
+    roots = components(near_links(distinct.select("fp"), budget, pair_rows, n), "simhash")
+    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
     joined = written(joined, "simhash-roots")
     smallest = written(joined.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-smallest")
-    classes = written(joined.join(smallest, "root").select("fp", "root", "component_id"), "simhash-classes")
-    return fps.join(classes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    classes = written(joined.join(smallest, "root").select("fp", "copies", "root", "component_id"), "simhash-classes")
+    crowded = F.col("copies") * CROWDS >= (rows or 0)
+    crowds = F.broadcast(classes.where(crowded).drop("copies"))
+    met = [fps.join(crowds, "fp"), fps.join(crowds.select("fp"), "fp", "left_anti").join(classes.where(~crowded).drop("copies"), "fp")]
+    return met[0].unionByName(met[1]).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

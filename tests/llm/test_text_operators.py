@@ -268,7 +268,7 @@ def test_embedding_tables_stay_small(spark):
     assert fine.shape == near.shape == (4096, 4096) and peak < 200e6
 
 
-def test_simhash_against_brute_force(spark, odd, none):
+def test_simhash_against_brute_force(spark, odd, none, monkeypatch):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(300)]
     base = [list(rng.choice(words, 400)) for _ in range(30)]
@@ -282,7 +282,8 @@ def test_simhash_against_brute_force(spark, odd, none):
     fps = [simhash.fingerprint(t) for t in texts]
     linked = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (fps[i] ^ fps[j]).bit_count() <= 2]
     want = brute_components(range(len(texts)), linked)
-    for rows in (4, 40_000):  # both the shallow join and one that descends
+    for rows, crowds in ((4, 30), (40_000, 4096)):  # both the shallow join and one that descends; some fingerprints crowded or all
+        monkeypatch.setattr(simhash, "CROWDS", crowds)
         got = {r.doc_id: (r.component_id, r.fp % 2**64) for r in simhash.near_duplicates(documents(spark, texts), pair_rows=rows).collect()}
         assert got == {i: (want[i], fps[i]) for i in range(len(texts))}
     import xxhash
