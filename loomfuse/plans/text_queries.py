@@ -145,10 +145,8 @@ def merges_of(spark, d):
 
 
 def merge_expansion(spark, d):
-    """For each sheet its cells, how many say something, and the values of covered cells in order."""
-    full = headers.expand_merges(grid(spark, d), merges_of(spark, d))
-    covered = F.array_sort(F.collect_list(F.when(F.col("in_merge"), F.struct("r", "c", "v"))))  # ten cells
-    return full.groupBy("sheet").agg(F.count("*").alias("n_cells"), F.count("v").alias("n_said"), F.array_join(F.transform(covered, lambda x: F.coalesce(x["v"], F.lit("-"))), "|").alias("covered"))
+    """Every cell of every sheet with the value it shows, covered cells by their region's."""
+    return headers.expand_merges(grid(spark, d), merges_of(spark, d)).select("sheet", "r", "c", F.col("v").alias("value"), "in_merge")
 
 
 def compound_names(spark, d):
@@ -270,11 +268,9 @@ SELECT sheet, CAST(r AS INTEGER) AS r, CAST(eff AS BIGINT) AS eff, CAST(eff AS B
 WITH {_GRID}, l AS (SELECT sheet, r, string_agg(v, ' | ' ORDER BY c) AS line FROM said WHERE r <= 6 GROUP BY ALL)
 SELECT a.sheet, CAST(a.r AS INTEGER) AS start, CAST(b.r AS INTEGER) AS "end", substr(a.line, 1, 40) AS preview FROM l a JOIN l b ON a.sheet = b.sheet AND b.r BETWEEN a.r AND a.r + 2""",
     "merge_expansion": f"""
-WITH {_GRID}, {_MERGES}, {_COVERED}, every AS (
-  SELECT coalesce(a.sheet, b.sheet) AS sheet, coalesce(a.r, b.r) AS r, coalesce(a.c, b.c) AS c, CASE WHEN b.sheet IS NOT NULL THEN b.value ELSE a.v END AS value, b.sheet IS NOT NULL AS in_merge
-  FROM shown a FULL JOIN covered b ON a.sheet = b.sheet AND a.r = b.r AND a.c = b.c
-)
-SELECT sheet, count(*) AS n_cells, count(value) AS n_said, string_agg(coalesce(value, '-'), '|' ORDER BY r, c) FILTER (WHERE in_merge) AS covered FROM every GROUP BY sheet""",
+WITH {_GRID}, {_MERGES}, {_COVERED}
+SELECT coalesce(a.sheet, b.sheet) AS sheet, CAST(coalesce(a.r, b.r) AS INTEGER) AS r, CAST(coalesce(a.c, b.c) AS INTEGER) AS c, CASE WHEN b.sheet IS NOT NULL THEN b.value ELSE a.v END AS value, b.sheet IS NOT NULL AS in_merge
+FROM shown a FULL JOIN covered b ON a.sheet = b.sheet AND a.r = b.r AND a.c = b.c""",
     "header_zones": f"""
 WITH {_GRID}, {_MERGES}, {_COVERED}, full_grid AS (
   SELECT coalesce(a.sheet, b.sheet) AS sheet, coalesce(a.r, b.r) AS r, coalesce(a.c, b.c) AS c, CASE WHEN b.sheet IS NOT NULL THEN b.value ELSE a.v END AS raw, b.sheet IS NOT NULL AS merged

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from loomfuse.operators import headers
+from loomfuse.plans import text_queries
 
 
 def test_regions_meet_cells_in_tiles(spark):
@@ -31,6 +32,21 @@ def test_many_cells_and_regions_take_linear_time(spark):
     assert headers.resolve_merges(rows, regions).where("value <> cast((r1 - 1) * 40 as string)").count() == 0
 
 
+def test_merge_expansion_gives_every_cell(spark, tmp_path):
+    texts = ["a b c\n  d\ne", "one", None, "", "x y\n\n1 2 3 4 5\nlast"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, t in enumerate(texts):
+        own = {(r, c): v for r, line in enumerate([] if t is None else t.split("\n"), 1) for c, v in enumerate(line.split(" "), 1)}
+        shown = {p: (v or None, False) for p, v in own.items()}
+        for r1, r2, c1, c2 in ((1, 1, 1, 2), (2, 3, 1, 4)):
+            inside = [(r, c) for r in range(r1, r2 + 1) for c in range(c1, c2 + 1)]
+            shown |= dict.fromkeys(inside, (next((own[p] for p in inside if own.get(p)), None), True))
+        want |= {(str(k), *p): x for p, x in shown.items()}
+    got = text_queries.merge_expansion(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(x.sheet, x.r, x.c): (x.value, x.in_merge) for x in got} == want
+
+
 def test_names_stay_unique():
     assert headers.clean_names(["a", "a", "a_2"]) == ["a", "a_3", "a_2"]
     assert headers.clean_names(["a", "a_2", "a", "a", " a", None, "_col_1"]) == ["a", "a_2", "a_3", "a_4", "a_5", "_col_1", "_col_1_2"]
