@@ -1,4 +1,5 @@
-"""Near copies by exact Jaccard similarity of word shingles, found with prefixes of rare shingles."""
+"""Near copies by exact Jaccard similarity of word shingles: found by bands of SimHash fingerprints, and what these leave apart by prefixes of
+rare shingles."""
 
 from __future__ import annotations
 
@@ -11,10 +12,13 @@ from pyspark.sql import functions as F
 
 from loomfuse.llm.common import written
 from loomfuse.llm.components import components
+from loomfuse.llm.trie import PAIR_ROWS, majority, near_links
 
 WORDS, SEED = 5, 42
 #: Least similarity as a fraction, so that all bounds are exact: 4/5.
 UP, DOWN = 4, 5
+#: A fingerprint's bands of 32 bits, 2 to the power TOP of them; those within BUDGET bits of each other meet in their trie.
+TOP, BUDGET = 2, 2
 #: One text in so many is read for the shingles that go last in the common order, those in LEAST_SAMPLED of these texts;
 #: at most MOST_COMMON. Any order finds the same pairs; this one keeps groups small.
 SAMPLE, LEAST_SAMPLED, MOST_COMMON = 50, 4, 200_000
@@ -47,6 +51,17 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
+def bands(found: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of a set of shingle hashes as 2 ** TOP longs: a band's number in the first bits, its 32 bits after it."""
+    words, mixed = [], found
+    for _ in range(1 << TOP >> 1):
+        words.append(majority(mixed))
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)  # other bits of the same shingles
+        mixed ^= mixed >> np.uint64(32)
+    values = np.array(words, np.uint64).view(np.uint32).astype(np.uint64)
+    return ((np.arange(1 << TOP, dtype=np.uint64) << np.uint64(64 - TOP)) | (values << np.uint64(32 - TOP))).view(np.int64)
+
+
 def fold(cells: np.ndarray, size: int) -> np.ndarray:
     """A sketch brought to ``size`` bytes: a smaller power of two of cells."""
     return np.bitwise_xor.reduce(cells.reshape(-1, size), axis=0)
@@ -92,9 +107,9 @@ def _common(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, text_hash, set, n, cells, s0..s3, prefix), one for each row of ``docs``.
+    """Rows (doc_id, text_hash, set, n, cells, s0..s3, bands, prefix), one for each row of ``docs``.
 
-    ``set`` is a hash of the shingle set, ``n`` its size, ``cells`` its sketch, s0..s3 the same
+    ``set`` is a hash of the shingle set, ``n`` its size, ``bands`` its fingerprint, ``cells`` its sketch, s0..s3 the same
     brought to 256 cells: two sets differ in at least as many members as cells.
     """
     common, times = _common(docs, text)
@@ -103,23 +118,43 @@ def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            names, sizes, cells, whole, firsts = [], [], [], [], []
+            names, sizes, cells, whole, banded, firsts = [], [], [], [], [], []
             for t in b.column(2).to_pylist():
                 found = shingles(t)
                 names.append(xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
                 whole.append(sketch(found))
                 cells.append(fold(np.frombuffer(whole[-1], np.uint8), 32).view(np.int64))
+                banded.append(bands(found))
                 firsts.append(prefix(found, common, times).view(np.int64))
             s = np.array(cells, np.int64).reshape(-1, 4)
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            arrays = [b.column(0), b.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(whole, pa.binary()), *(pa.array(s[:, k]) for k in range(4)), listed]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "set", "n", "cells", "s0", "s1", "s2", "s3", "prefix"])
+            listed = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in x])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (banded, firsts)]
+            arrays = [b.column(0), b.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(whole, pa.binary()), *(pa.array(s[:, k]) for k in range(4)), *listed]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "set", "n", "cells", "s0", "s1", "s2", "s3", "bands", "prefix"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     asked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return asked.mapInArrow(run, f"doc_id {kind}, text_hash long, set long, n int, cells binary, s0 long, s1 long, s2 long, s3 long, prefix array<long>")
+    return asked.mapInArrow(run, f"doc_id {kind}, text_hash long, set long, n int, cells binary, s0 long, s1 long, s2 long, s3 long, bands array<long>, prefix array<long>")
+
+
+def _sizes(n: Column, m: Column) -> Column:
+    """Whether sets of such sizes may be similar."""
+    return (n * DOWN >= m * UP) & (m * DOWN >= n * UP)
+
+
+def fingerprint_pairs(each: DataFrame, pair_rows: int = PAIR_ROWS) -> DataFrame:
+    """Pairs (a, b) of the sets of ``each`` (set, bands) that a band holds within BUDGET bits, a < b, enough of them for reachability.
+
+    Sets with an equal band are paired with the least of them, and bands that differ by the trie self-join, which keeps a spanning forest a node
+    pair: a crowd gives a few pairs a set.
+    """
+    values = each.select("set", F.explode("bands").alias("fp"))
+    least = written(values.groupBy("fp").agg(F.min("set").alias("centre"), F.count("*").alias("many")), "near-bands")
+    equal = values.join(least.where("many > 1"), "fp").select(F.col("centre").alias("a"), F.col("set").alias("b"))
+    met = written(near_links(least.select("fp"), BUDGET, pair_rows, top=TOP), "near-met")
+    side = lambda c: least.select(F.col("fp").alias(c), F.col("centre").alias(f"_{c}"))
+    apart = met.join(side("a"), "a").join(side("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return equal.unionByName(apart).where("a <> b").distinct()
 
 
 def _shared(sets: DataFrame) -> DataFrame:
@@ -158,8 +193,8 @@ def _shared(sets: DataFrame) -> DataFrame:
     return rows.repartition("shingle").sortWithinPartitions("shingle", "set").mapInArrow(run, "shingle long, set long, n int, centre long, centre_n int")
 
 
-def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of sets that their sketches don't rule out."""
+def _sketched(pairs: DataFrame, each: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of sets (set, n, cells) that neither sizes nor sketches rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,9 +202,8 @@ def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             fine = pa.array([may_be_similar(x, y, n + m) for n, m, x, y in zip(*columns, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(k).filter(fine) for k in range(2)], ["a", "b"])
 
-    each = sets.groupBy("set").agg(F.first("n").alias("n"), F.first("cells").alias("cells"))
     side = lambda c: each.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"cells{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes(F.col("na"), F.col("nb")))
     return joined.select("a", "b", "na", "nb", "cellsa", "cellsb").mapInArrow(run, "a long, b long")
 
 
@@ -202,23 +236,29 @@ def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, text: str) -> Dat
 def near_roots(docs: DataFrame, sets: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
     """Rows (set, root) for those of the ``sets`` of ``shingle_sets``, written, that are linked to others; equal roots mean reachable by links.
 
-    Two sets are linked if their Jaccard similarity is UP/DOWN or more. No such pair is missed:
+    Two sets are linked if their Jaccard similarity is UP/DOWN or more. Pairs that bands of their SimHash fingerprints
+    bring together are verified by their texts first. Fingerprints alone would miss some, so sets that are still apart
+    meet by prefixes, and no such pair is missed:
     sets that similar share one of their first shingles in any common order. Pairs with the
-    least set of each shingle's group are verified by their texts first, which joins a crowd
+    least set of each shingle's group are verified before others, which joins a crowd
     of copies without all its pairs; then pairs of members that are still apart. Only pairs
     that sizes or sketches rule out are never read.
     """
+    each = written(sets.groupBy("set").agg(F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("bands").alias("bands")), "near-each")
+    met = written(_sketched(fingerprint_pairs(each), each), "near-fingerprints")
+    links = written(_verified(met, written(_texts(docs, sets, met, text), "near-texts")), "near-links")
+    roots = components(links, "near")
+    root_of = lambda df, key, name: df.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
     shared = written(_shared(sets), "near-shared")
     cells = ["s0", "s1", "s2", "s3"]
     marks = sets.select("set", *cells).distinct()
     apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in cells), F.lit(0))
-    sizes = lambda n, m: (n * DOWN >= m * UP) & (m * DOWN >= n * UP)
-    may = sizes(F.col("na"), F.col("nb")) & (apart * (UP + DOWN) <= (F.col("na") + F.col("nb")) * (DOWN - UP))
-    stars = shared.where((F.col("set") != F.col("centre")) & sizes(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("set").alias("b")).distinct()
-    stars = written(_sketched(stars, sets), "near-stars")
-    links = written(_verified(stars, written(_texts(docs, sets, stars, text), "near-texts")), "near-links")
+    may = _sizes(F.col("na"), F.col("nb")) & (apart * (UP + DOWN) <= (F.col("na") + F.col("nb")) * (DOWN - UP))
+    stars = shared.where((F.col("set") != F.col("centre")) & _sizes(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("set").alias("b")).distinct()
+    stars = root_of(root_of(stars.join(met, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
+    stars = written(_sketched(stars, each), "near-stars")
+    links = links.union(written(_verified(stars, written(_texts(docs, sets, stars, text), "near-texts")), "near-links"))
     roots = components(links, "near")
-    root_of = lambda df, key, name: df.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
     members = written(root_of(root_of(shared.drop("centre_n"), "set", "root"), "centre", "centre_root"), "near-members")
     mixed = written(members.where("root <> centre_root").select("shingle").distinct(), "near-mixed")
     members = written(members.join(mixed, "shingle", "left_semi").join(marks, "set"), "near-mixed-members")
@@ -229,8 +269,8 @@ def near_roots(docs: DataFrame, sets: DataFrame, text: str = "text", block: int
     left, right = side(dealt.where("root <> centre_root"), "_p", "_q", "a"), side(dealt, "_q", "_p", "b")
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("shingle", "_p", "_q")]
     pairs = left.alias("l").join(right.alias("r").hint("merge"), same[0] & same[1] & same[2] & (F.col("ra") != F.col("rb")) & may)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = written(_sketched(pairs, sets), "near-pairs")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars.union(met), ["a", "b"], "left_anti")
+    pairs = written(_sketched(pairs, each), "near-pairs")
     if not pairs.isEmpty():
         more = _verified(pairs, written(_texts(docs, sets, pairs, text), "near-texts"))
         roots = components(links.union(written(more, "near-links")), "near")

@@ -66,6 +66,40 @@ def test_near_dedup_finds_all_similar_texts_and_no_others(spark):
         assert len(set(got.values())) == len(first) and all(got[k] == got[first[x]] for k, x in enumerate(root))
 
 
+def test_near_dedup_links_by_fingerprints(spark, monkeypatch):
+    r = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = ["", "one", "two words"]
+    for _ in range(20):
+        base = r.choices(vocabulary, k=300)
+        for at in (None, 0, 150, 299):  # one word changed
+            texts.append(" ".join(base if at is None else [*base[:at], "edit", *base[at + 1 :]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [near.shingles(t) for t in texts]
+    found = [near.bands(x).view("uint64").tolist() for x in sets]
+    for x, y in zip(sets, found, strict=True):  # the first two bands are the 64-bit SimHash
+        ones = [2 * sum(int(h) >> k & 1 for h in x) > len(x) for k in range(64)]
+        assert [v >> 30 & 0xFFFFFFFF for v in y[:2]] == [sum(1 << k for k in range(32) if ones[k + at]) for at in (0, 32)] and [v >> 62 for v in y] == [0, 1, 2, 3]
+    close = {(i, j) for i in range(len(texts)) for j in range(i) if any((a ^ b).bit_count() <= near.BUDGET for a, b in zip(found[i], found[j], strict=True))}
+    rows = near.shingle_sets(docs).select("doc_id", "set", "n", "cells", "bands")
+    number = {x.set: x.doc_id for x in rows.collect()}
+    for pair_rows in (4, 40_000):
+        root = list(range(len(texts)))
+        for x in near.fingerprint_pairs(rows, pair_rows).collect():
+            i, j = number[x.a], number[x.b]
+            root = [root[j] if y == root[i] else y for y in root]
+        assert all(root[i] == root[j] for i, j in close)  # none that fingerprints bring together is lost
+    want = list(range(len(texts)))
+    for i, j in close:
+        if near.similar(sets[i], sets[j]):
+            want = [want[j] if y == want[i] else y for y in want]
+    shared = near._shared
+    monkeypatch.setattr(near, "_shared", lambda sets: shared(sets).limit(0))  # fingerprints alone
+    got = {x.doc_id: x.root for x in near.near_copies(docs).collect()}
+    assert len(set(want)) < len(texts) - 30
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
+
+
 def test_stages_on_odd_documents(spark):
     """Nulls in any column, empty and very long texts, ties, repeated rows and a further column."""
     long = " ".join(f"word{i} of a long text" for i in range(6000))
