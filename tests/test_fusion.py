@@ -3,12 +3,15 @@
 import io
 import random
 import zipfile
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomfuse.functions import kernels, text
 from loomfuse.operators import fill, headers, keys, lexicon, row_match, schema_match
+from loomfuse.plans import text_queries
 from loomfuse.sources import grid, sink
 
 
@@ -137,6 +140,34 @@ def test_kernels(spark):
         assert abs(r["ratio"] - ratio) < 1e-12 and r["common"] == common and abs(r.r - ratio) < 1e-12 and r.c == common
 
 
+def test_kernels_of_strings_of_all_lengths(spark):
+    rng = random.Random(9)
+    word = lambda letters, most: None if rng.random() < 0.02 else "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+    pairs = [(word(letters, most), word(letters, most)) for letters in ("ab", "abcd", "a鹊b鸦", "😀ab鹊c") for most in (1, 9, 30, 70, 300) for _ in range(40)]
+    total, seq, run = kernels.pair_lengths(*(pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)))
+    want = [(len(a) + len(b), kernels.lcs_length(a, b), kernels.substring_length(a, b)) for a, b in ((a or "", b or "") for a, b in pairs)]
+    assert list(zip(total, seq, run, strict=True)) == want
+
+
+def test_kernels_take_pairs_side_by_side(monkeypatch):
+    """A dynamic program for all pairs of a batch, no step for each pair."""
+    names = lambda kind: pa.array([f"{kind}#{i:09d}" for i in range(5000)])
+    monkeypatch.setattr(kernels, "lcs_length", None)
+    assert set(kernels.pair_lengths(names("Customer"), names("Supplier"))[2]) == {12}
+
+
+def test_pairs_are_dealt_evenly(spark, tmp_path):
+    """Each pair of a nation once, in tasks of about as many pairs, though one nation has most of them."""
+    spark.range(900).selectExpr("id c_custkey", "'Customer#' || id c_name", "if(id < 700, 3, cast(id % 5 as int)) c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(60).selectExpr("id s_suppkey", "'Supplier#' || id s_name", "if(id < 40, 3, cast(id % 5 as int)) s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    c, s = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("customer", "supplier"))
+    want = {tuple(r) for r in c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey").collect()}
+    pairs = text_queries.pairs_of_names(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(pairs) == len(want) and {(r.c_custkey, r.s_suppkey) for r in pairs} == want
+    tasks = Counter(r.task for r in pairs)
+    assert len(tasks) > 1 and max(tasks.values()) < 2 * len(pairs) / len(tasks)
+
+
 def field_score(spark, pairs, **options):
     rows = spark.createDataFrame(pairs, "src string, tgt string")
     got = {(r.src, r.tgt): round(r.score, 4) for r in schema_match.score_fields(rows, lexicon.lexicon(spark), **options).collect()}
