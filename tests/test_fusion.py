@@ -147,6 +147,10 @@ def test_kernels_of_strings_of_all_lengths(spark):
     total, seq, run = kernels.pair_lengths(*(pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)))
     want = [(len(a) + len(b), kernels.lcs_length(a, b), kernels.substring_length(a, b)) for a, b in ((a or "", b or "") for a, b in pairs)]
     assert list(zip(total, seq, run, strict=True)) == want
+    some = [i for i, (a, b) in enumerate(pairs) if a and b and len(a) < 80]
+    df = spark.createDataFrame([(i, *pairs[i]) for i in some], "i int, a string, b string")
+    for r in df.select("i", kernels.indel_ratio(F.col("a"), F.col("b")).alias("r"), kernels.common_substring(F.col("a"), F.col("b")).alias("c")).collect():
+        assert abs(r.r - 2 * want[r.i][1] / want[r.i][0]) < 1e-12 and r.c == want[r.i][2]
 
 
 def test_kernels_take_pairs_side_by_side(monkeypatch):
@@ -166,6 +170,7 @@ def test_pairs_are_dealt_evenly(spark, tmp_path):
     assert len(pairs) == len(want) and {(r.c_custkey, r.s_suppkey) for r in pairs} == want
     tasks = Counter(r.task for r in pairs)
     assert len(tasks) > 1 and max(tasks.values()) < 2 * len(pairs) / len(tasks)
+    assert text_queries.similarity_native(spark, str(tmp_path)).exceptAll(text_queries.similarity_kernel(spark, str(tmp_path))).isEmpty()
 
 
 def field_score(spark, pairs, **options):
