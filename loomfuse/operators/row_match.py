@@ -159,43 +159,55 @@ def candidates(targets: DataFrame, sources: DataFrame, least: float = fixed.ROW_
     contained by its beginning. At 0.9 the edits that a pair of lengths allows
     leave two segments whole of two more than edits, near their places, so all but the most frequent segment are looked up. So nearly all pairs that
     are found do score. Spelling alone scores over 0.6 only with equal codes and over 0.72 only with lengths about alike;
-    for such a ``least`` these narrow the look-up. All are looked up by one join. No pair is lost.
+    for such a ``least`` these narrow the look-up, and keys whose codes no other key has are looked up as equal ones alone. All are looked up by one join. No pair is lost.
     """
     codes = F.array_join("codes", " ") if least > CODES_CAP else F.lit("")
-    sides = (targets, "t_ord"), (sources, "s_ord")
+    sides, spelled = ((targets, "t_ord"), (sources, "s_ord")), [targets, sources]
+    if least > CODES_CAP:
+        there_too = functools.reduce(DataFrame.unionByName, [df.select("source_id", codes.alias("_codes"), "norm", F.lit(i).alias("_i")) for i, df in enumerate(spelled)])
+        others = there_too.groupBy("source_id", "_codes").agg(F.min("norm").alias("_a"), F.max("norm").alias("_z"), F.min("_i").alias("_t"), F.max("_i").alias("_s")).where("_a <> _z and _t < _s").select("source_id", "_codes")
+        others = kept(others, "row-codes")
+        spelled = [kept(df.withColumn("_codes", codes).join(others, ["source_id", "_codes"], "left_semi").select(df.columns), "row-spelled") for df in spelled]
     there: dict[tuple, set] = {}
-    for i, n, c in (targets.select(F.lit(0), F.length("norm"), F.length("core")).union(sources.select(F.lit(1), F.length("norm"), F.length("core")))).distinct().collect():  # lengths of keys, few
+    for i, n, c in (spelled[0].select(F.lit(0), F.length("norm"), F.length("core")).union(spelled[1].select(F.lit(1), F.length("norm"), F.length("core")))).distinct().collect():  # lengths of keys, few
         there.setdefault((i, "norm"), set()).add(n)
         there.setdefault((i, "core"), set()).add(c)
     lengths = lambda side, name: sorted(n for n in there.get((side, name), ()) if n)
     norm, n = F.col("norm"), F.length("norm")
 
-    def keyed(side: int) -> DataFrame:
-        """What a key is looked up by: (_k, _n, _b), _k the kind of key: equal, or the side (0 targets, 1 sources) that is the shorter."""
-        key = lambda k, size, b: F.struct(F.lit(k).alias("_k"), size.cast("int").alias("_n"), b.alias("_b"))
+    key = lambda k, size, b: F.struct(F.lit(k).alias("_k"), size.cast("int").alias("_n"), b.alias("_b"))
+
+    def looked_up(df: DataFrame, at: str, by: Column) -> DataFrame:
+        return df.select("source_id", F.col(at).alias("_o"), n.alias("_l"), F.explode(by).alias("_e")).select("source_id", "_o", "_l", "_e.*")
+
+    def same(side: int) -> DataFrame:
+        """What a key is looked up by as an equal one: (_k, _n, _b), _k the kind of key: 2 equal, else the side (0 targets, 1 sources) that is the shorter."""
         equal = [("norm", norm, norm != ""), ("core", F.col("core"), F.col("core") != ""), ("digits", F.col("digits"), F.length("digits") >= 6), ("road", F.col("road.road"), F.col("road").isNotNull())]
-        found = [F.filter(F.array(*[key(2, F.lit(0), F.when(fine, F.concat(F.lit(f"{name}="), value))) for name, value, fine in equal]), lambda e: e["_b"].isNotNull())]
+        return looked_up(*sides[side], F.filter(F.array(*[key(2, F.lit(0), F.when(fine, F.concat(F.lit(f"{name}="), value))) for name, value, fine in equal]), lambda e: e["_b"].isNotNull()))
+
+    def keyed(side: int) -> DataFrame:
+        """What a key is looked up by for what it shares with others."""
+        found = []
         for name in ("norm", "core"):
             c = F.col(name)
             for k, pieces in ((side, _of_shorter(c, name == "norm")), (1 - side, _of_longer(c, lengths(1 - side, name), name == "norm"))):
                 named = F.transform(F.filter(F.array_distinct(pieces), lambda p: p != ""), lambda p: key(k, F.length(c), F.concat_ws(":", F.lit(f"{name}{k}"), codes, p)))  # noqa: B023
                 found.append(named)
-        df, at = sides[side]
-        return df.select("source_id", F.col(at).alias("_o"), n.alias("_l"), F.explode(F.concat(*found)).alias("_e")).select("source_id", "_o", "_l", "_e.*")
+        return looked_up(spelled[side], sides[side][1], F.concat(*found))
 
     def segmented(side: int, shorter: bool) -> DataFrame:
-        df, at = sides[side]
+        df, at = spelled[side], sides[side][1]
         other = F.transform(_ints(lengths(1 - side, "norm")), lambda m: _segments(norm, n, m, False) if shorter else _segments(norm, m, n, True))
         rows = df.select("source_id", F.col(at).alias("_o"), n.alias("_l"), codes.alias("_c"), F.explode(F.array_distinct(F.flatten(other))).alias("_e")).select("source_id", "_o", "_l", "_c", "_e.*")
         k = F.lit(side if shorter else 1 - side)
         return rows.select("source_id", "_o", "_l", k.alias("_k"), F.col("_l").alias("_n"), F.concat_ws(":", F.lit("segment"), k, "_c", "_b").alias("_b"), "_pair", "_least")
 
-    every = {}
-    for side in (0, 1):
+    every = {side: [same(side)] for side in (0, 1)}
+    for side in (0, 1) if there else ():
         index = segmented(1 - side, False)
         looked = _rarest(segmented(side, True), index)
-        every[side] = [keyed(side), *every.get(side, []), looked]
-        every.setdefault(1 - side, []).append(index)
+        every[side] += [keyed(side), looked]
+        every[1 - side].append(index)
     columns = ["source_id", "_o", "_l", "_k", "_n", "_b"]
     t, s = (functools.reduce(DataFrame.unionByName, [df.select(columns) for df in every[side]]) for side in (0, 1))
     met = t.join(s.select("source_id", "_b", F.col("_o").alias("_i"), F.col("_n").alias("_m"), F.col("_l").alias("_p")), ["source_id", "_b"])
@@ -213,10 +225,10 @@ def _with_sources(targets: DataFrame, sources: DataFrame) -> DataFrame:
     return targets.withColumn("source_id", F.explode(F.array(*ids).cast("array<string>")))
 
 
-def kind_scores(targets: DataFrame, sources: DataFrame, equality_first: bool = False, least: float = fixed.ROW_SUGGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
+def kind_scores(targets: DataFrame, sources: DataFrame, equality_first: bool = False, least: float = fixed.ROW_SUGGEST, earlier: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores of kinds of keys, (source_id, t_kind, s_kind, score), and the kinds' members, (source_id, t_kind, t_ord, tgt_key) and (source_id, s_kind, s_ord, src_key).
 
-    A kind is named by the place of its first key. Many equal keys are thus scored once.
+    A kind is named by the place of its first key. Many equal keys are thus scored once. ``earlier``: only sources that stand before the target are scored.
     """
     t = kept(features(_with_sources(targets, sources), "tgt_key"), "row-targets")
     s = kept(features(sources, "src_key"), "row-sources")
@@ -224,6 +236,7 @@ def kind_scores(targets: DataFrame, sources: DataFrame, equality_first: bool = F
     parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # look-ups are much work for few bytes
     ft, fs = (kept(first(df, o).repartition(parts, "source_id", o), "row-kinds") for df, o in ((t, "t_ord"), (s, "s_ord")))
     pairs = candidates(ft, fs, least)
+    pairs = pairs.where("s_ord < t_ord") if earlier else pairs
     a = ft.select("source_id", "t_ord", *[F.col(c).alias(f"t_{c}") for c in FEATURES])
     b = fs.select("source_id", "s_ord", *[F.col(c).alias(f"s_{c}") for c in FEATURES])
     scored = score_pairs(pairs.join(a, ["source_id", "t_ord"]).join(b, ["source_id", "s_ord"]), equality_first=equality_first).where(F.col("score") >= least - 1e-9)
@@ -427,9 +440,9 @@ def leaders(keys: DataFrame, threshold: float = fixed.ROW_AUTO, most: int | None
     """
     most = most or LOCAL
     named = keys.select(F.lit("all").alias("source_id"), F.col("ord").alias("s_ord"), F.col("key").alias("src_key"))
-    scored, members, _ = kind_scores(keys.select(F.col("ord").alias("t_ord"), F.col("key").alias("tgt_key")), named, least=threshold)
+    scored, members, _ = kind_scores(keys.select(F.col("ord").alias("t_ord"), F.col("key").alias("tgt_key")), named, least=threshold, earlier=True)
     members, every = kept(members.select(F.col("t_ord").alias("ord"), F.col("t_kind").alias("kind")), "leader-members"), keys
-    edges = kept(scored.where("s_kind < t_kind").select(F.col("t_kind").alias("ord"), F.col("s_kind").alias("before")), "leader-edges")
+    edges = kept(scored.select(F.col("t_kind").alias("ord"), F.col("s_kind").alias("before")), "leader-edges")
     keys = members.where("ord = kind").select("ord")  # further keys of a kind follow its first
     kind = dict(edges.dtypes)["ord"]
     locally = lambda dealt: kept(dealt.groupBy("bucket").applyInArrow(lambda t: follow(t), f"ord {kind}, leader {kind}"), "leader-local")

@@ -109,6 +109,23 @@ def test_candidates_of_strings_of_all_lengths(spark):
     assert found > 100 and len(got) < 3 * found
 
 
+def test_only_keys_with_codes_of_others_are_spelled_out(spark, monkeypatch):
+    """Keys whose codes no other key has can score over 0.6 as equal ones alone, so their pieces are not looked up; no pair is lost."""
+    rng = random.Random(10)
+    names = [f"{kind}#{i:09d}" for kind in ("Customer", "Supplier") for i in range(40)]
+    names += ["".join(rng.choice("山河湖") for _ in range(rng.randint(2, 6))) + rng.choice(["", "A1", "B22"]) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(sorted(set(names)))), "ord long, key string")
+    t, s = df.select(F.col("ord").alias("t_ord"), F.col("key").alias("tgt_key")), df.select(F.lit("a").alias("source_id"), F.col("ord").alias("s_ord"), F.col("key").alias("src_key"))
+    spelled = []
+    monkeypatch.setattr(row_match, "kept", lambda df, label, old=row_match.kept: spelled.append(old(df, label)) or spelled[-1] if label == "row-spelled" else old(df, label))
+    got = {(r.t_ord, r.s_ord): round(r.score, 9) for r in row_match.scored_candidates(t, s, least=0.85).collect()}
+    a = row_match.features(t.withColumn("source_id", F.lit("a")), "tgt_key").select("t_ord", *[F.col(c).alias(f"t_{c}") for c in row_match.FEATURES])
+    b = row_match.features(s, "src_key").select("s_ord", *[F.col(c).alias(f"s_{c}") for c in row_match.FEATURES])
+    want = {(r.t_ord, r.s_ord): round(r.score, 9) for r in row_match.score_pairs(a.crossJoin(b)).where("score >= 0.85").select("t_ord", "s_ord", "score").collect()}
+    assert got == want and len(want) > len(names)
+    assert len(spelled) == 2 and all(0 < x.count() <= 40 and x.where("norm like '%#%'").isEmpty() for x in spelled)
+
+
 def test_ranks_within_groups_of_any_size(spark):
     rng = random.Random(8)
     rows = [(rng.choice(["hot", "hot", "hot", None, "x"]), rng.choice([1, 2]), i) for i in range(700)]
