@@ -7,14 +7,18 @@ same jobs.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomfuse.functions import fixed, text
+from loomfuse.operators.scratch import kept
 
 TITLE_SHARE, TITLE_ROWS, PROBE_ROWS, SCORED_ROWS, NAMED_ROWS, PREVIEW_ROWS, PREVIEW_CHARS = 0.5, 10, 200, 100, 31, 6, 40
 #: Rows and columns of a tile in which cells meet merged regions.
@@ -55,17 +59,107 @@ def expand_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
     return joined.select("sheet", "r", "c", F.when(F.col("_m"), F.col("value")).otherwise(F.col("v")).alias("v"), F.coalesce("_m", F.lit(False)).alias("in_merge"))
 
 
-def row_stats(cells: DataFrame) -> DataFrame:
-    """For each row: cells filled (eff), those outside merges (real), distinct values, numbers, characters, key words, the most common value's count, and whether it is a title or data."""
-    said = cells.where(filled(F.col("v"))).select("sheet", "r", "c", text.strip(F.col("v")).alias("v"), "in_merge")
-    number = F.regexp_replace("v", "[, ]", "").rlike(fixed.NUMBER)
-    words = sum((F.col("v").contains(w).cast("int") for w in fixed.HEADER_WORDS), F.lit(0))
-    by_value = said.groupBy("sheet", "r", "v").agg(F.count("*").alias("n"), F.count_if(~F.col("in_merge")).alias("own"), F.count_if(number).alias("numbers"), F.min("c").alias("c"))
-    rows = by_value.withColumn("words", F.col("n") * words).groupBy("sheet", "r").agg(F.sum("n").alias("eff"), F.sum("own").alias("real"), F.count("*").alias("uniq"), F.sum("numbers").alias("numbers"), F.max("n").alias("most"), F.min_by("v", "c").alias("first"), F.sum(F.col("n") * F.length("v")).alias("chars"), F.sum("words").alias("words"))
-    total = F.lit(False)
-    for w in fixed.TOTAL_WORDS:
-        total = total | F.col("first").contains(w)
-    return rows.withColumn("is_title", (F.col("eff") >= 2) & (F.col("most") >= 2) & (F.col("most") / F.col("eff") >= TITLE_SHARE)).withColumn("is_data", (F.col("numbers") / F.col("eff") >= DATA_SHARE) | total)
+#: What is counted of a run of cells of one row: those filled, outside merges, numbers; characters and key words, if asked for.
+COUNTS = ["eff", "real", "numbers", "chars", "words"]
+
+
+def _counted(run: np.ndarray, n: int, h: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of ``n`` runs the distinct values and the most common one's count; and the values by run, where each run's begin, and their counts. ``run``: each value's."""
+    order = np.lexsort((h, run))
+    run, h = run[order], h[order]
+    start = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (h[1:] != h[:-1])]))
+    times, run, h = np.add.reduceat(times[order], start), run[start], h[start]
+    begin = np.searchsorted(run, np.arange(n + 1))
+    return np.diff(begin), np.maximum.reduceat(times, begin[:-1]), h, begin, times
+
+
+def _by_run(batches: Iterator[pa.RecordBatch], fold) -> Iterator[pa.RecordBatch]:
+    """``fold(table, run)`` over all rows, whose first columns are sheet and r; ``run`` numbers the runs of equal ones, and no run is cut between two calls."""
+    held: list[pa.RecordBatch] = []
+
+    def runs(t: pa.Table) -> np.ndarray:
+        name = t.column(0).combine_chunks()
+        name = np.asarray((name.combine_chunks() if isinstance(name, pa.ChunkedArray) else name).dictionary_encode().indices.fill_null(-1))
+        r = np.asarray(t.column(1))
+        return np.concatenate([[0], np.cumsum((name[1:] != name[:-1]) | (r[1:] != r[:-1]))])
+
+    for b in batches:
+        if not len(b):
+            continue
+        run = runs(pa.Table.from_batches([b]))
+        last = int(np.searchsorted(run, run[-1]))
+        if last == 0 and held and b.slice(0, 1).select([0, 1]).to_pylist() == held[-1].slice(0, 1).select([0, 1]).to_pylist():
+            held.append(b)
+            continue
+        if held or last:
+            t = pa.Table.from_batches([*held, b.slice(0, last)])
+            yield fold(t, runs(t))
+        held = [b.slice(last)]
+    if held:
+        t = pa.Table.from_batches(held)
+        yield fold(t, runs(t))
+
+
+def _runs(cells: DataFrame, scored: bool, values: bool = False) -> DataFrame:
+    """Rows (sheet, r, first, last, total, *COUNTS, uniq, most) for each run of filled cells of one row that stand together in ``cells``: the first
+    and last column, whether the first cell names a total, and what is counted; with ``values`` the hashes of the distinct values and their counts.
+
+    Values are told apart by 64 bits of hash.
+    """
+    v, none = text.strip(F.col("v")), F.lit(0)
+    total, words = (functools.reduce(lambda x, y: x | y, [v.contains(w) for w in fixed.TOTAL_WORDS]), sum((v.contains(w).cast("int") for w in fixed.HEADER_WORDS), none))
+    number = F.regexp_replace(v, "[, ]", "").rlike(fixed.NUMBER)
+    each = cells.where(filled(F.col("v"))).select("sheet", "r", "c", F.xxhash64(v).alias("h"), total.alias("total"), (~F.col("in_merge")).cast("int").alias("real"), number.cast("int").alias("numbers"), *([F.length(v).alias("chars"), words.alias("words")] if scored else []))
+    kind = dict(cells.dtypes)
+
+    def fold(t: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+        col = lambda name: np.asarray(t[name].combine_chunks().fill_null(0) if name != "total" else t[name].combine_chunks().fill_null(False).cast(pa.int8()))
+        start = np.flatnonzero(np.diff(run, prepend=-1))
+        c, n = col("c"), len(start)
+        first = np.minimum.reduceat(c, start)
+        uniq, most, h, begin, times = _counted(run, n, col("h"), np.ones(len(run), np.int64))
+        sums = {"eff": np.diff(start, append=len(run)), **{x: np.add.reduceat(col(x).astype(np.int64), start) if x in t.column_names else np.zeros(n, np.int64) for x in COUNTS[1:]}}
+        out = [t[x].combine_chunks().take(pa.array(start)) for x in ("sheet", "r")] + [pa.array(first), pa.array(np.maximum.reduceat(c, start)), pa.array(np.add.reduceat(col("total") * (c == first[run]), start) > 0), *[pa.array(sums[x].astype(np.int64)) for x in COUNTS], pa.array(uniq.astype(np.int64)), pa.array(most.astype(np.int64))]
+        if values:
+            packed = lambda x: pa.array([x[a:z].tobytes() for a, z in itertools.pairwise(begin)], pa.binary())
+            out += [packed(h.astype(np.int64)), packed(times.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], [f.name for f in schema.fields])
+
+    schema = StructType.fromDDL(f"sheet {kind['sheet']}, r {kind['r']}, first {kind['c']}, last {kind['c']}, total boolean, " + ", ".join(f"{c} long" for c in [*COUNTS, "uniq", "most"]) + ", h binary, times binary" * values)
+    return each.mapInArrow(lambda batches: _by_run(batches, fold), schema)
+
+
+def _joined(runs: DataFrame) -> DataFrame:
+    """``runs`` with values, those of one row made one, wherever they stand; a task goes through its rows as a stream."""
+    schema = runs.drop("h", "times").schema
+
+    def fold(t: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.diff(run, prepend=-1))
+        first, h = np.asarray(t["first"]), t["h"].to_pylist()
+        uniq, most = _counted(np.repeat(run, [len(x) // 8 for x in h]), len(start), np.frombuffer(b"".join(h), np.int64), np.frombuffer(b"".join(t["times"].to_pylist()), np.int32).astype(np.int64))[:2]
+        least = np.minimum.reduceat(first, start)
+        made = {"first": least, "last": np.maximum.reduceat(np.asarray(t["last"]), start), "total": np.add.reduceat((np.asarray(t["total"]) & (first == least[run])).astype(int), start) > 0, "uniq": uniq.astype(np.int64), "most": most.astype(np.int64)} | {c: np.add.reduceat(np.asarray(t[c]), start) for c in COUNTS}
+        keys = {x: t[x].combine_chunks().take(pa.array(start)) for x in ("sheet", "r")}
+        out = [pa.array(made[f.name]) if f.name in made else keys[f.name] for f in schema.fields]
+        return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], [f.name for f in schema.fields])
+
+    return runs.repartition("sheet", "r").sortWithinPartitions("sheet", "r").mapInArrow(lambda batches: _by_run(batches, fold), schema)
+
+
+def row_stats(cells: DataFrame, scored: bool = False) -> DataFrame:
+    """For each row: cells filled (eff), those outside merges (real), distinct values, numbers, the most common value's count, the last column, and whether
+    it is a title or data; if ``scored``, characters and key words too.
+
+    The cells of a row mostly stand together, as a grid is read line by line: such a run is counted where it is, and only the counts are written.
+    Rows between the first and the last that is found in several runs are counted again, with the hashes of their values, which alone are shuffled.
+    """
+    rows = kept(_runs(cells, scored), "row-runs", compression="zstd")
+    apart = rows.groupBy("sheet", "r").agg(F.count("*").alias("n")).where("n > 1").agg(F.min("r").alias("a"), F.max("r").alias("z")).first()
+    if apart["a"] is not None:
+        several = F.col("r").between(apart["a"], apart["z"])
+        rows = rows.where(~several).unionByName(_joined(_runs(cells.where(several), scored, values=True)))
+    rows = rows if scored else rows.drop("chars", "words")
+    return rows.withColumn("is_title", (F.col("eff") >= 2) & (F.col("most") >= 2) & (F.col("most") / F.col("eff") >= TITLE_SHARE)).withColumn("is_data", (F.col("numbers") / F.col("eff") >= DATA_SHARE) | F.col("total"))
 
 
 class Sheet:
@@ -216,7 +310,7 @@ def zone_names(cells: DataFrame, zones: DataFrame) -> DataFrame:
 
 def legacy_header(cells: DataFrame) -> DataFrame:
     """Rows (sheet, r, score): the best row by the older rule: points for cells, their length and each key word in each cell, less for numbers alone."""
-    rows = row_stats(cells).where(F.col("r") <= SCORED_ROWS)
+    rows = row_stats(cells.where(F.col("r") <= SCORED_ROWS), scored=True)
     mean = F.col("chars") / F.col("eff")
     score = F.col("eff") * 10 + F.when(F.col("eff") >= 5, 20).when(F.col("eff") >= 3, 10).otherwise(0) + F.when(mean.between(2, 25), 15).when(mean <= 40, 8).otherwise(0) + F.col("words") * 10 - F.when(F.col("numbers") == F.col("eff"), 50).otherwise(0)
     return rows.withColumn("score", score).groupBy("sheet").agg(F.max_by("r", F.struct("score", -F.col("r"))).alias("r"), F.max("score").alias("score"))

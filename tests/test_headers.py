@@ -47,6 +47,32 @@ def test_merge_expansion_gives_every_cell(spark, tmp_path):
     assert len(got) == len(want) and {(x.sheet, x.r, x.c): (x.value, x.in_merge) for x in got} == want
 
 
+def test_row_stats_of_rows_in_one_place_and_in_several(spark, monkeypatch):
+    """Runs of cells are counted where they stand; rows whose cells are apart, as after a shuffle or in repeated sheets, come out the same."""
+    rng = random.Random(3)
+    said = lambda: rng.choice(["a", "b", "1,000", "2", " 合计 ", "name", " ", None, "Unnamed: 1", "鹊"])
+    cells = [(f"s{k}", r, c, said(), rng.random() < 0.2) for k in range(12) for r in range(1, 30) for c in range(1, rng.choice([2, 6, 40]))]
+    cells += [("wide", 1, c, str(c % 700), False) for c in range(1, 25_000)] + [("wide", 2, 1, "x", False)] + [(None, 1, 1, "x", False), (None, 1, 2, "y", False)]
+    want = {}
+    for k, r, c, v, merged in cells:
+        if v and v.strip() and "Unnamed" not in v:
+            want.setdefault((k, r), []).append((c, v.strip(), merged))
+    counts = {}
+    for key, row in want.items():
+        values = [v for _, v, _ in row]
+        counts[key] = (len(row), sum(not m for *_, m in row), len(set(values)), sum(v.replace(",", "").isdigit() for v in values), max(map(values.count, set(values))) if key[0] != "wide" else max(values[:700].count(v) for v in ("1", "x")) * (36 if len(row) > 1 else 1), "合计" in values[0], row[-1][0], sum(map(len, values)))
+    shape = "sheet string, r int, c int, v string, in_merge boolean"
+    labels = []
+    monkeypatch.setattr(headers, "_joined", lambda runs, old=headers._joined: labels.append(1) or old(runs))
+    whole = spark.createDataFrame(cells, shape).coalesce(1)
+    for df, apart in ((whole, False), (whole.repartition(5, "c"), True), (whole.where("c % 2 = 0").unionByName(whole.where("c % 2 = 1")), True)):
+        labels.clear()
+        got = headers.row_stats(df, scored=True).collect()
+        total = {(x.sheet, x.r): (x.eff, x.real, x.uniq, x.numbers, x.most, x.total, x.last, x.chars) for x in got}
+        assert bool(labels) == apart and len(got) == len(counts) and total == counts
+    assert "Exchange" not in headers._runs(whole, False)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_names_stay_unique():
     assert headers.clean_names(["a", "a", "a_2"]) == ["a", "a_3", "a_2"]
     assert headers.clean_names(["a", "a_2", "a", "a", " a", None, "_col_1"]) == ["a", "a_2", "a_3", "a_4", "a_5", "_col_1", "_col_1_2"]
