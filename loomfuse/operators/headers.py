@@ -234,28 +234,21 @@ def header_zone(cells: DataFrame, merges: DataFrame) -> DataFrame:
     categories, but for titles and a first region as wide as the sheet above narrower ones.
     Sheets without such a row are left out.
 
-    One shuffle brings together what the first PROBE_ROWS rows of a sheet say, a few numbers a cell and no texts; whole sheets
+    One shuffle brings together what is counted of the first PROBE_ROWS rows of a sheet, a few numbers a row and no texts; whole sheets
     pass through tasks one after the other, each judged by itself.
     """
-    said = cells.where(filled(F.col("v")))
-    v, none = text.strip(F.col("v")), lambda kind: F.lit(None).cast(kind)
-    total = F.lit(False)
-    for w in fixed.TOTAL_WORDS:
-        total = total | v.contains(w)
-    shown = said.where(F.col("r") <= PROBE_ROWS).select("sheet", F.lit(0).alias("kind"), "r", "c", F.xxhash64(v).alias("h"), F.regexp_replace(v, "[, ]", "").rlike(fixed.NUMBER).alias("number"), total.alias("total"), "in_merge")
-    width = said.groupBy("sheet").agg(F.max("c").alias("c")).select("sheet", F.lit(1).alias("kind"), F.lit(0).alias("r"), "c", none("long").alias("h"), *[none("boolean").alias(c) for c in ("number", "total", "in_merge")])
-    over = merges.where(F.col("r1") <= PROBE_ROWS).select("sheet", F.lit(2).alias("kind"), F.col("r1").alias("r"), (F.col("c2") - F.col("c1") + 1).alias("c"), F.col("r2").cast("long").alias("h"), *[none("boolean").alias(c) for c in ("number", "total", "in_merge")])
-    parts = shown.unionByName(width).unionByName(over).repartition("sheet").sortWithinPartitions("sheet", "kind", "r", "c")
-
-    def judge(name: str, kind: np.ndarray, r: np.ndarray, c: np.ndarray, h: np.ndarray, number: np.ndarray, total: np.ndarray, merged: np.ndarray) -> tuple | None:
-        cell = np.flatnonzero(kind == 0)
-        if not len(cell):
+    counts, numbers = row_stats(cells), ["a", "b", "c", "d", "e"]
+    part = lambda df, kind, r, values, total=None: df.select("sheet", F.lit(kind).alias("kind"), r.cast("long").alias("r"), *[(values[i] if i < len(values) else F.lit(None)).cast("long").alias(x) for i, x in enumerate(numbers)], (F.lit(None) if total is None else total).cast("boolean").alias("total"))
+    shown = part(counts.where(F.col("r") <= PROBE_ROWS), 0, F.col("r"), [F.col(c) for c in ("eff", "real", "uniq", "most", "numbers")], F.col("total"))
+    width = part(counts.groupBy("sheet").agg(F.max("last").alias("last")), 1, F.lit(0), [F.col("last")])
+    over = part(merges.where(F.col("r1") <= PROBE_ROWS), 2, F.col("r1"), [F.col("r2"), F.col("c2") - F.col("c1") + 1])
+    parts = shown.unionByName(width).unionByName(over).repartition("sheet").sortWithinPartitions("sheet", "kind", "r")
+
+    def judge(name: str, kind: np.ndarray, r: np.ndarray, values: np.ndarray, total: np.ndarray) -> tuple | None:
+        rows = {int(r[i]): (*map(int, values[i]), bool(total[i])) for i in np.flatnonzero(kind == 0)}
+        if not rows:
             return None
-        rows = {}
-        for some in np.split(cell, np.flatnonzero(np.diff(r[cell])) + 1):
-            times = np.unique(h[some], return_counts=True)[1]
-            rows[int(r[some[0]])] = (len(some), int((~merged[some]).sum()), len(times), int(times.max()), int(number[some].sum()), bool(total[some[0]]))
-        sheet = Sheet(int(c[kind == 1].max()), rows, list(zip(r[kind == 2].tolist(), h[kind == 2].tolist(), c[kind == 2].tolist(), strict=True)))
+        sheet = Sheet(int(values[kind == 1, 0].max()), rows, [(int(r[i]), int(values[i, 0]), int(values[i, 1])) for i in np.flatnonzero(kind == 2)])
         zone = sheet.zone()
         return zone and (name, *zone, sheet.n)
 
@@ -268,14 +261,15 @@ def header_zone(cells: DataFrame, merges: DataFrame) -> DataFrame:
         for b in batches:
             names = b.column(0).dictionary_encode()
             codes, out = np.asarray(names.indices), []
-            values = [b.column(i).fill_null(0 if i < 5 else False).to_numpy(zero_copy_only=False) for i in range(1, 8)]
+            kind, r, *values, total = [b.column(i).fill_null(0 if i < 8 else False).to_numpy(zero_copy_only=False) for i in range(1, 9)]
+            values = np.stack(values, 1)
             for some in np.split(np.arange(len(codes)), np.flatnonzero(np.diff(codes)) + 1) if len(codes) else ():
                 own = names.dictionary[int(codes[some[0]])].as_py()
                 if held and own != name:
                     out.append(judge(name, *(np.concatenate(x) for x in zip(*held, strict=True))))
                     held = []
                 name = own
-                held.append([x[some] for x in values])
+                held.append([x[some] for x in (kind, r, values, total)])
             yield done([x for x in out if x])
         if held:
             yield done([x for x in [judge(name, *(np.concatenate(x) for x in zip(*held, strict=True)))] if x])
