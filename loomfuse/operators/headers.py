@@ -52,11 +52,20 @@ def resolve_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def expand_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """``cells`` in which every cell that a region covers has the region's value."""
-    regions = resolve_merges(cells, merges)
+    """``cells`` in which every cell that a region covers has the region's value.
+
+    Only cells between the first and the last row and column of all regions can be covered; the others stay where they are, and are not shuffled.
+    """
+    box = merges.agg(*[f(c).alias(c) for f, c in ((F.min, "r1"), (F.max, "r2"), (F.min, "c1"), (F.max, "c2"))]).first()
+    shown = cells.select("sheet", "r", "c", "v")
+    if box["r1"] is None:
+        return shown.withColumn("in_merge", F.lit(False))
+    inside = F.coalesce(F.col("r").between(box["r1"], box["r2"]) & F.col("c").between(box["c1"], box["c2"]), F.lit(False))
+    regions = resolve_merges(cells.where(inside), merges)
     covered = regions.select("sheet", F.explode(F.sequence("r1", "r2")).alias("r"), "c1", "c2", "value").select("sheet", "r", F.explode(F.sequence("c1", "c2")).alias("c"), "value", F.lit(True).alias("_m"))
-    joined = cells.select("sheet", "r", "c", "v").join(covered, ["sheet", "r", "c"], "full")
-    return joined.select("sheet", "r", "c", F.when(F.col("_m"), F.col("value")).otherwise(F.col("v")).alias("v"), F.coalesce("_m", F.lit(False)).alias("in_merge"))
+    joined = shown.where(inside).join(covered, ["sheet", "r", "c"], "full")
+    joined = joined.select("sheet", "r", "c", F.when(F.col("_m"), F.col("value")).otherwise(F.col("v")).alias("v"), F.coalesce("_m", F.lit(False)).alias("in_merge"))
+    return shown.where(~inside).withColumn("in_merge", F.lit(False)).unionByName(joined)
 
 
 #: What is counted of a run of cells of one row: those filled, outside merges, numbers; characters and key words, if asked for.

@@ -73,6 +73,19 @@ def test_row_stats_of_rows_in_one_place_and_in_several(spark, monkeypatch):
     assert "Exchange" not in headers._runs(whole, False)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_only_cells_near_regions_are_joined(spark):
+    cells = spark.range(50_000).selectExpr("concat('s', id % 50) as sheet", "cast(id / 500 + 1 as int) r", "cast(id / 50 % 10 + 1 as int) c", "cast(id as string) v", "false in_merge")
+    merges = spark.createDataFrame([("s1", 1, 2, 1, 2), ("s2", 2, 2, 1, 3), ("s60", 1, 1, 1, 1)], "sheet string, r1 int, r2 int, c1 int, c2 int")
+    full = headers.expand_merges(cells, merges)
+    want = {(x.sheet, x.r, x.c): (x.v, False) for x in cells.collect()}
+    for sheet, r1, r2, c1, c2 in (tuple(x) for x in merges.collect()):
+        want |= {(sheet, r, c): (want.get((sheet, r1, c1), (None,))[0], True) for r in range(r1, r2 + 1) for c in range(c1, c2 + 1)}
+    got = full.collect()
+    assert len(got) == len(want) and {(x.sheet, x.r, x.c): (x.v, x.in_merge) for x in got} == want
+    plan = full._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan.split("Join")[0] and headers.expand_merges(cells, merges.limit(0)).where("in_merge").isEmpty()
+
+
 def test_names_stay_unique():
     assert headers.clean_names(["a", "a", "a_2"]) == ["a", "a_3", "a_2"]
     assert headers.clean_names(["a", "a_2", "a", "a", " a", None, "_col_1"]) == ["a", "a_2", "a_3", "a_4", "a_5", "_col_1", "_col_1_2"]
