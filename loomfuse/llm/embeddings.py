@@ -19,8 +19,10 @@ THRESHOLD = 0.9
 #: Vectors on which the quantiser is fitted, about so many at most; every vector is indexed.
 FIT_VECTORS = 16_384
 MOST_LISTS, SUBSPACES, CODES = 4096, 8, 256
-#: Members of a group of lists, and queries, that meet in one task; members that are compared at a time.
-GROUP, ASKED, SLICE = 4096, 4096, 256
+#: Members of a group of lists, and as many queries, that meet in one task: at least, and at most where there are vectors for many tasks.
+GROUP, MOST_GROUP, TASKS = 4096, 16_384, 12
+#: Members, and queries, that are compared at a time, so that their distances and tables stay in a core's cache.
+SLICE, COLUMNS = 256, 512
 #: Spare room in the distance bounds for rounding of single-precision tables.
 SLACK = 1e-3
 
@@ -80,8 +82,9 @@ class Quantiser:
         """Squared asymmetric distances, member by query, within one list: sums of table rows. ``near``: the queries'
         squared distances to the list's centre; ``fixed``: the members' own parts."""
         total = near[None] + fixed.astype(np.float32)[:, None]
+        row = np.empty_like(total)
         for j, t in enumerate(tables):
-            total += t[codes[:, j]]
+            total += np.take(t, codes[:, j], 0, out=row, mode="clip")
         return total
 
     def probes(self, x: np.ndarray, own: np.ndarray, reach: float, radius: np.ndarray, lists: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +107,44 @@ class Quantiser:
         return fine, near
 
 
+def group_size(total: int) -> int:
+    """Members of a group among ``total`` vectors. Where all lists are asked, each vector is sent to total / size groups: larger groups, fewer copies."""
+    return max(GROUP, min(MOST_GROUP, total // TASKS))
+
+
+def meet(q: Quantiser, reach: float, radius: np.ndarray, threshold: float, x: np.ndarray, own: np.ndarray, by: np.ndarray, y: np.ndarray, owner: np.ndarray, to: np.ndarray, codes: np.ndarray, off: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of queries ``x`` and members ``y`` with a cosine of ``threshold``, and so a distance of ``reach`` at most, each pair once.
+
+    Queries have lists ``own`` and nodes ``by``; members lists ``owner``, nodes ``to``, ``codes``, and ``off`` and ``fixed`` of ``encode``.
+    Queries go in columns of COLUMNS: their tables are made once, looked up where they are for all lists, and copied only for a list that few of them ask.
+    """
+    order, lists = np.argsort(own, kind="stable"), np.unique(owner)
+    probed, near = q.probes(x, own, reach, radius, lists)
+    most = ((reach + off + SLACK) ** 2).astype(np.float32)
+    held = [np.array_split(every, -(-len(every) // SLICE)) for every in (np.flatnonzero(owner == c) for c in lists)]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for some in (order[k : k + COLUMNS] for k in range(0, len(order), COLUMNS)):
+        tables, asks = q.tables(x[some]), probed[some] & (own[some, None] <= lists)
+        for at_list, c in enumerate(lists):
+            n = np.count_nonzero(asks[:, at_list])
+            if not n:
+                continue
+            few = 4 * n < len(some)
+            who = np.flatnonzero(asks[:, at_list]) if few else np.arange(len(some))
+            part, home = [t[:, who] for t in tables] if few else tables, near[some[who], at_list]
+            for slot in held[at_list]:
+                hit = np.flatnonzero(q.distances(part, home, codes[slot], fixed[slot]) <= most[slot][:, None])
+                if not len(hit):
+                    continue
+                i, j = some[who[hit % len(who)]], slot[hit // len(who)]
+                once = (own[i] < c) | (own[i] == c) & (by[i] < to[j])  # pairs of one list are met from both ends
+                i, j = i[once], j[once]
+                for k in range(0, len(i), 100_000):
+                    fine = np.einsum("ij,ij->i", x[i[k : k + 100_000]], y[j[k : k + 100_000]]) >= threshold
+                    found.append((i[k : k + 100_000][fine], j[k : k + 100_000][fine]))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
 def group_lists(centres: np.ndarray, sizes: np.ndarray, most: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
     """For each list its first group and in how many groups its members are dealt: large lists get several of their own,
     small ones share one with lists whose centres lie near along the centres' main direction."""
@@ -162,7 +203,8 @@ def _links(vectors: DataFrame, threshold: float, label: str) -> DataFrame:
     sizes, radius = np.zeros(lists, np.int64), np.zeros(lists)
     for r in indexed.groupBy("own").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # at most MOST_LISTS rows
         sizes[r["own"]], radius[r["own"]] = r["n"], r["far"]
-    first, parts = group_lists(quantiser.centres, sizes)
+    most = group_size(total)
+    first, parts = group_lists(quantiser.centres, sizes, most)
     layout = spark.sparkContext.broadcast((radius, first, parts))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +220,8 @@ def _links(vectors: DataFrame, threshold: float, label: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(groups, pa.list_(pa.int32()))], ["node", "groups"])
 
     asked = written(indexed.select("node", "copies", "vec", "own").mapInArrow(ask, "node long, groups array<int>"), f"{label}-asked")
-    # how many queries ask each group: a number for each list and GROUP members
-    blocks = asked.select(F.explode("groups").alias("group")).groupBy("group").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("blocks"))
+    # how many queries ask each group: a number for each group
+    blocks = asked.select(F.explode("groups").alias("group")).groupBy("group").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
     blocks = written(blocks, f"{label}-blocks")
     layout_rows = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(first, parts, strict=True))], "own int, first int, parts int")
     place = (F.col("first") + F.pmod(F.xxhash64("node", F.lit(0)), F.col("parts"))).cast("int")
@@ -197,24 +239,7 @@ def _links(vectors: DataFrame, threshold: float, label: str) -> DataFrame:
             y, x = _unit(ours["vec"]), _unit(theirs["vec"])
             codes = np.frombuffer(b"".join(ours["codes"].to_pylist()), np.uint8).reshape(len(ours), -1)
             off, fixed, to, by = (np.asarray(c) for c in (ours["off"], ours["fixed"], ours["node"], theirs["node"]))
-            owner, own = np.asarray(ours["own"]), np.asarray(theirs["own"])
-            lists = np.unique(owner)
-            tables, (probed, near) = q.tables(x), q.probes(x, own, reach, layout.value[0], lists)
-            most = ((reach + off + SLACK) ** 2).astype(np.float32)
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for at_list, c in enumerate(lists):
-                who = np.flatnonzero(probed[:, at_list] & (own <= c))
-                part = [t[:, who] for t in tables] if len(who) < len(x) else tables
-                every = np.flatnonzero(owner == c)
-                for held in np.array_split(every, -(-len(every) // SLICE)):
-                    m, k = np.nonzero(q.distances(part, near[who, at_list], codes[held], fixed[held]) <= most[held][:, None])
-                    i, j = who[k], held[m]
-                    once = (own[i] < c) | (by[i] < to[j])  # pairs of one list are met from both ends
-                    i, j = i[once], j[once]
-                    for s in range(0, len(i), 100_000):
-                        fine = np.einsum("ij,ij->i", x[i[s : s + 100_000]], y[j[s : s + 100_000]]) >= threshold
-                        found.append((i[s : s + 100_000][fine], j[s : s + 100_000][fine]))
-            i, j = (np.concatenate(z) for z in zip(*found, strict=True))
+            i, j = meet(q, reach, layout.value[0], threshold, x, np.asarray(theirs["own"]), by, y, np.asarray(ours["own"]), to, codes, off, fixed)
             ids, at = np.unique(np.concatenate([to, by]), return_inverse=True)
             j, i, copies = at[j], at[len(to) + i], np.zeros(len(ids), np.int64)
             copies[at] = np.concatenate([np.asarray(ours["copies"]), np.asarray(theirs["copies"])])
@@ -247,8 +272,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     quantisation error, and computes the exact cosine of those that the bound leaves. All
     bounds are strict, so no link is missed whatever directions the vectors take, at the price
     of probing most lists of unclustered vectors. Small lists share a group, large ones are
-    divided, and a group's queries are dealt to blocks, so no task gets more than about GROUP
-    members and ASKED queries; it yields counts and at most one link a node.
+    divided, and a group's queries are dealt to blocks, so no task gets more than about ``group_size``
+    members and as many queries; it yields counts and at most one link a node.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, nor do vectors of different lengths. Repeated rows link with each other; rows

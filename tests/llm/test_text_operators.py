@@ -1,6 +1,7 @@
 """Small cases of the text operators: each against brute force or its stated result."""
 
 import itertools
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -253,6 +254,33 @@ def test_embeddings_with_repeated_ids_and_huge_or_tiny_components(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted((i, int(near[k].sum()) - 1, want[i], want[i] == i) for k, (i, _) in enumerate(rows))
 
 
+def test_vectors_meet_in_columns_that_share_their_tables(monkeypatch):
+    """No table is copied for a list that most queries ask, what is compared at a time is bounded, and all pairs are found once."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    x[1500:2000] = x[:500] + 0.02 * rng.normal(size=(500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q = embeddings.Quantiser.fit(x, 20)
+    own, far = q.near(x)
+    codes, off, fixed = q.encode(x, own)
+    radius = np.zeros(len(q.centres))
+    np.maximum.at(radius, own, np.sqrt(far))
+    made, seen, tables, distances = [], [], embeddings.Quantiser.tables, embeddings.Quantiser.distances
+    monkeypatch.setattr(embeddings.Quantiser, "tables", lambda self, rows: made.append(tables(self, rows)) or made[-1])
+    monkeypatch.setattr(embeddings.Quantiser, "distances", lambda self, t, near, c, f: seen.append((any(t is m for m in made), len(near), len(c))) or distances(self, t, near, c, f))
+    node = np.arange(len(x))
+    i, j = embeddings.meet(q, math.sqrt(0.2), radius, 0.9, x, own, node, x, own, node, codes, off, fixed)
+    want = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if a < b}
+    assert len(i) == len(want) and {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want and len(want) >= 500
+    assert all(n <= embeddings.COLUMNS and m <= embeddings.SLICE for _, n, m in seen) and len(made) == -(-len(x) // embeddings.COLUMNS)
+    assert all(shared or n < embeddings.COLUMNS / 4 for shared, n, _ in seen) and any(shared for shared, *_ in seen)
+
+
+def test_groups_grow_so_that_few_copies_are_sent():
+    copies = [n * n / embeddings.group_size(n) for n in (50_000, 200_000, 800_000)]
+    assert embeddings.group_size(1000) == 4096 and copies[1] < 5 * copies[0] and embeddings.group_size(10**9) == 16_384
+
+
 def test_embedding_tables_stay_small(spark):
     import tracemalloc
 
